@@ -1,7 +1,7 @@
 """Cosine top-k over stored vectors.
 
 The query vector is one value, fetched with a scalar subquery (evaluated once, shipped
-with the plan) - no join. Scores are row-wise array arithmetic in the JVM; the top-k is a
+with the plan as a constant) - no join, no driver round trip. Scores are row-wise array arithmetic in the JVM; the top-k is a
 ``TakeOrderedAndProject`` (each task keeps k rows).
 """
 
@@ -35,7 +35,9 @@ def topk(vectors: DataFrame, query_id: int, k: int = 10, id_col: str = "vec_id",
          vec_col: str = "embedding") -> DataFrame:
     """The ``k`` vectors most similar to vector ``query_id`` (itself included)."""
     q = vectors.where(F.col(id_col) == query_id).select(vec_col).scalar()
-    scored = cosine_scores(vectors.select(id_col, vec_col), q, id_col, vec_col)
+    # the subquery gets its own column: Spark allows no subquery inside a lambda
+    with_q = vectors.select(id_col, vec_col, q.alias("_q"))
+    scored = cosine_scores(with_q, F.col("_q"), id_col, vec_col)
     top = scored.orderBy(F.col("score").desc(), F.col(id_col).asc()).limit(k)
     w = Window.orderBy(F.col("score").desc(), F.col(id_col).asc())
     return top.select(id_col, "score", F.row_number().over(w).alias("rank"))
