@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from learnlog import constants as K
+from learnlog.session import ship_package
 from learnlog import prompts as P
 from learnlog.functions import json as J
 from learnlog.functions import text as TX
@@ -108,6 +109,7 @@ def model_map(df: DataFrame, keys: list[str], system: Column, user: Column, task
             out["error"] = errors
             yield out
 
+    ship_package(df.sparkSession)
     batch = df.select(*keys, system.alias("_system"), user.alias("_user"))
     return batch.mapInPandas(run, out_schema)
 

@@ -58,3 +58,27 @@ def checkpoint_dir(spark: SparkSession) -> str:
     elif not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(d)
     return d
+
+
+_SHIPPED: set = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``learnlog`` importable in Python workers (model calls, file decoding, stream
+    state run there): zip the package once on the driver and ship it with ``addPyFile``,
+    Spark's own way of distributing code to every executor."""
+    import zipfile
+
+    key = id(spark.sparkContext)
+    if key in _SHIPPED:
+        return
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    target = os.path.join(tempfile.mkdtemp(prefix="learnlog-pyfiles-"), "learnlog.zip")
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
+        for root, _, files in os.walk(pkg):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(root, f)
+                    z.write(full, os.path.relpath(full, os.path.dirname(pkg)))
+    spark.sparkContext.addPyFile(target)
+    _SHIPPED.add(key)

@@ -10,9 +10,11 @@ its tasks and readers never see a half-written table. The folder lives under the
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 from learnlog.operators import history as H
 from learnlog.session import checkpoint_dir
@@ -30,6 +32,31 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(p)
 
 
+def _read_text(spark: SparkSession, path: str) -> str:
+    fs, p = _fs(spark, path)
+    stream = fs.open(p)
+    try:
+        reader = spark.sparkContext._jvm.java.io.BufferedReader(
+            spark.sparkContext._jvm.java.io.InputStreamReader(stream, "UTF-8"))
+        lines = []
+        line = reader.readLine()
+        while line is not None:
+            lines.append(line)
+            line = reader.readLine()
+        return "\n".join(lines)
+    finally:
+        stream.close()
+
+
+def _write_text(spark: SparkSession, path: str, text: str) -> None:
+    fs, p = _fs(spark, path)
+    out = fs.create(p, True)
+    try:
+        out.write(bytearray(text.encode("utf-8")))
+    finally:
+        out.close()
+
+
 def list_dirs(spark: SparkSession, path: str) -> list[str]:
     fs, p = _fs(spark, path)
     if not fs.exists(p):
@@ -37,6 +64,9 @@ def list_dirs(spark: SparkSession, path: str) -> list[str]:
     return sorted(s.getPath().getName() for s in fs.listStatus(p) if s.isDirectory())
 
 
+SCHEMA_FILE = "_schema.json"
+
+
 class HistoryStore:
     """Versioned history table: ``<root>/v=<n>/mode=<kind>/part-*.parquet``."""
 
@@ -63,10 +93,15 @@ class HistoryStore:
         cur = self._current()
         if cur is None:
             raise FileNotFoundError(f"no history table under {self.root}")
-        return self.spark.read.parquet(cur)
+        # the schema is kept beside the data so an empty table (no files) still reads
+        schema = T.StructType.fromJson(json.loads(_read_text(self.spark, f"{cur}/{SCHEMA_FILE}")))
+        return self.spark.read.schema(schema).parquet(cur)
 
     def _write_version(self, df: DataFrame) -> None:
-        df.write.mode("overwrite").partitionBy("mode").parquet(self._next())
+        target = self._next()
+        df.write.mode("overwrite").partitionBy("mode").parquet(target)
+        cols = [f for f in df.schema.fields if f.name != "mode"] + [df.schema["mode"]]
+        _write_text(self.spark, f"{target}/{SCHEMA_FILE}", T.StructType(cols).json())
 
     def create_if_missing(self, schema_df: DataFrame) -> None:
         if not self.exists():

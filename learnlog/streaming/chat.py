@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming.state import GroupStateTimeout
 
+from learnlog.session import ship_package
+
 OUT_SCHEMA = "conv_id long, turn long, message_count long"
 STATE_SCHEMA = "seen long"
 
@@ -42,6 +44,7 @@ def chat_snapshot_stream(spark: SparkSession, conversations_path: str, schema) -
         folder, name = conversations_path.rsplit("/", 1)
         reader = reader.option("pathGlobFilter", name)
         conversations_path = folder
+    ship_package(spark)
     src = reader.parquet(conversations_path)
     return src.select("conv_id", "turn", "role").groupBy("conv_id").applyInPandasWithState(
         _snapshots, OUT_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout)
