@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from learnlog import constants as K
@@ -26,14 +26,30 @@ def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+_OPTS = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _CORRUPT}
+
+
+def _raw(x, ddl: str) -> Column:
+    return F.from_json(_c(x), f"{ddl}, {_CORRUPT} string", _OPTS)
+
+
+def _whole_or_null(raw: Column) -> Column:
+    return F.when(raw.isNull() | raw.getField(_CORRUPT).isNotNull(), F.lit(None)) \
+        .otherwise(raw.dropFields(_CORRUPT))
+
+
 def strict_from_json(x, ddl: str) -> Column:
     """Whole value or null: ``from_json`` yields a struct of nulls for bad text, so the
-    corrupt-record column is used to turn those into a real null."""
-    parsed = F.from_json(_c(x), f"{ddl}, {_CORRUPT} string",
-                         {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _CORRUPT})
-    fields = [f.split(" ", 1)[0] for f in _split_top_level(ddl)]
-    good = F.struct(*[parsed.getField(f).alias(f) for f in fields])
-    return F.when(_c(x).isNull() | parsed.getField(_CORRUPT).isNotNull(), F.lit(None)).otherwise(good)
+    corrupt-record column is used to turn those into a real null. (Inside one expression
+    the parse is evaluated twice; operators use ``with_json``, which parses once.)"""
+    return _whole_or_null(_raw(x, ddl))
+
+
+def with_json(df: DataFrame, src: str, ddl: str, out: str) -> DataFrame:
+    """Add ``out`` = strict parse of column ``src``; the text is parsed once."""
+    raw = f"_{out}_raw"
+    d = df.withColumn(raw, _raw(src, ddl))
+    return d.withColumn(out, _whole_or_null(F.col(raw))).drop(raw)
 
 
 def is_valid_json(x, ddl: str) -> Column:
@@ -42,26 +58,7 @@ def is_valid_json(x, ddl: str) -> Column:
     return _c(x).isNotNull() & parsed.getField(_CORRUPT).isNull()
 
 
-def _split_top_level(ddl: str) -> list[str]:
-    out, depth, cur = [], 0, []
-    for ch in ddl:
-        if ch == "<":
-            depth += 1
-        elif ch == ">":
-            depth -= 1
-        if ch == "," and depth == 0:
-            out.append("".join(cur).strip())
-            cur = []
-        else:
-            cur.append(ch)
-    if cur:
-        out.append("".join(cur).strip())
-    return out
-
-
-def parse_analysis(x) -> Column:
-    """Analysis JSON -> nested record; missing lists become empty lists; bad text -> null."""
-    p = strict_from_json(x, ANALYSIS_DDL)
+def _analysis_defaults(p: Column) -> Column:
     empty = F.array()
     return F.when(p.isNull(), F.lit(None)).otherwise(F.struct(
         F.coalesce(p.vocabulary_items, empty.cast(f"array<{VOCABULARY_ITEM}>")).alias("vocabulary_items"),
@@ -70,13 +67,21 @@ def parse_analysis(x) -> Column:
     ))
 
 
+def parse_analysis(x) -> Column:
+    """Analysis JSON -> nested record; missing lists become empty lists; bad text -> null."""
+    return _analysis_defaults(strict_from_json(x, ANALYSIS_DDL))
+
+
+def with_analysis(df: DataFrame, src: str, out: str) -> DataFrame:
+    d = with_json(df, src, ANALYSIS_DDL, f"_{out}_p")
+    return d.withColumn(out, _analysis_defaults(F.col(f"_{out}_p"))).drop(f"_{out}_p")
+
+
 def parse_exercise(x) -> Column:
     return strict_from_json(x, EXERCISE_DDL)
 
 
-def parse_word_reply(reply, word) -> Column:
-    """Word explanation reply -> record; a reply that is not JSON gives the default record."""
-    p = strict_from_json(reply, WORD_DDL)
+def _word_default(word) -> Column:
     empty = F.array().cast("array<string>")
     default = F.struct(
         _c(word).alias("word"),
@@ -87,4 +92,14 @@ def parse_word_reply(reply, word) -> Column:
         empty.alias("synonyms"),
         empty.alias("antonyms"),
     )
-    return F.coalesce(p, default)
+    return default
+
+
+def parse_word_reply(reply, word) -> Column:
+    """Word explanation reply -> record; a reply that is not JSON gives the default record."""
+    return F.coalesce(strict_from_json(reply, WORD_DDL), _word_default(word))
+
+
+def with_word_reply(df: DataFrame, reply: str, word: str, out: str) -> DataFrame:
+    d = with_json(df, reply, WORD_DDL, f"_{out}_p")
+    return d.withColumn(out, F.coalesce(F.col(f"_{out}_p"), _word_default(word))).drop(f"_{out}_p")

@@ -16,6 +16,10 @@ WS_CLASS = r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\
 # The same class in RE2 syntax (DuckDB oracle).
 WS_CLASS_RE2 = r"[\t-\r\x1c-\x20\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
+# The same code points as a plain string (for trim, which strips a character set).
+WS_CHARS = "".join(chr(c) for c in [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680,
+                                    *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000])
+
 DANGEROUS_CHARS = "<>&\"'"
 
 
@@ -24,13 +28,14 @@ def _c(x) -> Column:
 
 
 def py_strip(x) -> Column:
-    """``str.strip()`` with Unicode whitespace."""
-    return F.regexp_replace(_c(x), rf"\A{WS_CLASS}+|{WS_CLASS}+\z", "")
+    """``str.strip()`` with Unicode whitespace: ``trim`` with the whitespace set only touches
+    the characters it removes (a regex would scan the whole text)."""
+    return F.trim(_c(x), F.lit(WS_CHARS))
 
 
 def collapse_ws(x) -> Column:
     """``" ".join(s.split())``."""
-    return F.regexp_replace(py_strip(x), f"{WS_CLASS}+", " ")
+    return F.regexp_replace(py_strip(x), f"{WS_CLASS}++", " ")
 
 
 def sanitize(x) -> Column:
@@ -106,21 +111,37 @@ def strip_prefixes(x, prefixes: list[str]) -> Column:
     )
 
 
-def strip_code_fences(x) -> Column:
-    """Strip, then the four ordered fence cuts of a model reply, then strip again."""
-    c = py_strip(x)
+def in_steps(df, src: str, out: str, steps) -> "DataFrame":
+    """Apply ``steps`` (Column -> Column) one projection at a time. A step that uses its
+    input several times then reads a column instead of re-evaluating the previous steps
+    (Catalyst does not inline a non-trivial expression that is referenced twice)."""
+    cur, tmp = src, []
+    for i, step in enumerate(steps):
+        name = f"_{out}_s{i}"
+        df = df.withColumn(name, step(F.col(cur)))
+        tmp.append(name)
+        cur = name
+    return df.withColumn(out, F.col(cur)).drop(*tmp)
+
+
+def _cut_front(fence):
+    return lambda col: F.when(col.startswith(fence), F.substring(col, len(fence) + 1, 1 << 30)).otherwise(col)
+
 
-    def cut_front(col, fence):
-        return F.when(col.startswith(fence), F.substring(col, len(fence) + 1, 1 << 30)).otherwise(col)
+def _cut_back(fence):
+    return lambda col: F.when(col.endswith(fence), F.left(col, F.length(col) - len(fence))).otherwise(col)
 
-    def cut_back(col, fence):
-        return F.when(col.endswith(fence), F.left(col, F.length(col) - len(fence))).otherwise(col)
 
-    c = cut_front(c, "```json")
-    c = cut_back(c, "```")
-    c = cut_front(c, "```")
-    c = cut_back(c, "```")
-    return py_strip(c)
+FENCE_STEPS = [py_strip, _cut_front("```json"), _cut_back("```"), _cut_front("```"), _cut_back("```"),
+               py_strip]
+
+
+def strip_code_fences(x) -> Column:
+    """Strip, then the four ordered fence cuts of a model reply, then strip again."""
+    c = _c(x)
+    for step in FENCE_STEPS:
+        c = step(c)
+    return c
 
 
 def looks_like_json_object(x) -> Column:

@@ -14,20 +14,20 @@ from pyspark.sql import functions as F
 from learnlog import constants as K
 from learnlog.functions import json as J
 from learnlog.functions import text as T
-from learnlog.operators.joins import join_checked, join_lookup, lookup_table
+from learnlog.operators.joins import join_lookup, lookup_table
 
 def newest_first():
     return [F.col("ts").desc(), F.col("id").asc()]
 
 
 def parsed_analyses(history: DataFrame) -> DataFrame:
-    return history.where(F.col("mode") == "analysis").select(
-        "id", "ts", "language", J.parse_analysis("analysis_data").alias("analysis"))
+    a = history.where(F.col("mode") == "analysis").select("id", "ts", "language", "analysis_data")
+    return J.with_analysis(a, "analysis_data", "analysis").drop("analysis_data")
 
 
 def parsed_exercises(history: DataFrame) -> DataFrame:
-    return history.where(F.col("mode") == "exercise").select(
-        "id", "ts", "language", J.parse_exercise("exercise_data").alias("exercise"))
+    e = history.where(F.col("mode") == "exercise").select("id", "ts", "language", "exercise_data")
+    return J.with_json(e, "exercise_data", J.EXERCISE_DDL, "exercise").drop("exercise_data")
 
 
 def vocabulary(history: DataFrame) -> DataFrame:
@@ -208,6 +208,8 @@ def label_lookup(exercises: DataFrame) -> DataFrame:
 
 
 def attach_summary(questions: DataFrame, summaries: DataFrame) -> DataFrame:
-    """Left join of the per-language summary to each question; the summary table has one
-    row per language and is broadcast after a bounded size check."""
-    return join_checked(questions, summaries, "language", "left")
+    """Left join of the per-language summary to each question. The summary has one row per
+    language but is derived from the whole history, so it is not counted up front (that
+    would compute it twice): AQE materialises it as a query stage, measures it and turns
+    the join into a broadcast join when it is small, a shuffle join otherwise."""
+    return questions.join(summaries, "language", "left")

@@ -60,10 +60,14 @@ def get_corrections(history: DataFrame, limit: int | None = K.CORRECTIONS_PAGE)
         F.col("output_text").alias("output"),
         "language", "mode",
         F.when(mode == "correction", F.col("explanation")).alias("explanation"),
-        F.when(mode == "analysis", J.parse_analysis("analysis_data")).alias("analysis"),
-        F.when(mode == "exercise", J.parse_exercise("exercise_data")).alias("exercise"),
+        F.when(mode == "analysis", F.col("analysis_data")).alias("analysis_data"),
+        F.when(mode == "exercise", F.col("exercise_data")).alias("exercise_data"),
     )
-    return page(rows, limit)
+    # cut the page first: the JSON bodies are parsed for the page only
+    top = page(rows, limit)
+    top = J.with_analysis(top, "analysis_data", "analysis")
+    top = J.with_json(top, "exercise_data", J.EXERCISE_DDL, "exercise")
+    return top.drop("analysis_data", "exercise_data")
 
 
 def get_tips_history(history: DataFrame, limit: int | None = K.TIPS_PAGE) -> DataFrame:
@@ -102,7 +106,7 @@ def history_ordinal(history: DataFrame, num_partitions: int | None = None) -> Da
     rows = history.where(F.col("mode").isin("translation", "correction", "analysis")) \
         .select("mode", "ts", "id")
     pos = position_in_group(rows, "mode", ["ts", "id"], out="_asc", total="_n",
-                            num_partitions=num_partitions)
+                            num_partitions=num_partitions, max_groups=len(K.MODES))
     return pos.select(
         "mode", "id",
         F.when(F.col("mode") == "translation", F.col("_asc"))

@@ -31,12 +31,22 @@ from learnlog.functions import text as TX
 ERR_CONTEXT_LENGTH = "context_length_exceeded"
 
 
-class EchoClient:
-    """Deterministic local client.
+EXERCISE_TEMPLATE_MARKER = "Stwórz ćwiczenie w formacie JSON:\n"
+NO_TIPS_REPLY = "Brak wskazówek."
+
 
-    * every task: the reply is the user message, unchanged;
-    * ``analyze``: the reply is an analysis JSON whose vocabulary is the first three
-      whitespace-separated words after the first ``": "`` of the user message;
+class EchoClient:
+    """Deterministic local client (no network), a stand-in for the hosted model.
+
+    * default: the reply is the user message, unchanged;
+    * ``analyze``: an analysis JSON whose vocabulary is the first three whitespace-separated
+      words after the first ``": "`` of the user message;
+    * ``tips``: one ``• `` bullet per line of the system prompt that starts with ``- ``
+      (the summary's word and error lines), or a line without bullet when there is none;
+    * ``exercise``: the JSON example of the system prompt (from the line after
+      ``EXERCISE_TEMPLATE_MARKER`` to the first line that starts with ``}``), in a
+      ``json`` code fence;
+    * ``speech``: the UTF-8 bytes of the user message;
     * a user message longer than ``max_input_chars`` raises (a context-length error).
     """
 
@@ -44,7 +54,7 @@ class EchoClient:
         self.max_input_chars = max_input_chars
 
     def complete(self, system: str, user: str, max_tokens: int, temperature: float,
-                 task: str = "") -> str:
+                 task: str = ""):
         if user is None:
             raise ValueError("empty prompt")
         if len(user) > self.max_input_chars:
@@ -59,6 +69,14 @@ class EchoClient:
                 "grammar_rules": [],
                 "learning_tips": [],
             }, ensure_ascii=False)
+        if task == "tips":
+            tips = ["• " + line[2:] for line in (system or "").split("\n") if line.startswith("- ")]
+            return "\n".join(tips) if tips else NO_TIPS_REPLY
+        if task == "exercise":
+            tail = system[system.index(EXERCISE_TEMPLATE_MARKER) + len(EXERCISE_TEMPLATE_MARKER):]
+            return "```json\n" + tail[:tail.index("\n}") + 2] + "\n```"
+        if task == "speech":
+            return user.encode("utf-8")
         return user
 
 
@@ -74,13 +92,15 @@ def _client(factory: Callable):
 
 def model_map(df: DataFrame, keys: list[str], system: Column, user: Column, task: str,
               client_factory: Callable = EchoClient, attempts: int = 2,
-              backoff_seconds: float = 0.0) -> DataFrame:
+              backoff_seconds: float = 0.0, binary: bool = False) -> DataFrame:
     """Call the model once per row; returns ``keys + reply + error``.
 
-    Rows whose ``user`` prompt is null are not sent (reply and error null)."""
+    Rows whose ``user`` prompt is null are not sent (reply and error null); tasks that
+    have only a system prompt pass ``user = ""``. ``binary`` replies (speech) are bytes."""
     max_tokens, temperature = P.TASK_PARAMS[task]
     key_fields = [df.schema[k] for k in keys]
-    out_schema = T.StructType(key_fields + [T.StructField("reply", T.StringType()),
+    reply_type = T.BinaryType() if binary else T.StringType()
+    out_schema = T.StructType(key_fields + [T.StructField("reply", reply_type),
                                             T.StructField("error", T.StringType())])
 
     def run(batches: Iterator) -> Iterator:
@@ -179,8 +199,11 @@ def analyze(df: DataFrame, key: str, text: str, language: str,
         fill(P.ANALYZE_SYSTEM, language=F.col("_lang")),
         fill(P.ANALYZE_USER, language=F.col("_lang"), text=F.col(text)),
         "analyze", client_factory)
-    parsed = J.parse_analysis("reply")
-    err = F.coalesce(F.col("error"), F.when(parsed.isNull(), F.lit(K.MSG_AI_PARSE_ERROR)))
+    calls = J.with_analysis(calls, "reply", "_parsed")
+    parsed = F.col("_parsed")
+    calls = calls.withColumn(
+        "_err", F.coalesce(F.col("error"), F.when(parsed.isNull(), F.lit(K.MSG_AI_PARSE_ERROR))))
+    err = F.col("_err")
     fallback = F.struct(
         F.array().cast(f"array<{J.VOCABULARY_ITEM}>").alias("vocabulary_items"),
         F.array().cast(f"array<{J.GRAMMAR_RULE}>").alias("grammar_rules"),
@@ -190,7 +213,8 @@ def analyze(df: DataFrame, key: str, text: str, language: str,
 
 
 def parse_exercise_reply(reply) -> Column:
-    """Reply -> (error, exercise): strip fences, require ``{...}``, parse strictly."""
+    """Reply -> (error, exercise): strip fences, require ``{...}``, parse strictly.
+    (Column form; operators use ``with_exercise_reply``, which evaluates each step once.)"""
     body = TX.strip_code_fences(reply)
     parsed = J.strict_from_json(body, J.EXERCISE_DDL)
     error = (F.when(~TX.looks_like_json_object(body), F.lit(K.MSG_AI_NOT_JSON))
@@ -198,6 +222,17 @@ def parse_exercise_reply(reply) -> Column:
     return F.struct(error.alias("error"), F.when(error.isNull(), parsed).alias("exercise"))
 
 
+def with_exercise_reply(df: DataFrame, reply: str, error: str = "error",
+                        exercise: str = "exercise") -> DataFrame:
+    d = TX.in_steps(df, reply, "_reply_body", TX.FENCE_STEPS)
+    d = J.with_json(d, "_reply_body", J.EXERCISE_DDL, "_reply_parsed")
+    err = (F.when(~TX.looks_like_json_object("_reply_body"), F.lit(K.MSG_AI_NOT_JSON))
+           .when(F.col("_reply_parsed").isNull(), F.lit(K.MSG_AI_PARSE_ERROR)))
+    d = d.withColumn(error, err)
+    d = d.withColumn(exercise, F.when(F.col(error).isNull(), F.col("_reply_parsed")))
+    return d.drop("_reply_body", "_reply_parsed")
+
+
 def exercise_prompt(language, summary, exercise_type) -> Column:
     """System prompt for an exercise type; null for an unknown type (no call is made)."""
     t = F.col(exercise_type) if isinstance(exercise_type, str) else exercise_type
@@ -210,3 +245,87 @@ def exercise_prompt(language, summary, exercise_type) -> Column:
 
 def tips_from_reply(reply) -> Column:
     return TX.bullet_tips(reply)
+
+
+def answer(questions: DataFrame, key: list[str], routed: bool = True,
+           context: Column | None = None, client_factory: Callable = EchoClient) -> DataFrame:
+    """Tutor answers for ``questions`` (``language, question, summary``).
+
+    Routed (with context): off-topic questions get the refusal text and no call; the others
+    get the conversation or the explanation prompt. Unrouted: one prompt for all. ``ok``
+    is the app's acceptance test of a reply (non-empty, no ``error``)."""
+    lang, summary = F.col("language"), F.col("summary")
+    ctx = context if context is not None else F.lit("")
+    if routed:
+        route = TX.route_question("question")
+        conv = fill(P.CHAT_CONVERSATION_SYSTEM, language=lang, context=ctx, summary=summary)
+        expl = fill(P.CHAT_EXPLAIN_SYSTEM, language=lang, context=ctx, summary=summary)
+        system = F.when(route == "conversation", conv).otherwise(expl)
+        user = F.when(route != "refuse", F.col("question"))
+        task = "answer_with_context"
+    else:
+        route = F.lit("explain")
+        system = fill(P.ANSWER_SYSTEM, language=lang, summary=summary)
+        user = F.col("question")
+        task = "answer"
+    prepared = questions.select(*key, "language", route.alias("route"), system.alias("_s"),
+                                user.alias("_u"))
+    calls = model_map(prepared, [*key, "language", "route"], F.col("_s"), F.col("_u"), task,
+                      client_factory)
+    text = (F.when(F.col("route") == "refuse", TX.refusal_text("language"))
+            .when(F.col("error").isNull(), TX.py_strip("reply")))
+    return calls.select(*key, "route", text.alias("answer"), TX.response_ok(text).alias("ok"), "error")
+
+
+def tips(summaries: DataFrame, client_factory: Callable = EchoClient) -> DataFrame:
+    """Tips per language from its history summary: prompt -> model -> bullet lines."""
+    prepared = summaries.select("language", fill(P.TIPS_SYSTEM, language=F.col("language"),
+                                                 summary=F.col("summary")).alias("_s"))
+    calls = model_map(prepared, ["language"], F.col("_s"), F.lit(""), "tips", client_factory)
+    return calls.select("language", F.when(F.col("error").isNull(), tips_from_reply("reply"))
+                        .otherwise(F.array(F.col("error"))).alias("tips"), "error")
+
+
+def exercises(requests: DataFrame, key: str, client_factory: Callable = EchoClient) -> DataFrame:
+    """Exercise generation for requests (``language, exercise_type, summary``): prompt by
+    type (an unknown type is an error, no call) -> model -> fences / brace check / strict
+    parse -> exercise record with the generation time."""
+    system = exercise_prompt(F.col("language"), F.col("summary"), F.col("exercise_type"))
+    prepared = requests.select(key, "exercise_type", system.alias("_s"))
+    calls = model_map(prepared, [key, "exercise_type"], F.col("_s"),
+                      F.when(F.col("_s").isNotNull(), F.lit("")), "exercise", client_factory)
+    parsed = with_exercise_reply(calls.withColumnRenamed("error", "_call_error"), "reply",
+                                 "_parse_error", "_ex")
+    err = (F.when(~F.col("exercise_type").isin(*K.EXERCISE_TYPES), F.lit(K.MSG_UNKNOWN_EXERCISE_TYPE))
+           .when(F.col("_call_error").isNotNull(), F.col("_call_error"))
+           .otherwise(F.col("_parse_error")))
+    ex = F.when(err.isNull(), F.struct(F.col("_ex").alias("body"),
+                                       F.date_format(F.current_timestamp(),
+                                                     "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("timestamp")))
+    return parsed.select(key, "exercise_type", err.alias("error"), ex.alias("exercise"))
+
+
+def explain_words(words: DataFrame, key: str, client_factory: Callable = EchoClient) -> DataFrame:
+    """Word explanations (``word, language``): prompt -> model -> JSON record, or the default
+    record when the reply is not JSON (failed calls keep their error)."""
+    calls = model_map(
+        words.select(key, "word", "language"), [key, "word"],
+        fill(P.WORD_SYSTEM, language=F.col("language")),
+        fill(P.WORD_USER, language=F.col("language"), word=F.col("word")),
+        "explain_word", client_factory)
+    return J.with_word_reply(calls, "reply", "word", "explanation").select(key, "explanation", "error")
+
+
+def speech(texts: DataFrame, key: str, text: str, language: str,
+           client_factory: Callable = EchoClient) -> DataFrame:
+    """Speech for texts: input cut to 4000 chars (+ "..."), voice by language, model call,
+    audio kept only when it has at least the minimum size."""
+    from learnlog.sources.fixtures import voice_for
+    prepared = texts.select(key, voice_for(F.col(language)).alias("voice"),
+                            TX.tts_input(text).alias("_u"))
+    calls = model_map(prepared, [key, "voice"], F.col("voice"), F.col("_u"), "speech",
+                      client_factory, binary=True)
+    ok = TX.audio_ok("reply")
+    return calls.select(key, "voice", F.when(ok, F.col("reply")).alias("audio"),
+                        F.when(F.col("error").isNull() & ~ok, F.lit("audio too small"))
+                        .otherwise(F.col("error")).alias("error"))

@@ -6,7 +6,7 @@ are range-partitioned on ``(group, order...)`` (the sample-based range partition
 hot group across many tasks), numbered locally after a sort within each partition, and
 shifted by the sizes of the preceding ranges. The only extra data moved is a table of
 ``partitions x groups`` counts, which is broadcast (its size is bounded by the partition
-count, not by the data), for the intended case of few, large groups.
+count and the number of groups, not by the data) - the intended case is few, large groups.
 """
 
 from __future__ import annotations
@@ -14,7 +14,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from learnlog.operators.joins import join_checked
 
 
 def _num_partitions(df: DataFrame, n: int | None) -> int:
@@ -26,10 +25,16 @@ def _num_partitions(df: DataFrame, n: int | None) -> int:
 
 def position_in_group(df: DataFrame, group: str, order_cols: list[str],
                       out: str = "pos", total: str | None = None,
-                      num_partitions: int | None = None) -> DataFrame:
+                      num_partitions: int | None = None,
+                      max_groups: int | None = None) -> DataFrame:
     """Add ``out`` = 1-based ascending position of each row within ``group`` ordered by
     ``order_cols`` (which must be unique within a group), and optionally ``total`` = the
-    group size."""
+    group size.
+
+    ``max_groups`` is the caller's bound on the number of distinct groups (e.g. the fixed
+    set of record kinds); with it the offsets table (at most ``partitions + max_groups``
+    rows) is broadcast. Without it the join is left to AQE, which broadcasts it from its
+    measured size."""
     p = _num_partitions(df, num_partitions)
     keys = [group, *order_cols]
     ranged = (df.repartitionByRange(p, *keys)
@@ -44,7 +49,11 @@ def position_in_group(df: DataFrame, group: str, order_cols: list[str],
         F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"),
         *( [F.sum("_n").over(Window.partitionBy(group)).alias(total)] if total else [] ),
     )
-    # offsets has at most (groups + partitions) rows; checked before it is broadcast
-    out_df = join_checked(ranged, offsets, ["_pid", group])
+    # each range partition holds a contiguous run of groups, so offsets has at most
+    # (partitions + groups) rows
+    if max_groups is not None:
+        out_df = ranged.join(F.broadcast(offsets), ["_pid", group])
+    else:
+        out_df = ranged.join(offsets, ["_pid", group])
     out_df = out_df.withColumn(out, F.col("_off") + (F.col("_mid") - F.col("_first")) + 1)
     return out_df.drop("_pid", "_mid", "_first", "_off")

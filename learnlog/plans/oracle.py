@@ -646,6 +646,64 @@ def _():
 FROM (SELECT doc_id, text, {LANG_OF_DOC} AS language FROM documents)"""
 
 
+@q("model_answer")
+def _():
+    refusal = lit(K.REFUSAL_TEMPLATE.replace("%s", "{language}"))
+    answer = (f"CASE WHEN route = 'refuse' THEN replace({refusal}, '{{language}}', language) "
+              f"ELSE {strip('question')} END")
+    return "WITH " + QUESTIONS + f"""SELECT conv_id, turn, route, {answer} AS answer,
+  coalesce(length({answer}) > 0 AND NOT contains(lower({answer}), 'error'), false) AS ok,
+  CAST(NULL AS VARCHAR) AS error FROM routed"""
+
+
+@q("model_answer_plain")
+def _():
+    answer = strip("question")
+    return "WITH " + QUESTIONS + f"""SELECT conv_id, turn, {answer} AS answer,
+  coalesce(length({answer}) > 0 AND NOT contains(lower({answer}), 'error'), false) AS ok,
+  CAST(NULL AS VARCHAR) AS error FROM routed"""
+
+
+@q("model_tips")
+def _():
+    prompt = fill(P.TIPS_SYSTEM, language="language", summary="summary")
+    bullets = (f"list_transform(list_filter(string_split({prompt}, {NL}), lambda l: starts_with(l, '- ')), "
+               f"lambda l: {lit(K.TIP_BULLET)} || substring(l, 3, {BIG}))")
+    kept = (f"list_filter(list_transform({bullets}, lambda l: {strip('l')}), "
+            f"lambda l: starts_with(l, {lit(K.TIP_BULLET)}))")
+    return H + "," + SUMMARY + f"""SELECT language, unnest(generate_series(0, len(tips) - 1)) AS pos,
+  unnest(tips) AS tip, CAST(NULL AS VARCHAR) AS error FROM (
+  SELECT language, CASE WHEN len(t) > 0 THEN t ELSE [{lit(K.MSG_NO_TIPS)}] END AS tips FROM (
+    SELECT language, {kept} AS t FROM summaries))"""
+
+
+@q("model_exercise")
+def _():
+    question = ("CASE exercise_type WHEN 'vocabulary' THEN 'Pytanie do użytkownika' "
+                "WHEN 'grammar' THEN 'Zdanie z błędem do poprawienia' "
+                "ELSE 'Zdanie do przetłumaczenia z polskiego na ' || language END")
+    return H + f"""SELECT id, exercise_type, CAST(NULL AS VARCHAR) AS error, exercise_type AS type,
+  'Tytuł ćwiczenia' AS title, {question} AS question, 'easy/medium/hard' AS difficulty FROM (
+  SELECT id, language, {EX_TYPE} AS exercise_type FROM h WHERE mode = 'exercise')"""
+
+
+@q("model_word")
+def _():
+    return f"""SELECT doc_id, string_split(text, ' ')[1] AS word, {lit(K.MSG_WORD_PARSE_ERROR)} AS translation,
+  CAST(0 AS BIGINT) AS n_examples, CAST(NULL AS VARCHAR) AS error FROM documents"""
+
+
+@q("model_speech")
+def _():
+    tts = (f"CASE WHEN length(text) > {K.TTS_MAX_CHARS} THEN substring(text, 1, {K.TTS_MAX_CHARS}) || '...' "
+           f"ELSE text END")
+    n = f"octet_length(encode({tts}))"
+    voice = case_map(LANG_OF_DOC, K.LANGUAGE_VOICE_MAPPING, lit(K.DEFAULT_VOICE))
+    return f"""SELECT doc_id, {voice} AS voice,
+  CAST(CASE WHEN {n} >= {K.MIN_AUDIO_SIZE_BYTES} THEN {n} END AS BIGINT) AS n_bytes,
+  CASE WHEN {n} < {K.MIN_AUDIO_SIZE_BYTES} THEN 'audio too small' END AS error FROM documents"""
+
+
 # --- 8. freshness and streams -----------------------------------------------------------------
 
 LATEST = f"""latest AS (

@@ -21,10 +21,9 @@ from learnlog.operators import chat as C
 from learnlog.operators import history as H
 from learnlog.operators import model as M
 from learnlog.operators import vector as V
-from learnlog.operators.joins import join_checked
 from learnlog.session import checkpoint_dir
 from learnlog.sources import store as S
-from learnlog.sources.fixtures import EVENT_TYPE_TO_MODE, LANG_CODE_TO_NAME
+from learnlog.sources.fixtures import LANG_CODE_TO_NAME
 from learnlog.sources.tables import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -391,10 +390,9 @@ def exercise_replies(d: DataFrame) -> DataFrame:
 
 @query("exercise_parse")
 def q_exercise_parse(spark, sf):
-    r = exercise_replies(_docs(spark, sf))
-    p = r.select("doc_id", M.parse_exercise_reply("reply").alias("p"))
-    return p.select("doc_id", F.col("p.error").alias("error"), F.col("p.exercise.type").alias("type"),
-                    F.col("p.exercise.title").alias("title"), F.col("p.exercise.question").alias("question"))
+    r = M.with_exercise_reply(exercise_replies(_docs(spark, sf)), "reply")
+    return r.select("doc_id", "error", F.col("exercise.type").alias("type"),
+                    F.col("exercise.title").alias("title"), F.col("exercise.question").alias("question"))
 
 
 def word_replies(d: DataFrame) -> DataFrame:
@@ -409,8 +407,7 @@ def word_replies(d: DataFrame) -> DataFrame:
 
 @query("word_parse")
 def q_word_parse(spark, sf):
-    r = word_replies(_docs(spark, sf))
-    p = r.select("doc_id", J.parse_word_reply("reply", F.col("word")).alias("p"))
+    p = J.with_word_reply(word_replies(_docs(spark, sf)), "reply", "word", "p")
     return p.select("doc_id", F.col("p.word").alias("word"), F.col("p.translation").alias("translation"),
                     F.col("p.part_of_speech").alias("part_of_speech"),
                     F.size("p.examples").cast("bigint").alias("n_examples"))
@@ -572,6 +569,54 @@ def q_model_analyze(spark, sf):
                     "error")
 
 
+@query("model_answer")
+def q_model_answer(spark, sf):
+    """Tutor chat (routed, with context): refusal without a call, or an answer."""
+    a = M.answer(_questions_with_summary(spark, sf), ["conv_id", "turn"], routed=True)
+    return a.select("conv_id", "turn", "route", "answer", "ok", "error")
+
+
+@query("model_answer_plain")
+def q_model_answer_plain(spark, sf):
+    a = M.answer(_questions_with_summary(spark, sf), ["conv_id", "turn"], routed=False)
+    return a.select("conv_id", "turn", "answer", "ok", "error")
+
+
+@query("model_tips")
+def q_model_tips(spark, sf):
+    t = M.tips(A.summary_text(_h(spark, sf)))
+    return t.select("language", F.posexplode("tips").alias("pos", "tip"), "error") \
+        .select("language", F.col("pos").cast("bigint").alias("pos"), "tip", "error")
+
+
+@query("model_exercise")
+def q_model_exercise(spark, sf):
+    """Regenerate an exercise like each stored one (same language and type)."""
+    req = A.parsed_exercises(_h(spark, sf)).select(
+        "id", "language", F.col("exercise.type").alias("exercise_type"))
+    req = A.attach_summary(req, A.summary_text(_h(spark, sf)))
+    e = M.exercises(req, "id")
+    body = F.col("exercise.body")
+    return e.select("id", "exercise_type", "error", body.type.alias("type"), body.title.alias("title"),
+                    body.question.alias("question"), body.difficulty.alias("difficulty"))
+
+
+@query("model_word")
+def q_model_word(spark, sf):
+    w = _docs_lang(spark, sf).select("doc_id", F.try_element_at(F.split("text", " "), F.lit(1)).alias("word"),
+                                     "language")
+    e = M.explain_words(w, "doc_id")
+    x = F.col("explanation")
+    return e.select("doc_id", x.word.alias("word"), x.translation.alias("translation"),
+                    F.size(x.examples).cast("bigint").alias("n_examples"), "error")
+
+
+@query("model_speech")
+def q_model_speech(spark, sf):
+    s = M.speech(_docs_lang(spark, sf), "doc_id", "text", "language")
+    return s.select("doc_id", "voice", F.octet_length("audio").cast("bigint").alias("n_bytes"), "error")
+
+
 # --- 8. freshness and streams -----------------------------------------------------------------
 
 def _latest_with_ttl(spark, sf):
@@ -635,5 +680,3 @@ def q_vector_topk(spark, sf):
     e = read_table(spark, sf, "embeddings").select("vec_id", "embedding")
     return V.topk(e, VECTOR_QUERY_ID, VECTOR_K)
 
-
-__all__ = ["QUERIES", "EVENT_TYPE_TO_MODE", "join_checked"]

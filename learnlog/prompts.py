@@ -16,6 +16,7 @@ TASK_PARAMS = {
     "tips": (500, 0.7),
     "answer_with_context": (800, 0.7),
     "answer": (800, 0.7),
+    "speech": (0, 1.0),
 }
 
 TRANSLATE_SYSTEM = ("Jesteś ekspertem w tłumaczeniu tekstów. Tłumacz tekst z języka polskiego na "

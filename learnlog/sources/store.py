@@ -94,6 +94,8 @@ class HistoryStore:
         if cur is None:
             raise FileNotFoundError(f"no history table under {self.root}")
         # the schema is kept beside the data so an empty table (no files) still reads
+        if not path_exists(self.spark, f"{cur}/{SCHEMA_FILE}"):
+            return self.spark.read.parquet(cur)
         schema = T.StructType.fromJson(json.loads(_read_text(self.spark, f"{cur}/{SCHEMA_FILE}")))
         return self.spark.read.schema(schema).parquet(cur)
 
@@ -127,8 +129,13 @@ class HistoryStore:
         self._write_version(H.clear_all(self.read()))
 
 
+# Bump when the derivation in ``fixtures.history_records`` changes, so a table written by an
+# older derivation is never reused.
+FIXTURE_VERSION = "3"
+
+
 def _fixture_key(sf_dir: str) -> str:
-    parts = [os.path.abspath(sf_dir)]
+    parts = [FIXTURE_VERSION, os.path.abspath(sf_dir)]
     for name in ("events", "documents", "benchmark"):
         p = os.path.join(sf_dir, f"{name}.parquet")
         if os.path.exists(p):

@@ -6,7 +6,8 @@ from conftest import SF_SMALL
 
 PYTHON_NODES = ("MapInPandas", "PythonMapInArrow", "ArrowEvalPython", "BatchEvalPython",
                 "FlatMapGroupsInPandas", "FlatMapGroupsInPandasWithState")
-PYTHON_OK = {"model_translate", "model_correct", "model_analyze", "stream_chat_snapshots"}
+PYTHON_OK = {"model_translate", "model_correct", "model_analyze", "model_answer", "model_answer_plain",
+             "model_tips", "model_exercise", "model_word", "model_speech", "stream_chat_snapshots"}
 
 
 def _plan(df):
