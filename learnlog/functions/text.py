@@ -34,8 +34,11 @@ def py_strip(x) -> Column:
 
 
 def collapse_ws(x) -> Column:
-    """``" ".join(s.split())``."""
-    return F.regexp_replace(py_strip(x), f"{WS_CLASS}++", " ")
+    """``" ".join(s.split())`` without a regex: every whitespace code point becomes a space
+    (``translate``), the text is split on that one character (a non-regex split), empty
+    tokens are dropped and the rest joined with single spaces."""
+    spaced = F.translate(_c(x), WS_CHARS, " " * len(WS_CHARS))
+    return F.array_join(F.array_remove(F.split(spaced, " "), ""), " ")
 
 
 def sanitize(x) -> Column:

@@ -374,7 +374,7 @@ def q_analysis_digest(spark, sf):
 def exercise_replies(d: DataFrame) -> DataFrame:
     """Fixture: exercise replies of four shapes - plain JSON, fenced JSON, prose around JSON,
     cut-off JSON (closing brace kept)."""
-    words = F.split(F.col("text"), " ")
+    words = F.split(F.col("text"), " ", 2)   # only the first word is used (exact, see fixtures.words)
     body = F.to_json(F.struct(
         F.lit("vocabulary").alias("type"),
         F.try_element_at(words, F.lit(1)).alias("title"),
@@ -396,7 +396,7 @@ def q_exercise_parse(spark, sf):
 
 
 def word_replies(d: DataFrame) -> DataFrame:
-    words = F.split(F.col("text"), " ")
+    words = F.split(F.col("text"), " ", 4)   # words 1-3 are used (exact, see fixtures.words)
     w = F.try_element_at(words, F.lit(1))
     body = F.to_json(F.struct(w.alias("word"), F.concat(F.lit("pl:"), w).alias("translation"),
                               F.lit("noun").alias("part_of_speech"),
@@ -603,7 +603,7 @@ def q_model_exercise(spark, sf):
 
 @query("model_word")
 def q_model_word(spark, sf):
-    w = _docs_lang(spark, sf).select("doc_id", F.try_element_at(F.split("text", " "), F.lit(1)).alias("word"),
+    w = _docs_lang(spark, sf).select("doc_id", F.try_element_at(F.split("text", " ", 2), F.lit(1)).alias("word"),
                                      "language")
     e = M.explain_words(w, "doc_id")
     x = F.col("explanation")

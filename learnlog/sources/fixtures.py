@@ -74,12 +74,14 @@ def history(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def words(text: Column) -> Column:
-    return F.split(text, " ")
+    """Space-separated words of a text. Only the first ten are used, so the split stops
+    after them: elements 1-10 equal those of a full split, element 11 holds the rest."""
+    return F.split(text, " ", 11)
 
 
-def analysis_struct(input_text: Column, output_text: Column) -> Column:
-    """Nested analysis record built from the texts (what an analysis reply would hold)."""
-    w = words(input_text)
+def analysis_struct(w: Column, input_text: Column, output_text: Column) -> Column:
+    """Nested analysis record built from the texts (what an analysis reply would hold);
+    ``w`` = ``words(input_text)``."""
     pos_names = F.array(*[F.lit(p) for p in PARTS_OF_SPEECH])
     levels = F.array(*[F.lit(d) for d in DIFFICULTIES])
     vocab = F.transform(
@@ -108,9 +110,10 @@ def analysis_struct(input_text: Column, output_text: Column) -> Column:
     )
 
 
-def exercise_struct(id_col: Column, ts: Column, input_text: Column, output_text: Column) -> Column:
-    """Exercise record; optional keys are null so ``to_json`` leaves them out."""
-    w = words(input_text)
+def exercise_struct(id_col: Column, ts: Column, w: Column, input_text: Column,
+                    output_text: Column) -> Column:
+    """Exercise record; optional keys are null so ``to_json`` leaves them out;
+    ``w`` = ``words(input_text)``."""
     ex_type = F.element_at(F.array(*[F.lit(t) for t in ("vocabulary", "grammar", "translation")]),
                            (id_col % 3 + 1).cast("int"))
     levels = F.array(*[F.lit(d) for d in DIFFICULTIES])
@@ -143,7 +146,8 @@ def history_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     Columns a query does not select are pruned by Catalyst, so the JSON is only built when
     a query reads ``analysis_data`` / ``exercise_data``.
     """
-    h = history(spark, sf_dir)
+    # words are split once, in their own projection, and reused by both JSON bodies
+    h = history(spark, sf_dir).withColumn("_w", words(F.col("input_text")))
     is_tips = F.col("mode") == "learning_tips"
     tips = F.split(F.col("output_text"), "\n")
     return h.select(
@@ -154,10 +158,10 @@ def history_records(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(~is_tips, F.col("output_text")).alias("output_text"),
         "explanation",
         F.when(F.col("mode") == "analysis",
-               F.to_json(analysis_struct(F.col("input_text"), F.col("output_text"))))
+               F.to_json(analysis_struct(F.col("_w"), F.col("input_text"), F.col("output_text"))))
         .alias("analysis_data"),
         F.when(F.col("mode") == "exercise",
-               F.to_json(exercise_struct(F.col("id"), F.col("ts"), F.col("input_text"),
+               F.to_json(exercise_struct(F.col("id"), F.col("ts"), F.col("_w"), F.col("input_text"),
                                          F.col("output_text"))))
         .alias("exercise_data"),
         F.when(F.col("mode") == "translation", voice_for(F.col("language"))).alias("voice"),

@@ -131,7 +131,7 @@ class HistoryStore:
 
 # Bump when the derivation in ``fixtures.history_records`` changes, so a table written by an
 # older derivation is never reused.
-FIXTURE_VERSION = "3"
+FIXTURE_VERSION = "4"
 
 
 def _fixture_key(sf_dir: str) -> str:
