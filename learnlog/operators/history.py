@@ -63,11 +63,12 @@ def get_corrections(history: DataFrame, limit: int | None = K.CORRECTIONS_PAGE)
         F.when(mode == "analysis", F.col("analysis_data")).alias("analysis_data"),
         F.when(mode == "exercise", F.col("exercise_data")).alias("exercise_data"),
     )
-    # cut the page first: the JSON bodies are parsed for the page only
+    # One projection over the ordered page keeps the plan a TakeOrderedAndProject (each task
+    # keeps `limit` rows); the JSON bodies are then parsed for the page rows only.
     top = page(rows, limit)
-    top = J.with_analysis(top, "analysis_data", "analysis")
-    top = J.with_json(top, "exercise_data", J.EXERCISE_DDL, "exercise")
-    return top.drop("analysis_data", "exercise_data")
+    return top.select("id", "ts", "input", "output", "language", "mode", "explanation",
+                      J.parse_analysis("analysis_data").alias("analysis"),
+                      J.parse_exercise("exercise_data").alias("exercise"))
 
 
 def get_tips_history(history: DataFrame, limit: int | None = K.TIPS_PAGE) -> DataFrame:

@@ -134,6 +134,44 @@ def model_map(df: DataFrame, keys: list[str], system: Column, user: Column, task
     return batch.mapInPandas(run, out_schema)
 
 
+def prompt_hash(task: str, system: Column, user: Column) -> Column:
+    """Identity of a model request: task + system prompt + user prompt."""
+    return F.sha2(F.concat_ws("\u0001", F.lit(task), F.coalesce(system, F.lit("")),
+                              F.coalesce(user, F.lit(""))), 256)
+
+
+def model_map_stored(df: DataFrame, keys: list[str], system: Column, user: Column, task: str,
+                     store_path: str, client_factory: Callable = EchoClient,
+                     **kw) -> DataFrame:
+    """``model_map`` with a reply table: each distinct prompt (by hash) is sent at most once
+    per successful reply. New replies are appended to ``store_path`` (a folder in shared
+    storage) before anything is parsed, so a failed or re-run job, or a retried stage, does
+    not pay for the same prompt again; failed replies are retried on the next run."""
+    from learnlog.sources.store import path_exists
+
+    spark = df.sparkSession
+    prompts = (df.select(*keys, system.alias("_system"), user.alias("_user"))
+               .withColumn("_h", prompt_hash(task, F.col("_system"), F.col("_user"))))
+    todo = prompts.where(F.col("_user").isNotNull()).select("_h", "_system", "_user") \
+        .dropDuplicates(["_h"])
+    if path_exists(spark, store_path):
+        done = spark.read.parquet(store_path).where(F.col("error").isNull()).select("_h")
+        todo = todo.join(done, "_h", "left_anti")
+    model_map(todo, ["_h"], F.col("_system"), F.col("_user"), task, client_factory, **kw) \
+        .write.mode("append").parquet(store_path)
+    stored = spark.read.parquet(store_path)
+    # one reply per prompt, a success before a failure (max of the struct, partial aggregate)
+    best = stored.groupBy("_h").agg(
+        F.max(F.struct(F.col("error").isNull().alias("ok"), "reply", "error")).alias("_b"))
+    out = prompts.join(best, "_h", "left")
+    return out.select(*keys, F.col("_b.reply").alias("reply"), F.col("_b.error").alias("error"))
+
+
+def with_concurrency(df: DataFrame, n: int | None) -> DataFrame:
+    """Bound the number of tasks calling the model at once (rate limits) by repartitioning."""
+    return df.repartition(n) if n else df
+
+
 def fill(template: str, **values: Column) -> Column:
     """Fill ``{name}`` placeholders column-wise; ``language`` first, free text last."""
     order = ["language", "word", "context", "summary", "original", "corrected", "text"]

@@ -118,3 +118,34 @@ def test_analyze_failure_gives_tip(spark):
     assert [v.word for v in got[1].analysis.vocabulary_items] == ["one", "two", "three"]
     assert got[2].analysis.vocabulary_items == [] and got[2].error == M.ERR_CONTEXT_LENGTH
     assert got[2].analysis.learning_tips[0].endswith(M.ERR_CONTEXT_LENGTH)
+
+
+def test_stored_replies_are_not_requested_twice(spark, scratch):
+    log = os.path.join(scratch, "calls.log")
+
+    class CountingClient:
+        def complete(self, system, user, max_tokens, temperature, task=""):
+            with open(log, "a") as f:
+                f.write(user + "\n")
+            if "fail" in user:
+                raise RuntimeError("boom")
+            return user[::-1]
+
+    df = spark.createDataFrame([(1, "abc"), (2, "abc"), (3, "xyz"), (4, "fail"), (5, None)],
+                               "k long, t string")
+    store = os.path.join(scratch, "replies")
+
+    def run():
+        return {r.k: (r.reply, r.error) for r in M.model_map_stored(
+            df, ["k"], F.lit("sys"), F.col("t"), "translate", store, client_factory=CountingClient,
+            attempts=1).collect()}
+
+    first = run()
+    assert first[1] == ("cba", None) and first[2] == ("cba", None) and first[3] == ("zyx", None)
+    assert first[4] == (None, "boom") and first[5] == (None, None)
+    calls = open(log).read().split()
+    assert sorted(calls) == ["abc", "fail", "xyz"]          # identical prompts sent once
+    second = run()
+    assert second == first
+    calls = open(log).read().split()
+    assert sorted(calls) == ["abc", "fail", "fail", "xyz"]  # only the failed prompt is retried

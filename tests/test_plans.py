@@ -21,6 +21,13 @@ def test_history_read_prunes_partitions_and_uses_top_n(spark):
     assert "analysis_data" not in p.split("ReadSchema")[1].split("\n")[0]
 
 
+def test_every_page_is_a_top_n(spark):
+    for key in ("get_translations", "get_corrections", "get_tips_history", "get_chat_sessions",
+                "history_scan_capped"):
+        p = _plan(QUERIES[key](spark, SF_SMALL))
+        assert "TakeOrderedAndProject" in p and "rangepartitioning" not in p, key
+
+
 def test_per_group_top_n_is_limited_before_shuffle(spark):
     for key in ("vocabulary_top20", "recent_errors", "history_dashboard"):
         df = QUERIES[key](spark, SF_SMALL)
