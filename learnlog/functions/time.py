@@ -53,3 +53,12 @@ def expires_at(ts, ttl) -> Column:
 def is_expired(ts, ttl, as_of) -> Column:
     """Expired strictly after the expiry instant; exactly at expiry is still active."""
     return _c(as_of) > expires_at(ts, ttl)
+
+
+def utc_now(session_time_zone: str = "UTC") -> Column:
+    """Current UTC wall-clock time as ``timestamp_ntz`` (what ``utcnow()`` stores), whatever
+    the session time zone is."""
+    local = F.current_timestamp().cast("timestamp_ntz")   # wall clock in the session zone
+    if session_time_zone == "UTC":
+        return local
+    return F.convert_timezone(F.lit(session_time_zone), F.lit("UTC"), local)

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from learnlog import constants as K
 from learnlog.functions import json as J
 from learnlog.functions import text as T
+from learnlog.functions import time as TM
 from learnlog.operators.ranking import position_in_group
 
 def newest_first():
@@ -153,6 +154,13 @@ def history_union(history: DataFrame, chat_sessions: DataFrame) -> DataFrame:
 
 # --- record builders (the append path) -------------------------------------------------------
 
+def stamp(records: DataFrame) -> DataFrame:
+    """Give new records their identity at ingest: a random UUID string id and the UTC time.
+    (Spark's ``uuid()`` is seeded per partition, so a retried task produces the same ids.)"""
+    tz = records.sparkSession.conf.get("spark.sql.session.timeZone", "UTC")
+    return records.select(F.expr("uuid()").alias("id"), TM.utc_now(tz).alias("ts"), "*")
+
+
 def translation_records(df: DataFrame, audio: str | None = None) -> DataFrame:
     """Translation payload: input, output, target language, voice, audio flag + base64 audio.
 

@@ -93,3 +93,13 @@ def test_page_and_scan_cap(spark):
     first100 = sorted(rows, key=lambda r: r[0])[:100]
     exp = sorted([r for r in first100 if r[2] == "translation"], key=lambda r: (-r[1].timestamp(), r[0]))[:20]
     assert [r.id for r in capped] == [r[0] for r in exp]
+
+
+def test_stamp_gives_uuid_and_utc_time(spark):
+    df = spark.createDataFrame([("a",), ("b",), ("c",)], "input_text string")
+    before = dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
+    rows = H.stamp(df).collect()
+    after = dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
+    assert len({r.id for r in rows}) == 3 and all(len(r.id) == 36 for r in rows)
+    for r in rows:
+        assert before - dt.timedelta(seconds=5) <= r.ts <= after + dt.timedelta(seconds=5)
