@@ -65,20 +65,32 @@ _SHIPPED: set = set()
 
 def ship_package(spark: SparkSession) -> None:
     """Make ``learnlog`` importable in Python workers (model calls, file decoding, stream
-    state run there): zip the package once on the driver and ship it with ``addPyFile``,
-    Spark's own way of distributing code to every executor."""
+    state run there): zip the package in memory, write it into the shared checkpoint folder
+    and ship it with ``addPyFile``, Spark's own way of distributing code to every executor."""
+    import io
     import zipfile
 
     key = id(spark.sparkContext)
     if key in _SHIPPED:
         return
     pkg = os.path.dirname(os.path.abspath(__file__))
-    target = os.path.join(tempfile.mkdtemp(prefix="learnlog-pyfiles-"), "learnlog.zip")
-    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
+    buf = io.BytesIO()
+    with zipfile.ZipFile(buf, "w", zipfile.ZIP_DEFLATED) as z:
         for root, _, files in os.walk(pkg):
-            for f in files:
+            for f in sorted(files):
                 if f.endswith(".py"):
                     full = os.path.join(root, f)
                     z.write(full, os.path.relpath(full, os.path.dirname(pkg)))
+    import uuid
+
+    target = f"{checkpoint_dir(spark).rstrip('/')}/learnlog-pyfiles/{uuid.uuid4().hex}/learnlog.zip"
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(target)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    out = fs.create(path, True)
+    try:
+        out.write(bytearray(buf.getvalue()))
+    finally:
+        out.close()
     spark.sparkContext.addPyFile(target)
     _SHIPPED.add(key)
