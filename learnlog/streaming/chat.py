@@ -1,11 +1,17 @@
 """Chat-session snapshots as a stateful stream.
 
-Each conversation's messages arrive as rows; per conversation the stream keeps the number
-of messages seen so far (state in the checkpoint location, keyed by ``conv_id``) and emits
-a snapshot record at every assistant message once the conversation holds at least two
-messages - the batch equivalent is ``operators.chat.snapshots``. Messages of one
-conversation must not arrive in a later trigger than a higher turn of the same
-conversation; within a trigger they are ordered by ``turn``.
+Each conversation's messages arrive as rows. Per conversation (state keyed by ``conv_id``,
+kept in the checkpoint location) the stream holds the number of messages already counted,
+the next expected turn, and the turns that arrived early. Messages are consumed strictly in
+turn order; a snapshot record is emitted at every assistant message once the conversation
+holds at least two messages - the batch equivalent is ``operators.chat.snapshots``.
+
+Turns are expected to start at 0 and be contiguous. A turn that arrives before an earlier one
+waits in state until the gap is filled. With ``gap_timeout_ms`` (for a stream on a
+processing-time trigger) waiting turns are released in order once the conversation has had no
+new message for that long, so an abandoned conversation does not hold state forever. Without
+it (``availableNow`` runs: a processing-time timeout makes the operator ask for another
+micro-batch forever) waiting turns stay in state until their gap is filled.
 """
 
 from __future__ import annotations
@@ -19,24 +25,60 @@ from pyspark.sql.streaming.state import GroupStateTimeout
 from learnlog.session import ship_package
 
 OUT_SCHEMA = "conv_id long, turn long, message_count long"
-STATE_SCHEMA = "seen long"
+STATE_SCHEMA = "seen long, next_turn long, pending_turns array<long>, pending_roles array<string>"
+GAP_TIMEOUT_MS = 60 * 60 * 1000   # suggested value for continuously running streams
+
+
+def _release(turns, roles, seen, next_turn, force):
+    """Consume turns in order from ``next_turn``; with ``force`` skip over gaps."""
+    out_t, out_n = [], []
+    keep_t, keep_r = [], []
+    for t, r in sorted(zip(turns, roles)):
+        if t < next_turn:
+            continue                      # already counted (duplicate delivery)
+        if t > next_turn and not force:
+            keep_t.append(t)
+            keep_r.append(r)
+            continue
+        if keep_t and not force:          # a gap is still open before this turn
+            keep_t.append(t)
+            keep_r.append(r)
+            continue
+        seen += 1
+        next_turn = t + 1
+        if r == "assistant" and seen >= 2:
+            out_t.append(t)
+            out_n.append(seen)
+    return out_t, out_n, keep_t, keep_r, seen, next_turn
 
 
-def _snapshots(key, pdfs: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-    seen = state.get[0] if state.exists else 0
-    parts = [p for p in pdfs]
-    pdf = pd.concat(parts).sort_values("turn") if parts else pd.DataFrame(columns=["turn", "role"])
-    counts = seen + pd.Series(range(1, len(pdf) + 1), index=pdf.index)
-    keep = (pdf["role"] == "assistant") & (counts >= 2)
-    state.update((int(seen + len(pdf)),))
-    yield pd.DataFrame({
-        "conv_id": [key[0]] * int(keep.sum()),
-        "turn": pdf.loc[keep, "turn"].astype("int64").tolist(),
-        "message_count": counts[keep].astype("int64").tolist(),
-    })
+def _make_snapshots(gap_timeout_ms: int | None):
+    def snapshots(key, pdfs: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        if state.exists:
+            seen, next_turn, p_turns, p_roles = state.get
+            p_turns, p_roles = list(p_turns or []), list(p_roles or [])
+        else:
+            seen, next_turn, p_turns, p_roles = 0, 0, [], []
+        force = state.hasTimedOut
+        turns, roles = list(p_turns), list(p_roles)
+        if not force:
+            for pdf in pdfs:
+                turns.extend(int(t) for t in pdf["turn"])
+                roles.extend(pdf["role"].tolist())
+        out_t, out_n, keep_t, keep_r, seen, next_turn = _release(turns, roles, seen, next_turn, force)
+        if force and not keep_t:
+            state.remove()
+        else:
+            state.update((seen, next_turn, keep_t, keep_r))
+            if keep_t and gap_timeout_ms:
+                state.setTimeoutDuration(gap_timeout_ms)
+        yield pd.DataFrame({"conv_id": [key[0]] * len(out_t), "turn": out_t, "message_count": out_n},
+                           columns=["conv_id", "turn", "message_count"]).astype("int64")
+    return snapshots
 
 
-def chat_snapshot_stream(spark: SparkSession, conversations_path: str, schema) -> DataFrame:
+def chat_snapshot_stream(spark: SparkSession, conversations_path: str, schema,
+                         gap_timeout_ms: int | None = None) -> DataFrame:
     """``conversations_path`` is a folder of message files, or one file (then its folder is
     watched for files of that name)."""
     reader = spark.readStream.schema(schema)
@@ -47,11 +89,13 @@ def chat_snapshot_stream(spark: SparkSession, conversations_path: str, schema) -
     ship_package(spark)
     src = reader.parquet(conversations_path)
     return src.select("conv_id", "turn", "role").groupBy("conv_id").applyInPandasWithState(
-        _snapshots, OUT_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout)
+        _make_snapshots(gap_timeout_ms), OUT_SCHEMA, STATE_SCHEMA, "append",
+        GroupStateTimeout.ProcessingTimeTimeout if gap_timeout_ms else GroupStateTimeout.NoTimeout)
 
 
 def run_chat_snapshots(spark: SparkSession, conversations_path: str, schema, out_path: str,
                        checkpoint: str):
+    """Process what is available now (tests, scheduled runs) and stop."""
     q = (chat_snapshot_stream(spark, conversations_path, schema).writeStream
          .outputMode("append").format("parquet").option("path", out_path)
          .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())

@@ -32,3 +32,33 @@ def test_chat_snapshot_stream_equals_batch(spark, scratch):
     batch = C.snapshots(C.messages(spark.read.parquet(path)))
     exp = sorted(map(tuple, batch.select("conv_id", "turn", "message_count").collect()))
     assert got == exp
+
+
+def test_chat_snapshot_stream_buffers_out_of_order_turns(spark, scratch):
+    schema = "conv_id long, turn long, role string, text string"
+    src = f"{scratch}/in"
+    first = [(1, 0, "user", "a"), (1, 2, "user", "c"), (2, 0, "user", "x"), (2, 1, "assistant", "y")]
+    second = [(1, 1, "assistant", "b"), (1, 3, "assistant", "d")]
+    spark.createDataFrame(first, schema).coalesce(1).write.mode("append").parquet(src)
+    out, ckpt = f"{scratch}/out", f"{scratch}/ckpt"
+    st = spark.createDataFrame([], schema).schema
+    run_chat_snapshots(spark, src, st, out, ckpt)
+    got1 = sorted(map(tuple, spark.read.parquet(out).collect()))
+    assert got1 == [(2, 1, 2)]                      # conversation 1 waits for turn 1
+    spark.createDataFrame(second, schema).coalesce(1).write.mode("append").parquet(src)
+    run_chat_snapshots(spark, src, st, out, ckpt)
+    got = sorted(map(tuple, spark.read.parquet(out).collect()))
+    batch = C.snapshots(C.messages(spark.createDataFrame(first + second, schema)))
+    assert got == sorted(map(tuple, batch.select("conv_id", "turn", "message_count").collect()))
+
+
+def test_release_order_and_forced_gap():
+    from learnlog.streaming.chat import _release
+    # turns 0, 1 present, 3 waits for 2
+    out_t, out_n, keep_t, _, seen, nxt = _release([3, 0, 1], ["assistant", "user", "assistant"], 0, 0, False)
+    assert (out_t, out_n, keep_t, seen, nxt) == ([1], [2], [3], 2, 2)
+    # on timeout the waiting turn is released over the gap
+    out_t, out_n, keep_t, _, seen, nxt = _release([3], ["assistant"], 2, 2, True)
+    assert (out_t, out_n, keep_t, seen, nxt) == ([3], [3], [], 3, 4)
+    # duplicates of counted turns are ignored
+    assert _release([0, 1], ["user", "assistant"], 2, 2, False)[:3] == ([], [], [])
