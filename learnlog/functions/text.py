@@ -10,16 +10,14 @@ from pyspark.sql import functions as F
 
 from learnlog import constants as K
 
-# FIXED VALUE: the 29 code points Python's str.strip()/str.split() treat as whitespace.
-# (Spark's trim only removes U+0020.)  Java regex syntax.
-WS_CLASS = r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
-# The same class in RE2 syntax (DuckDB oracle).
-WS_CLASS_RE2 = r"[\t-\r\x1c-\x20\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
-
-# The same code points as a plain string (for trim, which strips a character set).
+# FIXED VALUE: the 29 code points Python's str.strip()/str.split() treat as whitespace
+# (Spark's trim without arguments only removes U+0020), as a character set for trim/translate
+# and as an RE2 class for the DuckDB oracle.
 WS_CHARS = "".join(chr(c) for c in [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680,
                                     *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000])
 
+WS_CLASS_RE2 = r"[\t-\r\x1c-\x20\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+
 DANGEROUS_CHARS = "<>&\"'"
 
 

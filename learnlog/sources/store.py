@@ -12,6 +12,8 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import threading
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
@@ -75,7 +77,8 @@ class HistoryStore:
         self.root = root.rstrip("/")
 
     def _versions(self) -> list[int]:
-        return sorted(int(d[2:]) for d in list_dirs(self.spark, self.root) if d.startswith("v="))
+        return sorted(int(d[2:]) for d in list_dirs(self.spark, self.root)
+                      if d.startswith("v=") and d[2:].isdigit())
 
     def _current(self) -> str | None:
         ok = [v for v in self._versions()
@@ -100,10 +103,20 @@ class HistoryStore:
         return self.spark.read.schema(schema).parquet(cur)
 
     def _write_version(self, df: DataFrame) -> None:
-        target = self._next()
-        df.write.mode("overwrite").partitionBy("mode").parquet(target)
+        """Write into a private folder, then rename it to the next version number (a rename is
+        atomic on HDFS and local file systems): readers and concurrent writers never see a
+        partly written version. If another writer took the number first, try the next one."""
+        staging = f"{self.root}/_staging-{uuid.uuid4().hex}"
+        df.write.mode("overwrite").partitionBy("mode").parquet(staging)
         cols = [f for f in df.schema.fields if f.name != "mode"] + [df.schema["mode"]]
-        _write_text(self.spark, f"{target}/{SCHEMA_FILE}", T.StructType(cols).json())
+        _write_text(self.spark, f"{staging}/{SCHEMA_FILE}", T.StructType(cols).json())
+        fs, src = _fs(self.spark, staging)
+        for _ in range(100):
+            target = self._next()
+            _, dst = _fs(self.spark, target)
+            if not fs.exists(dst) and fs.rename(src, dst):
+                return
+        raise RuntimeError(f"could not publish a new version under {self.root}")
 
     def create_if_missing(self, schema_df: DataFrame) -> None:
         if not self.exists():
@@ -156,9 +169,16 @@ def build_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.read()
 
 
+_BUILD_LOCK = threading.Lock()
+
+
 def history_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stored history for ``sf_dir``, built on first use."""
+    """The stored history for ``sf_dir``, built on first use (once per process even when
+    queries are started from several threads)."""
     store = history_store(spark, sf_dir)
-    if not store.exists():
-        return build_history(spark, sf_dir)
+    if store.exists():
+        return store.read()
+    with _BUILD_LOCK:
+        if not store.exists():
+            return build_history(spark, sf_dir)
     return store.read()

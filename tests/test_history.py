@@ -103,3 +103,17 @@ def test_stamp_gives_uuid_and_utc_time(spark):
     assert len({r.id for r in rows}) == 3 and all(len(r.id) == 36 for r in rows)
     for r in rows:
         assert before - dt.timedelta(seconds=5) <= r.ts <= after + dt.timedelta(seconds=5)
+
+
+def test_summary_pre_limit_cuts_before_the_language_filter(spark):
+    from learnlog.operators import analysis as A
+    rows = []
+    for i in range(60):   # 60 translations: the 10 oldest are German, the rest English
+        rows.append((i, T0 + dt.timedelta(minutes=i), "translation", "niemiecki" if i < 10 else "angielski",
+                     "t", "o", None, None))
+    df = spark.createDataFrame(rows, "id long, ts timestamp_ntz, mode string, language string, input_text string, "
+                                     "output_text string, explanation string, analysis_data string")
+    full = {r.language: r.summary for r in A.summary_text(df).collect()}
+    cut = {r.language: r.summary for r in A.summary_text(df, pre_limit=50).collect()}
+    assert "Liczba tłumaczeń: 10" in full["niemiecki"] and "Liczba tłumaczeń: 50" in full["angielski"]
+    assert "niemiecki" not in cut and "Liczba tłumaczeń: 50" in cut["angielski"]
