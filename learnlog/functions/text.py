@@ -25,6 +25,13 @@ def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def n_items(arr) -> Column:
+    """Array length as bigint, null for a null array whatever the session's ANSI /
+    ``sizeOfNull`` settings (legacy ``size`` would give -1). One reference to the input, so a
+    projection over a page still collapses into the TakeOrderedAndProject."""
+    return F.array_size(_c(arr)).cast("bigint")
+
+
 def py_strip(x) -> Column:
     """``str.strip()`` with Unicode whitespace: ``trim`` with the whitespace set only touches
     the characters it removes (a regex would scan the whole text)."""

@@ -45,7 +45,7 @@ def vocabulary_counts(history: DataFrame) -> DataFrame:
     """Number of vocabulary items per language (before any display cap)."""
     a = parsed_analyses(history)
     return a.groupBy("language").agg(
-        F.sum(F.coalesce(F.size("analysis.vocabulary_items"), F.lit(0))).cast("bigint").alias("n"))
+        F.sum(F.coalesce(T.n_items("analysis.vocabulary_items"), F.lit(0))).cast("bigint").alias("n"))
 
 
 def vocabulary_top(history: DataFrame, n: int = K.SUMMARY_VOCABULARY_ITEMS) -> DataFrame:

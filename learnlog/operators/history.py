@@ -192,7 +192,7 @@ def tips_records(df: DataFrame, tips_col: str = "tips") -> DataFrame:
     return df.select(
         "id", "language",
         F.array_join(tips_col, "\n").alias("tips_text"),
-        F.size(tips_col).cast("bigint").alias("tips_count"),
+        T.n_items(tips_col).alias("tips_count"),
         F.lit("learning_tips").alias("mode"))
 
 

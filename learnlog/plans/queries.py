@@ -124,7 +124,7 @@ def q_get_translations(spark, sf):
 def q_get_corrections(spark, sf):
     c = H.get_corrections(_h(spark, sf))
     return c.select("id", "ts", "input", "output", "language", "mode", "explanation",
-                    F.size("analysis.vocabulary_items").cast("bigint").alias("n_vocabulary"),
+                    T.n_items("analysis.vocabulary_items").alias("n_vocabulary"),
                     F.col("exercise.type").alias("exercise_type"))
 
 
@@ -327,9 +327,9 @@ def q_analysis_roundtrip(spark, sf):
     a = A.parsed_analyses(_h(spark, sf))
     an = F.col("analysis")
     return a.select("id",
-                    F.size(an.vocabulary_items).cast("bigint").alias("n_vocabulary"),
-                    F.size(an.grammar_rules).cast("bigint").alias("n_rules"),
-                    F.size(an.learning_tips).cast("bigint").alias("n_tips"),
+                    T.n_items(an.vocabulary_items).alias("n_vocabulary"),
+                    T.n_items(an.grammar_rules).alias("n_rules"),
+                    T.n_items(an.learning_tips).alias("n_tips"),
                     F.try_element_at(an.grammar_rules, F.lit(1)).rule_name.alias("first_rule"))
 
 
@@ -345,7 +345,7 @@ def q_exercise_roundtrip(spark, sf):
     ex = F.col("exercise")
     return e.select("id", ex.type.alias("type"), ex.title.alias("title"), ex.question.alias("question"),
                     ex.correct_answer.alias("correct_answer"),
-                    F.size(ex.options).cast("bigint").alias("n_options"),
+                    T.n_items(ex.options).alias("n_options"),
                     ex.difficulty.alias("difficulty"), ex.hint.alias("hint"))
 
 
@@ -410,7 +410,7 @@ def q_word_parse(spark, sf):
     p = J.with_word_reply(word_replies(_docs(spark, sf)), "reply", "word", "p")
     return p.select("doc_id", F.col("p.word").alias("word"), F.col("p.translation").alias("translation"),
                     F.col("p.part_of_speech").alias("part_of_speech"),
-                    F.size("p.examples").cast("bigint").alias("n_examples"))
+                    T.n_items("p.examples").alias("n_examples"))
 
 
 # --- 4. analytics -----------------------------------------------------------------------------
@@ -564,7 +564,7 @@ def q_model_correct(spark, sf):
 @query("model_analyze")
 def q_model_analyze(spark, sf):
     a = M.analyze(_docs_lang(spark, sf), "doc_id", "text", "language")
-    return a.select("doc_id", F.size("analysis.vocabulary_items").cast("bigint").alias("n_vocabulary"),
+    return a.select("doc_id", T.n_items("analysis.vocabulary_items").alias("n_vocabulary"),
                     F.try_element_at("analysis.vocabulary_items", F.lit(1)).word.alias("first_word"),
                     "error")
 
@@ -608,7 +608,7 @@ def q_model_word(spark, sf):
     e = M.explain_words(w, "doc_id")
     x = F.col("explanation")
     return e.select("doc_id", x.word.alias("word"), x.translation.alias("translation"),
-                    F.size(x.examples).cast("bigint").alias("n_examples"), "error")
+                    T.n_items(x.examples).alias("n_examples"), "error")
 
 
 @query("model_speech")

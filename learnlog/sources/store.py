@@ -118,6 +118,18 @@ class HistoryStore:
                 return
         raise RuntimeError(f"could not publish a new version under {self.root}")
 
+    def vacuum(self, keep: int = 2) -> list[str]:
+        """Delete all but the newest ``keep`` complete versions (table maintenance; readers
+        of the current version are unaffected)."""
+        done = [v for v in self._versions()
+                if path_exists(self.spark, f"{self.root}/v={v}/_SUCCESS")]
+        removed = []
+        for v in done[:-keep] if keep > 0 else []:
+            fs, p = _fs(self.spark, f"{self.root}/v={v}")
+            if fs.delete(p, True):
+                removed.append(f"v={v}")
+        return removed
+
     def create_if_missing(self, schema_df: DataFrame) -> None:
         if not self.exists():
             self._write_version(schema_df.limit(0))
@@ -166,6 +178,7 @@ def build_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     of all kinds, JSON bodies serialised once) and write the table partitioned by ``mode``."""
     store = history_store(spark, sf_dir)
     store._write_version(FX.history_records(spark, sf_dir))
+    store.vacuum(keep=2)
     return store.read()
 
 

@@ -55,6 +55,8 @@ def test_store_append_upsert_delete_clear(spark, scratch):
     assert "PartitionFilters" in plan and "translation" in plan
     store.clear_all()
     assert store.read().count() == 0 and store.read().columns == r.columns
+    removed = store.vacuum(keep=1)
+    assert len(removed) >= 2 and store.read().count() == 0
 
 
 @pytest.mark.parametrize("parts", [1, 3, 8])
