@@ -54,3 +54,17 @@ def test_latest_per_key_has_no_window(spark):
     p = _plan(QUERIES["upsert_latest"](spark, SF_SMALL))
     # max of a struct: partial (map-side) then final aggregate, no per-key window
     assert "Window [" not in p and "partial_max" in p
+
+
+def test_language_filter_is_pushed_into_the_scan(spark):
+    p = _plan(QUERIES["history_by_language"](spark, SF_SMALL))
+    assert "PushedFilters: [IsNotNull(language), EqualTo(language," in p
+
+
+def test_voice_lookup_defaults_to_alloy(spark):
+    from learnlog.operators import analysis as A
+    df = spark.createDataFrame([(1, "angielski"), (2, "polski"), (3, "klingoński"), (4, None)],
+                               "id long, language string")
+    got = {r.id: (r.voice, r.voice_label) for r in A.voice_lookup(df).collect()}
+    assert got[1][0] == "alloy" and got[2][0] == "shimmer"
+    assert got[3] == ("alloy", "Alloy - neutralny") and got[4][0] == "alloy"
