@@ -47,9 +47,11 @@ def collapse_ws(x) -> Column:
 
 
 def sanitize(x) -> Column:
-    """Collapse whitespace, drop ``< > & " '``, strip; null or empty gives ``""``."""
+    """Collapse whitespace, drop ``< > & " '``, strip; null or empty gives ``""``.
+    (A five-character regex class removes the characters faster than ``translate``, which
+    looks every character up in a map.)"""
     c = _c(x)
-    cleaned = py_strip(F.translate(collapse_ws(c), DANGEROUS_CHARS, ""))
+    cleaned = py_strip(F.regexp_replace(collapse_ws(c), "[<>&\"']", ""))
     return F.when(c.isNull() | (c == ""), F.lit("")).otherwise(cleaned)
 
 
