@@ -225,5 +225,5 @@ def audio_ok(audio) -> Column:
 
 
 def b64(binary) -> Column:
-    """Base64 without the line breaks Spark's encoder inserts every 76 characters."""
-    return F.translate(F.base64(_c(binary)), "\r\n", "")
+    """Base64 without the line breaks Spark's encoder may insert every 76 characters."""
+    return F.regexp_replace(F.base64(_c(binary)), "[\r\n]", "")

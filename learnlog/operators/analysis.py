@@ -209,15 +209,22 @@ def voice_lookup(df: DataFrame) -> DataFrame:
     return join_lookup(v, voice_catalogue(spark), "voice", "inner")
 
 
+def language_of_label(label) -> F.Column:
+    """Flagged display name (as picked in the language selector) -> language name."""
+    m = F.create_map(*[F.lit(x) for kv in K.FLAGGED_LANGUAGE_NAMES.items() for x in kv])
+    return F.element_at(m, F.col(label) if isinstance(label, str) else label)
+
+
 def label_lookup(exercises: DataFrame) -> DataFrame:
-    """Exercise type -> label, and language -> its flagged display name (literal maps)."""
+    """Exercise type -> label; language -> its flagged display name and back (literal maps)."""
     type_map = F.create_map(*[F.lit(x) for kv in K.EXERCISE_TYPE_LABELS.items() for x in kv])
     flag_map = F.create_map(*[F.lit(x) for kv in K.FLAGGED_LANGUAGE_NAMES.items() for x in kv[::-1]])
-    return exercises.select(
+    labelled = exercises.select(
         "id",
         F.col("exercise.type").alias("exercise_type"),
         F.element_at(type_map, F.col("exercise.type")).alias("type_label"),
         F.element_at(flag_map, F.col("language")).alias("language_label"))
+    return labelled.withColumn("language_back", language_of_label("language_label"))
 
 
 def attach_summary(questions: DataFrame, summaries: DataFrame) -> DataFrame:

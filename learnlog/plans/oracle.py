@@ -514,7 +514,7 @@ def _():
 def _():
     flags = {v: k for k, v in K.FLAGGED_LANGUAGE_NAMES.items()}
     return H + f"""SELECT id, exercise_type, {case_map('exercise_type', K.EXERCISE_TYPE_LABELS)} AS type_label,
-  {case_map('language', flags)} AS language_label FROM (
+  {case_map('language', flags)} AS language_label, language AS language_back FROM (
   SELECT id, language, {EX_TYPE} AS exercise_type FROM h WHERE mode = 'exercise')"""
 
 

@@ -119,3 +119,20 @@ def test_summary_pre_limit_cuts_before_the_language_filter(spark):
     cut = {r.language: r.summary for r in A.summary_text(df, pre_limit=50).collect()}
     assert "Liczba tłumaczeń: 10" in full["niemiecki"] and "Liczba tłumaczeń: 50" in full["angielski"]
     assert "niemiecki" not in cut and "Liczba tłumaczeń: 50" in cut["angielski"]
+
+
+def test_summary_counts_sum_to_kind_counts(spark):
+    from learnlog.plans.queries import QUERIES
+    from conftest import SF_SMALL
+    from learnlog.sources.store import history_table
+    h = history_table(spark, SF_SMALL)
+    kinds = {r.mode: r["count"] for r in h.groupBy("mode").count().collect()}
+    s = QUERIES["language_summary"](spark, SF_SMALL).agg(
+        F.sum("translations").alias("t"), F.sum("corrections").alias("c"), F.sum("analyses").alias("a")).first()
+    assert (s.t, s.c, s.a) == (kinds["translation"], kinds["correction"], kinds["analysis"])
+    snaps = QUERIES["chat_snapshots"](spark, SF_SMALL).count()
+    conv = spark.read.parquet(f"{SF_SMALL}/conversations.parquet")
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    expected = conv.withColumn("n", F.count(F.lit(1)).over(w.rowsBetween(Window.unboundedPreceding, 0))) \
+        .where("role = 'assistant' AND n >= 2").count()
+    assert snaps == expected
