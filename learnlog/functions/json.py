@@ -52,12 +52,6 @@ def with_json(df: DataFrame, src: str, ddl: str, out: str) -> DataFrame:
     return d.withColumn(out, _whole_or_null(F.col(raw))).drop(raw)
 
 
-def is_valid_json(x, ddl: str) -> Column:
-    parsed = F.from_json(_c(x), f"{ddl}, {_CORRUPT} string",
-                         {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _CORRUPT})
-    return _c(x).isNotNull() & parsed.getField(_CORRUPT).isNull()
-
-
 def _analysis_defaults(p: Column) -> Column:
     empty = F.array()
     return F.when(p.isNull(), F.lit(None)).otherwise(F.struct(

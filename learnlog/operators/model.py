@@ -92,11 +92,13 @@ def _client(factory: Callable):
 
 def model_map(df: DataFrame, keys: list[str], system: Column, user: Column, task: str,
               client_factory: Callable = EchoClient, attempts: int = 2,
-              backoff_seconds: float = 0.0, binary: bool = False) -> DataFrame:
+              backoff_seconds: float = 0.0, binary: bool = False,
+              concurrency: int | None = None) -> DataFrame:
     """Call the model once per row; returns ``keys + reply + error``.
 
     Rows whose ``user`` prompt is null are not sent (reply and error null); tasks that
-    have only a system prompt pass ``user = ""``. ``binary`` replies (speech) are bytes."""
+    have only a system prompt pass ``user = ""``. ``binary`` replies (speech) are bytes.
+    ``concurrency`` caps the number of tasks calling the model at the same time."""
     max_tokens, temperature = P.TASK_PARAMS[task]
     key_fields = [df.schema[k] for k in keys]
     reply_type = T.BinaryType() if binary else T.StringType()
@@ -130,7 +132,7 @@ def model_map(df: DataFrame, keys: list[str], system: Column, user: Column, task
             yield out
 
     ship_package(df.sparkSession)
-    batch = df.select(*keys, system.alias("_system"), user.alias("_user"))
+    batch = with_concurrency(df.select(*keys, system.alias("_system"), user.alias("_user")), concurrency)
     return batch.mapInPandas(run, out_schema)
 
 

@@ -95,7 +95,7 @@ def test_model_map_isolates_failures(spark):
 
     df = spark.createDataFrame([(1, "ok text"), (2, "boom"), (3, "retry me"), (4, None)], "k long, t string")
     out = M.model_map(df, ["k"], F.lit("sys"), F.col("t"), "translate", client_factory=FlakyClient,
-                      attempts=2).collect()
+                      attempts=2, concurrency=2).collect()
     got = {r.k: (r.reply, r.error) for r in out}
     assert got[1] == ("OK TEXT", None)
     assert got[2] == (None, "rate limit")
@@ -149,3 +149,8 @@ def test_stored_replies_are_not_requested_twice(spark, scratch):
     assert second == first
     calls = open(log).read().split()
     assert sorted(calls) == ["abc", "fail", "fail", "xyz"]  # only the failed prompt is retried
+
+
+def test_supported_formats(spark):
+    got = {r.ext: r.description for r in FS.supported_formats(spark).collect()}
+    assert set(got) == set(K.SUPPORTED_FILE_TYPES)
