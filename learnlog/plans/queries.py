@@ -456,9 +456,15 @@ def q_label_lookup(spark, sf):
     return A.label_lookup(A.parsed_exercises(_h(spark, sf)))
 
 
+def _summaries(spark, sf):
+    """Per-language summaries of the current history, derived once and stored beside it."""
+    _h(spark, sf)
+    return S.derived_table(spark, S.history_store(spark, sf), "summary", A.summary_text)
+
+
 def _questions_with_summary(spark, sf):
     qs = C.user_questions(_msgs(spark, sf))
-    return A.attach_summary(qs, A.summary_text(_h(spark, sf)))
+    return A.attach_summary(qs, _summaries(spark, sf))
 
 
 @query("question_prompt")
@@ -584,7 +590,7 @@ def q_model_answer_plain(spark, sf):
 
 @query("model_tips")
 def q_model_tips(spark, sf):
-    t = M.tips(A.summary_text(_h(spark, sf)))
+    t = M.tips(_summaries(spark, sf))
     return t.select("language", F.posexplode("tips").alias("pos", "tip"), "error") \
         .select("language", F.col("pos").cast("bigint").alias("pos"), "tip", "error")
 
@@ -594,7 +600,7 @@ def q_model_exercise(spark, sf):
     """Regenerate an exercise like each stored one (same language and type)."""
     req = A.parsed_exercises(_h(spark, sf)).select(
         "id", "language", F.col("exercise.type").alias("exercise_type"))
-    req = A.attach_summary(req, A.summary_text(_h(spark, sf)))
+    req = A.attach_summary(req, _summaries(spark, sf))
     e = M.exercises(req, "id")
     body = F.col("exercise.body")
     return e.select("id", "exercise_type", "error", body.type.alias("type"), body.title.alias("title"),

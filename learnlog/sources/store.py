@@ -70,6 +70,9 @@ def list_dirs(spark: SparkSession, path: str) -> list[str]:
 SCHEMA_FILE = "_schema.json"
 
 
+_BUILD_LOCK = threading.RLock()
+
+
 class HistoryStore:
     """Versioned history table: ``<root>/v=<n>/mode=<kind>/part-*.parquet``."""
 
@@ -163,6 +166,27 @@ class HistoryStore:
 FIXTURE_VERSION = "4"
 
 
+def derived_table(spark: SparkSession, store: HistoryStore, name: str, build) -> DataFrame:
+    """A table derived from the current history version (e.g. the per-language summary),
+    written once beside that version in ``_derived/<name>`` (paths starting with ``_`` are
+    ignored by the Parquet reader of the history itself) and reused by every later query.
+    A new history version gets its own derived tables; vacuum removes them with it."""
+    cur = store._current()
+    if cur is None:
+        raise FileNotFoundError(f"no history table under {store.root}")
+    target = f"{cur}/_derived/{name}"
+    if not path_exists(spark, f"{target}/_SUCCESS"):
+        with _BUILD_LOCK:
+            if not path_exists(spark, f"{target}/_SUCCESS"):
+                staging = f"{cur}/_derived/_staging-{name}-{uuid.uuid4().hex}"
+                build(store.read()).write.mode("overwrite").parquet(staging)
+                fs, src = _fs(spark, staging)
+                _, dst = _fs(spark, target)
+                if not fs.rename(src, dst) and not fs.exists(dst):
+                    raise RuntimeError(f"could not publish {target}")
+    return spark.read.parquet(target)
+
+
 def _fixture_key(sf_dir: str) -> str:
     parts = [FIXTURE_VERSION, os.path.abspath(sf_dir)]
     for name in ("events", "documents", "benchmark"):
@@ -186,9 +210,6 @@ def build_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.read()
 
 
-_BUILD_LOCK = threading.Lock()
-
-
 def history_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stored history for ``sf_dir``, built on first use (once per process even when
     queries are started from several threads)."""
