@@ -142,6 +142,7 @@ def voice_for(language: Column) -> Column:
 
 def history_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """History with the payload columns of every kind (§1.3 schema), JSON bodies serialised.
+    (The stored table is keyed by ``store.FIXTURE_VERSION``: bump it when this changes.)
 
     Columns a query does not select are pruned by Catalyst, so the JSON is only built when
     a query reads ``analysis_data`` / ``exercise_data``.

@@ -164,6 +164,8 @@ class HistoryStore:
 # Bump when the derivation in ``fixtures.history_records`` changes, so a table written by an
 # older derivation is never reused.
 FIXTURE_VERSION = "4"
+# Bump when the logic behind a derived table (e.g. ``analysis.summary_text``) changes.
+DERIVED_VERSION = "1"
 
 
 def derived_table(spark: SparkSession, store: HistoryStore, name: str, build) -> DataFrame:
@@ -174,7 +176,7 @@ def derived_table(spark: SparkSession, store: HistoryStore, name: str, build) ->
     cur = store._current()
     if cur is None:
         raise FileNotFoundError(f"no history table under {store.root}")
-    target = f"{cur}/_derived/{name}"
+    target = f"{cur}/_derived/{name}-{DERIVED_VERSION}"
     if not path_exists(spark, f"{target}/_SUCCESS"):
         with _BUILD_LOCK:
             if not path_exists(spark, f"{target}/_SUCCESS"):
