@@ -136,3 +136,18 @@ def test_summary_counts_sum_to_kind_counts(spark):
     expected = conv.withColumn("n", F.count(F.lit(1)).over(w.rowsBetween(Window.unboundedPreceding, 0))) \
         .where("role = 'assistant' AND n >= 2").count()
     assert snaps == expected
+
+
+def test_derived_table_follows_the_history_version(spark, scratch):
+    from learnlog.sources.store import derived_table
+    store = HistoryStore(spark, f"{scratch}/h")
+    base = _hist(spark, [(str(i), T0, "translation", "angielski", "x") for i in range(5)])
+    store.append(base)
+    count = lambda h: h.groupBy("language").count()
+    first = derived_table(spark, store, "counts", count).collect()
+    assert [(r.language, r["count"]) for r in first] == [("angielski", 5)]
+    # reading the history itself ignores the derived folder
+    assert store.read().count() == 5
+    store.upsert(_hist(spark, [("9", T0, "translation", "niemiecki", "y")]))
+    second = sorted((r.language, r["count"]) for r in derived_table(spark, store, "counts", count).collect())
+    assert second == [("angielski", 5), ("niemiecki", 1)]
