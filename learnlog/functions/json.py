@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from learnlog import constants as K
+from learnlog.functions.text import WS_CHARS
 
 VOCABULARY_ITEM = ("struct<word:string,translation:string,part_of_speech:string,"
                    "example_sentence:string,difficulty_level:string>")
@@ -33,8 +34,15 @@ def _raw(x, ddl: str) -> Column:
     return F.from_json(_c(x), f"{ddl}, {_CORRUPT} string", _OPTS)
 
 
-def _whole_or_null(raw: Column) -> Column:
-    return F.when(raw.isNull() | raw.getField(_CORRUPT).isNotNull(), F.lit(None)) \
+def _object_text(x) -> Column:
+    """The (stripped) text is one JSON object: Spark's parser would accept trailing text
+    after the closing brace, a strict parser does not."""
+    t = F.trim(_c(x), F.lit(WS_CHARS))
+    return t.startswith("{") & t.endswith("}")
+
+
+def _whole_or_null(raw: Column, is_object: Column) -> Column:
+    return F.when(raw.isNull() | raw.getField(_CORRUPT).isNotNull() | ~is_object, F.lit(None)) \
         .otherwise(raw.dropFields(_CORRUPT))
 
 
@@ -42,14 +50,14 @@ def strict_from_json(x, ddl: str) -> Column:
     """Whole value or null: ``from_json`` yields a struct of nulls for bad text, so the
     corrupt-record column is used to turn those into a real null. (Inside one expression
     the parse is evaluated twice; operators use ``with_json``, which parses once.)"""
-    return _whole_or_null(_raw(x, ddl))
+    return _whole_or_null(_raw(x, ddl), _object_text(x))
 
 
 def with_json(df: DataFrame, src: str, ddl: str, out: str) -> DataFrame:
     """Add ``out`` = strict parse of column ``src``; the text is parsed once."""
     raw = f"_{out}_raw"
     d = df.withColumn(raw, _raw(src, ddl))
-    return d.withColumn(out, _whole_or_null(F.col(raw))).drop(raw)
+    return d.withColumn(out, _whole_or_null(F.col(raw), _object_text(src))).drop(raw)
 
 
 def _analysis_defaults(p: Column) -> Column:

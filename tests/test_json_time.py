@@ -9,6 +9,7 @@ from learnlog.functions import time as TM
 from learnlog.operators import model as M
 
 EDGE_JSON = [None, "{}", '{"learning_tips": ["a"]}', '{"vocabulary_items": "oops"}', "not json",
+             '{"learning_tips": ["a"]} trailing', ' {"learning_tips": []}\n',
              '{"vocabulary_items": [{"word": "w", "extra": 1}], "grammar_rules": [], "learning_tips": [], "x": 2}']
 
 
@@ -18,8 +19,11 @@ def test_analysis_parse_is_whole_value_or_null(spark):
     assert got[0] is None                     # missing
     assert got[1].vocabulary_items == [] and got[1].learning_tips == []   # missing lists -> empty
     assert got[2].learning_tips == ["a"] and got[2].grammar_rules == []
+    assert got[3] is None                     # wrong type: the whole record is rejected
     assert got[4] is None                     # bad text -> null, not a struct of nulls
-    assert got[5].vocabulary_items[0].word == "w"   # unknown keys ignored
+    assert got[5] is None                     # trailing text after the object
+    assert got[6].learning_tips == []         # surrounding whitespace is fine
+    assert got[7].vocabulary_items[0].word == "w"   # unknown keys ignored
 
 
 def test_exercise_reply_pipeline(spark):
