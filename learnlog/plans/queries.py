@@ -6,6 +6,7 @@ full; limits appear only where the limit is the feature (a page, a top-N).
 
 from __future__ import annotations
 
+import uuid
 from typing import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -456,7 +457,7 @@ def q_label_lookup(spark, sf):
     return A.label_lookup(A.parsed_exercises(_h(spark, sf)))
 
 
-def _summaries(spark, sf):
+def tutor_summaries(spark, sf):
     """Per-language summaries of the current history, derived once and stored beside it."""
     _h(spark, sf)
     return S.derived_table(spark, S.history_store(spark, sf), "summary", A.summary_text)
@@ -464,7 +465,7 @@ def _summaries(spark, sf):
 
 def _questions_with_summary(spark, sf):
     qs = C.user_questions(_msgs(spark, sf))
-    return A.attach_summary(qs, _summaries(spark, sf))
+    return A.attach_summary(qs, tutor_summaries(spark, sf))
 
 
 @query("question_prompt")
@@ -590,7 +591,7 @@ def q_model_answer_plain(spark, sf):
 
 @query("model_tips")
 def q_model_tips(spark, sf):
-    t = M.tips(_summaries(spark, sf))
+    t = M.tips(tutor_summaries(spark, sf))
     return t.select("language", F.posexplode("tips").alias("pos", "tip"), "error") \
         .select("language", F.col("pos").cast("bigint").alias("pos"), "tip", "error")
 
@@ -600,7 +601,7 @@ def q_model_exercise(spark, sf):
     """Regenerate an exercise like each stored one (same language and type)."""
     req = A.parsed_exercises(_h(spark, sf)).select(
         "id", "language", F.col("exercise.type").alias("exercise_type"))
-    req = A.attach_summary(req, _summaries(spark, sf))
+    req = A.attach_summary(req, tutor_summaries(spark, sf))
     e = M.exercises(req, "id")
     body = F.col("exercise.body")
     return e.select("id", "exercise_type", "error", body.type.alias("type"), body.title.alias("title"),
@@ -652,16 +653,14 @@ def q_freshness_stats(spark, sf):
 
 
 def _scratch(spark, name: str) -> str:
-    import uuid
     return f"{checkpoint_dir(spark)}/learnlog-streams/{name}-{uuid.uuid4().hex[:12]}"
 
 
 @query("stream_language_counts")
 def q_stream_language_counts(spark, sf):
     from learnlog.streaming.counts import run_language_counts
-    store = S.history_store(spark, sf)
     _h(spark, sf)
-    path = store._current()
+    path = S.history_store(spark, sf).current_path()
     schema = spark.read.parquet(path).schema
     base = _scratch(spark, "language-counts")
     run_language_counts(spark, path, schema, f"{base}/out", f"{base}/checkpoint")

@@ -96,6 +96,10 @@ class HistoryStore:
     def exists(self) -> bool:
         return self._current() is not None
 
+    def current_path(self) -> str | None:
+        """Folder of the newest complete version (None when there is none)."""
+        return self._current()
+
     def read(self) -> DataFrame:
         cur = self._current()
         if cur is None:
@@ -173,7 +177,7 @@ def derived_table(spark: SparkSession, store: HistoryStore, name: str, build) ->
     written once beside that version in ``_derived/<name>`` (paths starting with ``_`` are
     ignored by the Parquet reader of the history itself) and reused by every later query.
     A new history version gets its own derived tables; vacuum removes them with it."""
-    cur = store._current()
+    cur = store.current_path()
     if cur is None:
         raise FileNotFoundError(f"no history table under {store.root}")
     target = f"{cur}/_derived/{name}-{DERIVED_VERSION}"

@@ -15,7 +15,7 @@ from conftest import SF_SMALL
 def test_language_counts_stream_equals_batch(spark, scratch):
     from learnlog.sources.store import history_store
     h = history_table(spark, SF_SMALL)
-    path = history_store(spark, SF_SMALL)._current()
+    path = history_store(spark, SF_SMALL).current_path()
     out = f"{scratch}/{uuid.uuid4().hex}"
     run_language_counts(spark, path, h.schema, f"{out}/o", f"{out}/c")
     got = sorted(map(tuple, spark.read.parquet(f"{out}/o").select("language", "mode", "n").collect()))
