@@ -16,6 +16,7 @@ import threading
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from learnlog.operators import history as H
@@ -69,6 +70,12 @@ def list_dirs(spark: SparkSession, path: str) -> list[str]:
 
 SCHEMA_FILE = "_schema.json"
 
+# One wide nullable schema for all six record kinds (fields a kind lacks are null).
+HISTORY_DDL = ("id string, ts timestamp_ntz, mode string, language string, input_text string, "
+               "output_text string, explanation string, analysis_data string, exercise_data string, "
+               "voice string, has_audio boolean, audio_data string, chat_text string, "
+               "message_count int, context string, tips_text string, tips_count int")
+
 
 _BUILD_LOCK = threading.RLock()
 
@@ -138,17 +145,26 @@ class HistoryStore:
                 removed.append(f"v={v}")
         return removed
 
-    def create_if_missing(self, schema_df: DataFrame) -> None:
+    def create_if_missing(self, schema_df: DataFrame | None = None) -> None:
+        """Create an empty table (the wide history schema unless another is given)."""
         if not self.exists():
+            if schema_df is None:
+                schema_df = self.spark.createDataFrame([], HISTORY_DDL)
             self._write_version(schema_df.limit(0))
 
     def append(self, records: DataFrame) -> None:
-        """Add records to the current version (no rewrite of existing files)."""
+        """Add records to the current version (no rewrite of existing files). Records are
+        conformed to the stored schema: the translation payload's ``target_language`` becomes
+        the unified ``language``, missing fields are null, types are cast."""
+        if "target_language" in records.columns and "language" not in records.columns:
+            records = records.withColumnRenamed("target_language", "language")
+        self.create_if_missing()
         cur = self._current()
-        if cur is None:
-            self._write_version(records)
-        else:
-            records.select(*self.read().columns).write.mode("append").partitionBy("mode").parquet(cur)
+        fields = self.read().schema.fields
+        conformed = records.select(*[
+            (F.col(f.name) if f.name in records.columns else F.lit(None)).cast(f.dataType).alias(f.name)
+            for f in fields])
+        conformed.write.mode("append").partitionBy("mode").parquet(cur)
 
     def upsert(self, records: DataFrame, key: str = "id") -> None:
         """Same id replaces the stored record (latest ``ts`` wins, incoming wins ties)."""

@@ -151,3 +151,16 @@ def test_derived_table_follows_the_history_version(spark, scratch):
     store.upsert(_hist(spark, [("9", T0, "translation", "niemiecki", "y")]))
     second = sorted((r.language, r["count"]) for r in derived_table(spark, store, "counts", count).collect())
     assert second == [("angielski", 5), ("niemiecki", 1)]
+
+
+def test_append_conforms_records_to_the_wide_schema(spark, scratch):
+    from learnlog.operators import analysis as A
+    store = HistoryStore(spark, f"{scratch}/wide")
+    df = spark.createDataFrame([("in", "out", "angielski", "alloy")],
+                               "input_text string, output_text string, language string, voice string")
+    store.append(H.stamp(H.translation_records(df)))
+    store.append(H.stamp(H.translation_records(df)))
+    h = store.read()
+    assert h.count() == 2 and "analysis_data" in h.columns and "target_language" not in h.columns
+    assert h.where("language = 'angielski' AND mode = 'translation'").count() == 2
+    assert A.summary_text(h).count() == 1 and H.get_translations(h).count() == 2
