@@ -156,19 +156,21 @@ class HistoryStore:
         """Add records to the current version (no rewrite of existing files). Records are
         conformed to the stored schema: the translation payload's ``target_language`` becomes
         the unified ``language``, missing fields are null, types are cast."""
+        self.create_if_missing()
+        self._conform(records).write.mode("append").partitionBy("mode").parquet(self._current())
+
+    def _conform(self, records: DataFrame) -> DataFrame:
+        """Records in the stored column order and types; missing fields null."""
         if "target_language" in records.columns and "language" not in records.columns:
             records = records.withColumnRenamed("target_language", "language")
-        self.create_if_missing()
-        cur = self._current()
-        fields = self.read().schema.fields
-        conformed = records.select(*[
+        return records.select(*[
             (F.col(f.name) if f.name in records.columns else F.lit(None)).cast(f.dataType).alias(f.name)
-            for f in fields])
-        conformed.write.mode("append").partitionBy("mode").parquet(cur)
+            for f in self.read().schema.fields])
 
     def upsert(self, records: DataFrame, key: str = "id") -> None:
         """Same id replaces the stored record (latest ``ts`` wins, incoming wins ties)."""
-        merged = H.upsert(self.read(), records, key=key)
+        self.create_if_missing()
+        merged = H.upsert(self.read(), self._conform(records), key=key)
         self._write_version(merged.select(*self.read().columns))
 
     def delete(self, ids: DataFrame, key: str = "id") -> None:
