@@ -71,3 +71,12 @@ def test_ttl_expiry_boundaries(spark):
     df = spark.createDataFrame(rows, "key string, ts timestamp_ntz, ttl int, as_of timestamp_ntz")
     got = {r.key: r.e for r in df.select("key", TM.is_expired("ts", "ttl", "as_of").alias("e")).collect()}
     assert got == {"at_expiry": False, "past": True, "zero_ttl": False, "null_ttl": True}
+
+
+def test_stepwise_reply_parse_equals_column_form(spark):
+    replies = ['{"type": "grammar", "title": "T"}', '```json\n{"type": "vocabulary", "options": ["a"]}\n```',
+               "Oto ćwiczenie", '{"type": ', '[1]', '{"a": 1} trailing', None, '  ```{"hint": "h"}```  ']
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(replies)], "id int, r string")
+    col_form = {r.id: (r.p.error, r.p.exercise) for r in df.select("id", M.parse_exercise_reply("r").alias("p")).collect()}
+    step_form = {r.id: (r.error, r.exercise) for r in M.with_exercise_reply(df, "r").collect()}
+    assert col_form == step_form
