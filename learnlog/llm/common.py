@@ -43,12 +43,14 @@ def text_bytes(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offsets[0]:offsets[-1]], offsets - offsets[0]
 
 
-def slices(batch: pa.RecordBatch, text: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """The batch in consecutive pieces of at most ``limit`` text bytes (or one row)."""
+def slices(batch: pa.RecordBatch, text: str, limit: int = SLICE_BYTES,
+           rows: int = 10_000) -> Iterator[pa.RecordBatch]:
+    """The batch in consecutive pieces of at most ``limit`` text bytes (or one row) and ``rows``."""
     _, offsets = text_bytes(batch.column(text))
     at, n = 0, batch.num_rows
     while at < n:
         end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + limit, side="right")) - 1)
+        end = min(end, at + rows, n)
         yield batch.slice(at, end - at)
         at = end
 
@@ -87,6 +89,42 @@ def gram_hashes(codes: np.ndarray, k: int) -> np.ndarray:
         size *= 2
 
 
+_POWERS: list[np.ndarray] = []
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of the multiplier and of its inverse modulo 2^64."""
+    if not _POWERS or len(_POWERS[0]) < n:
+        size = 1 << max(20, (n - 1).bit_length())
+        _POWERS[:] = []
+        for base in (_MULT, pow(_MULT, -1, 1 << 64)):
+            p = np.full(size, base, np.uint64)
+            p[0] = 1
+            _POWERS.append(np.cumprod(p))
+    return _POWERS[0][:n], _POWERS[1][:n]
+
+
+def word_hashes(data: np.ndarray, offsets: np.ndarray, separator: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hash and row of every word (run of bytes not marked in ``separator``), in order.
+    Rows are the ranges between consecutive offsets; no word crosses them."""
+    n = len(data)
+    if not n:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    inside = ~separator[data]
+    first = inside.copy()
+    first[1:] &= ~inside[:-1]
+    heads = offsets[:-1][np.diff(offsets) > 0]
+    first[heads] |= inside[heads]
+    last = inside.copy()
+    last[:-1] &= ~inside[1:] | first[1:]
+    start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
+    up, down = _powers(n)
+    total = np.zeros(n + 1, np.uint64)
+    np.cumsum(coded(data) * up, out=total[1:])
+    h = mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64))
+    return h, np.searchsorted(offsets, start, side="right") - 1
+
+
 def window_reduce(a: np.ndarray, width: int, op) -> np.ndarray:
     """op (minimum or maximum) over every run of ``width`` values, by doubling."""
     if len(a) < width:
