@@ -141,7 +141,7 @@ WITH c AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -7, 0, 'user', '{_PLANTED}' UNION ALL SELECT -7, 1, 'assistant', '{_PLANTED}'),
 s AS (
-  SELECT *, row_number() OVER w - 1 AS at, coalesce(lag(role) OVER w, '') AS before,
+  SELECT *, row_number() OVER w - 1 AS pos, coalesce(lag(role) OVER w, '') AS before,
     row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC, role DESC, text DESC) = 1 AS is_last
   FROM c WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text)),
 j AS (
@@ -154,7 +154,7 @@ SELECT conv_id, count(*) AS n_turns,
   sum({sum(len(x) for x in (CHAT.open, CHAT.says, CHAT.close))} + length({_escaped_sql('role')})
     + length({_escaped_sql('text')}))::BIGINT AS formatted_chars,
   bool_and(ok) AND bool_or(is_last AND role = 'assistant') AS valid,
-  CAST(min(at) FILTER (WHERE NOT ok) AS INTEGER) AS bad_turn
+  CAST(min(pos) FILTER (WHERE NOT ok) AS INTEGER) AS bad_turn
 FROM j GROUP BY conv_id"""
 
 QUERIES = {"op4_chat_format": op4_chat_format}

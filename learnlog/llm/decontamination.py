@@ -220,6 +220,30 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
         .withColumnRenamed("id", id_col))
 
 
+def without_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id",
+                  item_text: str = "text", error: float = ERROR, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """The rows of ``docs`` that hold no passage of a benchmark text, as ``leaks`` finds them, with
+    all their columns. Row by row, so rows with null or equal ids are judged by their own text."""
+    prepared(docs.sparkSession)
+    cols = docs.columns
+    fields = ", ".join(f"c{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(cols))
+    out = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(cols)])
+    text = f"c{cols.index(text_col)}"
+    items = benchmark.select(F.col(item_col).cast("long").alias("i"), F.col(item_text).alias("t"))
+    for block in blocks(items, "i", "t", block_chars, LEAST_CHARS):
+        index = docs.sparkSession.sparkContext.broadcast(SegmentIndex.build(block, SEGMENT, Q, error))
+
+        def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for part in slices(batch, text):
+                    clean = np.ones(part.num_rows, bool)
+                    clean[[f[0] for f in search(index.value, [normalized(t) for t in part.column(text).to_pylist()])]] = False
+                    yield part.filter(pa.array(clean))
+
+        out = out.mapInArrow(run, fields)
+    return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(cols)])
+
+
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document that holds a passage of a benchmark text, with the item."""
     return leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))

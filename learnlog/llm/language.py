@@ -166,14 +166,16 @@ def train(learn: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
 _OUT = "lang_pred string, score double, rejected boolean"
 
 
-def identify(docs: DataFrame, model: LanguageModel | None, text_col: str = "text") -> DataFrame:
-    """``docs`` with lang_pred, score and rejected added (columns of these names are replaced).
+def identify(docs: DataFrame, model: LanguageModel | None, text_col: str = "text",
+             columns: list[str] | None = None) -> DataFrame:
+    """``columns`` of ``docs`` (default: all) with lang_pred, score and rejected added (columns of
+    these names are replaced).
 
     lang_pred: the language of the nearest centroid, or ``und`` where the text is null or has
     no letter (score 0), or where there is no model. score: cosine with that centroid, 0 to 1. rejected:
     ``und``, or farther from the nearest centroid than the model's bound. Whole texts count;
     rows are kept as they are, repeated ones too; an empty table gives no rows."""
-    keep = [c for c in docs.columns if c not in ("lang_pred", "score", "rejected")]
+    keep = [c for c in columns or docs.columns if c not in ("lang_pred", "score", "rejected")]
 
     def make(part: pa.RecordBatch, counts: np.ndarray) -> pa.RecordBatch:
         letters = [t is not None and _LETTER.search(t) is not None for t in part.column("text").to_pylist()]
@@ -206,7 +208,7 @@ def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every document; rows of fold 2 of 4 are held out from learning."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = train(docs.where(id_fold("doc_id", 4) != 2))
-    return identify(docs.select("doc_id", "text"), model).select(
+    return identify(docs, model, columns=["doc_id"]).select(
         "doc_id", (id_fold("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score", "rejected")
 
 

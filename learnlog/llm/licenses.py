@@ -151,13 +151,13 @@ WITH texts AS (
   SELECT 0 AS kind, CAST(doc_id AS BIGINT) AS id, text FROM documents WHERE text IS NOT NULL UNION ALL
   SELECT 1, t, text FROM (VALUES {_VALUES}) v(t, license, text)),
 w AS (SELECT kind, id, list_filter(string_split_regex(lower(text), '{_SPLIT}'), lambda x: x <> '') AS w FROM texts),
-s AS (SELECT kind, id, i AS at, w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3] AS sh
+s AS (SELECT kind, id, i AS pos, w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3] AS sh
       FROM (SELECT kind, id, w, unnest(range(greatest(0, len(w) - 2))) AS i FROM w)),
-t AS (SELECT id AS t, sh, min(at) AS o, count(*) OVER (PARTITION BY id) AS n FROM s WHERE kind = 1 GROUP BY id, sh),
-h AS (SELECT s.id, t.t, t.n, s.at, t.o FROM s JOIN t USING (sh) WHERE s.kind = 0),
-c AS (SELECT DISTINCT id, t, n, at - o AS start FROM h),
+t AS (SELECT id AS t, sh, min(pos) AS o, count(*) OVER (PARTITION BY id) AS n FROM s WHERE kind = 1 GROUP BY id, sh),
+h AS (SELECT s.id, t.t, t.n, s.pos, t.o FROM s JOIN t USING (sh) WHERE s.kind = 0),
+c AS (SELECT DISTINCT id, t, n, pos - o AS start FROM h),
 r AS (SELECT c.id, c.t, c.n, c.start, count(DISTINCT h.o) / c.n AS share
-      FROM c JOIN h ON h.id = c.id AND h.t = c.t AND h.at BETWEEN c.start - {SLACK} AND c.start + c.n - 1 + {SLACK}
+      FROM c JOIN h ON h.id = c.id AND h.t = c.t AND h.pos BETWEEN c.start - {SLACK} AND c.start + c.n - 1 + {SLACK}
       GROUP BY c.id, c.t, c.n, c.start HAVING count(DISTINCT h.o) / c.n >= {LEAST}),
 k AS (SELECT * FROM r x WHERE NOT EXISTS (
   SELECT 1 FROM r y WHERE y.id = x.id AND y.t <> x.t AND y.start < x.start + x.n AND x.start < y.start + y.n

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -23,49 +22,66 @@ class WordCachedEncoder:
     """Ids of a byte-level BPE tokenizer, remembering the ids of space-led words.
 
     Such a tokenizer never merges across a single space followed by a visible character, so a
-    text is the concatenation of its words, each with its leading space. Words not seen yet
+    text is the concatenation of its words, each with its leading space. Words not remembered
     are encoded together in one call and told apart by the tokens that start with the space.
     A text with a space before white space or at its end, or one that holds a special token,
-    is encoded in one piece."""
+    is encoded in one piece. The memory has two generations of ``max_words`` words: a word
+    looked up in the older one moves to the newer, and what stays there is forgotten."""
 
-    def __init__(self, path: str, max_words: int = 400_000):
+    def __init__(self, path: str, max_words: int = 500_000):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
         vocab = self.tok.get_vocab()
         self.leads = np.zeros(max(vocab.values()) + 1, bool)
         self.leads[[i for t, i in vocab.items() if t.startswith("Ġ")]] = True
-        special = [re.escape(t.content) for t in self.tok.get_added_tokens_decoder().values()]
-        self.whole = re.compile("|".join([r" \s", r" \Z", *special]))
+        self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         self.words: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.max_words = max_words
 
     def _direct(self, text: str) -> bytes:
         return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def encode(self, text: str) -> bytes:
-        """Little-endian unsigned 32-bit ids of the whole text."""
-        if not text:
-            return b""
-        if self.whole.search(text):
-            return self._direct(text)
-        first, *words = text.split(" ")
-        known = self.words
-        new = [w for w in dict.fromkeys(words) if w not in known]
+    def _learn(self, words: list[str]) -> bool:
+        """Remember the words; False if they can't be told apart."""
+        if len(self.words) + len(words) > self.max_words:
+            self.words, self.older = {}, self.words
+        new = []
+        for w in words:
+            if (ids := self.older.get(w)) is not None:
+                self.words[w] = ids
+            elif not w or w[0].isspace():
+                return False
+            else:
+                new.append(w)
         if new:
-            if len(known) + len(new) > self.max_words:
-                known.clear()
-                new = list(dict.fromkeys(words))
             ids = np.array(self.tok.encode(" " + " ".join(new), add_special_tokens=False).ids, "<u4")
             cuts = np.flatnonzero(self.leads[ids])
-            if len(cuts) != len(new) or (len(cuts) and cuts[0] != 0):
-                return self._direct(text)
+            if len(cuts) != len(new) or cuts[0] != 0:
+                return False
             raw, ends = ids.tobytes(), [*(cuts[1:] * 4).tolist(), len(ids) * 4]
             at = 0
             for w, end in zip(new, ends):
-                known[w] = raw[at:end]
+                self.words[w] = raw[at:end]
                 at = end
-        return b"".join([self._direct(first) if first else b"", *[known[w] for w in words]])
+        return True
+
+    def encode(self, text: str) -> bytes:
+        """Little-endian unsigned 32-bit ids of the whole text."""
+        if not text:
+            return b""
+        if any(s in text for s in self.special):
+            return self._direct(text)
+        first, *words = text.split(" ")
+        ids = list(map(self.words.get, words))
+        if None in ids:
+            if not self._learn(list(dict.fromkeys(w for w, i in zip(words, ids) if i is None))):
+                return self._direct(text)
+            ids = list(map(self.words.get, words))
+            if None in ids:  # a generation ended, and took words of this text along
+                return self._direct(text)
+        return b"".join([self._direct(first) if first else b"", *ids])
 
 
 @lru_cache(maxsize=2)

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from learnlog.llm import (chat_format, decontamination, fingerprints, language, licenses, packing,
-                          sharding, toxicity)
+from learnlog.llm import (chat_format, decontamination, fingerprints, language, licenses, neardup,
+                          packing, repeats, sharding, toxicity)
 
-MODULES = (fingerprints, decontamination, toxicity, chat_format, language, sharding, licenses, packing)
+MODULES = (fingerprints, decontamination, toxicity, chat_format, neardup, repeats, language,
+           sharding, licenses, packing)
 
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 ORACLE = {k: s for m in MODULES for k, s in m.ORACLE.items()}
