@@ -56,7 +56,11 @@ def shingle_hashes(text: Column) -> list[dict[str, Column]]:
             {"h": F.slice(triple, 1, F.greatest(F.size(w) - (SHINGLE - 1), F.lit(0)))}]
 
 
-def _windows(h: Column, band: int) -> Column:
+def _hash_function(band: int):
+    return lambda x: F.xxhash64(x, F.lit(band))
+
+
+def _windows(band: int) -> Column:
     """Smallest hash, under the band's hash function, of each run of ``WINDOW`` shingles (of fewer at the end)."""
     p = F.col(f"p{band}")
     return reduce(lambda acc, by: F.zip_with(acc, _shifted(p, by), lambda a, b: F.least(a, b)),
@@ -67,9 +71,8 @@ def _sketched(df: DataFrame, keep: list[str], text_col: str) -> DataFrame:
     """keep, h (shingles) and m0, m1, ... (window minima per band)."""
     for step in shingle_hashes(F.col(text_col)):
         df = df.select(*keep, *[c.alias(n) for n, c in step.items()])
-    df = df.select(*keep, "h", *[F.transform("h", lambda x, b=b: F.xxhash64(x, F.lit(b))).alias(f"p{b}")
-                                 for b in range(BANDS)])
-    return df.select(*keep, "h", *[_windows(F.col("h"), b).alias(f"m{b}") for b in range(BANDS)])
+    df = df.select(*keep, "h", *[F.transform("h", _hash_function(b)).alias(f"p{b}") for b in range(BANDS)])
+    return df.select(*keep, "h", *[_windows(b).alias(f"m{b}") for b in range(BANDS)])
 
 
 def _keys() -> Column:
@@ -120,8 +123,9 @@ def scan(docs: DataFrame, notices: tuple[tuple[str, str], ...] = NOTICES, id_col
     # the table of notices is a constant of this call, a few hundred rows
     hits = (_kinds(found, ["id"]).join(F.broadcast(table), ["kind", "value"])
             .groupBy("id", "t", "n").agg(
-                F.collect_set(F.when((F.col("kind") >= 0) | F.col("short"), F.col("at") - F.col("o"))).alias("starts"),
-                F.collect_list(F.when(F.col("kind") < 0, F.struct("at", "o"))).alias("hits")))
+                F.max((F.col("kind") >= 0) | F.col("short")).alias("candidate"),
+                F.collect_list(F.when(F.col("kind") < 0, F.struct("at", "o"))).alias("hits"))
+            .where("candidate").withColumn("starts", F.array_distinct(F.transform("hits", lambda x: x["at"] - x["o"]))))
     share = F.transform("starts", lambda s: F.struct(
         s.alias("start"), (F.size(F.array_distinct(F.transform(F.filter(
             "hits", lambda x: x["at"].between(s - SLACK, s + F.col("n") - 1 + SLACK)), lambda x: x["o"])))
