@@ -72,7 +72,10 @@ def _sketched(df: DataFrame, keep: list[str], text_col: str) -> DataFrame:
     for step in shingle_hashes(F.col(text_col)):
         df = df.select(*keep, *[c.alias(n) for n, c in step.items()])
     df = df.select(*keep, "h", *[F.transform("h", _hash_function(b)).alias(f"p{b}") for b in range(BANDS)])
-    return df.select(*keep, "h", *[_windows(b).alias(f"m{b}") for b in range(BANDS)])
+    # the one-row explode keeps a later filter on the sketch from being pushed below (and so
+    # repeating) the steps that compute it
+    sketch = F.struct("h", *[_windows(b).alias(f"m{b}") for b in range(BANDS)])
+    return df.select(*keep, F.explode(F.array(sketch)).alias("s")).select(*keep, "s.*")
 
 
 def _keys() -> Column:
