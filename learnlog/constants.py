@@ -9,7 +9,6 @@ in their natural order, so they can be read and checked directly.
 MIN_TEXT_LENGTH = 3
 MAX_TEXT_LENGTH = 10000
 DEFAULT_HISTORY_LIMIT = 20
-MAX_HISTORY_LIMIT = 100
 TRANSLATIONS_PAGE = 50
 CORRECTIONS_PAGE = 50
 CHAT_PAGE = 20
@@ -24,7 +23,6 @@ ERROR_SNIPPET_CHARS = 100
 SUMMARY_VOCABULARY_ITEMS = 20
 SUMMARY_ERRORS = 5
 REFRESH_INTERVAL_SECONDS = 30
-VECTOR_SIZE = 384
 
 # --- FIXED VALUES: record kinds ------------------------------------------------------------
 MODES = ["translation", "correction", "analysis", "exercise", "chat_session", "learning_tips"]
@@ -96,7 +94,6 @@ MSG_TEXT_TOO_LONG = "Tekst jest za długi. Maksymalna długość to 10000 znakó
 MSG_PICK_LANGUAGE = "Wybierz język"
 MSG_UNSUPPORTED_LANGUAGE = "Nieobsługiwany język: "
 MSG_UNKNOWN_EXERCISE = "Nieznany typ ćwiczenia: "
-MSG_NO_FILE = "Nie wybrano pliku"
 MSG_FILE_TOO_LARGE = "Plik jest za duży. Maksymalny rozmiar: 10MB"
 MSG_UNSUPPORTED_FORMAT = "Nieobsługiwany format pliku"
 MSG_TXT_DECODE_FAILED = "Nie udało się odczytać pliku TXT - problem z kodowaniem"

@@ -102,10 +102,10 @@ def exercise_context(history: DataFrame, archive: bool = False) -> DataFrame:
         F.lit(" - Odpowiedź: "), F.coalesce(ex.correct_answer, F.lit(""))).alias("context"))
 
 
-def tips_context(tips: DataFrame, fresh: bool = True) -> DataFrame:
-    """Chat context from tips: fresh tips joined by a space; archived tips keep their text."""
-    joined = F.array_join("tips", " ") if fresh else F.col("tips_text")
-    return tips.select("id", F.concat(F.lit(K.TIPS_CONTEXT_PREFIX), joined).alias("context"))
+def tips_context_text(tips, fresh: bool = True):
+    """Chat context from tips: fresh tips (an array) joined by a space, archived tips (a text) as
+    they are."""
+    return F.concat(F.lit(K.TIPS_CONTEXT_PREFIX), F.array_join(tips, " ") if fresh else tips)
 
 
 def language_summary(history: DataFrame) -> DataFrame:
@@ -148,23 +148,10 @@ def _ordered_lines(df: DataFrame, key: str, order: str, line: str, out: str) ->
     return agg.select(key, F.array_join(F.transform("_l", lambda s: s.getField(line)), "\n").alias(out))
 
 
-def summary_source(history: DataFrame, pre_limit: int | None = None) -> DataFrame:
-    """The records a summary is built from: all of them by default; with ``pre_limit`` only
-    the newest ``pre_limit`` translations and the newest ``pre_limit`` of the correction list
-    across all languages (the original behaviour: the page is cut before the language filter)."""
-    if not pre_limit:
-        return history
-    m = F.col("mode")
-    t = history.where(m == "translation").orderBy(*newest_first()).limit(pre_limit)
-    c = history.where(m.isin(*K.CORRECTION_LIST_MODES)).orderBy(*newest_first()).limit(pre_limit)
-    return t.unionByName(c)
-
-
-def summary_text(history: DataFrame, pre_limit: int | None = None) -> DataFrame:
+def summary_text(history: DataFrame) -> DataFrame:
     """Learning-history summary document per language: counts, vocabulary count, the first
     20 words, the newest 5 errors. Each ordered text aggregate sees at most 20 / 5 rows per
     language because the top-N runs first."""
-    history = summary_source(history, pre_limit)
     counts = language_summary(history)
     nvocab = vocabulary_counts(history)
     vtop = vocabulary_top(history).select(

@@ -31,14 +31,6 @@ def scan(history: DataFrame) -> DataFrame:
     return history.select("id", "ts", "mode", "language")
 
 
-def scan_capped(history: DataFrame, mode: str, scan_cap: int = K.MAX_HISTORY_LIMIT,
-                limit: int | None = K.DEFAULT_HISTORY_LIMIT) -> DataFrame:
-    """Reproduces the store behaviour of cutting the scan *before* the kind filter: the first
-    ``scan_cap`` records in store order (by id), then the filter, then the newest ``limit``."""
-    first = history.select("id", "ts", "mode").orderBy("id").limit(scan_cap)
-    return page(first.where(F.col("mode") == mode), limit).select("id", "ts")
-
-
 def get_translations(history: DataFrame, limit: int | None = K.TRANSLATIONS_PAGE) -> DataFrame:
     rows = history.where(F.col("mode") == "translation").select(
         "id", "ts",

@@ -1,27 +1,11 @@
-"""Join helpers: broadcast only what has a proven or checked size bound."""
+"""Joins with constant lookup tables. Other joins are left to AQE, which broadcasts a side from its
+measured bytes."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-DEFAULT_MAX_BROADCAST_ROWS = 200_000
-
-
-def is_small(df: DataFrame, max_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> bool:
-    """Row-count check that reads at most ``max_rows + 1`` rows."""
-    return df.limit(max_rows + 1).count() <= max_rows
-
-
-def join_checked(big: DataFrame, small: DataFrame, on, how: str = "inner",
-                 max_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> DataFrame:
-    """Broadcast ``small`` when a bounded count proves it small; otherwise a shuffle join
-    (AQE may still convert it at runtime from measured sizes)."""
-    if is_small(small, max_rows):
-        return big.join(F.broadcast(small), on, how)
-    return big.join(small, on, how)
-
-
 def lookup_table(spark: SparkSession, rows: list[tuple], ddl: str) -> DataFrame:
     """A constant lookup table. Its size is fixed by the code, so broadcasting it is safe."""
     return spark.createDataFrame(rows, ddl)

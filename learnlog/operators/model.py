@@ -15,6 +15,7 @@ an object with ``complete(system, user, max_tokens, temperature) -> str``. The l
 from __future__ import annotations
 
 import json
+import re
 import time
 from typing import Callable, Iterator
 
@@ -175,13 +176,16 @@ def with_concurrency(df: DataFrame, n: int | None) -> DataFrame:
 
 
 def fill(template: str, **values: Column) -> Column:
-    """Fill ``{name}`` placeholders column-wise; ``language`` first, free text last."""
-    order = ["language", "word", "context", "summary", "original", "corrected", "text"]
-    out = F.lit(template)
-    for name in order:
-        if name in values:
-            out = F.replace(out, F.lit("{" + name + "}"), F.coalesce(values[name], F.lit("")))
-    return out
+    """Fill ``{name}`` placeholders column-wise (null as empty). The template is split once, so
+    braces inside a filled-in value are text like any other."""
+    parts = re.split(r"\{(\w+)\}", template)
+    cols = []
+    for i, part in enumerate(parts):
+        if i % 2 and part in values:
+            cols.append(F.coalesce(values[part], F.lit("")))
+        elif i % 2 or part:
+            cols.append(F.lit("{" + part + "}" if i % 2 else part))
+    return F.concat(*cols) if cols else F.lit("")
 
 
 # --- task pipelines ----------------------------------------------------------------------

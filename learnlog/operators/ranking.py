@@ -3,8 +3,9 @@
 ``row_number().over(Window.partitionBy(g).orderBy(...))`` sends every row of a group to one
 task; with a handful of record kinds one task would hold a third of the table. Here the rows
 are range-partitioned on ``(group, order...)`` (the sample-based range partitioner splits a
-hot group across many tasks), numbered locally after a sort within each partition, and
-shifted by the sizes of the preceding ranges. The only extra data moved is a table of
+hot group across many tasks), numbered locally after a sort within each partition, written
+once with their partition (sampled bounds may differ from run to run, so both uses must read
+the same rows), and shifted by the sizes of the preceding ranges. The only extra data moved is a table of
 ``partitions x groups`` counts, which is broadcast (its size is bounded by the partition
 count and the number of groups, not by the data) - the intended case is few, large groups.
 """
@@ -14,6 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from learnlog.session import written
 
 
 def _num_partitions(df: DataFrame, n: int | None) -> int:
@@ -37,10 +39,10 @@ def position_in_group(df: DataFrame, group: str, order_cols: list[str],
     measured size."""
     p = _num_partitions(df, num_partitions)
     keys = [group, *order_cols]
-    ranged = (df.repartitionByRange(p, *keys)
-              .sortWithinPartitions(*keys)
-              .withColumn("_pid", F.spark_partition_id())
-              .withColumn("_mid", F.monotonically_increasing_id()))
+    ranged = written(df.repartitionByRange(p, *keys)
+                     .sortWithinPartitions(*keys)
+                     .withColumn("_pid", F.spark_partition_id())
+                     .withColumn("_mid", F.monotonically_increasing_id()), "ranked")
     counts = ranged.groupBy("_pid", group).agg(
         F.count(F.lit(1)).alias("_n"), F.min("_mid").alias("_first"))
     before = Window.partitionBy(group).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)

@@ -44,11 +44,16 @@ def contains_any(x: str, words) -> str:
 
 
 def fill(template: str, **values: str) -> str:
-    out = lit(template)
-    for name in ["language", "word", "context", "summary", "original", "corrected", "text"]:
-        if name in values:
-            out = f"replace({out}, {lit('{' + name + '}')}, coalesce({values[name]}, ''))"
-    return out
+    out = []
+    while template:
+        at, name = min(((template.find("{" + n + "}"), n) for n in values if "{" + n + "}" in template),
+                       default=(len(template), ""))
+        if at:
+            out.append(lit(template[:at]))
+        if name:
+            out.append(f"coalesce({values[name]}, '')")
+        template = template[at + len(name) + 2:] if name else ""
+    return "(" + " || ".join(out or ["''"]) + ")"
 
 
 W = "string_split(input_text, ' ')"
@@ -91,12 +96,6 @@ def _():
     return H + "SELECT id, ts, mode, language FROM h"
 
 
-@q("history_scan_capped")
-def _():
-    return H + """SELECT id, ts FROM (SELECT id, ts, mode FROM h ORDER BY id LIMIT 100)
-WHERE mode = 'translation' ORDER BY ts DESC, id LIMIT 20"""
-
-
 @q("history_union")
 def _():
     return HS + f"""SELECT mode, count(*) AS n, count(*) FILTER (WHERE length(txt) > 0) AS n_with_text FROM (
@@ -596,7 +595,7 @@ WHERE {strip('raw')} <> '' AND (starts_with(raw, 'user:') OR starts_with(raw, 'a
 
 @q("audio_base64")
 def _():
-    return "SELECT doc_id, base64(encode(text)) AS b64, true AS decodes FROM documents"
+    return "SELECT doc_id, base64(encode(text)) AS b64, CAST(text AS VARCHAR) = text AS decodes FROM documents"
 
 
 @q("audio_valid")

@@ -84,11 +84,6 @@ def q_history_scan(spark, sf):
     return H.scan(_h(spark, sf))
 
 
-@query("history_scan_capped")
-def q_history_scan_capped(spark, sf):
-    return H.scan_capped(_h(spark, sf), "translation", K.MAX_HISTORY_LIMIT, K.DEFAULT_HISTORY_LIMIT)
-
-
 @query("history_union")
 def q_history_union(spark, sf):
     h = _h(spark, sf).select("id", "ts", "mode", "language", "input_text", "tips_text")
@@ -193,12 +188,10 @@ def q_validate_text(spark, sf):
 
 @query("validate_language")
 def q_validate_language(spark, sf):
-    d = _docs(spark, sf)
-    mapped = d.select("doc_id", _case(F.col("lang"), LANG_CODE_TO_NAME).alias("value"))
-    raw = d.select("doc_id", F.col("lang").alias("value"))
-    both = mapped.unionByName(raw)
+    d = read_table(spark, sf, "documents").select("doc_id", F.explode(F.array(
+        _case(F.col("lang"), LANG_CODE_TO_NAME), F.col("lang"))).alias("value"))
     r = T.language_reason("value")
-    return both.select("doc_id", "value", (r == "").alias("is_valid"), r.alias("reason"))
+    return d.select("doc_id", "value", (r == "").alias("is_valid"), r.alias("reason"))
 
 
 @query("validate_exercise_type")
@@ -486,28 +479,21 @@ def q_question_prompt(spark, sf):
 @query("tips_context")
 def q_tips_context(spark, sf):
     h = _h(spark, sf).where(F.col("mode") == "learning_tips")
-    tips = h.select("id", "tips_text", F.split("tips_text", "\n").alias("tips"))
-    fresh = A.tips_context(tips, fresh=True).withColumnRenamed("context", "context_fresh")
-    arch = A.tips_context(tips, fresh=False).withColumnRenamed("context", "context_archive")
-    return fresh.join(arch, "id")
+    return h.select("id", A.tips_context_text(F.split("tips_text", "\n")).alias("context_fresh"),
+                    A.tips_context_text(F.col("tips_text"), fresh=False).alias("context_archive"))
 
 
 @query("build_prompts")
 def q_build_prompts(spark, sf):
-    d = _docs(spark, sf).select("doc_id", "text",
-                                _case(F.col("lang"), LANG_CODE_TO_NAME).alias("language"))
+    d = _docs_lang(spark, sf)
     lang, text = F.col("language"), F.col("text")
-    parts = []
-    for task, sys_t, user_t in [("translate", P.TRANSLATE_SYSTEM, P.TRANSLATE_USER),
-                                ("correct", P.CORRECT_SYSTEM, P.CORRECT_USER),
-                                ("analyze", P.ANALYZE_SYSTEM, P.ANALYZE_USER)]:
-        parts.append(d.select("doc_id", F.lit(task).alias("task"),
-                              M.fill(sys_t, language=lang).alias("system"),
-                              M.fill(user_t, language=lang, text=text).alias("user")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    tasks = F.array(*[
+        F.struct(F.lit(task).alias("task"), M.fill(sys_t, language=lang).alias("system"),
+                 M.fill(user_t, language=lang, text=text).alias("user"))
+        for task, sys_t, user_t in [("translate", P.TRANSLATE_SYSTEM, P.TRANSLATE_USER),
+                                    ("correct", P.CORRECT_SYSTEM, P.CORRECT_USER),
+                                    ("analyze", P.ANALYZE_SYSTEM, P.ANALYZE_USER)]])
+    return d.select("doc_id", F.explode(tasks).alias("p")).select("doc_id", "p.*")
 
 
 # --- 5. chat ----------------------------------------------------------------------------------
@@ -540,8 +526,8 @@ def q_chat_parse(spark, sf):
 @query("audio_base64")
 def q_audio_base64(spark, sf):
     d = _docs(spark, sf).select("doc_id", F.encode("text", "UTF-8").alias("audio"))
-    b = d.select("doc_id", T.b64("audio").alias("b64"))
-    return b.select("doc_id", "b64", (F.decode(F.unbase64("b64"), "UTF-8").isNotNull()).alias("decodes"))
+    b = d.select("doc_id", "audio", T.b64("audio").alias("b64"))
+    return b.select("doc_id", "b64", (F.unbase64("b64") == F.col("audio")).alias("decodes"))
 
 
 @query("audio_valid")

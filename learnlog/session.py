@@ -8,8 +8,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
@@ -45,14 +46,17 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder named by the cluster (``spark.checkpoint.dir``).
 
-    Only when the session has none (local tests) is a fresh scratch folder created and set.
+    Only in local mode, where driver and executors are one process, is a fresh scratch folder made
+    when the session has none; on a cluster each executor would write to a disk of its own.
     """
     conf = spark.sparkContext.getConf()
     d = conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not d:
         d = spark.sparkContext.getCheckpointDir()
     if not d:
-        d = tempfile.mkdtemp(prefix="learnlog-ckpt-", dir="/tmp")
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        d = tempfile.mkdtemp(prefix="learnlog-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
         spark.sparkContext.setCheckpointDir(d)
     elif not spark.sparkContext.getCheckpointDir():
@@ -60,6 +64,15 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return d
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once as Parquet below the shared checkpoint folder and read back: later reads
+    see the same rows, and a lost executor costs only the reading of a file again."""
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/learnlog-scratch/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.parquet(path)
+
+
 _SHIPPED: set = set()
 
 
@@ -81,8 +94,6 @@ def ship_package(spark: SparkSession) -> None:
                 if f.endswith(".py"):
                     full = os.path.join(root, f)
                     z.write(full, os.path.relpath(full, os.path.dirname(pkg)))
-    import uuid
-
     target = f"{checkpoint_dir(spark).rstrip('/')}/learnlog-pyfiles/{uuid.uuid4().hex}/learnlog.zip"
     jvm = spark.sparkContext._jvm
     path = jvm.org.apache.hadoop.fs.Path(target)

@@ -20,7 +20,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from learnlog.operators import history as H
-from learnlog.operators.joins import join_checked
 from learnlog.session import checkpoint_dir
 from learnlog.sources import fixtures as FX
 
@@ -174,10 +173,8 @@ class HistoryStore:
         self._write_version(merged.select(*self.read().columns))
 
     def delete(self, ids: DataFrame, key: str = "id") -> None:
-        """Remove the records whose ``key`` is in ``ids`` (usually a short list given by the
-        caller: broadcast after a bounded count, a shuffle anti join when it is large)."""
-        keep = join_checked(self.read(), ids.select(key), key, "left_anti")
-        self._write_version(keep)
+        """Remove the records whose ``key`` is in ``ids``."""
+        self._write_version(H.delete_items(self.read(), ids, key))
 
     def clear_all(self) -> None:
         self._write_version(H.clear_all(self.read()))

@@ -120,6 +120,13 @@ def test_analyze_failure_gives_tip(spark):
     assert got[2].analysis.learning_tips[0].endswith(M.ERR_CONTEXT_LENGTH)
 
 
+def test_filled_in_text_is_not_a_template(spark):
+    df = spark.createDataFrame([("see {corrected} and {original}", "FIXED", None)], "o string, c string, n string")
+    out = df.select(M.fill("a {original} b {corrected} c {word} {unknown} { x } {none}", original=F.col("o"),
+                           corrected=F.col("c"), word=F.lit("w"), none=F.col("n"))).first()[0]
+    assert out == "a see {corrected} and {original} b FIXED c w {unknown} { x } "
+
+
 def test_stored_replies_are_not_requested_twice(spark, scratch):
     log = os.path.join(scratch, "calls.log")
 

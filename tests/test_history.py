@@ -1,5 +1,5 @@
 """History table: upsert / delete / clear / append (S8-S11), ordinals (W1), latest per key
-(W4), capped scan (T3), paging (T1/T2)."""
+(W4), paging (T1/T2)."""
 import datetime as dt
 
 import pytest
@@ -71,6 +71,19 @@ def test_position_in_group_equals_row_number(spark, parts):
         sorted(map(tuple, exp.select("g", "id", "pos", "n").collect()))
 
 
+def test_positions_do_not_depend_on_exchange_reuse(spark):
+    df = spark.createDataFrame([(f"g{i % 3}", (i * 7919) % 100_003, i) for i in range(30_000)], "g string, k long, id long")
+    w = Window.partitionBy("g").orderBy("k", "id")
+    want = {(r.id, r.pos) for r in df.withColumn("pos", F.row_number().over(w)).collect()}
+    for reuse in ("true", "false"):
+        spark.conf.set("spark.sql.exchange.reuse", reuse)
+        try:
+            got = {(r.id, r.pos) for r in position_in_group(df, "g", ["k", "id"]).collect()}
+        finally:
+            spark.conf.unset("spark.sql.exchange.reuse")
+        assert got == want
+
+
 def test_ordinals_are_permutations(spark):
     rows = [(str(i), T0 + dt.timedelta(minutes=i), m, "angielski", "x")
             for i, m in enumerate(["translation", "correction", "analysis"] * 20)]
@@ -83,7 +96,7 @@ def test_ordinals_are_permutations(spark):
     assert by[("translation", "0")] == 1 and by[("correction", "1")] == 20
 
 
-def test_page_and_scan_cap(spark):
+def test_page(spark):
     rows = [(f"{i:03d}", T0 + dt.timedelta(minutes=(i * 37) % 200), "translation" if i % 4 else "correction",
              "angielski", "x") for i in range(200)]
     h = _hist(spark, rows)
@@ -91,10 +104,6 @@ def test_page_and_scan_cap(spark):
     exp = sorted([r for r in rows if r[2] == "translation"], key=lambda r: (-r[1].timestamp(), r[0]))[:5]
     assert [r.id for r in page] == [r[0] for r in exp]
     assert H.page(h, 0).count() == 200            # 0 / None keeps all
-    capped = H.scan_capped(h, "translation", 100, 20).collect()
-    first100 = sorted(rows, key=lambda r: r[0])[:100]
-    exp = sorted([r for r in first100 if r[2] == "translation"], key=lambda r: (-r[1].timestamp(), r[0]))[:20]
-    assert [r.id for r in capped] == [r[0] for r in exp]
 
 
 def test_stamp_gives_uuid_and_utc_time(spark):
@@ -107,20 +116,6 @@ def test_stamp_gives_uuid_and_utc_time(spark):
         assert before - dt.timedelta(seconds=5) <= r.ts <= after + dt.timedelta(seconds=5)
 
 
-def test_summary_pre_limit_cuts_before_the_language_filter(spark):
-    from learnlog.operators import analysis as A
-    rows = []
-    for i in range(60):   # 60 translations: the 10 oldest are German, the rest English
-        rows.append((i, T0 + dt.timedelta(minutes=i), "translation", "niemiecki" if i < 10 else "angielski",
-                     "t", "o", None, None))
-    df = spark.createDataFrame(rows, "id long, ts timestamp_ntz, mode string, language string, input_text string, "
-                                     "output_text string, explanation string, analysis_data string")
-    full = {r.language: r.summary for r in A.summary_text(df).collect()}
-    cut = {r.language: r.summary for r in A.summary_text(df, pre_limit=50).collect()}
-    assert "Liczba tłumaczeń: 10" in full["niemiecki"] and "Liczba tłumaczeń: 50" in full["angielski"]
-    assert "niemiecki" not in cut and "Liczba tłumaczeń: 50" in cut["angielski"]
-
-
 def test_summary_counts_sum_to_kind_counts(spark):
     from learnlog.plans.queries import QUERIES
     from conftest import SF_SMALL

@@ -22,8 +22,7 @@ def test_history_read_prunes_partitions_and_uses_top_n(spark):
 
 
 def test_every_page_is_a_top_n(spark):
-    for key in ("get_translations", "get_corrections", "get_tips_history", "get_chat_sessions",
-                "history_scan_capped"):
+    for key in ("get_translations", "get_corrections", "get_tips_history", "get_chat_sessions"):
         p = _plan(QUERIES[key](spark, SF_SMALL))
         assert "TakeOrderedAndProject" in p and "rangepartitioning" not in p, key
 
