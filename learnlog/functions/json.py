@@ -79,6 +79,12 @@ def with_analysis(df: DataFrame, src: str, out: str) -> DataFrame:
     return d.withColumn(out, _analysis_defaults(F.col(f"_{out}_p"))).drop(f"_{out}_p")
 
 
+def vocabulary_size(x) -> Column:
+    """Vocabulary items of an analysis body; null where there is none or the text is not one."""
+    items = parse_analysis(x).vocabulary_items
+    return F.when(items.isNotNull(), F.size(items))
+
+
 def parse_exercise(x) -> Column:
     return strict_from_json(x, EXERCISE_DDL)
 

@@ -30,10 +30,14 @@ def parsed_exercises(history: DataFrame) -> DataFrame:
     return J.with_json(e, "exercise_data", J.EXERCISE_DDL, "exercise").drop("exercise_data")
 
 
-def vocabulary(history: DataFrame) -> DataFrame:
-    """One row per vocabulary item: word, translation, part of speech, difficulty."""
-    a = parsed_analyses(history)
-    v = a.select("id", "ts", "language", F.posexplode("analysis.vocabulary_items").alias("pos", "v"))
+def _exploded(df: DataFrame, keep: list[str], items: str, pos: str, item: str) -> DataFrame:
+    """posexplode of an array. The outer form with a filter on the position keeps Catalyst from
+    testing the array's size first, which would evaluate the array (and its parse) again."""
+    return df.select(*keep, F.posexplode_outer(items).alias(pos, item)).where(F.col(pos).isNotNull())
+
+
+def _vocabulary_of(analyses: DataFrame) -> DataFrame:
+    v = _exploded(analyses, ["id", "ts", "language"], "analysis.vocabulary_items", "pos", "v")
     return v.select("id", "ts", "language", "pos",
                     F.col("v.word").alias("word"),
                     F.col("v.translation").alias("translation"),
@@ -41,26 +45,41 @@ def vocabulary(history: DataFrame) -> DataFrame:
                     F.col("v.difficulty_level").alias("difficulty"))
 
 
+def vocabulary(history: DataFrame) -> DataFrame:
+    """One row per vocabulary item: word, translation, part of speech, difficulty."""
+    return _vocabulary_of(parsed_analyses(history))
+
+
+def _sized(history: DataFrame) -> DataFrame:
+    """History with ``n_vocabulary``: stored with the record, else read from its body."""
+    return history if "n_vocabulary" in history.columns else history.withColumn(
+        "n_vocabulary", F.when(F.col("mode") == "analysis", J.vocabulary_size("analysis_data")))
+
+
 def vocabulary_counts(history: DataFrame) -> DataFrame:
-    """Number of vocabulary items per language (before any display cap)."""
-    a = parsed_analyses(history)
-    return a.groupBy("language").agg(
-        F.sum(F.coalesce(T.n_items("analysis.vocabulary_items"), F.lit(0))).cast("bigint").alias("n"))
+    """Number of vocabulary items per language (before any display cap), from the stored sizes."""
+    return (_sized(history).where(F.col("mode") == "analysis").groupBy("language")
+            .agg(F.coalesce(F.sum("n_vocabulary"), F.lit(0)).cast("bigint").alias("n")))
 
 
 def vocabulary_top(history: DataFrame, n: int = K.SUMMARY_VOCABULARY_ITEMS) -> DataFrame:
-    """First ``n`` vocabulary items per language: newest analysis first, then list order."""
-    v = vocabulary(history)
+    """First ``n`` vocabulary items per language: newest analysis first, then list order.
+
+    The ``n`` newest analyses that have an item hold at least ``n`` items, so only their bodies
+    are parsed (a WindowGroupLimit on each task before the shuffle)."""
+    w = Window.partitionBy("language").orderBy(*newest_first())
+    newest = (_sized(history).where((F.col("mode") == "analysis") & (F.col("n_vocabulary") > 0))
+              .select("id", "ts", "language", "analysis_data")
+              .withColumn("_nth", F.row_number().over(w)).where(F.col("_nth") <= n).drop("_nth"))
+    v = _vocabulary_of(J.with_analysis(newest, "analysis_data", "analysis"))
     w = Window.partitionBy("language").orderBy(F.col("ts").desc(), F.col("id").asc(), F.col("pos").asc())
     return v.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= n)
 
 
 def grammar_rules(history: DataFrame) -> DataFrame:
-    a = parsed_analyses(history)
-    r = a.select("id", F.posexplode("analysis.grammar_rules").alias("rule_pos", "r"))
-    e = r.select("id", "rule_pos", F.col("r.rule_name").alias("rule"),
-                 F.posexplode("r.examples").alias("example_pos", "example"))
-    return e
+    r = _exploded(parsed_analyses(history), ["id"], "analysis.grammar_rules", "rule_pos", "r")
+    r = r.select("id", "rule_pos", F.col("r.rule_name").alias("rule"), F.col("r.examples").alias("examples"))
+    return _exploded(r, ["id", "rule_pos", "rule"], "examples", "example_pos", "example")
 
 
 def analysis_digest(history: DataFrame) -> DataFrame:
@@ -91,15 +110,18 @@ def exercise_options(history: DataFrame) -> DataFrame:
                                  F.array_join(numbered, "\n")).alias("options_text"))
 
 
-def exercise_context(history: DataFrame, archive: bool = False) -> DataFrame:
-    """Chat context text from an exercise: title (default) - question - answer."""
+def exercise_context(history: DataFrame) -> DataFrame:
+    """Chat context texts from an exercise: title (default) - question - answer, once with the
+    prefix of the latest exercise and once with that of an archived one."""
     e = parsed_exercises(history)
     ex = F.col("exercise")
-    prefix = K.EXERCISE_CONTEXT_PREFIX_ARCHIVE if archive else K.EXERCISE_CONTEXT_PREFIX_LATEST
-    return e.select("id", F.concat(
-        F.lit(prefix), F.coalesce(ex.title, F.lit(K.DEFAULT_EXERCISE_TITLE)),
-        F.lit(" - "), F.coalesce(ex.question, F.lit("")),
-        F.lit(" - Odpowiedź: "), F.coalesce(ex.correct_answer, F.lit(""))).alias("context"))
+    rest = F.concat(F.coalesce(ex.title, F.lit(K.DEFAULT_EXERCISE_TITLE)),
+                    F.lit(" - "), F.coalesce(ex.question, F.lit("")),
+                    F.lit(" - Odpowiedź: "), F.coalesce(ex.correct_answer, F.lit("")))
+    both = F.array(*[F.struct(F.lit(archive).alias("archive"), F.concat(F.lit(prefix), rest).alias("context"))
+                     for archive, prefix in ((False, K.EXERCISE_CONTEXT_PREFIX_LATEST),
+                                             (True, K.EXERCISE_CONTEXT_PREFIX_ARCHIVE))])
+    return e.select("id", F.explode(both).alias("c")).select("id", "c.*")
 
 
 def tips_context_text(tips, fresh: bool = True):
@@ -142,38 +164,38 @@ def recent_errors(history: DataFrame, n: int = K.SUMMARY_ERRORS) -> DataFrame:
             .select("language", "rn", T.error_snippet("explanation").alias("snippet")))
 
 
-def _ordered_lines(df: DataFrame, key: str, order: str, line: str, out: str) -> DataFrame:
-    """Join the (already bounded) lines of each key in ``order`` with newlines."""
-    agg = df.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(order, line))).alias("_l"))
-    return agg.select(key, F.array_join(F.transform("_l", lambda s: s.getField(line)), "\n").alias(out))
-
-
 def summary_text(history: DataFrame) -> DataFrame:
     """Learning-history summary document per language: counts, vocabulary count, the first
-    20 words, the newest 5 errors. Each ordered text aggregate sees at most 20 / 5 rows per
-    language because the top-N runs first."""
-    counts = language_summary(history)
-    nvocab = vocabulary_counts(history)
-    vtop = vocabulary_top(history).select(
-        "language", "rn",
-        F.concat(F.lit("- "), F.coalesce("word", F.lit("")), F.lit(" ("), F.coalesce("translation", F.lit("")),
-                 F.lit(") - "), F.coalesce("part_of_speech", F.lit("")), F.lit(K.SUMMARY_LEVEL),
-                 F.coalesce("difficulty", F.lit(""))).alias("line"))
-    vlines = _ordered_lines(vtop, "language", "rn", "line", "vocab_lines")
-    errs = recent_errors(history).select("language", "rn", F.concat(F.lit("- "), "snippet").alias("line"))
-    elines = _ordered_lines(errs, "language", "rn", "line", "error_lines")
-    j = (counts.join(nvocab, "language", "full_outer")
-         .join(vlines, "language", "full_outer").join(elines, "language", "full_outer"))
-    z = F.lit(0)
+    20 words, the newest 5 errors (white space between the parts is normalised).
+
+    The counts (one row per language), the words and the errors (20 and 5 rows per language at
+    most, because the top-N runs first) are put into one table and aggregated once."""
+    m = F.col("mode")
+    none, z = F.lit(None), F.lit(0)
+    line = "struct<rn:int,line:string>"
+    counts = (_sized(history).where(m.isin("translation", "correction", "analysis")).groupBy("language").agg(
+        F.count_if(m == "translation").alias("translations"), F.count_if(m == "correction").alias("corrections"),
+        F.count_if(m == "analysis").alias("analyses"), F.sum("n_vocabulary").cast("bigint").alias("n"))
+        .withColumns({"word": none.cast(line), "error": none.cast(line)}))
+    words = vocabulary_top(history).select("language", F.struct("rn", F.concat(
+        F.lit("- "), F.coalesce("word", F.lit("")), F.lit(" ("), F.coalesce("translation", F.lit("")),
+        F.lit(") - "), F.coalesce("part_of_speech", F.lit("")), F.lit(K.SUMMARY_LEVEL),
+        F.coalesce("difficulty", F.lit(""))).alias("line")).alias("word"))
+    errors = recent_errors(history).select(
+        "language", F.struct("rn", F.concat(F.lit("- "), "snippet").alias("line")).alias("error"))
+    facts = counts.unionByName(words, allowMissingColumns=True).unionByName(errors, allowMissingColumns=True)
+    totals = ["translations", "corrections", "analyses", "n"]
+    j = facts.groupBy("language").agg(
+        *[F.coalesce(F.sum(c), z).cast("string").alias(c) for c in totals],
+        F.array_sort(F.collect_list("word")).alias("words"), F.array_sort(F.collect_list("error")).alias("errors"))
+    joined = lambda c: F.array_join(F.transform(c, lambda x: x["line"]), "\n")
     summary = F.concat(
         F.lit(K.SUMMARY_HEADER), F.upper("language"), F.lit(":\n"),
-        F.lit(K.SUMMARY_TRANSLATIONS), F.coalesce("translations", z).cast("string"), F.lit("\n"),
-        F.lit(K.SUMMARY_CORRECTIONS), F.coalesce("corrections", z).cast("string"), F.lit("\n"),
-        F.lit(K.SUMMARY_ANALYSES), F.coalesce("analyses", z).cast("string"), F.lit("\n"),
-        F.lit(K.SUMMARY_WORDS + "("), F.coalesce("n", z).cast("string"), F.lit("):\n"),
-        F.coalesce("vocab_lines", F.lit("")), F.lit("\n"),
-        F.lit(K.SUMMARY_ERRORS_HEADER + "\n"),
-        F.coalesce("error_lines", F.lit("")))
+        F.lit(K.SUMMARY_TRANSLATIONS), "translations", F.lit("\n"),
+        F.lit(K.SUMMARY_CORRECTIONS), "corrections", F.lit("\n"),
+        F.lit(K.SUMMARY_ANALYSES), "analyses", F.lit("\n"),
+        F.lit(K.SUMMARY_WORDS + "("), "n", F.lit("):\n"), joined("words"), F.lit("\n"),
+        F.lit(K.SUMMARY_ERRORS_HEADER + "\n"), joined("errors"))
     return j.select("language", summary.alias("summary"))
 
 

@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 
 from learnlog import constants as K
 from learnlog.functions import text as T
-from learnlog.sources.fixtures import LANG_CODE_TO_NAME
 
 USER_PREFIX = "user:"
 ASSISTANT_PREFIX = "assistant:"
@@ -25,16 +24,8 @@ def line_of(role, text):
                     F.col(text) if isinstance(text, str) else text)
 
 
-def conversation_language():
-    """Languages for the conversation fixture (conversations carry none)."""
-    names = list(LANG_CODE_TO_NAME.values())
-    return F.element_at(F.array(*[F.lit(n) for n in names]),
-                        (F.col("conv_id") % len(names) + 1).cast("int"))
-
-
-def messages(conversations: DataFrame) -> DataFrame:
-    return conversations.select("conv_id", "turn", "role", "text",
-                                conversation_language().alias("language"))
+def messages(conversations: DataFrame, language) -> DataFrame:
+    return conversations.select("conv_id", "turn", "role", "text", language.alias("language"))
 
 
 def transcript(msgs: DataFrame) -> DataFrame:
@@ -63,13 +54,21 @@ def snapshots(msgs: DataFrame, last_only: bool = False) -> DataFrame:
     return s.select("conv_id", "turn", "language", "message_count", "chat_text")
 
 
+# FIXED VALUE (test data): conversations carry no time, so a session is saved this long after
+# the turns began, plus a second per turn
+SESSION_EPOCH = "2024-01-01 00:00:00"
+
+
 def session_records(snaps: DataFrame) -> DataFrame:
-    """Snapshots as chat-session history records; the turn stands in for the save time."""
+    """Snapshots as chat-session history records, ready to be stored; the time is derived from
+    the turn unless the snapshots carry a ``ts``."""
+    saved = (F.col("ts") if "ts" in snaps.columns else
+             F.expr(f"timestamp_ntz'{SESSION_EPOCH}' + make_dt_interval(0, 0, 0, turn)"))
     return snaps.select(
         F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("id"),
-        F.col("turn").alias("order_key"), "language",
+        saved.cast("timestamp_ntz").alias("ts"), F.lit("chat_session").alias("mode"), "language",
         F.lit(None).cast("string").alias("context"), "chat_text",
-        F.col("message_count").cast("bigint").alias("message_count"))
+        F.col("message_count").cast("int").alias("message_count"))
 
 
 def parse_transcript(sessions: DataFrame, key: str = "conv_id") -> DataFrame:

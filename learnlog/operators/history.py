@@ -7,6 +7,8 @@ task keeps n rows, so nothing unbounded reaches one task or the driver.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,14 +18,24 @@ from learnlog.functions import text as T
 from learnlog.functions import time as TM
 from learnlog.operators.ranking import position_in_group
 
+
 def newest_first():
     return [F.col("ts").desc(), F.col("id").asc()]
 
 
-def page(df: DataFrame, limit: int | None, order=None) -> DataFrame:
-    """Sort newest first (ties by id) and keep the first ``limit`` rows; 0/None keeps all."""
-    ordered = df.orderBy(*(order or newest_first()))
-    return ordered.limit(limit) if limit else ordered
+def page(df: DataFrame, limit: int | None) -> DataFrame:
+    """Newest first (ties by id), the first ``limit`` rows; 0/None keeps all.
+
+    The time of the last row that fits is found on ``ts`` alone; as a scalar it then filters the
+    scan, so that texts are only read where a row group can hold such rows (files sorted by
+    ``ts``), and each task keeps ``limit`` rows."""
+    ordered = df.orderBy(*newest_first())
+    if not limit:
+        return ordered
+    oldest = F.lit("0001-01-01").cast("timestamp_ntz")
+    cut = df.select("ts").orderBy(F.col("ts").desc()).limit(limit).agg(
+        F.coalesce(F.when(F.count("ts") == limit, F.min("ts").cast("timestamp_ntz")), oldest)).scalar()
+    return df.where((F.col("ts") >= cut) | F.col("ts").isNull()).orderBy(*newest_first()).limit(limit)
 
 
 def scan(history: DataFrame) -> DataFrame:
@@ -71,13 +83,12 @@ def get_tips_history(history: DataFrame, limit: int | None = K.TIPS_PAGE) -> Dat
     return page(rows, limit)
 
 
-def get_chat_sessions(sessions: DataFrame, limit: int | None = K.CHAT_PAGE) -> DataFrame:
-    """Chat-session records, ``context`` defaulting to ``""``. ``sessions`` carries an
-    ``order_key`` standing in for the save time (newest = largest)."""
-    rows = sessions.select(
-        "id", "order_key", "language", F.coalesce("context", F.lit("")).alias("context"),
-        "chat_text", "message_count", F.lit("chat_session").alias("mode"))
-    return page(rows, limit, [F.col("order_key").desc(), F.col("id").asc()])
+def get_chat_sessions(history: DataFrame, limit: int | None = K.CHAT_PAGE) -> DataFrame:
+    """Chat-session records, ``context`` defaulting to ``""``."""
+    rows = history.where(F.col("mode") == "chat_session").select(
+        "id", "ts", "language", F.coalesce("context", F.lit("")).alias("context"), "chat_text",
+        F.col("message_count").cast("bigint").alias("message_count"), "mode")
+    return page(rows, limit)
 
 
 def archive_by_mode(history: DataFrame, mode: str | None = None) -> DataFrame:
@@ -110,47 +121,46 @@ def history_ordinal(history: DataFrame, num_partitions: int | None = None) -> Da
 def kind_group():
     return (F.when(F.col("mode") == "translation", F.lit("translations"))
             .when(F.col("mode").isin(*K.CORRECTION_LIST_MODES), F.lit("corrections"))
-            .when(F.col("mode") == "learning_tips", F.lit("tips")))
+            .when(F.col("mode") == "learning_tips", F.lit("tips"))
+            .when(F.col("mode") == "chat_session", F.lit("chat_sessions")))
 
 
-def history_dashboard(history: DataFrame, chat_sessions: DataFrame,
-                      limit: int = K.DEFAULT_HISTORY_LIMIT) -> DataFrame:
+def history_dashboard(history: DataFrame, limit: int = K.DEFAULT_HISTORY_LIMIT) -> DataFrame:
     """The four lists of the main screen in one pass: newest ``limit`` per kind group.
 
     ``row_number() <= limit`` over a group plans as WindowGroupLimit, which keeps ``limit``
     rows per group inside each task before the shuffle, so a huge group stays cheap."""
     w = Window.partitionBy("kind_group").orderBy(*newest_first())
-    h = (history.select(kind_group().alias("kind_group"), "id", "ts")
-         .withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= limit)
-         .select("kind_group", F.col("id").cast("string").alias("id"), "rn"))
-    wc = Window.partitionBy("kind_group").orderBy(F.col("order_key").desc(), F.col("id").asc())
-    c = (chat_sessions.select(F.lit("chat_sessions").alias("kind_group"), "id", "order_key")
-         .withColumn("rn", F.row_number().over(wc)).where(F.col("rn") <= limit)
-         .select("kind_group", "id", "rn"))
-    return h.unionByName(c)
+    return (history.select(kind_group().alias("kind_group"), "id", "ts")
+            .withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= limit)
+            .select("kind_group", "id", "rn"))
 
 
 def history_stats(history: DataFrame) -> DataFrame:
     return history.agg(F.count(F.lit(1)).alias("total_points"))
 
 
-def history_union(history: DataFrame, chat_sessions: DataFrame) -> DataFrame:
-    """All kinds in one table (missing fields null), then counted per kind."""
-    u = history.unionByName(chat_sessions.withColumn("mode", F.lit("chat_session")),
-                            allowMissingColumns=True)
-    text = F.coalesce("input_text", "chat_text", "tips_text")
+def history_union(history: DataFrame) -> DataFrame:
+    """The kinds as tables of their own fields in one table (missing fields null), counted per kind."""
+    fields = {"chat_session": "chat_text", "learning_tips": "tips_text"}
+    parts = [history.where(F.col("mode") == kind).select("id", "mode", fields.get(kind, "input_text"))
+             for kind in K.MODES]
+    u = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
     return u.groupBy("mode").agg(
         F.count(F.lit(1)).alias("n"),
-        F.count_if(F.length(text) > 0).alias("n_with_text"))
+        F.count_if(F.length(F.coalesce("input_text", "chat_text", "tips_text")) > 0).alias("n_with_text"))
 
 
 # --- record builders (the append path) -------------------------------------------------------
 
 def stamp(records: DataFrame) -> DataFrame:
-    """Give new records their identity at ingest: a random UUID string id and the UTC time.
-    (Spark's ``uuid()`` is seeded per partition, so a retried task produces the same ids.)"""
+    """Give new records their identity at ingest: a random UUID string id and the UTC time, each
+    unless the record has one. (Spark's ``uuid()`` is seeded per partition, so a retried task
+    produces the same ids.)"""
     tz = records.sparkSession.conf.get("spark.sql.session.timeZone", "UTC")
-    return records.select(F.expr("uuid()").alias("id"), TM.utc_now(tz).alias("ts"), "*")
+    new = {"id": F.expr("uuid()"), "ts": TM.utc_now(tz)}
+    return records.withColumns({n: F.coalesce(F.col(n).cast("string" if n == "id" else "timestamp_ntz"), c)
+                                if n in records.columns else c for n, c in new.items()})
 
 
 def translation_records(df: DataFrame, audio: str | None = None) -> DataFrame:
@@ -182,7 +192,7 @@ def correction_records(df: DataFrame) -> DataFrame:
 
 def tips_records(df: DataFrame, tips_col: str = "tips") -> DataFrame:
     return df.select(
-        "id", "language",
+        *[c for c in ("id", "ts") if c in df.columns], "language",
         F.array_join(tips_col, "\n").alias("tips_text"),
         T.n_items(tips_col).alias("tips_count"),
         F.lit("learning_tips").alias("mode"))
@@ -195,14 +205,10 @@ def latest_per_key(df: DataFrame, key: str, ts: str, tie: str, cols: list[str])
     return df.groupBy(key).agg(best).select(key, "_best.*")
 
 
-def upsert(existing: DataFrame, incoming: DataFrame, key: str = "id", ts: str = "ts") -> DataFrame:
-    """Union then keep the latest version of each key; incoming wins ties."""
-    cols = [c for c in existing.columns if c not in (key, ts)]
-    both = existing.withColumn("_src", F.lit(0)).unionByName(
-        incoming.withColumn("_src", F.lit(1)), allowMissingColumns=True)
-    best = F.max(F.struct(F.col(ts), F.col("_src"), *[F.col(c) for c in cols])).alias("_best")
-    return both.groupBy(key).agg(best).select(key, F.col(f"_best.{ts}").alias(ts),
-                                              *[F.col(f"_best.{c}").alias(c) for c in cols])
+def upsert(existing: DataFrame, incoming: DataFrame, key: str = "id") -> DataFrame:
+    """Incoming records replace the existing ones of the same key, whatever their times; columns
+    that incoming lacks are null."""
+    return existing.join(incoming.select(key), key, "left_anti").unionByName(incoming, allowMissingColumns=True)
 
 
 def delete_items(history: DataFrame, ids: DataFrame, key: str = "id") -> DataFrame:

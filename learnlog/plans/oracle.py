@@ -56,30 +56,19 @@ def fill(template: str, **values: str) -> str:
     return "(" + " || ".join(out or ["''"]) + ")"
 
 
-W = "string_split(input_text, ' ')"
+L = "string_split(input_text, chr(10))"
+O = "string_split(output_text, chr(10))"
+FIRST = "string_split({}, ' ')[1]".format
 LANG_OF_DOC = case_map("lang", LANG_CODE_TO_NAME)
 LANG_OF_CONV = f"{list_lit(list(LANG_CODE_TO_NAME.values()))}[conv_id % 4 + 1]"
 
 H = "WITH " + HISTORY_CTE
-SNAPS = """
-snaps AS (
-  SELECT conv_id, turn, role,
-    count(*) OVER w AS message_count,
-    string_agg(role || ': ' || text, chr(10)) OVER w AS chat_text
-  FROM conversations
-  WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
-sessions AS (
-  SELECT conv_id || ':' || turn AS id, turn AS order_key, """ + LANG_OF_CONV + """ AS language,
-    chat_text, message_count
-  FROM snaps WHERE role = 'assistant' AND message_count >= 2)
-"""
-HS = H + "," + SNAPS
-
 INPUT_OF = "CASE WHEN mode = 'exercise' THEN '' WHEN mode = 'learning_tips' THEN NULL ELSE input_text END"
 OUTPUT_OF = ("CASE WHEN mode IN ('analysis', 'exercise') THEN '' WHEN mode = 'learning_tips' THEN NULL "
              "ELSE output_text END")
 VOICE_OF = case_map("language", K.LANGUAGE_VOICE_MAPPING, lit(K.DEFAULT_VOICE))
-EX_TYPE = "['vocabulary', 'grammar', 'translation'][id % 3 + 1]"
+EX_TYPE = "['vocabulary', 'grammar', 'translation'][eid % 3 + 1]"
+HAS_AUDIO = "(eid % 3 = 0 AND length(output_text) > 0)"
 
 
 def q(name):
@@ -98,10 +87,9 @@ def _():
 
 @q("history_union")
 def _():
-    return HS + f"""SELECT mode, count(*) AS n, count(*) FILTER (WHERE length(txt) > 0) AS n_with_text FROM (
-  SELECT mode, CASE WHEN mode = 'exercise' THEN '' WHEN mode = 'learning_tips' THEN output_text
-    ELSE input_text END AS txt FROM h
-  UNION ALL SELECT 'chat_session', chat_text FROM sessions) GROUP BY mode"""
+    return H + """SELECT mode, count(*) AS n, count(*) FILTER (WHERE length(txt) > 0) AS n_with_text FROM (
+  SELECT mode, CASE mode WHEN 'exercise' THEN '' WHEN 'learning_tips' THEN output_text
+    WHEN 'chat_session' THEN chat_text ELSE input_text END AS txt FROM h) GROUP BY mode"""
 
 
 @q("history_stats")
@@ -111,14 +99,11 @@ def _():
 
 @q("history_dashboard")
 def _():
-    return HS + """SELECT kind_group, CAST(id AS VARCHAR) AS id, rn FROM (
+    return H + """SELECT kind_group, id, rn FROM (
   SELECT kind_group, id, row_number() OVER (PARTITION BY kind_group ORDER BY ts DESC, id) AS rn FROM (
     SELECT CASE WHEN mode = 'translation' THEN 'translations'
       WHEN mode IN ('correction', 'analysis', 'exercise') THEN 'corrections'
-      WHEN mode = 'learning_tips' THEN 'tips' END AS kind_group, id, ts FROM h)) WHERE rn <= 20
-UNION ALL
-SELECT 'chat_sessions', id, rn FROM (
-  SELECT id, row_number() OVER (ORDER BY order_key DESC, id) AS rn FROM sessions) WHERE rn <= 20"""
+      WHEN mode = 'learning_tips' THEN 'tips' ELSE 'chat_sessions' END AS kind_group, id, ts FROM h)) WHERE rn <= 20"""
 
 
 @q("history_ordinal")
@@ -137,14 +122,14 @@ def _():
 @q("get_translations")
 def _():
     return H + f"""SELECT id, ts, input_text AS input, output_text AS output, language AS target_language,
-  'translation' AS mode, {VOICE_OF} AS voice
+  'translation' AS mode, {VOICE_OF} AS voice, CASE WHEN {HAS_AUDIO} THEN output_text END AS audio_text
 FROM h WHERE mode = 'translation' ORDER BY ts DESC, id LIMIT 50"""
 
 
 @q("get_corrections")
 def _():
     return H + f"""SELECT id, ts, {INPUT_OF} AS input, {OUTPUT_OF} AS output, language, mode, explanation,
-  CASE WHEN mode = 'analysis' THEN CAST(least(len({W}), 5) AS BIGINT) END AS n_vocabulary,
+  CASE WHEN mode = 'analysis' THEN CAST(len({L}) AS BIGINT) END AS n_vocabulary,
   CASE WHEN mode = 'exercise' THEN {EX_TYPE} END AS exercise_type
 FROM h WHERE mode IN ('correction', 'analysis', 'exercise') ORDER BY ts DESC, id LIMIT 50"""
 
@@ -158,8 +143,8 @@ FROM h WHERE mode = 'learning_tips' ORDER BY ts DESC, id LIMIT 20"""
 
 @q("get_chat_sessions")
 def _():
-    return HS + """SELECT id, order_key, language, '' AS context, chat_text, message_count,
-  'chat_session' AS mode FROM sessions ORDER BY order_key DESC, id LIMIT 20"""
+    return H + """SELECT id, ts, language, '' AS context, chat_text, message_count, mode
+FROM h WHERE mode = 'chat_session' ORDER BY ts DESC, id LIMIT 20"""
 
 
 @q("archive_by_mode")
@@ -170,7 +155,8 @@ def _():
 @q("build_translation_rows")
 def _():
     return H + f"""SELECT input_text, output_text, language AS target_language, 'translation' AS mode,
-  {VOICE_OF} AS voice, false AS has_audio FROM h WHERE mode = 'translation'"""
+  {VOICE_OF} AS voice, {HAS_AUDIO} AS has_audio,
+  CASE WHEN {HAS_AUDIO} THEN base64(encode(output_text)) END AS audio_data FROM h WHERE mode = 'translation'"""
 
 
 @q("build_correction_rows")
@@ -344,14 +330,16 @@ def _():
 
 @q("analysis_roundtrip")
 def _():
-    return H + f"""SELECT id, CAST(least(len({W}), 5) AS BIGINT) AS n_vocabulary, CAST(2 AS BIGINT) AS n_rules,
-  CAST(len(string_split(output_text, {NL})) AS BIGINT) AS n_tips, {W}[6] AS first_rule
+    return H + f"""SELECT id, CAST(len({L}) AS BIGINT) AS n_vocabulary, CAST(len({O}) AS BIGINT) AS n_rules,
+  CAST(len({O}) AS BIGINT) AS n_tips, {FIRST(O + "[1]")} AS first_rule, input_text AS sentences,
+  output_text AS examples, output_text AS tips
 FROM h WHERE mode = 'analysis'"""
 
 
 VOCAB_ROWS = f"""vocab AS (
-  SELECT id, ts, language, unnest(generate_series(0, len(w) - 1)) AS pos, unnest(w) AS word FROM (
-    SELECT id, ts, language, {W}[1:5] AS w FROM h WHERE mode = 'analysis'))"""
+  SELECT id, ts, language, pos, {FIRST('l')} AS word FROM (
+    SELECT id, ts, language, unnest(generate_series(0, len({L}) - 1)) AS pos, unnest({L}) AS l
+    FROM h WHERE mode = 'analysis'))"""
 
 
 @q("vocabulary")
@@ -362,44 +350,45 @@ def _():
 
 @q("exercise_roundtrip")
 def _():
-    return H + f"""SELECT id, {EX_TYPE} AS type, CASE WHEN id % 5 <> 0 THEN {W}[1] END AS title,
-  substring(input_text, 1, 40) AS question, substring(output_text, 1, 40) AS correct_answer,
-  CASE WHEN id % 3 = 0 THEN CAST(least(len({W}), 4) AS BIGINT) END AS n_options,
-  {list_lit(DIFFICULTIES)}[(id // 3) % 3 + 1] AS difficulty,
-  CASE WHEN id % 2 = 0 THEN 'Podpowiedź' END AS hint
+    return H + f"""SELECT id, {EX_TYPE} AS type, CASE WHEN eid % 5 <> 0 THEN {FIRST('input_text')} END AS title,
+  input_text AS question, output_text AS correct_answer,
+  CASE WHEN eid % 3 = 0 THEN CAST(len({L}) AS BIGINT) END AS n_options,
+  {list_lit(DIFFICULTIES)}[(eid // 3) % 3 + 1] AS difficulty,
+  CASE WHEN eid % 2 = 0 THEN 'Podpowiedź' END AS hint
 FROM h WHERE mode = 'exercise'"""
 
 
 @q("exercise_options")
 def _():
-    return H + f"""SELECT id, CASE WHEN id % 3 = 0 THEN
-  array_to_string(list_transform({W}[1:4], lambda x, i: i || '. ' || x), {NL}) END AS options_text
+    return H + f"""SELECT id, CASE WHEN eid % 3 = 0 THEN
+  array_to_string(list_transform({L}, lambda x, i: i || '. ' || x), {NL}) END AS options_text
 FROM h WHERE mode = 'exercise'"""
 
 
 @q("exercise_context")
 def _():
-    title = f"coalesce(CASE WHEN id % 5 <> 0 THEN {W}[1] END, {lit(K.DEFAULT_EXERCISE_TITLE)})"
-    return H + f"""SELECT id, {lit(K.EXERCISE_CONTEXT_PREFIX_LATEST)} || {title} || ' - ' || substring(input_text, 1, 40)
-  || ' - Odpowiedź: ' || substring(output_text, 1, 40) AS context FROM h WHERE mode = 'exercise'"""
+    title = f"coalesce(CASE WHEN eid % 5 <> 0 THEN {FIRST('input_text')} END, {lit(K.DEFAULT_EXERCISE_TITLE)})"
+    return H + "\nUNION ALL\n".join(
+        f"""SELECT id, {archive} AS archive, {lit(prefix)} || {title} || ' - ' || input_text
+  || ' - Odpowiedź: ' || output_text AS context FROM h WHERE mode = 'exercise'""" for archive, prefix in (
+            ("false", K.EXERCISE_CONTEXT_PREFIX_LATEST), ("true", K.EXERCISE_CONTEXT_PREFIX_ARCHIVE)))
 
 
 @q("grammar_rules")
 def _():
-    parts = []
-    for rule_pos, k in ((0, 6), (1, 7)):
-        parts.append(f"""SELECT id, CAST({rule_pos} AS BIGINT) AS rule_pos, w[{k}] AS rule,
-  unnest(generate_series(0, len(w[8:10]) - 1)) AS example_pos, unnest(w[8:10]) AS example
-FROM (SELECT id, {W} AS w FROM h WHERE mode = 'analysis')""")
-    return H + "\nUNION ALL\n".join(parts)
+    return H + f"""SELECT id, rule_pos, {FIRST('l')} AS rule,
+  unnest(generate_series(0, len(string_split(l, ' ')) - 1)) AS example_pos, unnest(string_split(l, ' ')) AS example
+FROM (SELECT id, unnest(generate_series(0, len({O}) - 1)) AS rule_pos, unnest({O}) AS l FROM h WHERE mode = 'analysis')"""
 
 
 @q("analysis_digest")
 def _():
-    return H + f"""SELECT id, array_to_string(w[1:3], '|') AS vocab_head, concat_ws('|', w[6], w[7]) AS rules_head,
-  array_to_string(w[8:9], '|') AS examples_latest, array_to_string(w[8:10], '|') AS examples_archive,
-  array_to_string(string_split(output_text, {NL})[1:3], '|') AS tips_head
-FROM (SELECT id, output_text, {W} AS w FROM h WHERE mode = 'analysis')"""
+    heads = "array_to_string(list_transform({}, lambda x: string_split(x, ' ')[1]), '|')".format
+    return H + f"""SELECT id, {heads(L + "[1:3]")} AS vocab_head, {heads(O + "[1:2]")} AS rules_head,
+  array_to_string(string_split({O}[1], ' ')[1:2], '|') AS examples_latest,
+  array_to_string(string_split({O}[1], ' ')[1:3], '|') AS examples_archive,
+  array_to_string({O}[1:3], '|') AS tips_head
+FROM h WHERE mode = 'analysis'"""
 
 
 @q("exercise_parse")
@@ -408,18 +397,19 @@ def _():
     return f"""SELECT doc_id,
   CASE doc_id % 4 WHEN 2 THEN {lit(K.MSG_AI_NOT_JSON)} WHEN 3 THEN {lit(K.MSG_AI_PARSE_ERROR)} END AS error,
   CASE WHEN {ok} THEN 'vocabulary' END AS type,
-  CASE WHEN {ok} THEN string_split(text, ' ')[1] END AS title,
-  CASE WHEN {ok} THEN substring(text, 1, 40) END AS question
+  CASE WHEN {ok} THEN string_split(text, {NL})[1] END AS title,
+  CASE WHEN {ok} THEN text END AS question, CASE WHEN {ok} THEN text END AS options
 FROM documents"""
 
 
 @q("word_parse")
 def _():
-    w = "string_split(text, ' ')"
-    return f"""SELECT doc_id, {w}[1] AS word,
-  CASE WHEN doc_id % 3 = 0 THEN {lit(K.MSG_WORD_PARSE_ERROR)} ELSE 'pl:' || {w}[1] END AS translation,
+    w = "string_split(text, ' ')[1]"
+    return f"""SELECT doc_id, {w} AS word,
+  CASE WHEN doc_id % 3 = 0 THEN {lit(K.MSG_WORD_PARSE_ERROR)} ELSE 'pl:' || {w} END AS translation,
   CASE WHEN doc_id % 3 = 0 THEN '' ELSE 'noun' END AS part_of_speech,
-  CAST(CASE WHEN doc_id % 3 = 0 THEN 0 ELSE len({w}[2:3]) END AS BIGINT) AS n_examples
+  CASE WHEN doc_id % 3 = 0 THEN '' ELSE text END AS definition,
+  CASE WHEN doc_id % 3 = 0 THEN '' ELSE text END AS examples
 FROM documents"""
 
 
@@ -427,7 +417,7 @@ FROM documents"""
 
 @q("vocabulary_counts")
 def _():
-    return H + f"""SELECT language, CAST(sum(least(len({W}), 5)) AS BIGINT) AS n FROM h
+    return H + f"""SELECT language, CAST(sum(len({L})) AS BIGINT) AS n FROM h
 WHERE mode = 'analysis' GROUP BY language"""
 
 
@@ -472,7 +462,7 @@ def _():
 
 
 SUMMARY = f"""counts AS ({COUNTS}),
-nv AS (SELECT language, sum(least(len({W}), 5)) AS n FROM h WHERE mode = 'analysis' GROUP BY language),
+nv AS (SELECT language, sum(len({L})) AS n FROM h WHERE mode = 'analysis' GROUP BY language),
 {VOCAB_ROWS},
 vtop AS (SELECT language, rn, '- ' || word || ' (pl:' || word || ') - ' || {list_lit(PARTS_OF_SPEECH)}[pos % 3 + 1]
     || {lit(K.SUMMARY_LEVEL)} || {list_lit(DIFFICULTIES)}[pos % 3 + 1] AS line FROM (
@@ -576,7 +566,7 @@ def _():
 
 @q("chat_snapshots")
 def _():
-    return "WITH " + SNAPS + """SELECT conv_id, turn, message_count, chat_text FROM snaps
+    return H + """SELECT conv_id, turn, message_count, chat_text FROM snaps
 WHERE role = 'assistant' AND message_count >= 2"""
 
 
@@ -735,7 +725,7 @@ def _():
 
 @q("stream_chat_snapshots")
 def _():
-    return "WITH " + SNAPS + """SELECT conv_id, turn, message_count FROM snaps
+    return H + """SELECT conv_id, turn, message_count, chat_text FROM snaps
 WHERE role = 'assistant' AND message_count >= 2"""
 
 

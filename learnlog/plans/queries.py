@@ -24,7 +24,7 @@ from learnlog.operators import model as M
 from learnlog.operators import vector as V
 from learnlog.session import checkpoint_dir
 from learnlog.sources import store as S
-from learnlog.sources.fixtures import LANG_CODE_TO_NAME
+from learnlog.sources.fixtures import LANG_CODE_TO_NAME, conversation_language
 from learnlog.sources.tables import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -63,11 +63,7 @@ def _docs(spark, sf):
 
 
 def _msgs(spark, sf):
-    return C.messages(read_table(spark, sf, "conversations"))
-
-
-def _sessions(spark, sf):
-    return C.session_records(C.snapshots(_msgs(spark, sf)))
+    return C.messages(read_table(spark, sf, "conversations"), conversation_language())
 
 
 def _case(col, mapping: dict, default=None):
@@ -86,9 +82,7 @@ def q_history_scan(spark, sf):
 
 @query("history_union")
 def q_history_union(spark, sf):
-    h = _h(spark, sf).select("id", "ts", "mode", "language", "input_text", "tips_text")
-    s = _sessions(spark, sf).select("id", "language", "chat_text")
-    return H.history_union(h.withColumn("id", F.col("id").cast("string")), s)
+    return H.history_union(_h(spark, sf))
 
 
 @query("history_stats")
@@ -98,7 +92,7 @@ def q_history_stats(spark, sf):
 
 @query("history_dashboard")
 def q_history_dashboard(spark, sf):
-    return H.history_dashboard(_h(spark, sf), _sessions(spark, sf))
+    return H.history_dashboard(_h(spark, sf))
 
 
 @query("history_ordinal")
@@ -113,7 +107,8 @@ def q_history_by_language(spark, sf):
 
 @query("get_translations")
 def q_get_translations(spark, sf):
-    return H.get_translations(_h(spark, sf)).drop("audio_data")
+    t = H.get_translations(_h(spark, sf))
+    return t.withColumn("audio_text", F.decode("audio_data", "UTF-8")).drop("audio_data")
 
 
 @query("get_corrections")
@@ -131,7 +126,7 @@ def q_get_tips_history(spark, sf):
 
 @query("get_chat_sessions")
 def q_get_chat_sessions(spark, sf):
-    return H.get_chat_sessions(_sessions(spark, sf))
+    return H.get_chat_sessions(_h(spark, sf))
 
 
 @query("archive_by_mode")
@@ -141,8 +136,9 @@ def q_archive_by_mode(spark, sf):
 
 @query("build_translation_rows")
 def q_build_translation_rows(spark, sf):
-    h = _h(spark, sf).where(F.col("mode") == "translation")
-    return H.translation_records(h).drop("audio_data")
+    """Records built again from stored translations, their audio decoded first."""
+    h = _h(spark, sf).where(F.col("mode") == "translation").withColumn("audio", F.unbase64("audio_data"))
+    return H.translation_records(h, "audio")
 
 
 @query("build_correction_rows")
@@ -318,13 +314,18 @@ def q_format_timestamps(spark, sf):
 
 @query("analysis_roundtrip")
 def q_analysis_roundtrip(spark, sf):
+    """Counts of each list, and the texts put together again from the parsed body."""
     a = A.parsed_analyses(_h(spark, sf))
     an = F.col("analysis")
+    join = lambda items, part, sep="\n": F.array_join(F.transform(items, part), sep)
     return a.select("id",
                     T.n_items(an.vocabulary_items).alias("n_vocabulary"),
                     T.n_items(an.grammar_rules).alias("n_rules"),
                     T.n_items(an.learning_tips).alias("n_tips"),
-                    F.try_element_at(an.grammar_rules, F.lit(1)).rule_name.alias("first_rule"))
+                    F.try_element_at(an.grammar_rules, F.lit(1)).rule_name.alias("first_rule"),
+                    join(an.vocabulary_items, lambda v: v.example_sentence).alias("sentences"),
+                    join(an.grammar_rules, lambda r: F.array_join(r.examples, " ")).alias("examples"),
+                    F.array_join(an.learning_tips, "\n").alias("tips"))
 
 
 @query("vocabulary")
@@ -367,14 +368,15 @@ def q_analysis_digest(spark, sf):
 
 def exercise_replies(d: DataFrame) -> DataFrame:
     """Fixture: exercise replies of four shapes - plain JSON, fenced JSON, prose around JSON,
-    cut-off JSON (closing brace kept)."""
-    words = F.split(F.col("text"), " ")
+    cut-off JSON (closing brace kept) - over the whole text."""
     body = F.to_json(F.struct(
         F.lit("vocabulary").alias("type"),
-        F.try_element_at(words, F.lit(1)).alias("title"),
-        F.substring("text", 1, 40).alias("question"),
+        F.substring_index("text", "\n", 1).alias("title"),
+        F.col("text").alias("question"),
+        F.split("text", "\n").alias("options"),
         F.lit("Podpowiedź").alias("hint")))
-    k = F.col("doc_id") % 4
+    d = d.select("doc_id", body.alias("body"))
+    body, k = F.col("body"), F.col("doc_id") % 4
     reply = (F.when(k == 0, body)
              .when(k == 1, F.concat(F.lit("```json\n"), body, F.lit("\n```")))
              .when(k == 2, F.concat(F.lit("Oto ćwiczenie: "), body))
@@ -386,16 +388,18 @@ def exercise_replies(d: DataFrame) -> DataFrame:
 def q_exercise_parse(spark, sf):
     r = M.with_exercise_reply(exercise_replies(_docs(spark, sf)), "reply")
     return r.select("doc_id", "error", F.col("exercise.type").alias("type"),
-                    F.col("exercise.title").alias("title"), F.col("exercise.question").alias("question"))
+                    F.col("exercise.title").alias("title"), F.col("exercise.question").alias("question"),
+                    F.array_join("exercise.options", "\n").alias("options"))
 
 
 def word_replies(d: DataFrame) -> DataFrame:
-    words = F.split(F.col("text"), " ")
-    w = F.try_element_at(words, F.lit(1))
+    """Fixture: replies about a document's first word whose definition and examples are the whole
+    text; every third is not JSON."""
+    w = F.substring_index("text", " ", 1)
     body = F.to_json(F.struct(w.alias("word"), F.concat(F.lit("pl:"), w).alias("translation"),
-                              F.lit("noun").alias("part_of_speech"),
-                              F.slice(words, 2, 2).alias("examples")))
-    reply = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("Słowo: "), w)).otherwise(body)
+                              F.lit("noun").alias("part_of_speech"), F.col("text").alias("definition"),
+                              F.split("text", "\n").alias("examples")))
+    reply = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("Słowo: "), F.col("text"))).otherwise(body)
     return d.select("doc_id", w.alias("word"), reply.alias("reply"))
 
 
@@ -403,8 +407,8 @@ def word_replies(d: DataFrame) -> DataFrame:
 def q_word_parse(spark, sf):
     p = J.with_word_reply(word_replies(_docs(spark, sf)), "reply", "word", "p")
     return p.select("doc_id", F.col("p.word").alias("word"), F.col("p.translation").alias("translation"),
-                    F.col("p.part_of_speech").alias("part_of_speech"),
-                    T.n_items("p.examples").alias("n_examples"))
+                    F.col("p.part_of_speech").alias("part_of_speech"), F.col("p.definition").alias("definition"),
+                    F.array_join("p.examples", "\n").alias("examples"))
 
 
 # --- 4. analytics -----------------------------------------------------------------------------
@@ -646,11 +650,8 @@ def _scratch(spark, name: str) -> str:
 def q_stream_language_counts(spark, sf):
     from learnlog.streaming.counts import run_language_counts
     _h(spark, sf)
-    path = S.history_store(spark, sf).current_path()
-    schema = spark.read.parquet(path).schema
     base = _scratch(spark, "language-counts")
-    run_language_counts(spark, path, schema, f"{base}/out", f"{base}/checkpoint")
-    return spark.read.parquet(f"{base}/out")
+    return run_language_counts(S.history_store(spark, sf), f"{base}/out", f"{base}/checkpoint")
 
 
 @query("stream_chat_snapshots")
@@ -660,8 +661,8 @@ def q_stream_chat_snapshots(spark, sf):
     path = table_path(sf, "conversations")
     schema = spark.read.parquet(path).schema
     base = _scratch(spark, "chat-snapshots")
-    run_chat_snapshots(spark, path, schema, f"{base}/out", f"{base}/checkpoint")
-    return spark.read.parquet(f"{base}/out")
+    s = run_chat_snapshots(spark, path, schema, conversation_language(), f"{base}/out", f"{base}/checkpoint")
+    return s.select("conv_id", "turn", "message_count", "chat_text")
 
 
 # --- 9. vectors -------------------------------------------------------------------------------

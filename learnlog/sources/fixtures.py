@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from learnlog import constants as K
+from learnlog.functions import text as T
+from learnlog.operators import chat as C
 from learnlog.sources.tables import read_table
 
 # FIXED VALUES: event type -> record kind; document language code -> language name
@@ -44,8 +46,8 @@ def _case_map(col: Column, mapping: dict, default=None) -> Column:
 
 
 def history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Base history records: id, ts, mode, language, input_text, output_text, explanation,
-    doc_id, user_id."""
+    """Base history records: id, eid (the event id as a number), ts, mode, language, input_text,
+    output_text, explanation, doc_id, user_id."""
     events = read_table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type")
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     bench = read_table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("b_text"))
@@ -59,8 +61,9 @@ def history(spark: SparkSession, sf_dir: str) -> DataFrame:
     joined = keyed.join(docs, "doc_id").join(bench, "item_id")
     mode = _case_map(F.col("event_type"), EVENT_TYPE_TO_MODE, OTHER_EVENTS_MODE)
     return joined.select(
-        F.col("event_id").alias("id"),
-        "ts",
+        F.col("event_id").cast("string").alias("id"),
+        F.col("event_id").alias("eid"),
+        F.col("ts").cast("timestamp_ntz").alias("ts"),
         mode.alias("mode"),
         _case_map(F.col("lang"), LANG_CODE_TO_NAME).alias("language"),
         F.col("text").alias("input_text"),
@@ -73,62 +76,62 @@ def history(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def words(text: Column) -> Column:
-    """Space-separated words of a text. Only the first ten are used, so the split stops
-    after them: elements 1-10 equal those of a full split, element 11 holds the rest."""
-    return F.split(text, " ", 11)
+def lines(text: Column) -> Column:
+    return F.split(text, "\n")
 
 
-def analysis_struct(w: Column, input_text: Column, output_text: Column) -> Column:
-    """Nested analysis record built from the texts (what an analysis reply would hold);
-    ``w`` = ``words(input_text)``."""
+def first_word(text: Column) -> Column:
+    return F.substring_index(text, " ", 1)
+
+
+def analysis_struct(input_text: Column, output_text: Column) -> Column:
+    """Nested analysis record built from the whole texts (what an analysis reply would hold): a
+    vocabulary item per line of the input, a grammar rule and a tip per line of the output."""
     pos_names = F.array(*[F.lit(p) for p in PARTS_OF_SPEECH])
     levels = F.array(*[F.lit(d) for d in DIFFICULTIES])
     vocab = F.transform(
-        F.slice(w, 1, 5),
+        lines(input_text),
         lambda x, i: F.struct(
-            x.alias("word"),
-            F.concat(F.lit("pl:"), x).alias("translation"),
+            first_word(x).alias("word"),
+            F.concat(F.lit("pl:"), first_word(x)).alias("translation"),
             F.element_at(pos_names, (i % 3 + 1).cast("int")).alias("part_of_speech"),
-            F.substring(input_text, 1, 60).alias("example_sentence"),
+            x.alias("example_sentence"),
             F.element_at(levels, (i % 3 + 1).cast("int")).alias("difficulty_level"),
         ),
     )
-    rules = F.array(*[
-        F.struct(
-            F.try_element_at(w, F.lit(k)).alias("rule_name"),
-            output_text.alias("explanation"),
-            F.slice(w, 8, 3).alias("examples"),
+    rules = F.transform(
+        lines(output_text),
+        lambda x: F.struct(
+            first_word(x).alias("rule_name"),
+            x.alias("explanation"),
+            F.split(x, " ").alias("examples"),
             F.lit("medium").alias("difficulty_level"),
-        )
-        for k in (6, 7)
-    ])
+        ),
+    )
     return F.struct(
         vocab.alias("vocabulary_items"),
         rules.alias("grammar_rules"),
-        F.split(output_text, "\n").alias("learning_tips"),
+        lines(output_text).alias("learning_tips"),
     )
 
 
-def exercise_struct(id_col: Column, ts: Column, w: Column, input_text: Column,
-                    output_text: Column) -> Column:
-    """Exercise record; optional keys are null so ``to_json`` leaves them out;
-    ``w`` = ``words(input_text)``."""
+def exercise_struct(eid: Column, ts: Column, input_text: Column, output_text: Column) -> Column:
+    """Exercise record over the whole texts; optional keys are null so ``to_json`` leaves them out."""
     ex_type = F.element_at(F.array(*[F.lit(t) for t in ("vocabulary", "grammar", "translation")]),
-                           (id_col % 3 + 1).cast("int"))
+                           (eid % 3 + 1).cast("int"))
     levels = F.array(*[F.lit(d) for d in DIFFICULTIES])
     return F.struct(
         ex_type.alias("type"),
-        F.when(id_col % 5 != 0, F.try_element_at(w, F.lit(1))).alias("title"),
+        F.when(eid % 5 != 0, first_word(input_text)).alias("title"),
         F.concat(F.lit("Opis: "), ex_type).alias("description"),
-        F.substring(input_text, 1, 40).alias("question"),
-        F.substring(output_text, 1, 40).alias("correct_answer"),
-        F.when(ex_type == "vocabulary", F.slice(w, 1, 4)).alias("options"),
-        F.substring(output_text, 1, 80).alias("explanation"),
-        F.when(ex_type == "grammar", F.try_element_at(w, F.lit(2))).alias("grammar_rule"),
-        F.when(ex_type == "translation", F.slice(w, 1, 2)).alias("key_vocabulary"),
-        F.element_at(levels, ((id_col / 3).cast("bigint") % 3 + 1).cast("int")).alias("difficulty"),
-        F.when(id_col % 2 == 0, F.lit("Podpowiedź")).alias("hint"),
+        input_text.alias("question"),
+        output_text.alias("correct_answer"),
+        F.when(ex_type == "vocabulary", lines(input_text)).alias("options"),
+        output_text.alias("explanation"),
+        F.when(ex_type == "grammar", F.substring_index(output_text, "\n", 1)).alias("grammar_rule"),
+        F.when(ex_type == "translation", F.split(output_text, " ")).alias("key_vocabulary"),
+        F.element_at(levels, ((eid / 3).cast("bigint") % 3 + 1).cast("int")).alias("difficulty"),
+        F.when(eid % 2 == 0, F.lit("Podpowiedź")).alias("hint"),
         F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("timestamp"),
     )
 
@@ -141,44 +144,54 @@ def voice_for(language: Column) -> Column:
 
 
 def history_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """History with the payload columns of every kind (§1.3 schema), JSON bodies serialised.
-    (The stored table is keyed by ``store.FIXTURE_VERSION``: bump it when this changes.)
-
-    Columns a query does not select are pruned by Catalyst, so the JSON is only built when
-    a query reads ``analysis_data`` / ``exercise_data``.
-    """
-    # words are split once, in their own projection, and reused by both JSON bodies
-    h = history(spark, sf_dir).withColumn("_w", words(F.col("input_text")))
-    is_tips = F.col("mode") == "learning_tips"
-    tips = F.split(F.col("output_text"), "\n")
-    return h.select(
+    """Records of all six kinds with their payload columns (§1.3 schema), JSON bodies serialised.
+    (The stored table is keyed by ``store.FIXTURE_VERSION``: bump it when this changes.)"""
+    h = history(spark, sf_dir)
+    mode = F.col("mode")
+    is_tips = mode == "learning_tips"
+    has_audio = (mode == "translation") & (F.col("eid") % 3 == 0) & (F.length("output_text") > 0)
+    records = h.select(
         "id", "ts", "mode", "language",
-        F.when(F.col("mode") == "exercise", F.lit("")).when(~is_tips, F.col("input_text"))
-        .alias("input_text"),
-        F.when(F.col("mode").isin("analysis", "exercise"), F.lit(""))
+        F.when(mode == "exercise", F.lit("")).when(~is_tips, F.col("input_text")).alias("input_text"),
+        F.when(mode.isin("analysis", "exercise"), F.lit(""))
         .when(~is_tips, F.col("output_text")).alias("output_text"),
         "explanation",
-        F.when(F.col("mode") == "analysis",
-               F.to_json(analysis_struct(F.col("_w"), F.col("input_text"), F.col("output_text"))))
+        F.when(mode == "analysis", F.to_json(analysis_struct(F.col("input_text"), F.col("output_text"))))
         .alias("analysis_data"),
-        F.when(F.col("mode") == "exercise",
-               F.to_json(exercise_struct(F.col("id"), F.col("ts"), F.col("_w"), F.col("input_text"),
-                                         F.col("output_text"))))
+        F.when(mode == "analysis", F.size(lines(F.col("input_text")))).alias("n_vocabulary"),
+        F.when(mode == "exercise",
+               F.to_json(exercise_struct(F.col("eid"), F.col("ts"), F.col("input_text"), F.col("output_text"))))
         .alias("exercise_data"),
-        F.when(F.col("mode") == "translation", voice_for(F.col("language"))).alias("voice"),
-        F.lit(False).alias("has_audio"),
-        F.lit(None).cast("string").alias("audio_data"),
-        F.when(is_tips, F.array_join(tips, "\n")).alias("tips_text"),
-        F.when(is_tips, F.size(tips)).alias("tips_count"),
+        F.when(mode == "translation", voice_for(F.col("language"))).alias("voice"),
+        has_audio.alias("has_audio"),
+        F.when(has_audio, T.b64(F.encode("output_text", "UTF-8"))).alias("audio_data"),
+        F.when(is_tips, F.col("output_text")).alias("tips_text"),
+        F.when(is_tips, F.size(lines(F.col("output_text")))).alias("tips_count"),
         "doc_id",
         "user_id",
     )
+    sessions = C.session_records(C.snapshots(C.messages(
+        read_table(spark, sf_dir, "conversations"), conversation_language())))
+    return records.unionByName(sessions, allowMissingColumns=True)
+
+
+def conversation_language() -> Column:
+    """Languages for the conversations, which carry none."""
+    names = list(LANG_CODE_TO_NAME.values())
+    return F.element_at(F.array(*[F.lit(n) for n in names]),
+                        (F.col("conv_id") % len(names) + 1).cast("int"))
 
 
 # The same derivation as SQL text, runnable on DuckDB (and Spark SQL).
 HISTORY_CTE = """
+snaps AS (
+  SELECT conv_id, turn, role,
+    count(*) OVER w AS message_count,
+    string_agg(role || ': ' || text, chr(10)) OVER w AS chat_text
+  FROM conversations
+  WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
 h AS (
-  SELECT e.event_id AS id, e.ts,
+  SELECT CAST(e.event_id AS VARCHAR) AS id, e.event_id AS eid, e.ts,
     CASE e.event_type WHEN 'view' THEN 'translation' WHEN 'click' THEN 'correction'
       WHEN 'purchase' THEN 'analysis' WHEN 'signup' THEN 'exercise' ELSE 'learning_tips' END AS mode,
     CASE d.lang WHEN 'en' THEN 'angielski' WHEN 'de' THEN 'niemiecki'
@@ -186,8 +199,13 @@ h AS (
     d.text AS input_text, b.text AS output_text,
     CASE WHEN e.event_type = 'click' THEN
       CASE WHEN e.event_id % 7 = 0 THEN '' ELSE b.text END END AS explanation,
-    d.doc_id, e.user_id
+    d.doc_id, e.user_id, CAST(NULL AS VARCHAR) AS chat_text, CAST(NULL AS BIGINT) AS message_count
   FROM events e
   JOIN documents d ON d.doc_id = e.event_id % (SELECT count(*) FROM documents)
-  JOIN benchmark b ON b.item_id = e.event_id % (SELECT count(*) FROM benchmark))
+  JOIN benchmark b ON b.item_id = e.event_id % (SELECT count(*) FROM benchmark)
+  UNION ALL
+  SELECT conv_id || ':' || turn, NULL, TIMESTAMP '2024-01-01' + to_seconds(turn), 'chat_session',
+    ['angielski', 'niemiecki', 'francuski', 'hiszpański'][conv_id % 4 + 1], NULL, NULL, NULL, NULL, NULL,
+    chat_text, message_count
+  FROM snaps WHERE role = 'assistant' AND message_count >= 2)
 """

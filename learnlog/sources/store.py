@@ -1,27 +1,28 @@
 """The history table on storage: a Parquet folder partitioned by ``mode``.
 
-Reads prune partitions on ``mode`` and push the remaining predicates into the scan. Edits
-are DataFrame jobs that write a new version folder (append adds files to the current
-version; upsert / delete / clear write the next version), so a lost executor only re-runs
-its tasks and readers never see a half-written table. The folder lives under the shared
-``spark.checkpoint.dir`` unless a root is given.
+Appends add files, sorted by ``ts``; an edit replaces the partitions of the kinds it touches
+(dynamic partition overwrite) and leaves the others alone. One writer at a time: an edit holds
+a lock file, created atomically beside the table, from reading its base to the end of its
+write, so that no edit works on an outdated base. The schema is kept beside the data, so an
+empty table still reads. The folder must be shared by the driver and all executors.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
-import os
 import threading
-import uuid
+import time
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from learnlog.operators import history as H
-from learnlog.session import checkpoint_dir
+from learnlog.functions import json as J
+from learnlog.session import checkpoint_dir, written
 from learnlog.sources import fixtures as FX
+from learnlog.sources.tables import table_path
 
 
 def _fs(spark: SparkSession, path: str):
@@ -67,167 +68,180 @@ def list_dirs(spark: SparkSession, path: str) -> list[str]:
     return sorted(s.getPath().getName() for s in fs.listStatus(p) if s.isDirectory())
 
 
-SCHEMA_FILE = "_schema.json"
-
 # One wide nullable schema for all six record kinds (fields a kind lacks are null).
+# ``n_vocabulary`` counts an analysis' vocabulary when it is stored, so that summaries need not
+# parse the body.
 HISTORY_DDL = ("id string, ts timestamp_ntz, mode string, language string, input_text string, "
-               "output_text string, explanation string, analysis_data string, exercise_data string, "
-               "voice string, has_audio boolean, audio_data string, chat_text string, "
+               "output_text string, explanation string, analysis_data string, n_vocabulary int, "
+               "exercise_data string, voice string, has_audio boolean, audio_data string, chat_text string, "
                "message_count int, context string, tips_text string, tips_count int")
 
-
 _BUILD_LOCK = threading.RLock()
 
 
 class HistoryStore:
-    """Versioned history table: ``<root>/v=<n>/mode=<kind>/part-*.parquet``."""
+    """``<root>/data/mode=<kind>/part-*.parquet``, ``<root>/schema.json``, ``<root>/lock``."""
 
-    def __init__(self, spark: SparkSession, root: str):
+    def __init__(self, spark: SparkSession, root: str, lock_seconds: float = 600):
         self.spark = spark
         self.root = root.rstrip("/")
-
-    def _versions(self) -> list[int]:
-        return sorted(int(d[2:]) for d in list_dirs(self.spark, self.root)
-                      if d.startswith("v=") and d[2:].isdigit())
-
-    def _current(self) -> str | None:
-        ok = [v for v in self._versions()
-              if path_exists(self.spark, f"{self.root}/v={v}/_SUCCESS")]
-        return f"{self.root}/v={ok[-1]}" if ok else None
-
-    def _next(self) -> str:
-        vs = self._versions()
-        return f"{self.root}/v={(vs[-1] + 1) if vs else 0}"
+        self.path = f"{self.root}/data"
+        self.lock_seconds = lock_seconds
+
+    @contextmanager
+    def locked(self):
+        """Hold the table's lock. A writer waits up to ``lock_seconds`` for another to finish; a
+        lock left by a writer that died is removed with ``unlock``."""
+        fs, p = _fs(self.spark, f"{self.root}/lock")
+        until = time.monotonic() + self.lock_seconds
+        while True:
+            try:
+                fs.create(p, False).close()  # fails if the file exists
+                break
+            except Exception as e:
+                if not fs.exists(p) or time.monotonic() > until:
+                    raise RuntimeError(f"the history table {self.root} is locked, or cannot be") from e
+                time.sleep(0.2)
+        try:
+            yield
+        finally:
+            fs.delete(p, False)
+
+    def unlock(self) -> None:
+        fs, p = _fs(self.spark, f"{self.root}/lock")
+        fs.delete(p, False)
 
     def exists(self) -> bool:
-        return self._current() is not None
+        return path_exists(self.spark, f"{self.root}/schema.json")
 
-    def current_path(self) -> str | None:
-        """Folder of the newest complete version (None when there is none)."""
-        return self._current()
+    def schema(self) -> T.StructType:
+        if not self.exists():
+            raise FileNotFoundError(f"no history table under {self.root}")
+        return T.StructType.fromJson(json.loads(_read_text(self.spark, f"{self.root}/schema.json")))
 
     def read(self) -> DataFrame:
-        cur = self._current()
-        if cur is None:
-            raise FileNotFoundError(f"no history table under {self.root}")
-        # the schema is kept beside the data so an empty table (no files) still reads
-        if not path_exists(self.spark, f"{cur}/{SCHEMA_FILE}"):
-            return self.spark.read.parquet(cur)
-        schema = T.StructType.fromJson(json.loads(_read_text(self.spark, f"{cur}/{SCHEMA_FILE}")))
-        return self.spark.read.schema(schema).parquet(cur)
-
-    def _write_version(self, df: DataFrame) -> None:
-        """Write into a private folder, then rename it to the next version number (a rename is
-        atomic on HDFS and local file systems): readers and concurrent writers never see a
-        partly written version. If another writer took the number first, try the next one."""
-        staging = f"{self.root}/_staging-{uuid.uuid4().hex}"
-        df.write.mode("overwrite").partitionBy("mode").parquet(staging)
-        cols = [f for f in df.schema.fields if f.name != "mode"] + [df.schema["mode"]]
-        _write_text(self.spark, f"{staging}/{SCHEMA_FILE}", T.StructType(cols).json())
-        fs, src = _fs(self.spark, staging)
-        for _ in range(100):
-            target = self._next()
-            _, dst = _fs(self.spark, target)
-            if not fs.exists(dst) and fs.rename(src, dst):
-                return
-        raise RuntimeError(f"could not publish a new version under {self.root}")
-
-    def vacuum(self, keep: int = 2) -> list[str]:
-        """Delete all but the newest ``keep`` complete versions (table maintenance; readers
-        of the current version are unaffected)."""
-        done = [v for v in self._versions()
-                if path_exists(self.spark, f"{self.root}/v={v}/_SUCCESS")]
-        removed = []
-        for v in done[:-keep] if keep > 0 else []:
-            fs, p = _fs(self.spark, f"{self.root}/v={v}")
-            if fs.delete(p, True):
-                removed.append(f"v={v}")
-        return removed
+        return self.spark.read.schema(self.schema()).option("basePath", self.path).parquet(self.path)
 
     def create_if_missing(self, schema_df: DataFrame | None = None) -> None:
         """Create an empty table (the wide history schema unless another is given)."""
         if not self.exists():
-            if schema_df is None:
-                schema_df = self.spark.createDataFrame([], HISTORY_DDL)
-            self._write_version(schema_df.limit(0))
-
-    def append(self, records: DataFrame) -> None:
-        """Add records to the current version (no rewrite of existing files). Records are
-        conformed to the stored schema: the translation payload's ``target_language`` becomes
-        the unified ``language``, missing fields are null, types are cast."""
-        self.create_if_missing()
-        self._conform(records).write.mode("append").partitionBy("mode").parquet(self._current())
+            fields = (schema_df or self.spark.createDataFrame([], HISTORY_DDL)).schema.fields
+            fs, p = _fs(self.spark, self.path)
+            fs.mkdirs(p)
+            _write_text(self.spark, f"{self.root}/schema.json", T.StructType(
+                [f for f in fields if f.name != "mode"] + [f for f in fields if f.name == "mode"]).json())
 
     def _conform(self, records: DataFrame) -> DataFrame:
-        """Records in the stored column order and types; missing fields null."""
+        """Records in the stored column order and types; missing fields null; a translation's
+        ``target_language`` becomes the unified ``language``."""
         if "target_language" in records.columns and "language" not in records.columns:
             records = records.withColumnRenamed("target_language", "language")
+        if "analysis_data" in records.columns and "n_vocabulary" not in records.columns:
+            records = records.withColumn("n_vocabulary", J.vocabulary_size("analysis_data"))
         return records.select(*[
             (F.col(f.name) if f.name in records.columns else F.lit(None)).cast(f.dataType).alias(f.name)
-            for f in self.read().schema.fields])
+            for f in self.schema().fields])
+
+    def _write(self, df: DataFrame, mode: str) -> None:
+        (df.sortWithinPartitions("mode", "ts").write.mode(mode).option("partitionOverwriteMode", "dynamic")
+         .partitionBy("mode").parquet(self.path))
+
+    def append(self, records: DataFrame) -> None:
+        """Add records (no existing file is rewritten)."""
+        self.create_if_missing()
+        with self.locked():
+            self._write(self._conform(records), "append")
+
+    def _replace(self, keys: DataFrame, key: str, incoming: DataFrame | None) -> None:
+        """Take the records whose key is in ``keys`` out, put ``incoming`` in; only the partitions
+        that lose or gain records are written."""
+        old = self.read()
+        hit = {r["mode"] for r in old.join(keys, key, "left_semi").select("mode").distinct().collect()}
+        new = set() if incoming is None else {r["mode"] for r in incoming.select("mode").distinct().collect()}
+        if not hit and new:
+            self._write(incoming, "append")
+            return
+        kept = old.where(F.col("mode").isin(*hit)).join(keys, key, "left_anti").select(*old.columns)
+        if incoming is not None:
+            untouched = new - hit  # these partitions only gain records
+            if untouched:
+                self._write(incoming.where(F.col("mode").isin(*untouched)), "append")
+            kept = kept.unionByName(incoming.where(F.col("mode").isin(*hit)))
+        if hit:
+            kept = written(kept, "history-edit")  # a partition is not overwritten while it is read
+            left = {r["mode"] for r in kept.select("mode").distinct().collect()}
+            self._write(kept, "overwrite")
+            for gone in hit - left:
+                fs, p = _fs(self.spark, f"{self.path}/mode={gone}")
+                fs.delete(p, True)
 
     def upsert(self, records: DataFrame, key: str = "id") -> None:
-        """Same id replaces the stored record (latest ``ts`` wins, incoming wins ties)."""
+        """The given records replace stored ones of the same id, whatever their times. Of records
+        given twice the one with the latest ``ts`` counts."""
         self.create_if_missing()
-        merged = H.upsert(self.read(), self._conform(records), key=key)
-        self._write_version(merged.select(*self.read().columns))
+        with self.locked():
+            cols = self.schema().names
+            incoming = self._conform(records)
+            best = F.max(F.struct("ts", *[c for c in cols if c not in (key, "ts")])).alias("b")
+            incoming = written(incoming.groupBy(key).agg(best).select(key, "b.*").select(*cols), "upsert")
+            self._replace(incoming.select(key), key, incoming)
 
     def delete(self, ids: DataFrame, key: str = "id") -> None:
         """Remove the records whose ``key`` is in ``ids``."""
-        self._write_version(H.delete_items(self.read(), ids, key))
+        with self.locked():
+            self._replace(ids.select(F.col(key).cast(self.schema()[key].dataType)), key, None)
 
     def clear_all(self) -> None:
-        self._write_version(H.clear_all(self.read()))
+        """Remove every record; the empty table stays."""
+        with self.locked():
+            fs, p = _fs(self.spark, self.path)
+            fs.delete(p, True)
+            fs.mkdirs(p)
+
+    def fingerprint(self) -> str:
+        """Identifies the table's present contents: every write makes part files of new names."""
+        return hashlib.sha1("|".join(sorted(self.read().inputFiles())).encode()).hexdigest()[:16]
 
 
 # Bump when the derivation in ``fixtures.history_records`` changes, so a table written by an
 # older derivation is never reused.
-FIXTURE_VERSION = "4"
+FIXTURE_VERSION = "5"
 # Bump when the logic behind a derived table (e.g. ``analysis.summary_text``) changes.
-DERIVED_VERSION = "2"
+DERIVED_VERSION = "3"
 
 
 def derived_table(spark: SparkSession, store: HistoryStore, name: str, build) -> DataFrame:
-    """A table derived from the current history version (e.g. the per-language summary),
-    written once beside that version in ``_derived/<name>`` (paths starting with ``_`` are
-    ignored by the Parquet reader of the history itself) and reused by every later query.
-    A new history version gets its own derived tables; vacuum removes them with it."""
-    cur = store.current_path()
-    if cur is None:
-        raise FileNotFoundError(f"no history table under {store.root}")
-    target = f"{cur}/_derived/{name}-{DERIVED_VERSION}"
-    if not path_exists(spark, f"{target}/_SUCCESS"):
-        with _BUILD_LOCK:
-            if not path_exists(spark, f"{target}/_SUCCESS"):
-                staging = f"{cur}/_derived/_staging-{name}-{uuid.uuid4().hex}"
-                build(store.read()).write.mode("overwrite").parquet(staging)
-                fs, src = _fs(spark, staging)
-                _, dst = _fs(spark, target)
-                if not fs.rename(src, dst) and not fs.exists(dst):
-                    raise RuntimeError(f"could not publish {target}")
+    """A table derived from the store's present contents (e.g. the per-language summary),
+    written once under ``<root>/derived`` and reused until the contents change."""
+    target = f"{store.root}/derived/{name}-{DERIVED_VERSION}-{store.fingerprint()}"
+    with _BUILD_LOCK:
+        if not path_exists(spark, f"{target}/_SUCCESS"):
+            build(store.read()).write.mode("overwrite").parquet(target)
     return spark.read.parquet(target)
 
 
-def _fixture_key(sf_dir: str) -> str:
-    parts = [FIXTURE_VERSION, os.path.abspath(sf_dir)]
-    for name in ("events", "documents", "benchmark"):
-        p = os.path.join(sf_dir, f"{name}.parquet")
-        if os.path.exists(p):
-            st = os.stat(p)
-            parts.append(f"{name}:{st.st_size}:{int(st.st_mtime)}")
+def _fixture_key(spark: SparkSession, sf_dir: str) -> str:
+    """Identifies the input files by their Hadoop status (path, size, time of every part)."""
+    parts = [FIXTURE_VERSION]
+    for name in ("events", "documents", "benchmark", "conversations"):
+        fs, p = _fs(spark, table_path(sf_dir, name))
+        parts += sorted(f"{s.getPath()}:{s.getLen()}:{s.getModificationTime()}" for s in fs.listStatus(p))
     return hashlib.sha1("|".join(parts).encode()).hexdigest()[:16]
 
 
 def history_store(spark: SparkSession, sf_dir: str) -> HistoryStore:
-    return HistoryStore(spark, f"{checkpoint_dir(spark)}/learnlog-history/{_fixture_key(sf_dir)}")
+    return HistoryStore(spark, f"{checkpoint_dir(spark)}/learnlog-history/{_fixture_key(spark, sf_dir)}")
 
 
 def build_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ingest job: derive every history record from the driver tables (the append path
     of all kinds, JSON bodies serialised once) and write the table partitioned by ``mode``."""
     store = history_store(spark, sf_dir)
-    store._write_version(FX.history_records(spark, sf_dir))
-    store.vacuum(keep=2)
+    records = FX.history_records(spark, sf_dir)
+    store.create_if_missing(records)
+    store.clear_all()
+    store.append(records)
+    _write_text(spark, f"{store.root}/built", "")
     return store.read()
 
 
@@ -235,9 +249,7 @@ def history_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stored history for ``sf_dir``, built on first use (once per process even when
     queries are started from several threads)."""
     store = history_store(spark, sf_dir)
-    if store.exists():
-        return store.read()
     with _BUILD_LOCK:
-        if not store.exists():
+        if not path_exists(spark, f"{store.root}/built"):
             return build_history(spark, sf_dir)
     return store.read()

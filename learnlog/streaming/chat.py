@@ -1,103 +1,55 @@
-"""Chat-session snapshots as a stateful stream.
-
-Each conversation's messages arrive as rows. Per conversation (state keyed by ``conv_id``,
-kept in the checkpoint location) the stream holds the number of messages already counted,
-the next expected turn, and the turns that arrived early. Messages are consumed strictly in
-turn order; a snapshot record is emitted at every assistant message once the conversation
-holds at least two messages - the batch equivalent is ``operators.chat.snapshots``.
-
-Turns are expected to start at 0 and be contiguous. A turn that arrives before an earlier one
-waits in state until the gap is filled. With ``gap_timeout_ms`` (for a stream on a
-processing-time trigger) waiting turns are released in order once the conversation has had no
-new message for that long, so an abandoned conversation does not hold state forever. Without
-it (``availableNow`` runs: a processing-time timeout makes the operator ask for another
-micro-batch forever) waiting turns stay in state until their gap is filled.
+"""Chat-session snapshots as a stream over message files.
+
+A trigger takes the conversations that got messages, reads all their messages and computes their
+snapshots as the batch form does (``operators.chat.snapshots``). So turns may start at any
+number, have gaps, arrive late or out of order, and no state is kept per conversation beyond the
+message files themselves: what a conversation needs is read when it grows, and an abandoned one
+costs nothing. Each trigger writes the snapshots of its conversations to a folder of its own;
+``current_snapshots`` takes each conversation from the newest one.
 """
 
 from __future__ import annotations
 
-from typing import Iterator
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.streaming.state import GroupStateTimeout
+from learnlog.operators import chat as C
+from learnlog.sources.store import list_dirs
 
-from learnlog.session import ship_package
 
-OUT_SCHEMA = "conv_id long, turn long, message_count long"
-STATE_SCHEMA = "seen long, next_turn long, pending_turns array<long>, pending_roles array<string>"
-GAP_TIMEOUT_MS = 60 * 60 * 1000   # suggested value for continuously running streams
+def newest_result(spark: SparkSession, out_path: str) -> DataFrame:
+    """The newest complete result folder."""
+    return spark.read.parquet(f"{out_path}/{[d for d in list_dirs(spark, out_path) if d.startswith('batch=')][-1]}")
 
 
-def _release(turns, roles, seen, next_turn, force):
-    """Consume turns in order from ``next_turn``; with ``force`` skip over gaps."""
-    out_t, out_n = [], []
-    keep_t, keep_r = [], []
-    for t, r in sorted(zip(turns, roles)):
-        if t < next_turn:
-            continue                      # already counted (duplicate delivery)
-        if t > next_turn and not force:
-            keep_t.append(t)
-            keep_r.append(r)
-            continue
-        if keep_t and not force:          # a gap is still open before this turn
-            keep_t.append(t)
-            keep_r.append(r)
-            continue
-        seen += 1
-        next_turn = t + 1
-        if r == "assistant" and seen >= 2:
-            out_t.append(t)
-            out_n.append(seen)
-    return out_t, out_n, keep_t, keep_r, seen, next_turn
+def _folder(path: str) -> tuple[str, str]:
+    """A folder of message files as it is; one file as its folder and a pattern for its name."""
+    if path.endswith(".parquet") and "/" in path:
+        return tuple(path.rsplit("/", 1))
+    return path, "*"
 
 
-def _make_snapshots(gap_timeout_ms: int | None):
-    def snapshots(key, pdfs: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        if state.exists:
-            seen, next_turn, p_turns, p_roles = state.get
-            p_turns, p_roles = list(p_turns or []), list(p_roles or [])
-        else:
-            seen, next_turn, p_turns, p_roles = 0, 0, [], []
-        force = state.hasTimedOut
-        turns, roles = list(p_turns), list(p_roles)
-        if not force:
-            for pdf in pdfs:
-                turns.extend(int(t) for t in pdf["turn"])
-                roles.extend(pdf["role"].tolist())
-        out_t, out_n, keep_t, keep_r, seen, next_turn = _release(turns, roles, seen, next_turn, force)
-        if force and not keep_t:
-            state.remove()
-        else:
-            state.update((seen, next_turn, keep_t, keep_r))
-            if keep_t and gap_timeout_ms:
-                state.setTimeoutDuration(gap_timeout_ms)
-        yield pd.DataFrame({"conv_id": [key[0]] * len(out_t), "turn": out_t, "message_count": out_n},
-                           columns=["conv_id", "turn", "message_count"]).astype("int64")
-    return snapshots
+def run_chat_snapshots(spark: SparkSession, conversations_path: str, schema, language: Column, out_path: str,
+                       checkpoint: str, available_now: bool = True, interval_seconds: int = 30) -> DataFrame | object:
+    """With ``available_now`` the snapshots after what is there now; else the running query."""
+    folder, pattern = _folder(conversations_path)
 
+    def publish(batch: DataFrame, batch_id: int) -> None:
+        grown = batch.select("conv_id").distinct()
+        rows = spark.read.schema(schema).option("pathGlobFilter", pattern).parquet(folder)
+        snaps = C.snapshots(C.messages(rows.join(grown, "conv_id", "left_semi"), language))
+        snaps.write.mode("overwrite").parquet(f"{out_path}/batch={batch_id:09d}")
 
-def chat_snapshot_stream(spark: SparkSession, conversations_path: str, schema,
-                         gap_timeout_ms: int | None = None) -> DataFrame:
-    """``conversations_path`` is a folder of message files, or one file (then its folder is
-    watched for files of that name)."""
-    reader = spark.readStream.schema(schema)
-    if conversations_path.endswith(".parquet") and "/" in conversations_path:
-        folder, name = conversations_path.rsplit("/", 1)
-        reader = reader.option("pathGlobFilter", name)
-        conversations_path = folder
-    ship_package(spark)
-    src = reader.parquet(conversations_path)
-    return src.select("conv_id", "turn", "role").groupBy("conv_id").applyInPandasWithState(
-        _make_snapshots(gap_timeout_ms), OUT_SCHEMA, STATE_SCHEMA, "append",
-        GroupStateTimeout.ProcessingTimeTimeout if gap_timeout_ms else GroupStateTimeout.NoTimeout)
+    writer = (spark.readStream.schema(schema).option("pathGlobFilter", pattern).parquet(folder).select("conv_id")
+              .writeStream.option("checkpointLocation", checkpoint).foreachBatch(publish))
+    if not available_now:
+        return writer.trigger(processingTime=f"{interval_seconds} seconds").start()
+    writer.trigger(availableNow=True).start().awaitTermination()
+    return current_snapshots(spark, out_path)
 
 
-def run_chat_snapshots(spark: SparkSession, conversations_path: str, schema, out_path: str,
-                       checkpoint: str):
-    """Process what is available now (tests, scheduled runs) and stop."""
-    q = (chat_snapshot_stream(spark, conversations_path, schema).writeStream
-         .outputMode("append").format("parquet").option("path", out_path)
-         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
-    q.awaitTermination()
-    return q
+def current_snapshots(spark: SparkSession, out_path: str) -> DataFrame:
+    """The snapshots of every conversation as its last trigger left them."""
+    rows = spark.read.parquet(out_path)
+    last = F.max("batch").over(Window.partitionBy("conv_id"))
+    return rows.withColumn("_last", last).where("batch = _last").drop("batch", "_last")

@@ -1,40 +1,34 @@
-"""Running per-language, per-kind record counts over the history folder (Structured Streaming).
+"""Running per-language, per-kind record counts of the history table (Structured Streaming).
 
-The history view refresh of the app becomes a stream over the table's files: new files
-are picked up per trigger (``processingTime`` on a cluster, ``availableNow`` in tests),
-the count state lives in the checkpoint location (shared folder), and each trigger writes
-the complete, current counts to the output table.
+The history view refresh of the app becomes a stream over the table's files: a file that appears,
+be it by an append or by an edit that wrote a partition anew, triggers a count over the table
+as it then is (two columns are read), so upserts and deletes are seen as well. Each trigger writes
+its result to a folder of its own; readers take the newest complete one.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from learnlog import constants as K
-
-
-def language_counts_stream(spark: SparkSession, history_path: str, schema) -> DataFrame:
-    src = (spark.readStream.schema(schema).option("basePath", history_path)
-           .parquet(history_path))
-    return src.groupBy("language", "mode").agg(F.count(F.lit(1)).alias("n"))
-
-
-def run_language_counts(spark: SparkSession, history_path: str, schema, out_path: str,
-                        checkpoint: str, available_now: bool = True,
-                        interval_seconds: int = K.REFRESH_INTERVAL_SECONDS):
-    counts = language_counts_stream(spark, history_path, schema)
-
-    def publish(batch: DataFrame, batch_id: int) -> None:
-        # complete mode: every micro-batch carries the whole current result (one row per
-        # language x kind), written as the new version of the output table
-        batch.write.mode("overwrite").parquet(out_path)
-
-    writer = counts.writeStream.outputMode("complete").option("checkpointLocation", checkpoint) \
-        .foreachBatch(publish)
-    writer = writer.trigger(availableNow=True) if available_now else \
-        writer.trigger(processingTime=f"{interval_seconds} seconds")
-    q = writer.start()
-    if available_now:
-        q.awaitTermination()
-    return q
+from learnlog.sources.store import HistoryStore
+from learnlog.streaming.chat import newest_result
+
+
+def run_language_counts(store: HistoryStore, out_path: str, checkpoint: str, available_now: bool = True,
+                        interval_seconds: int = K.REFRESH_INTERVAL_SECONDS) -> DataFrame | object:
+    """With ``available_now`` the counts after what is there now; else the running query."""
+    spark = store.spark
+    changes = (spark.readStream.schema(store.schema()).option("basePath", store.path).parquet(store.path)
+               .select("mode"))
+
+    def publish(_: DataFrame, batch_id: int) -> None:
+        (store.read().groupBy("language", "mode").agg(F.count(F.lit(1)).alias("n"))
+         .write.mode("overwrite").parquet(f"{out_path}/batch={batch_id:09d}"))
+
+    writer = changes.writeStream.option("checkpointLocation", checkpoint).foreachBatch(publish)
+    if not available_now:
+        return writer.trigger(processingTime=f"{interval_seconds} seconds").start()
+    writer.trigger(availableNow=True).start().awaitTermination()
+    return newest_result(spark, out_path)

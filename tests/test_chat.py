@@ -1,4 +1,6 @@
 """Transcripts (A6), snapshots (W6), transcript parsing round trip (X15, Q3)."""
+from pyspark.sql import functions as F
+
 from learnlog.operators import chat as C
 
 EDGE_CHAT = [
@@ -14,7 +16,8 @@ EDGE_CHAT = [
 
 
 def _msgs(spark):
-    return C.messages(spark.createDataFrame(EDGE_CHAT, "conv_id long, turn long, role string, text string"))
+    return C.messages(spark.createDataFrame(EDGE_CHAT, "conv_id long, turn long, role string, text string"),
+                      F.lit("angielski"))
 
 
 def test_transcript_orders_by_turn(spark):

@@ -18,14 +18,14 @@ def _hist(spark, rows):
                                        "input_text string")
 
 
-def test_upsert_latest_wins_and_incoming_wins_ties(spark):
+def test_upsert_replaces_whatever_the_times(spark):
     old = _hist(spark, [("a", T0, "translation", "angielski", "v1"),
-                        ("b", T0, "translation", "angielski", "b1")])
+                        ("b", T0, "translation", "angielski", "b1"), ("d", T0, "translation", "angielski", "d1")])
     new = _hist(spark, [("a", T0 + dt.timedelta(seconds=5), "translation", "angielski", "v2"),
-                        ("b", T0, "translation", "angielski", "b2"),
+                        ("b", T0 - dt.timedelta(days=9), "translation", "angielski", "b2"),
                         ("c", T0, "correction", "niemiecki", "c1")])
     got = {r.id: r.input_text for r in H.upsert(old, new).collect()}
-    assert got == {"a": "v2", "b": "b2", "c": "c1"}
+    assert got == {"a": "v2", "b": "b2", "c": "c1", "d": "d1"}
 
 
 def test_latest_per_key_is_partial_aggregate(spark):
@@ -55,8 +55,56 @@ def test_store_append_upsert_delete_clear(spark, scratch):
     assert "PartitionFilters" in plan and "translation" in plan
     store.clear_all()
     assert store.read().count() == 0 and store.read().columns == r.columns
-    removed = store.vacuum(keep=1)
-    assert len(removed) >= 2 and store.read().count() == 0
+    store.append(base)
+    assert store.read().count() == 10
+
+
+def _texts(store):
+    return sorted((r.id, r.mode, r.input_text) for r in store.read().collect())
+
+
+def test_store_edits(spark, scratch):
+    store = HistoryStore(spark, f"{scratch}/h")
+    store.append(_hist(spark, [("a", T0, "translation", "angielski", "a1"), ("b", T0, "translation", "angielski", "b1"),
+                               ("c", T0, "correction", "angielski", "c1"), ("e", T0, "analysis", "angielski", "e1")]))
+    analyses = lambda: {f for f in store.read().inputFiles() if "mode=analysis" in f}
+    untouched = analyses()
+    # an older time replaces; a record may move to another kind; a kind may lose its last record
+    store.upsert(_hist(spark, [("a", T0 - dt.timedelta(days=1), "translation", "angielski", "a0"),
+                               ("c", T0, "exercise", "angielski", "c2"), ("n", T0, "exercise", "angielski", "n1"),
+                               ("n", T0 + dt.timedelta(1), "exercise", "angielski", "n2")]))
+    assert _texts(store) == [("a", "translation", "a0"), ("b", "translation", "b1"), ("c", "exercise", "c2"),
+                             ("e", "analysis", "e1"), ("n", "exercise", "n2")]
+    store.delete(spark.createDataFrame([("a",), ("b",), ("none",)], "id string"))
+    assert _texts(store) == [("c", "exercise", "c2"), ("e", "analysis", "e1"), ("n", "exercise", "n2")]
+    assert untouched and untouched == analyses()  # not written again
+
+
+def test_interleaved_edits_lose_nothing(spark, scratch):
+    """A second writer waits until the first has written, then works on what that wrote."""
+    import threading
+    a, b = HistoryStore(spark, f"{scratch}/h"), HistoryStore(spark, f"{scratch}/h")
+    a.append(_hist(spark, [("a", T0, "translation", "angielski", "a1"), ("b", T0, "translation", "angielski", "b1")]))
+    started, done = threading.Event(), []
+    plain = a._replace
+
+    def slow(*args):
+        started.set()
+        threading.Event().wait(1.0)
+        assert not done  # the other writer is still waiting
+        plain(*args)
+
+    a._replace = slow
+    first = threading.Thread(target=lambda: a.upsert(_hist(spark, [("a", T0, "translation", "angielski", "A")])))
+    first.start()
+    assert started.wait(60)
+    b.upsert(_hist(spark, [("b", T0, "translation", "angielski", "B")]))
+    done.append(1)
+    first.join()
+    assert _texts(b) == [("a", "translation", "A"), ("b", "translation", "B")]
+    blocked = HistoryStore(spark, f"{scratch}/h", lock_seconds=0.3)
+    with a.locked(), pytest.raises(RuntimeError):
+        blocked.delete(spark.createDataFrame([("a",)], "id string"))
 
 
 @pytest.mark.parametrize("parts", [1, 3, 8])
@@ -133,19 +181,48 @@ def test_summary_counts_sum_to_kind_counts(spark):
     assert snaps == expected
 
 
-def test_derived_table_follows_the_history_version(spark, scratch):
+def test_derived_table_follows_every_write(spark, scratch):
     from learnlog.sources.store import derived_table
     store = HistoryStore(spark, f"{scratch}/h")
     base = _hist(spark, [(str(i), T0, "translation", "angielski", "x") for i in range(5)])
-    store.append(base)
     count = lambda h: h.groupBy("language").count()
-    first = derived_table(spark, store, "counts", count).collect()
-    assert [(r.language, r["count"]) for r in first] == [("angielski", 5)]
-    # reading the history itself ignores the derived folder
-    assert store.read().count() == 5
+    now = lambda: sorted((r.language, r["count"]) for r in derived_table(spark, store, "counts", count).collect())
+    store.append(base)
+    assert now() == [("angielski", 5)]
+    store.append(_hist(spark, [("8", T0, "correction", "niemiecki", "y")]))
+    assert now() == [("angielski", 5), ("niemiecki", 1)]
     store.upsert(_hist(spark, [("9", T0, "translation", "niemiecki", "y")]))
-    second = sorted((r.language, r["count"]) for r in derived_table(spark, store, "counts", count).collect())
-    assert second == [("angielski", 5), ("niemiecki", 1)]
+    assert now() == [("angielski", 5), ("niemiecki", 2)]
+    store.delete(spark.createDataFrame([("8",)], "id string"))
+    assert now() == [("angielski", 5), ("niemiecki", 1)]
+    assert store.read().count() == 6
+
+
+def test_all_six_kinds_are_stored_and_read_back(spark, scratch):
+    from learnlog.operators import chat as C
+    store = HistoryStore(spark, f"{scratch}/six")
+    t = spark.createDataFrame([("in", "out", "angielski", "alloy", bytearray(b"sound"))],
+                              "input_text string, output_text string, language string, voice string, audio binary")
+    store.append(H.stamp(H.translation_records(t, "audio")))
+    c = spark.createDataFrame([("i", "o", "angielski", m, "why", '{"vocabulary_items": [{"word": "w"}]}', '{"type": "grammar"}')
+                               for m in ("correction", "analysis", "exercise")],
+                              "input_text string, output_text string, language string, mode string, explanation string, "
+                              "analysis_data string, exercise_data string")
+    store.append(H.stamp(H.correction_records(c)))
+    tips = spark.createDataFrame([("tip-1", "angielski", ["a", "b"])], "id string, language string, tips array<string>")
+    store.append(H.stamp(H.tips_records(tips)))            # keeps the id it has
+    msgs = C.messages(spark.createDataFrame([(7, 0, "user", "hi"), (7, 1, "assistant", "ho")],
+                                            "conv_id long, turn long, role string, text string"), F.lit("angielski"))
+    store.append(C.session_records(C.snapshots(msgs)))
+    h = store.read()
+    assert {r.mode for r in h.collect()} == {"translation", "correction", "analysis", "exercise", "learning_tips", "chat_session"}
+    assert bytes(H.get_translations(h).first().audio_data) == b"sound"
+    chat = H.get_chat_sessions(h).first()
+    assert (chat.id, chat.chat_text, chat.message_count, chat.context) == ("7:1", "user: hi\nassistant: ho", 2, "")
+    assert [(r.id, r.tips_text, r.tips_count) for r in H.get_tips_history(h).collect()] == [("tip-1", "a\nb", 2)]
+    assert {r.mode: r.n_vocabulary for r in h.collect()}["analysis"] == 1
+    assert {r.mode: r.n_with_text for r in H.history_union(h).collect()} == {
+        "translation": 1, "correction": 1, "analysis": 1, "exercise": 1, "learning_tips": 1, "chat_session": 1}
 
 
 def test_append_conforms_records_to_the_wide_schema(spark, scratch):

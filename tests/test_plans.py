@@ -7,7 +7,7 @@ from conftest import SF_SMALL
 PYTHON_NODES = ("MapInPandas", "PythonMapInArrow", "ArrowEvalPython", "BatchEvalPython",
                 "FlatMapGroupsInPandas", "FlatMapGroupsInPandasWithState")
 PYTHON_OK = {"model_translate", "model_correct", "model_analyze", "model_answer", "model_answer_plain",
-             "model_tips", "model_exercise", "model_word", "model_speech", "stream_chat_snapshots"}
+             "model_tips", "model_exercise", "model_word", "model_speech"}
 
 
 def _plan(df):
@@ -27,6 +27,25 @@ def test_every_page_is_a_top_n(spark):
         assert "TakeOrderedAndProject" in p and "rangepartitioning" not in p, key
 
 
+def test_the_cut_of_a_page_filters_the_scan(spark):
+    p = _plan(QUERIES["get_translations"](spark, SF_SMALL))
+    assert "GreaterThanOrEqual(ts" in p or "ts#" in p.split("DataFilters")[1].split("]")[0]
+
+
+def test_summary_parses_each_body_once(spark):
+    df = QUERIES["summary_text"](spark, SF_SMALL)
+    df.collect()
+    p = df._jdf.queryExecution().optimizedPlan().toString()
+    assert p.count("from_json(") == 1 and "Join" not in p
+
+
+def test_no_join_and_no_collected_texts(spark):
+    assert "Join" not in _plan(QUERIES["tips_context"](spark, SF_SMALL))
+    assert "collect_list" not in _plan(QUERIES["history_union"](spark, SF_SMALL))
+    for key in ("build_prompts", "validate_language"):
+        assert _plan(QUERIES[key](spark, SF_SMALL)).count("FileScan") == 1
+
+
 def test_per_group_top_n_is_limited_before_shuffle(spark):
     for key in ("vocabulary_top20", "recent_errors", "history_dashboard"):
         df = QUERIES[key](spark, SF_SMALL)

@@ -1,64 +1,65 @@
 """Stream = batch (M1 vs A1-style counts, M2 vs W6)."""
-import uuid
+import datetime as dt
 
 from pyspark.sql import functions as F
 
 from learnlog.operators import chat as C
-from learnlog.sources.store import history_table
+from learnlog.sources.fixtures import conversation_language
+from learnlog.sources.store import HistoryStore, history_store, history_table
 from learnlog.sources.tables import table_path
 from learnlog.streaming.chat import run_chat_snapshots
 from learnlog.streaming.counts import run_language_counts
 
 from conftest import SF_SMALL
 
+MESSAGES = "conv_id long, turn long, role string, text string"
+
+
+def _counts(df):
+    return sorted((r.language or "", r.mode, r.n) for r in df.collect())
+
 
 def test_language_counts_stream_equals_batch(spark, scratch):
-    from learnlog.sources.store import history_store
     h = history_table(spark, SF_SMALL)
-    path = history_store(spark, SF_SMALL).current_path()
-    out = f"{scratch}/{uuid.uuid4().hex}"
-    run_language_counts(spark, path, h.schema, f"{out}/o", f"{out}/c")
-    got = sorted(map(tuple, spark.read.parquet(f"{out}/o").select("language", "mode", "n").collect()))
-    exp = sorted(map(tuple, h.groupBy("language", "mode").agg(F.count(F.lit(1)).alias("n")).collect()))
-    assert got == exp
+    got = run_language_counts(history_store(spark, SF_SMALL), f"{scratch}/o", f"{scratch}/c")
+    assert _counts(got) == _counts(h.groupBy("language", "mode").agg(F.count(F.lit(1)).alias("n")))
+
+
+def test_edits_show_up_in_the_counts(spark, scratch):
+    store = HistoryStore(spark, f"{scratch}/h")
+    rows = lambda *r: spark.createDataFrame([(i, dt.datetime(2024, 1, 1), m, lang) for i, m, lang in r],
+                                            "id string, ts timestamp_ntz, mode string, language string")
+    run = lambda: _counts(run_language_counts(store, f"{scratch}/o", f"{scratch}/c"))
+    store.append(rows(("a", "translation", "x"), ("b", "translation", "x"), ("c", "correction", "y")))
+    assert run() == [("x", "translation", 2), ("y", "correction", 1)]
+    assert run() == [("x", "translation", 2), ("y", "correction", 1)]      # nothing new
+    store.upsert(rows(("b", "translation", "y"), ("d", "analysis", "x")))
+    assert run() == [("x", "analysis", 1), ("x", "translation", 1), ("y", "correction", 1), ("y", "translation", 1)]
+    store.delete(spark.createDataFrame([("a",)], "id string"))
+    assert run() == [("x", "analysis", 1), ("y", "correction", 1), ("y", "translation", 1)]
+
+
+def _snapshots(df):
+    return sorted((r.conv_id, r.turn, r.message_count, r.chat_text) for r in df.collect())
 
 
 def test_chat_snapshot_stream_equals_batch(spark, scratch):
     path = table_path(SF_SMALL, "conversations")
-    schema = spark.read.parquet(path).schema
-    out = f"{scratch}/{uuid.uuid4().hex}"
-    run_chat_snapshots(spark, path, schema, f"{out}/o", f"{out}/c")
-    got = sorted(map(tuple, spark.read.parquet(f"{out}/o").collect()))
-    batch = C.snapshots(C.messages(spark.read.parquet(path)))
-    exp = sorted(map(tuple, batch.select("conv_id", "turn", "message_count").collect()))
-    assert got == exp
-
-
-def test_chat_snapshot_stream_buffers_out_of_order_turns(spark, scratch):
-    schema = "conv_id long, turn long, role string, text string"
-    src = f"{scratch}/in"
-    first = [(1, 0, "user", "a"), (1, 2, "user", "c"), (2, 0, "user", "x"), (2, 1, "assistant", "y")]
-    second = [(1, 1, "assistant", "b"), (1, 3, "assistant", "d")]
-    spark.createDataFrame(first, schema).coalesce(1).write.mode("append").parquet(src)
-    out, ckpt = f"{scratch}/out", f"{scratch}/ckpt"
-    st = spark.createDataFrame([], schema).schema
-    run_chat_snapshots(spark, src, st, out, ckpt)
-    got1 = sorted(map(tuple, spark.read.parquet(out).collect()))
-    assert got1 == [(2, 1, 2)]                      # conversation 1 waits for turn 1
-    spark.createDataFrame(second, schema).coalesce(1).write.mode("append").parquet(src)
-    run_chat_snapshots(spark, src, st, out, ckpt)
-    got = sorted(map(tuple, spark.read.parquet(out).collect()))
-    batch = C.snapshots(C.messages(spark.createDataFrame(first + second, schema)))
-    assert got == sorted(map(tuple, batch.select("conv_id", "turn", "message_count").collect()))
-
-
-def test_release_order_and_forced_gap():
-    from learnlog.streaming.chat import _release
-    # turns 0, 1 present, 3 waits for 2
-    out_t, out_n, keep_t, _, seen, nxt = _release([3, 0, 1], ["assistant", "user", "assistant"], 0, 0, False)
-    assert (out_t, out_n, keep_t, seen, nxt) == ([1], [2], [3], 2, 2)
-    # on timeout the waiting turn is released over the gap
-    out_t, out_n, keep_t, _, seen, nxt = _release([3], ["assistant"], 2, 2, True)
-    assert (out_t, out_n, keep_t, seen, nxt) == ([3], [3], [], 3, 4)
-    # duplicates of counted turns are ignored
-    assert _release([0, 1], ["user", "assistant"], 2, 2, False)[:3] == ([], [], [])
+    rows = spark.read.parquet(path)
+    got = run_chat_snapshots(spark, path, rows.schema, conversation_language(), f"{scratch}/o", f"{scratch}/c")
+    assert _snapshots(got) == _snapshots(C.snapshots(C.messages(rows, conversation_language())))
+
+
+def test_chat_snapshots_with_gaps_late_rows_and_more_files(spark, scratch):
+    files = [
+        [(1, 0, "user", "a"), (1, 2, "user", "c"), (2, 0, "user", "x"), (2, 1, "assistant", "y"),
+         (3, 1, "user", "from one"), (3, 2, "assistant", "on"), (4, 0, "user", "gap"), (4, 7, "assistant", "later")],
+        [(1, 1, "assistant", "b"), (1, 3, "assistant", "d")],       # late, and in order
+        [(3, 0, "system", "before"), (5, 0, "assistant", "alone")],  # shifts conversation 3's counts
+    ]
+    schema, seen = spark.createDataFrame([], MESSAGES).schema, []
+    for part in files:
+        seen += part
+        spark.createDataFrame(part, MESSAGES).coalesce(1).write.mode("append").parquet(f"{scratch}/in")
+        got = run_chat_snapshots(spark, f"{scratch}/in", schema, F.lit("x"), f"{scratch}/out", f"{scratch}/ckpt")
+        assert _snapshots(got) == _snapshots(C.snapshots(C.messages(spark.createDataFrame(seen, MESSAGES), F.lit("x"))))
