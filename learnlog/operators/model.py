@@ -1,20 +1,20 @@
 """Batch model inference over a table, and the parsing of model replies.
 
-``model_map`` is the one Python operator on the model path: a ``mapInPandas`` whose Arrow
-batches carry only the key columns and the two prompt columns. The client is built once
-per Python worker, each row gets a bounded number of attempts, and a failure becomes an
-``error`` value on that row - it never fails the task, so one bad row cannot make Spark
-retry a whole partition of (paid) calls. Everything around it (validation, sanitising,
-prompt text, reply parsing) is native Spark.
-
-Clients are pluggable: ``client_factory`` is any picklable zero-argument callable returning
-an object with ``complete(system, user, max_tokens, temperature) -> str``. The local
-``EchoClient`` is deterministic and needs no network.
+The task pipelines below build prompts, get replies through a ``Caller`` and parse them; all of
+that but the call itself is native Spark. There are two callers:
+
+* ``calling(client_factory, store_path)`` asks a model. ``model_map`` is a ``mapInPandas`` whose
+  Arrow batches carry only the key columns and the two prompts; the client is built once per
+  Python worker, each row gets a bounded number of attempts, and a failure becomes an ``error``
+  value on that row, so one bad row cannot make Spark retry a whole partition of (paid) calls.
+  ``client_factory`` is any picklable zero-argument callable returning an object with
+  ``complete(system, user, max_tokens, temperature, task=...) -> str | bytes``. With a
+  ``store_path`` replies are kept in a table, and no prompt is paid for twice.
+* ``recorded(replies)`` takes replies from a table of earlier ones, joined by the prompt.
 """
 
 from __future__ import annotations
 
-import json
 import re
 import time
 from typing import Callable, Iterator
@@ -29,57 +29,9 @@ from learnlog import prompts as P
 from learnlog.functions import json as J
 from learnlog.functions import text as TX
 
-ERR_CONTEXT_LENGTH = "context_length_exceeded"
-
-
-EXERCISE_TEMPLATE_MARKER = "Stwórz ćwiczenie w formacie JSON:\n"
-NO_TIPS_REPLY = "Brak wskazówek."
-
-
-class EchoClient:
-    """Deterministic local client (no network), a stand-in for the hosted model.
-
-    * default: the reply is the user message, unchanged;
-    * ``analyze``: an analysis JSON whose vocabulary is the first three whitespace-separated
-      words after the first ``": "`` of the user message;
-    * ``tips``: one ``• `` bullet per line of the system prompt that starts with ``- ``
-      (the summary's word and error lines), or a line without bullet when there is none;
-    * ``exercise``: the JSON example of the system prompt (from the line after
-      ``EXERCISE_TEMPLATE_MARKER`` to the first line that starts with ``}``), in a
-      ``json`` code fence;
-    * ``speech``: the UTF-8 bytes of the user message;
-    * a user message longer than ``max_input_chars`` raises (a context-length error).
-    """
-
-    def __init__(self, max_input_chars: int = 20000):
-        self.max_input_chars = max_input_chars
-
-    def complete(self, system: str, user: str, max_tokens: int, temperature: float,
-                 task: str = ""):
-        if user is None:
-            raise ValueError("empty prompt")
-        if len(user) > self.max_input_chars:
-            raise ValueError(ERR_CONTEXT_LENGTH)
-        if task == "analyze":
-            body = user.split(": ", 1)[1] if ": " in user else user
-            words = body.split()[:3]
-            return json.dumps({
-                "vocabulary_items": [
-                    {"word": w, "translation": w, "part_of_speech": "", "example_sentence": "",
-                     "difficulty_level": "easy"} for w in words],
-                "grammar_rules": [],
-                "learning_tips": [],
-            }, ensure_ascii=False)
-        if task == "tips":
-            tips = ["• " + line[2:] for line in (system or "").split("\n") if line.startswith("- ")]
-            return "\n".join(tips) if tips else NO_TIPS_REPLY
-        if task == "exercise":
-            tail = system[system.index(EXERCISE_TEMPLATE_MARKER) + len(EXERCISE_TEMPLATE_MARKER):]
-            return "```json\n" + tail[:tail.index("\n}") + 2] + "\n```"
-        if task == "speech":
-            return user.encode("utf-8")
-        return user
-
+#: (df, keys, system, user, task, binary=False) -> keys, reply, error
+Caller = Callable[..., DataFrame]
+NO_RECORDED_REPLY = "no recorded reply"
 
 _CLIENTS: dict = {}
 
@@ -92,7 +44,7 @@ def _client(factory: Callable):
 
 
 def model_map(df: DataFrame, keys: list[str], system: Column, user: Column, task: str,
-              client_factory: Callable = EchoClient, attempts: int = 2,
+              client_factory: Callable, attempts: int = 2,
               backoff_seconds: float = 0.0, binary: bool = False,
               concurrency: int | None = None) -> DataFrame:
     """Call the model once per row; returns ``keys + reply + error``.
@@ -138,13 +90,37 @@ def model_map(df: DataFrame, keys: list[str], system: Column, user: Column, task
 
 
 def prompt_hash(task: str, system: Column, user: Column) -> Column:
-    """Identity of a model request: task + system prompt + user prompt."""
-    return F.sha2(F.concat_ws("\u0001", F.lit(task), F.coalesce(system, F.lit("")),
-                              F.coalesce(user, F.lit(""))), 256)
+    """Identity of a model request: task, its parameters, system prompt, user prompt."""
+    return F.sha2(F.concat_ws("\u0001", F.lit(task), F.lit(str(P.TASK_PARAMS[task])),
+                              F.coalesce(system, F.lit("")), F.coalesce(user, F.lit(""))), 256)
+
+
+def calling(client_factory: Callable, store_path: str | None = None, **options) -> Caller:
+    """Ask the model, through the reply table below ``store_path`` if one is given (binary replies in
+    a table of their own). ``options`` go to ``model_map``."""
+    def call(df, keys, system, user, task, binary=False):
+        if store_path is None:
+            return model_map(df, keys, system, user, task, client_factory, binary=binary, **options)
+        return model_map_stored(df, keys, system, user, task, f"{store_path}/{'binary' if binary else 'text'}",
+                                client_factory, binary=binary, **options)
+    return call
+
+
+def recorded(replies: DataFrame) -> Caller:
+    """Take replies from a table (prompt = ``prompt_hash``, reply), of a prompt's replies the
+    greatest. A prompt without one is an error; a null user prompt asks nothing."""
+    best = replies.groupBy(F.col("prompt").alias("_h")).agg(F.max("reply").alias("reply"))
+
+    def call(df, keys, system, user, task, binary=False):
+        asked = df.select(*keys, F.when(user.isNotNull(), prompt_hash(task, system, user)).alias("_h"))
+        out = asked.join(best, "_h", "left")
+        missing = F.col("_h").isNotNull() & F.col("reply").isNull()
+        return out.select(*keys, "reply", F.when(missing, F.lit(NO_RECORDED_REPLY)).alias("error"))
+    return call
 
 
 def model_map_stored(df: DataFrame, keys: list[str], system: Column, user: Column, task: str,
-                     store_path: str, client_factory: Callable = EchoClient,
+                     store_path: str, client_factory: Callable,
                      **kw) -> DataFrame:
     """``model_map`` with a reply table: each distinct prompt (by hash) is sent at most once
     per successful reply. New replies are appended to ``store_path`` (a folder in shared
@@ -188,61 +164,59 @@ def fill(template: str, **values: Column) -> Column:
     return F.concat(*cols) if cols else F.lit("")
 
 
+_TEMPLATES = {
+    "translate": (P.TRANSLATE_SYSTEM, P.TRANSLATE_USER),
+    "correct": (P.CORRECT_SYSTEM, P.CORRECT_USER),
+    "explain_correction": (P.EXPLAIN_CORRECTION_SYSTEM, P.EXPLAIN_CORRECTION_USER),
+    "analyze": (P.ANALYZE_SYSTEM, P.ANALYZE_USER),
+    "explain_word": (P.WORD_SYSTEM, P.WORD_USER),
+    "tips": (P.TIPS_SYSTEM, ""),
+}
+
+
+def prompts(task: str, **values: Column) -> tuple[Column, Column]:
+    """System and user prompt of a task."""
+    system, user = _TEMPLATES[task]
+    return fill(system, **values), fill(user, **values)
+
+
 # --- task pipelines ----------------------------------------------------------------------
 
-def translate(df: DataFrame, key: str, text: str, language: str,
-              client_factory: Callable = EchoClient) -> DataFrame:
+def translate(df: DataFrame, key: str, text: str, language: str, call: Caller) -> DataFrame:
     """Validate -> sanitise -> prompt -> model -> stripped reply. Invalid input is not sent
     and reports its validation message as the error."""
     reason = TX.text_reason(text)
-    clean = TX.sanitize(text)
     prepared = df.select(key, F.col(language).alias("_lang"), reason.alias("_reason"),
-                         F.when(reason == "", clean).alias("_clean"))
-    calls = model_map(
-        prepared, [key, "_lang", "_reason"],
-        fill(P.TRANSLATE_SYSTEM, language=F.col("_lang")),
-        F.when(F.col("_clean").isNotNull(),
-               fill(P.TRANSLATE_USER, language=F.col("_lang"), text=F.col("_clean"))),
-        "translate", client_factory)
+                         F.when(reason == "", TX.sanitize(text)).alias("_clean"))
+    system, user = prompts("translate", language=F.col("_lang"), text=F.col("_clean"))
+    calls = call(prepared, [key, "_reason"], system, F.when(F.col("_clean").isNotNull(), user), "translate")
     return calls.select(
         key,
         F.when(F.col("error").isNull() & F.col("reply").isNotNull(), TX.py_strip("reply")).alias("output"),
         F.when(F.col("_reason") != "", F.col("_reason")).otherwise(F.col("error")).alias("error"))
 
 
-def correct(df: DataFrame, key: str, text: str, language: str,
-            client_factory: Callable = EchoClient) -> DataFrame:
+def correct(df: DataFrame, key: str, text: str, language: str, call: Caller) -> DataFrame:
     """Correct (input sent as is) then explain the correction; a failed correction is an
-    error value, not a corrected text, and is not explained."""
-    first = model_map(
-        df.select(key, text, F.col(language).alias("_lang")), [key, "_lang", text],
-        fill(P.CORRECT_SYSTEM, language=F.col("_lang")),
-        fill(P.CORRECT_USER, language=F.col("_lang"), text=F.col(text)),
-        "correct", client_factory)
-    corrected = first.select(key, "_lang", text, F.when(F.col("error").isNull(), TX.py_strip("reply"))
-                             .alias("output"), F.col("error").alias("_err1"))
-    second = model_map(
-        corrected, [key, "output", "_err1"],
-        fill(P.EXPLAIN_CORRECTION_SYSTEM, language=F.col("_lang")),
-        F.when(F.col("output").isNotNull(),
-               fill(P.EXPLAIN_CORRECTION_USER, language=F.col("_lang"), original=F.col(text),
-                    corrected=F.col("output"))),
-        "explain_correction", client_factory)
-    return second.select(
+    error value, not a corrected text, and is not explained. ``key`` is unique; only it goes
+    with the prompts, the texts are joined back."""
+    src = df.select(key, F.col(text).alias("_text"), F.col(language).alias("_lang"))
+    first = call(src, [key], *prompts("correct", language=F.col("_lang"), text=F.col("_text")), "correct")
+    corrected = src.join(first.select(
+        key, F.when(F.col("error").isNull(), TX.py_strip("reply")).alias("output"), F.col("error").alias("_err1")), key)
+    system, user = prompts("explain_correction", language=F.col("_lang"), original=F.col("_text"),
+                           corrected=F.col("output"))
+    second = call(corrected, [key], system, F.when(F.col("output").isNotNull(), user), "explain_correction")
+    return corrected.select(key, "output", "_err1").join(second, key).select(
         key, "output",
         F.when(F.col("error").isNull() & F.col("reply").isNotNull(), TX.py_strip("reply")).alias("explanation"),
         F.coalesce("_err1", "error").alias("error"))
 
 
-def analyze(df: DataFrame, key: str, text: str, language: str,
-            client_factory: Callable = EchoClient) -> DataFrame:
+def analyze(df: DataFrame, key: str, text: str, language: str, call: Caller) -> DataFrame:
     """Analysis reply -> nested record; a failed call or unparseable reply gives empty lists
     and one tip carrying the error."""
-    calls = model_map(
-        df.select(key, text, F.col(language).alias("_lang")), [key],
-        fill(P.ANALYZE_SYSTEM, language=F.col("_lang")),
-        fill(P.ANALYZE_USER, language=F.col("_lang"), text=F.col(text)),
-        "analyze", client_factory)
+    calls = call(df, [key], *prompts("analyze", language=F.col(language), text=F.col(text)), "analyze")
     calls = J.with_analysis(calls, "reply", "_parsed")
     parsed = F.col("_parsed")
     calls = calls.withColumn(
@@ -253,7 +227,7 @@ def analyze(df: DataFrame, key: str, text: str, language: str,
         F.array().cast(f"array<{J.GRAMMAR_RULE}>").alias("grammar_rules"),
         F.array(F.concat(F.lit(P.ANALYZE_FAILURE_TIP), err)).alias("learning_tips"))
     return calls.select(key, F.when(err.isNull(), parsed).otherwise(fallback).alias("analysis"),
-                        err.alias("error"))
+                        F.col("reply").alias("analysis_data"), err.alias("error"))
 
 
 def parse_exercise_reply(reply) -> Column:
@@ -291,53 +265,48 @@ def tips_from_reply(reply) -> Column:
     return TX.bullet_tips(reply)
 
 
-def answer(questions: DataFrame, key: list[str], routed: bool = True,
-           context: Column | None = None, client_factory: Callable = EchoClient) -> DataFrame:
+def answer_prompts(route: Column, context: Column, routed: bool) -> tuple[Column, Column]:
+    """Prompts for ``language, question, summary`` rows; a refused question has no user prompt."""
+    lang, summary = F.col("language"), F.col("summary")
+    if not routed:
+        return fill(P.ANSWER_SYSTEM, language=lang, summary=summary), F.col("question")
+    conv = fill(P.CHAT_CONVERSATION_SYSTEM, language=lang, context=context, summary=summary)
+    expl = fill(P.CHAT_EXPLAIN_SYSTEM, language=lang, context=context, summary=summary)
+    return F.when(route == "conversation", conv).otherwise(expl), F.when(route != "refuse", F.col("question"))
+
+
+def answer(questions: DataFrame, key: list[str], call: Caller, routed: bool = True,
+           context: Column | None = None) -> DataFrame:
     """Tutor answers for ``questions`` (``language, question, summary``).
 
     Routed (with context): off-topic questions get the refusal text and no call; the others
     get the conversation or the explanation prompt. Unrouted: one prompt for all. ``ok``
     is the app's acceptance test of a reply (non-empty, no ``error``)."""
-    lang, summary = F.col("language"), F.col("summary")
-    ctx = context if context is not None else F.lit("")
-    if routed:
-        route = TX.route_question("question")
-        conv = fill(P.CHAT_CONVERSATION_SYSTEM, language=lang, context=ctx, summary=summary)
-        expl = fill(P.CHAT_EXPLAIN_SYSTEM, language=lang, context=ctx, summary=summary)
-        system = F.when(route == "conversation", conv).otherwise(expl)
-        user = F.when(route != "refuse", F.col("question"))
-        task = "answer_with_context"
-    else:
-        route = F.lit("explain")
-        system = fill(P.ANSWER_SYSTEM, language=lang, summary=summary)
-        user = F.col("question")
-        task = "answer"
-    prepared = questions.select(*key, "language", route.alias("route"), system.alias("_s"),
-                                user.alias("_u"))
-    calls = model_map(prepared, [*key, "language", "route"], F.col("_s"), F.col("_u"), task,
-                      client_factory)
+    route = TX.route_question("question") if routed else F.lit("explain")
+    system, user = answer_prompts(route, context if context is not None else F.lit(""), routed)
+    prepared = questions.select(*key, "language", route.alias("route"), system.alias("_s"), user.alias("_u"))
+    calls = call(prepared, [*key, "language", "route"], F.col("_s"), F.col("_u"),
+                 "answer_with_context" if routed else "answer")
     text = (F.when(F.col("route") == "refuse", TX.refusal_text("language"))
             .when(F.col("error").isNull(), TX.py_strip("reply")))
     return calls.select(*key, "route", text.alias("answer"), TX.response_ok(text).alias("ok"), "error")
 
 
-def tips(summaries: DataFrame, client_factory: Callable = EchoClient) -> DataFrame:
+def tips(summaries: DataFrame, call: Caller) -> DataFrame:
     """Tips per language from its history summary: prompt -> model -> bullet lines."""
-    prepared = summaries.select("language", fill(P.TIPS_SYSTEM, language=F.col("language"),
-                                                 summary=F.col("summary")).alias("_s"))
-    calls = model_map(prepared, ["language"], F.col("_s"), F.lit(""), "tips", client_factory)
+    system, user = prompts("tips", language=F.col("language"), summary=F.col("summary"))
+    calls = call(summaries, ["language"], system, user, "tips")
     return calls.select("language", F.when(F.col("error").isNull(), tips_from_reply("reply"))
                         .otherwise(F.array(F.col("error"))).alias("tips"), "error")
 
 
-def exercises(requests: DataFrame, key: str, client_factory: Callable = EchoClient) -> DataFrame:
+def exercises(requests: DataFrame, key: str, call: Caller) -> DataFrame:
     """Exercise generation for requests (``language, exercise_type, summary``): prompt by
     type (an unknown type is an error, no call) -> model -> fences / brace check / strict
     parse -> exercise record with the generation time."""
     system = exercise_prompt(F.col("language"), F.col("summary"), F.col("exercise_type"))
     prepared = requests.select(key, "exercise_type", system.alias("_s"))
-    calls = model_map(prepared, [key, "exercise_type"], F.col("_s"),
-                      F.when(F.col("_s").isNotNull(), F.lit("")), "exercise", client_factory)
+    calls = call(prepared, [key, "exercise_type"], F.col("_s"), F.when(F.col("_s").isNotNull(), F.lit("")), "exercise")
     parsed = with_exercise_reply(calls.withColumnRenamed("error", "_call_error"), "reply",
                                  "_parse_error", "_ex")
     err = (F.when(~F.col("exercise_type").isin(*K.EXERCISE_TYPES), F.lit(K.MSG_UNKNOWN_EXERCISE_TYPE))
@@ -349,27 +318,63 @@ def exercises(requests: DataFrame, key: str, client_factory: Callable = EchoClie
     return parsed.select(key, "exercise_type", err.alias("error"), ex.alias("exercise"))
 
 
-def explain_words(words: DataFrame, key: str, client_factory: Callable = EchoClient) -> DataFrame:
-    """Word explanations (``word, language``): prompt -> model -> JSON record, or the default
+def explain_words(words: DataFrame, call: Caller) -> DataFrame:
+    """Word explanations (``language, word``): prompt -> model -> JSON record, or the default
     record when the reply is not JSON (failed calls keep their error)."""
-    calls = model_map(
-        words.select(key, "word", "language"), [key, "word"],
-        fill(P.WORD_SYSTEM, language=F.col("language")),
-        fill(P.WORD_USER, language=F.col("language"), word=F.col("word")),
-        "explain_word", client_factory)
-    return J.with_word_reply(calls, "reply", "word", "explanation").select(key, "explanation", "error")
+    calls = call(words, ["language", "word"], *prompts("explain_word", language=F.col("language"), word=F.col("word")),
+                 "explain_word")
+    return J.with_word_reply(calls, "reply", "word", "explanation").select("language", "word", "explanation", "error")
 
 
-def speech(texts: DataFrame, key: str, text: str, language: str,
-           client_factory: Callable = EchoClient) -> DataFrame:
+def speech(texts: DataFrame, key: str, text: str, language: str, call: Caller) -> DataFrame:
     """Speech for texts: input cut to 4000 chars (+ "..."), voice by language, model call,
     audio kept only when it has at least the minimum size."""
     from learnlog.sources.fixtures import voice_for
     prepared = texts.select(key, voice_for(F.col(language)).alias("voice"),
                             TX.tts_input(text).alias("_u"))
-    calls = model_map(prepared, [key, "voice"], F.col("voice"), F.col("_u"), "speech",
-                      client_factory, binary=True)
+    calls = call(prepared, [key, "voice"], F.col("voice"), F.col("_u"), "speech", binary=True)
     ok = TX.audio_ok("reply")
     return calls.select(key, "voice", F.when(ok, F.col("reply")).alias("audio"),
                         F.when(F.col("error").isNull() & ~ok, F.lit("audio too small"))
                         .otherwise(F.col("error")).alias("error"))
+
+
+# --- from replies to stored records ---------------------------------------------------------
+# Rows whose call or check failed are no records: they stay in the frame the task returned.
+
+def translation_records(texts: DataFrame, key: str, text: str, language: str, call: Caller,
+                        speech_call: Caller | None = None) -> DataFrame:
+    """Translate, pick a voice, speak the translation, and make history records of what succeeded;
+    speech that failed leaves a record without audio."""
+    from learnlog.operators import history as H
+    from learnlog.sources.fixtures import voice_for
+    done = (translate(texts, key, text, language, call).where("error IS NULL AND output IS NOT NULL")
+            .join(texts.select(key, F.col(text).alias("input_text"), F.col(language).alias("language")), key)
+            .withColumn("output_text", F.col("output")).withColumn("voice", voice_for(F.col("language"))))
+    if speech_call is not None:
+        spoken = speech(done.select(key, "output_text", "language"), key, "output_text", "language", speech_call)
+        done = done.join(spoken.select(key, "audio"), key, "left")
+    return H.stamp(H.translation_records(done, "audio" if speech_call is not None else None))
+
+
+def correction_records(texts: DataFrame, key: str, text: str, language: str, call: Caller) -> DataFrame:
+    """Correct, explain, and make history records of the corrected texts; an explanation that
+    failed is null."""
+    from learnlog.operators import history as H
+    done = (correct(texts, key, text, language, call).where("output IS NOT NULL")
+            .join(texts.select(key, F.col(text).alias("input_text"), F.col(language).alias("language")), key))
+    none = F.lit(None).cast("string")
+    return H.stamp(H.correction_records(done.select(
+        "input_text", F.col("output").alias("output_text"), "language", F.lit("correction").alias("mode"),
+        "explanation", none.alias("analysis_data"), none.alias("exercise_data"))))
+
+
+def analysis_records(texts: DataFrame, key: str, text: str, language: str, call: Caller) -> DataFrame:
+    """Analyse, and make history records of the replies that are analyses."""
+    from learnlog.operators import history as H
+    done = (analyze(texts, key, text, language, call).where("error IS NULL")
+            .join(texts.select(key, F.col(text).alias("input_text"), F.col(language).alias("language")), key))
+    none = F.lit(None).cast("string")
+    return H.stamp(H.correction_records(done.select(
+        "input_text", F.lit("").alias("output_text"), "language", F.lit("analysis").alias("mode"),
+        none.alias("explanation"), "analysis_data", none.alias("exercise_data"))))

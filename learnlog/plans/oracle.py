@@ -596,69 +596,61 @@ def _():
   coalesce(octet_length(encode({tts})) > 0, false) AS has_audio FROM documents"""
 
 
-# --- 7. model calls (local echo client) ---------------------------------------------------------
+# --- 7. model tasks over recorded replies --------------------------------------------------------
 
-MAX_INPUT = 20000
+DOCS_LANG = f"(SELECT doc_id, text, {LANG_OF_DOC} AS language FROM documents)"
 
 
 @q("model_translate")
 def _():
     r = text_reason("text")
-    user = fill(P.TRANSLATE_USER, language="language", text=sanitize("text"))
-    return f"""SELECT doc_id, CASE WHEN ({r}) = '' THEN {strip(user)} END AS output,
-  CASE WHEN ({r}) <> '' THEN {r} END AS error
-FROM (SELECT doc_id, text, {LANG_OF_DOC} AS language FROM documents)"""
+    reply = strip(f"{sanitize('text')} || ' [pl]'")
+    return f"""SELECT doc_id, CASE WHEN ({r}) = '' THEN {reply} END AS output,
+  CASE WHEN ({r}) <> '' THEN {r} END AS error FROM documents"""
 
 
 @q("model_correct")
 def _():
-    u1 = fill(P.CORRECT_USER, language="language", text="text")
-    u2 = fill(P.EXPLAIN_CORRECTION_USER, language="language", original="text", corrected="output")
-    return f"""SELECT doc_id, output,
-  CASE WHEN output IS NOT NULL AND length({u2}) <= {MAX_INPUT} THEN {strip(u2)} END AS explanation,
-  CASE WHEN output IS NULL THEN 'context_length_exceeded'
-       WHEN length({u2}) > {MAX_INPUT} THEN 'context_length_exceeded' END AS error FROM (
-  SELECT doc_id, text, language, CASE WHEN length({u1}) <= {MAX_INPUT} THEN {strip(u1)} END AS output
-  FROM (SELECT doc_id, text, {LANG_OF_DOC} AS language FROM documents))"""
+    better = strip("text || ' (ok)'")
+    return f"""SELECT doc_id, {better} AS output, {strip("'Poprawiono: ' || " + better)} AS explanation,
+  CAST(NULL AS VARCHAR) AS error FROM documents"""
 
 
 @q("model_analyze")
 def _():
-    user = fill(P.ANALYZE_USER, language="language", text="text")
-    toks = f"regexp_split_to_array({strip('text')}, '{WS_CLASS_RE2}+')"
-    ok = f"length({user}) <= {MAX_INPUT}"
-    empty = f"{strip('text')} = ''"
-    return f"""SELECT doc_id,
-  CAST(CASE WHEN NOT ({ok}) OR {empty} THEN 0 ELSE least(len({toks}), 3) END AS BIGINT) AS n_vocabulary,
-  CASE WHEN ({ok}) AND NOT {empty} THEN {toks}[1] END AS first_word,
-  CASE WHEN NOT ({ok}) THEN 'context_length_exceeded' END AS error
-FROM (SELECT doc_id, text, {LANG_OF_DOC} AS language FROM documents)"""
+    bad = "length(text) % 5 = 0"
+    n = f"len(string_split(text, {NL}))"
+    return f"""SELECT doc_id, CAST(CASE WHEN {bad} THEN 0 ELSE {n} END AS BIGINT) AS n_vocabulary,
+  CASE WHEN {bad} THEN '' ELSE text END AS sentences,
+  CASE WHEN {bad} THEN {lit(P.ANALYZE_FAILURE_TIP + K.MSG_AI_PARSE_ERROR)} ELSE text END AS tips,
+  CASE WHEN {bad} THEN {lit(K.MSG_AI_PARSE_ERROR)} END AS error FROM documents"""
+
+
+def answers(answer: str, route: str) -> str:
+    return "WITH " + QUESTIONS + f"""SELECT conv_id, turn, {route} answer,
+  coalesce(length(answer) > 0 AND NOT contains(lower(answer), 'error'), false) AS ok, CAST(NULL AS VARCHAR) AS error
+FROM (SELECT *, {answer} AS answer FROM routed)"""
+
+
+REPLY_TO_QUESTION = strip("CASE WHEN length(question) % 4 = 0 THEN 'Error: ' ELSE '' END || question || ' !'")
 
 
 @q("model_answer")
 def _():
     refusal = lit(K.REFUSAL_TEMPLATE.replace("%s", "{language}"))
-    answer = (f"CASE WHEN route = 'refuse' THEN replace({refusal}, '{{language}}', language) "
-              f"ELSE {strip('question')} END")
-    return "WITH " + QUESTIONS + f"""SELECT conv_id, turn, route, {answer} AS answer,
-  coalesce(length({answer}) > 0 AND NOT contains(lower({answer}), 'error'), false) AS ok,
-  CAST(NULL AS VARCHAR) AS error FROM routed"""
+    return answers(f"CASE WHEN route = 'refuse' THEN replace({refusal}, '{{language}}', language) "
+                   f"ELSE {REPLY_TO_QUESTION} END", "route,")
 
 
 @q("model_answer_plain")
 def _():
-    answer = strip("question")
-    return "WITH " + QUESTIONS + f"""SELECT conv_id, turn, {answer} AS answer,
-  coalesce(length({answer}) > 0 AND NOT contains(lower({answer}), 'error'), false) AS ok,
-  CAST(NULL AS VARCHAR) AS error FROM routed"""
+    return answers(REPLY_TO_QUESTION, "")
 
 
 @q("model_tips")
 def _():
-    prompt = fill(P.TIPS_SYSTEM, language="language", summary="summary")
-    bullets = (f"list_transform(list_filter(string_split({prompt}, {NL}), lambda l: starts_with(l, '- ')), "
-               f"lambda l: {lit(K.TIP_BULLET)} || substring(l, 3, {BIG}))")
-    kept = (f"list_filter(list_transform({bullets}, lambda l: {strip('l')}), "
+    line = strip(f"{lit(K.TIP_BULLET)} || l")
+    kept = (f"list_filter(list_transform(string_split(summary, {NL}), lambda l: {line}), "
             f"lambda l: starts_with(l, {lit(K.TIP_BULLET)}))")
     return H + "," + SUMMARY + f"""SELECT language, unnest(generate_series(0, len(tips) - 1)) AS pos,
   unnest(tips) AS tip, CAST(NULL AS VARCHAR) AS error FROM (
@@ -668,31 +660,60 @@ def _():
 
 @q("model_exercise")
 def _():
-    question = ("CASE exercise_type WHEN 'vocabulary' THEN 'Pytanie do użytkownika' "
-                "WHEN 'grammar' THEN 'Zdanie z błędem do poprawienia' "
-                "ELSE 'Zdanie do przetłumaczenia z polskiego na ' || language END")
-    return H + f"""SELECT id, exercise_type, CAST(NULL AS VARCHAR) AS error, exercise_type AS type,
-  'Tytuł ćwiczenia' AS title, {question} AS question, 'easy/medium/hard' AS difficulty FROM (
-  SELECT id, language, {EX_TYPE} AS exercise_type FROM h WHERE mode = 'exercise')"""
+    return H + "," + SUMMARY + f"""SELECT id, {EX_TYPE} AS exercise_type, CAST(NULL AS VARCHAR) AS error,
+  {EX_TYPE} AS type, h.language AS title, s.summary AS question,
+  CAST(len(string_split(s.summary, {NL})) AS BIGINT) AS n_options
+FROM h LEFT JOIN summaries s ON h.language = s.language WHERE mode = 'exercise'"""
 
 
 @q("model_word")
 def _():
-    return f"""SELECT doc_id, string_split(text, ' ')[1] AS word, {lit(K.MSG_WORD_PARSE_ERROR)} AS translation,
-  CAST(0 AS BIGINT) AS n_examples, CAST(NULL AS VARCHAR) AS error FROM documents"""
+    bad = "length(word) % 3 = 0"
+    return f"""SELECT language, word, CASE WHEN {bad} THEN {lit(K.MSG_WORD_PARSE_ERROR)} ELSE 'pl:' || word END AS translation,
+  CAST(CASE WHEN {bad} THEN 0 ELSE 2 END AS BIGINT) AS n_examples, CAST(NULL AS VARCHAR) AS error
+FROM (SELECT DISTINCT language, unnest(string_split(text, ' ')) AS word FROM {DOCS_LANG})"""
 
 
 @q("model_speech")
 def _():
     tts = (f"CASE WHEN length(text) > {K.TTS_MAX_CHARS} THEN substring(text, 1, {K.TTS_MAX_CHARS}) || '...' "
            f"ELSE text END")
-    n = f"octet_length(encode({tts}))"
+    n = f"octet_length(encode({tts})) * CASE WHEN length({tts}) % 2 = 0 THEN 2 ELSE 1 END"
     voice = case_map(LANG_OF_DOC, K.LANGUAGE_VOICE_MAPPING, lit(K.DEFAULT_VOICE))
     return f"""SELECT doc_id, {voice} AS voice,
   CAST(CASE WHEN {n} >= {K.MIN_AUDIO_SIZE_BYTES} THEN {n} END AS BIGINT) AS n_bytes,
   CASE WHEN {n} < {K.MIN_AUDIO_SIZE_BYTES} THEN 'audio too small' END AS error FROM documents"""
 
 
+# --- uploads, ingest stamp, clear ----------------------------------------------------------------
+
+@q("file_gate")
+def _():
+    ext = "lower(string_split(string_split(url, '/')[-1], '.')[-1])"
+    mb = "octet_length(encode(html)) / 1048576"
+    reason = (f"CASE WHEN {mb} > {Q.UPLOAD_LIMIT_MB} THEN {lit(K.MSG_FILE_TOO_LARGE)} "
+              f"WHEN {ext} NOT IN {in_list(K.SUPPORTED_FILE_TYPES)} THEN {lit(K.MSG_UNSUPPORTED_FORMAT + ': ')} || {ext} ELSE '' END")
+    return f"SELECT page_id, {ext} AS ext, {mb} AS mb, ({reason}) = '' AS ok, {reason} AS reason FROM pages"
+
+
+@q("decode_txt")
+def _():
+    text = "CASE WHEN doc_id % 2 = 0 THEN text ELSE 'ć' || regexp_replace(text, '[^\\x00-\\x7F]', '', 'g') END"
+    return f"""SELECT doc_id || '.txt' AS path, CASE WHEN doc_id % 2 = 0 THEN octet_length(encode(x)) ELSE length(x) END AS length,
+  x AS text, CASE WHEN doc_id % 2 = 0 THEN 'utf-8' ELSE 'cp1250' END AS encoding, CAST(NULL AS VARCHAR) AS error
+FROM (SELECT doc_id, {text} AS x FROM documents)"""
+
+
+@q("stamp_records")
+def _():
+    return "SELECT count(*) AS n, count(*) AS ids, count(*) AS uuids, count(*) AS recent FROM documents"
+
+
+@q("clear_items")
+def _():
+    return H + "SELECT 'before' AS state, count(*) AS n FROM h"
+
+
 # --- 8. freshness and streams -----------------------------------------------------------------
 
 LATEST = f"""latest AS (

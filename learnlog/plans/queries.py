@@ -24,7 +24,8 @@ from learnlog.operators import model as M
 from learnlog.operators import vector as V
 from learnlog.session import checkpoint_dir
 from learnlog.sources import store as S
-from learnlog.sources.fixtures import LANG_CODE_TO_NAME, conversation_language
+from learnlog.sources import files as FS
+from learnlog.sources.fixtures import LANG_CODE_TO_NAME, analysis_struct, conversation_language, voice_for
 from learnlog.sources.tables import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -43,6 +44,7 @@ EVENT_EXERCISE_TYPE = {
     "click": "grammar",
     "purchase": "translation",
 }
+UPLOAD_LIMIT_MB = 0.002
 VECTOR_QUERY_ID = 0
 VECTOR_K = 10
 
@@ -541,79 +543,177 @@ def q_audio_valid(spark, sf):
                     F.coalesce(F.octet_length("audio") > 0, F.lit(False)).alias("has_audio"))
 
 
-# --- 7. model calls ---------------------------------------------------------------------------
+# --- 7. model tasks over recorded replies -------------------------------------------------------
+# The prompts of a task are answered from a table of recorded replies (derived from the same tables,
+# by the prompt), joined by the prompt's hash; a reply is a function of the whole input.
 
 def _docs_lang(spark, sf):
     return _docs(spark, sf).select("doc_id", "text",
                                    _case(F.col("lang"), LANG_CODE_TO_NAME).alias("language"))
 
 
+def _replies(task, df, system, user, reply):
+    return df.where(user.isNotNull()).select(M.prompt_hash(task, system, user).alias("prompt"), reply.alias("reply"))
+
+
+def _recorded(task, df, system, user, reply):
+    return M.recorded(_replies(task, df, system, user, reply))
+
+
 @query("model_translate")
 def q_model_translate(spark, sf):
-    return M.translate(_docs_lang(spark, sf), "doc_id", "text", "language")
+    d = _docs_lang(spark, sf)
+    ok = d.select("language", F.when(T.text_reason("text") == "", T.sanitize("text")).alias("clean"))
+    ok = ok.where("clean IS NOT NULL")
+    call = _recorded("translate", ok, *M.prompts("translate", language=F.col("language"), text=F.col("clean")),
+                     F.concat(F.lit("  "), F.col("clean"), F.lit(" [pl]\n")))
+    return M.translate(d, "doc_id", "text", "language", call)
 
 
 @query("model_correct")
 def q_model_correct(spark, sf):
-    return M.correct(_docs_lang(spark, sf), "doc_id", "text", "language")
+    """Every reply corrects by a suffix; the second task's prompts hold the first one's replies."""
+    d = _docs_lang(spark, sf)
+    lang, text = F.col("language"), F.col("text")
+    better = T.py_strip(F.concat(text, F.lit(" (ok)")))
+    first = _replies("correct", d, *M.prompts("correct", language=lang, text=text), F.concat(text, F.lit(" (ok)")))
+    second = _replies("explain_correction", d,
+                      *M.prompts("explain_correction", language=lang, original=text, corrected=better),
+                      F.concat(F.lit("Poprawiono: "), better))
+    return M.correct(d, "doc_id", "text", "language", M.recorded(first.unionByName(second)))
 
 
 @query("model_analyze")
 def q_model_analyze(spark, sf):
-    a = M.analyze(_docs_lang(spark, sf), "doc_id", "text", "language")
-    return a.select("doc_id", T.n_items("analysis.vocabulary_items").alias("n_vocabulary"),
-                    F.try_element_at("analysis.vocabulary_items", F.lit(1)).word.alias("first_word"),
-                    "error")
+    """Replies are analyses of the whole text; texts of a length divisible by 5 got no JSON."""
+    d = _docs_lang(spark, sf)
+    reply = F.when(F.length("text") % 5 == 0, F.col("text")).otherwise(
+        F.to_json(analysis_struct(F.col("text"), F.col("text"))))
+    call = _recorded("analyze", d, *M.prompts("analyze", language=F.col("language"), text=F.col("text")), reply)
+    a = M.analyze(d, "doc_id", "text", "language", call)
+    items = F.col("analysis.vocabulary_items")
+    return a.select("doc_id", T.n_items(items).alias("n_vocabulary"),
+                    F.array_join(F.transform(items, lambda v: v.example_sentence), "\n").alias("sentences"),
+                    F.array_join("analysis.learning_tips", "\n").alias("tips"), "error")
+
+
+def _answers(spark, sf, routed):
+    q = _questions_with_summary(spark, sf)
+    route = T.route_question("question") if routed else F.lit("explain")
+    reply = F.concat(F.when(F.length("question") % 4 == 0, F.lit("Error: ")).otherwise(F.lit("")),
+                     F.col("question"), F.lit(" !\n"))
+    call = _recorded("answer_with_context" if routed else "answer", q,
+                     *M.answer_prompts(route, F.lit(""), routed), reply)
+    return M.answer(q, ["conv_id", "turn"], call, routed=routed)
 
 
 @query("model_answer")
 def q_model_answer(spark, sf):
     """Tutor chat (routed, with context): refusal without a call, or an answer."""
-    a = M.answer(_questions_with_summary(spark, sf), ["conv_id", "turn"], routed=True)
-    return a.select("conv_id", "turn", "route", "answer", "ok", "error")
+    return _answers(spark, sf, True).select("conv_id", "turn", "route", "answer", "ok", "error")
 
 
 @query("model_answer_plain")
 def q_model_answer_plain(spark, sf):
-    a = M.answer(_questions_with_summary(spark, sf), ["conv_id", "turn"], routed=False)
-    return a.select("conv_id", "turn", "answer", "ok", "error")
+    return _answers(spark, sf, False).select("conv_id", "turn", "answer", "ok", "error")
 
 
 @query("model_tips")
 def q_model_tips(spark, sf):
-    t = M.tips(tutor_summaries(spark, sf))
+    """A tip per line of the learning summary."""
+    s = tutor_summaries(spark, sf)
+    bullets = F.array_join(F.transform(F.split("summary", "\n"), lambda x: F.concat(F.lit(K.TIP_BULLET), x)), "\n")
+    call = _recorded("tips", s, *M.prompts("tips", language=F.col("language"), summary=F.col("summary")), bullets)
+    t = M.tips(s, call)
     return t.select("language", F.posexplode("tips").alias("pos", "tip"), "error") \
         .select("language", F.col("pos").cast("bigint").alias("pos"), "tip", "error")
 
 
 @query("model_exercise")
 def q_model_exercise(spark, sf):
-    """Regenerate an exercise like each stored one (same language and type)."""
+    """Regenerate an exercise like each stored one (same language and type) from the summary."""
     req = A.parsed_exercises(_h(spark, sf)).select(
         "id", "language", F.col("exercise.type").alias("exercise_type"))
     req = A.attach_summary(req, tutor_summaries(spark, sf))
-    e = M.exercises(req, "id")
+    kinds = req.select("language", "exercise_type", "summary").distinct()
+    body = F.to_json(F.struct(F.col("exercise_type").alias("type"), F.col("language").alias("title"),
+                              F.col("summary").alias("question"), F.split("summary", "\n").alias("options")))
+    call = _recorded("exercise", kinds, M.exercise_prompt(F.col("language"), F.col("summary"), F.col("exercise_type")),
+                     F.lit(""), F.concat(F.lit("```json\n"), body, F.lit("\n```")))
+    e = M.exercises(req, "id", call)
     body = F.col("exercise.body")
     return e.select("id", "exercise_type", "error", body.type.alias("type"), body.title.alias("title"),
-                    body.question.alias("question"), body.difficulty.alias("difficulty"))
+                    body.question.alias("question"), T.n_items(body.options).alias("n_options"))
 
 
 @query("model_word")
 def q_model_word(spark, sf):
-    w = _docs_lang(spark, sf).select("doc_id", F.try_element_at(F.split("text", " "), F.lit(1)).alias("word"),
-                                     "language")
-    e = M.explain_words(w, "doc_id")
+    """Explain every distinct word of every document; words of a length divisible by 3 got no JSON."""
+    w = _docs_lang(spark, sf).select("language", F.explode(F.split("text", " ")).alias("word")).distinct()
+    word = F.col("word")
+    body = F.to_json(F.struct(word.alias("word"), F.concat(F.lit("pl:"), word).alias("translation"),
+                              F.array(word, F.reverse(word)).alias("examples")))
+    reply = F.when(F.length("word") % 3 == 0, F.concat(F.lit("Słowo: "), word)).otherwise(body)
+    call = _recorded("explain_word", w, *M.prompts("explain_word", language=F.col("language"), word=word), reply)
     x = F.col("explanation")
-    return e.select("doc_id", x.word.alias("word"), x.translation.alias("translation"),
-                    T.n_items(x.examples).alias("n_examples"), "error")
+    return M.explain_words(w, call).select("language", "word", x.translation.alias("translation"),
+                                           T.n_items(x.examples).alias("n_examples"), "error")
 
 
 @query("model_speech")
 def q_model_speech(spark, sf):
-    s = M.speech(_docs_lang(spark, sf), "doc_id", "text", "language")
+    """The recorded sound of a text is its bytes, twice where the text's length is even."""
+    d = _docs_lang(spark, sf)
+    spoken = d.select(voice_for(F.col("language")).alias("voice"), T.tts_input("text").alias("u"))
+    sound = F.encode(F.when(F.length("u") % 2 == 0, F.concat("u", "u")).otherwise(F.col("u")), "UTF-8")
+    call = _recorded("speech", spoken, F.col("voice"), F.col("u"), sound)
+    s = M.speech(d, "doc_id", "text", "language", call)
     return s.select("doc_id", "voice", F.octet_length("audio").cast("bigint").alias("n_bytes"), "error")
 
 
+# --- uploads, ingest stamp, clear -----------------------------------------------------------------
+
+@query("file_gate")
+def q_file_gate(spark, sf):
+    """Pages as uploads: extension of the address, size in MB, gate with a limit of 2 KB."""
+    name = F.substring_index("url", "/", -1)
+    pages = read_table(spark, sf, "pages").select(
+        F.col("page_id"), F.col("url").alias("path"), name.alias("name"), T.file_extension(name).alias("ext"),
+        F.octet_length("html").cast("bigint").alias("length"))
+    return FS.gate(pages, max_mb=UPLOAD_LIMIT_MB, keep=["page_id"]).select(
+        "page_id", "ext", FS.megabytes("length").alias("mb"), "ok", "reason")
+
+
+@query("decode_txt")
+def q_decode_txt(spark, sf):
+    """Documents as uploaded bytes: UTF-8, or (odd ids) their ASCII after a byte that only the
+    second encoding of the list can read."""
+    ascii_ = F.regexp_replace("text", "[^\\x00-\\x7F]", "")
+    content = F.when(F.col("doc_id") % 2 == 0, F.encode("text", "UTF-8")).otherwise(
+        F.concat(F.unhex(F.lit("E6")), F.encode(ascii_, "UTF-8")))
+    up = _docs(spark, sf).select(F.concat(F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"),
+                                 F.octet_length(content).cast("bigint").alias("length"), content.alias("content"))
+    return FS.extract_text(up).select("path", "length", "text", "encoding", "error")
+
+
+@query("stamp_records")
+def q_stamp_records(spark, sf):
+    """New records for all documents: how many, how many ids, how many stamped within the hour."""
+    s = H.stamp(_docs(spark, sf).select(F.col("text").alias("input_text")))
+    now = TM.utc_now(spark.conf.get("spark.sql.session.timeZone"))
+    return s.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("id").alias("ids"),
+                 F.count_if(F.length("id") == 36).alias("uuids"),
+                 F.count_if(F.abs(F.timestamp_diff("MINUTE", "ts", now)) <= 60).alias("recent"))
+
+
+@query("clear_items")
+def q_clear_items(spark, sf):
+    """Records before and after everything is removed."""
+    h = _h(spark, sf).select("id")
+    return h.select(F.lit("before").alias("state")).unionByName(
+        H.clear_all(h).select(F.lit("after").alias("state"))).groupBy("state").agg(F.count(F.lit(1)).alias("n"))
+
+
 # --- 8. freshness and streams -----------------------------------------------------------------
 
 def _latest_with_ttl(spark, sf):

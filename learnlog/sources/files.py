@@ -51,14 +51,18 @@ def list_files(spark: SparkSession, path: str, max_bytes: int | None = None,
     return df.withColumn("name", name).withColumn("ext", T.file_extension(name))
 
 
-def gate(files: DataFrame, max_mb: int = K.MAX_FILE_SIZE_MB) -> DataFrame:
+def megabytes(length):
+    return (F.col(length) if isinstance(length, str) else length) / (1024 * 1024)
+
+
+def gate(files: DataFrame, max_mb: float = K.MAX_FILE_SIZE_MB, keep: list[str] = ()) -> DataFrame:
     """Upload validation: size first (``> max_mb`` MB rejected), then the extension."""
-    too_big = F.col("length") / (1024 * 1024) > max_mb
+    too_big = megabytes("length") > max_mb
     bad_ext = ~F.col("ext").isin(*K.SUPPORTED_FILE_TYPES)
     reason = (F.when(too_big, F.lit(K.MSG_FILE_TOO_LARGE))
               .when(bad_ext, F.concat(F.lit(K.MSG_UNSUPPORTED_FORMAT + ": "), F.col("ext")))
               .otherwise(F.lit("")))
-    return files.select("path", "name", "ext", "length", (reason == "").alias("ok"), reason.alias("reason"))
+    return files.select(*keep, "path", "name", "ext", "length", (reason == "").alias("ok"), reason.alias("reason"))
 
 
 # --- per-file decoders (run inside tasks) ----------------------------------------------------
@@ -130,10 +134,13 @@ def extract_text(files: DataFrame) -> DataFrame:
 
 
 def read_texts(spark: SparkSession, path: str, **kw) -> DataFrame:
-    """Gate + extraction: only files that pass the gate are read and decoded."""
+    """Gate + extraction: one row per file. Only files that pass the gate are read and decoded; the
+    others have the gate's reason as their error."""
     files = list_files(spark, path, max_bytes=K.MAX_FILE_SIZE_BYTES, **kw)
-    ok = files.where(F.col("ext").isin(*K.SUPPORTED_FILE_TYPES))
-    out = extract_text(ok)
-    return out.select("path", F.substring_index("path", "/", -1).alias("name"), "length", "text",
-                      "encoding", "error", F.length("text").alias("n_chars"),
-                      T.preview("text").alias("preview"))
+    read = extract_text(files.where(F.col("ext").isin(*K.SUPPORTED_FILE_TYPES)))
+    none = F.lit(None).cast("string")
+    rejected = gate(list_files(spark, path, **kw)).where(~F.col("ok")).select(
+        "path", "length", none.alias("text"), none.alias("encoding"), F.col("reason").alias("error"))
+    return read.unionByName(rejected).select(
+        "path", F.substring_index("path", "/", -1).alias("name"), "length", "text",
+        "encoding", "error", F.length("text").alias("n_chars"), T.preview("text").alias("preview"))

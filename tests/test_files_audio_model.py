@@ -52,7 +52,11 @@ def test_file_gate_and_extraction(spark, scratch):
     plan = FS.list_files(spark, scratch, max_bytes=100)._jdf.queryExecution().executedPlan().toString()
     assert "length" in plan and "LessThanOrEqual" in plan or "<=" in plan
     out = {r.name: r for r in FS.read_texts(spark, scratch).collect()}
-    assert "big.txt" not in out and "noext" not in out
+    # a file that the gate turns away keeps a row, with the reason
+    assert (out["big.txt"].text, out["big.txt"].error) == (None, K.MSG_FILE_TOO_LARGE)
+    assert out["big.txt"].length == K.MAX_FILE_SIZE_BYTES + 1
+    assert (out["noext"].text, out["noext"].error) == (None, K.MSG_UNSUPPORTED_FORMAT + ": noext")
+    assert len(out["edge.txt"].text) == K.MAX_FILE_SIZE_BYTES and out["edge.txt"].error is None
     assert (out["utf.txt"].text, out["utf.txt"].encoding) == ("zażółć gęślą", "utf-8")
     assert (out["win.TXT"].text, out["win.TXT"].encoding) == ("zażółć", "cp1250")
     # 0x81 is undefined in cp1250, so the next encoding in the list decodes it
@@ -103,21 +107,86 @@ def test_model_map_isolates_failures(spark):
     assert got[4] == (None, None)
 
 
+def _client():
+    """A stand-in for the model: replies by task; a user prompt with "boom" fails. (A class made
+    here is sent to the workers by value.)"""
+    class Client:
+        def complete(self, system, user, max_tokens, temperature, task=""):
+            if "boom" in user:
+                raise RuntimeError("rate limit")
+            if task == "analyze":
+                return '{"vocabulary_items": [{"word": "w1"}, {"word": "w2"}]}' if "json" in user else "no analysis"
+            if task == "speech":
+                return user.encode("utf-8") * 100
+            return f" {user} "
+    return Client
+
+
 def test_translate_pipeline_validates_before_calling(spark):
     df = spark.createDataFrame([(1, "  Ala <ma> kota  ", "angielski"), (2, "ab", "angielski")],
                                "k long, t string, lang string")
-    got = {r.k: (r.output, r.error) for r in M.translate(df, "k", "t", "lang").collect()}
+    got = {r.k: (r.output, r.error) for r in M.translate(df, "k", "t", "lang", M.calling(_client())).collect()}
     assert got[1] == ("Przetłumacz na angielski: Ala ma kota", None)
     assert got[2] == (None, K.MSG_TEXT_TOO_SHORT)
 
 
+def test_long_texts_are_sent_whole(spark):
+    text = "x" * 50_000
+    df = spark.createDataFrame([(1, text, "angielski")], "k long, t string, lang string")
+    out = M.correct(df, "k", "t", "lang", M.calling(_client())).first()
+    assert out.output.count("x") == 50_000 and out.explanation.count("x") >= 100_000 and out.error is None
+
+
 def test_analyze_failure_gives_tip(spark):
-    df = spark.createDataFrame([(1, "one two three four", "angielski"), (2, "x" * 30000, "angielski")],
+    df = spark.createDataFrame([(1, "json", "angielski"), (2, "boom", "angielski"), (3, "prose", "angielski")],
                                "k long, t string, lang string")
-    got = {r.k: r for r in M.analyze(df, "k", "t", "lang").collect()}
-    assert [v.word for v in got[1].analysis.vocabulary_items] == ["one", "two", "three"]
-    assert got[2].analysis.vocabulary_items == [] and got[2].error == M.ERR_CONTEXT_LENGTH
-    assert got[2].analysis.learning_tips[0].endswith(M.ERR_CONTEXT_LENGTH)
+    got = {r.k: r for r in M.analyze(df, "k", "t", "lang", M.calling(_client())).collect()}
+    assert [v.word for v in got[1].analysis.vocabulary_items] == ["w1", "w2"]
+    for k, error in ((2, "rate limit"), (3, K.MSG_AI_PARSE_ERROR)):
+        assert got[k].analysis.vocabulary_items == [] and got[k].error == error
+        assert got[k].analysis.learning_tips[0].endswith(error)
+
+
+def test_prompts_carry_no_text_columns(spark):
+    df = spark.createDataFrame([(1, "abc", "angielski")], "k long, t string, lang string")
+    seen = []
+
+    def call(df, keys, system, user, task, binary=False):
+        seen.append((task, list(keys)))
+        return df.select(*keys, F.lit("reply").alias("reply"), F.lit(None).cast("string").alias("error"))
+
+    M.correct(df, "k", "t", "lang", call).collect()
+    assert seen == [("correct", ["k"]), ("explain_correction", ["k"])]
+
+
+def test_save_pipelines_store_only_what_succeeded(spark, scratch):
+    from learnlog.sources.store import HistoryStore
+    store = HistoryStore(spark, f"{scratch}/h")
+    df = spark.createDataFrame([(1, "some json text", "angielski"), (2, "boom goes this", "angielski"),
+                                (3, "x", "niemiecki"), (4, "plain prose", "niemiecki")], "k long, t string, lang string")
+    call = M.calling(_client(), store_path=f"{scratch}/replies")
+    store.append(M.translation_records(df, "k", "t", "lang", call, speech_call=call))
+    store.append(M.correction_records(df, "k", "t", "lang", call))
+    store.append(M.analysis_records(df, "k", "t", "lang", call))
+    rows = store.read().collect()
+    kinds = {m: sorted(r.input_text for r in rows if r.mode == m) for m in {r.mode for r in rows}}
+    assert kinds == {"translation": ["plain prose", "some json text"],            # 2 failed, 3 is too short
+                     "correction": ["plain prose", "some json text", "x"], "analysis": ["some json text"]}
+    t = H.get_translations(store.read()).collect()
+    assert all(bytes(r.audio_data) == r.output.encode() * 100 for r in t) and len(t) == 2
+    assert [r.n_vocabulary for r in rows if r.mode == "analysis"] == [2]
+    assert len({r.id for r in rows}) == len(rows) and all(r.ts for r in rows)
+
+
+def test_recorded_replies(spark):
+    df = spark.createDataFrame([(1, "abc"), (2, "abc"), (3, "new"), (4, None)], "k long, t string")
+    replies = spark.createDataFrame([("abc", "r1"), ("abc", "r2"), ("other", "r3")], "t string, reply string")
+    table = replies.select(M.prompt_hash("translate", F.lit("s"), F.col("t")).alias("prompt"), "reply")
+    got = M.recorded(table)(df, ["k"], F.lit("s"), F.col("t"), "translate").collect()
+    assert {r.k: (r.reply, r.error) for r in got} == {1: ("r2", None), 2: ("r2", None), 3: (None, M.NO_RECORDED_REPLY),
+                                                      4: (None, None)}
+    other = M.recorded(table)(df, ["k"], F.lit("s"), F.col("t"), "correct").collect()
+    assert {r.error for r in other} == {M.NO_RECORDED_REPLY, None}  # another task is another request
 
 
 def test_filled_in_text_is_not_a_template(spark):
