@@ -5,10 +5,12 @@ from __future__ import annotations
 
 import gc
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -148,6 +150,39 @@ def group_starts(*keys: np.ndarray) -> np.ndarray:
     return np.flatnonzero(new)
 
 
+# ------------------------------------------------------------------- texts on the move
+
+def packed_texts(docs: DataFrame) -> DataFrame:
+    """``docs`` (id, text, ...) with crc (of the text's UTF-8 bytes; null as empty) and the
+    compressed text in place of the text: what a shuffle then moves is smaller."""
+    kept = [f for f in docs.schema.fields if f.name != "text"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        z = zstandard.ZstdCompressor(level=1)
+        for batch in batches:
+            for part in slices(batch, "text"):
+                data, offsets = text_bytes(part.column("text"))
+                raw = [data[a:b].tobytes() for a, b in zip(offsets, offsets[1:])]
+                yield pa.RecordBatch.from_arrays(
+                    [*[part.column(f.name) for f in kept], pa.array([zlib.crc32(r) for r in raw], pa.int64()),
+                     pa.array([z.compress(r) for r in raw], pa.binary())], [*[f.name for f in kept], "crc", "packed"])
+
+    return docs.mapInArrow(run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kept)
+                           + ", crc long, packed binary")
+
+
+def unpacked_slices(batch: pa.RecordBatch, limit: int = 1 << 18) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """Slices of at most ``limit`` compressed bytes (or one row), each with its texts' bytes."""
+    z = zstandard.ZstdDecompressor()
+    packed = batch.column("packed").to_pylist()
+    ends = np.cumsum([len(r) for r in packed])
+    at = 0
+    while at < batch.num_rows:
+        end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + limit, side="right")))
+        yield batch.slice(at, end - at), [z.decompress(r) for r in packed[at:end]]
+        at = end
+
+
 # ------------------------------------------------------------------ intermediate tables
 
 def materialize(df: DataFrame, name: str) -> DataFrame:

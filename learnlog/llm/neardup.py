@@ -11,8 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from learnlog.llm.common import (connected_components, gram_hashes, group_starts, materialize, mix, prepared,
-                                 slices, text_bytes, word_hashes)
+from learnlog.llm.common import (connected_components, gram_hashes, group_starts, materialize, mix, packed_texts,
+                                 prepared, slices, text_bytes, unpacked_slices, word_hashes)
 from learnlog.sources.tables import read_table
 
 WORDS = 5
@@ -31,14 +31,13 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
-def shingle_sets(part: pa.RecordBatch, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
+def shingle_sets(data: np.ndarray, offsets: np.ndarray, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingle hashes, sorted within each row, and the n + 1 bounds of the rows.
 
     A-Z in lower case, words are runs of other bytes than space and 0x09 to 0x0D; a text of
     fewer words than a shingle is one shingle, a text without words has none."""
-    data, offsets = text_bytes(part.column("text"))
     h, row = word_hashes(_LOWER[data], offsets, _SPACE)
-    n = part.num_rows
+    n = len(offsets) - 1
     count = np.bincount(row, minlength=n)
     grams = gram_hashes(h, words)
     inside = row[:len(grams)] == row[words - 1:] if len(grams) else np.zeros(0, bool)
@@ -228,7 +227,7 @@ def cluster_links(rows: DataFrame, pairs: Callable, name: str) -> DataFrame:
     more than two blocks."""
     size = rows.groupBy("cluster").agg(F.greatest(
         F.ceil(F.count(F.lit(1)) / BLOCK_ROWS), F.ceil(F.sum(F.length("data")) / BLOCK_BYTES)).cast("int").alias("blocks"))
-    placed = rows.join(size, "cluster").withColumn(
+    placed = rows.join(size.hint("merge"), "cluster").withColumn(
         "block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     cols = ["cluster", "left_block", "right_block", "side", "id", "size", "data"]
     here = F.array(F.struct(F.col("block").alias("left_block"), F.lit(0).alias("right_block"), F.lit(0).alias("side")))
@@ -265,7 +264,7 @@ def _sketches(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
-                value, bound = shingle_sets(part)
+                value, bound = shingle_sets(*text_bytes(part.column("text")))
                 total = [np.r_[np.uint64(0), np.cumsum(mix(value ^ np.uint64(s)))] for s in (0x5A5A, 0xC3C3C3)]
                 regs = [registers(value[lo:hi]).tobytes() if hi - lo > 2 else b"" for lo, hi in zip(bound, bound[1:])]
                 yield pa.RecordBatch.from_arrays(
@@ -291,8 +290,9 @@ def _bands(reps: DataFrame) -> DataFrame:
 def _sets(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
-                value, bound = shingle_sets(part)
+            for part, raw in unpacked_slices(batch):
+                value, bound = shingle_sets(np.frombuffer(b"".join(raw), np.uint8),
+                                            np.r_[0, np.cumsum([len(r) for r in raw])])
                 yield pa.RecordBatch.from_arrays(
                     [part.column("cluster"), part.column("id"), pa.array(np.diff(bound)),
                      pa.array([value[lo:hi].tobytes() for lo, hi in zip(bound, bound[1:])], pa.binary())],
@@ -324,11 +324,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     stars = bands.join(leaders, "key").where("id <> leader").select(
         F.col("id").alias("a"), F.col("leader").alias("b")).distinct()
     candidates = connected_components(stars)
-    likely = cluster_links(candidates.join(reps, "id").select(
+    # "merge": the same plan at every size, never a broadcast of what grows with the documents
+    likely = cluster_links(candidates.hint("merge").join(reps, "id").select(
         F.col("comp").alias("cluster"), "id", "size", F.col("registers").alias("data")), likely_pairs, "likely")
     refined = connected_components(likely)
-    texts = src.join(refined.withColumnRenamed("comp", "cluster"), "id")
-    sets = materialize(_sets(texts.select("cluster", "id", "text")), "sets")
+    texts = packed_texts(src).join(refined.withColumnRenamed("comp", "cluster").hint("merge"), "id")
+    sets = materialize(_sets(texts.select("cluster", "id", "packed")), "sets")
     links = connected_components(cluster_links(sets, true_pairs, "links"))
     rows = sketch.select("id", "size", "k1", "k2").join(same, ["size", "k1", "k2"], "left")
     return (rows.join(links.select(F.col("id").alias("rep"), "comp"), "rep", "left")

@@ -4,17 +4,15 @@ sorted, doubled to longer strings and sorted again, until unique or as long as t
 from __future__ import annotations
 
 import hashlib
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from learnlog.llm.common import (coded, gram_hashes, group_starts, materialize, mix, prepared, slices,
-                                 text_bytes, window_reduce)
+from learnlog.llm.common import (coded, gram_hashes, group_starts, materialize, mix, packed_texts, prepared,
+                                 slices, text_bytes, unpacked_slices, window_reduce)
 from learnlog.sources.tables import read_table
 
 LEAST = 50
@@ -83,46 +81,12 @@ def _shared(ranks: DataFrame) -> DataFrame:
             .mapInArrow(run, "id long, rank long"))
 
 
-def _packed(docs: DataFrame) -> DataFrame:
-    """``docs`` (id, text, ...) with crc (of the text) and the compressed text, which is what gets
-    shuffled, in place of the text."""
-    kept = [f for f in docs.schema.fields if f.name != "text"]
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        z = zstandard.ZstdCompressor(level=1)
-        for batch in batches:
-            for part in slices(batch, "text"):
-                data, offsets = text_bytes(part.column("text"))
-                raw = [data[a:b].tobytes() for a, b in zip(offsets, offsets[1:])]
-                yield pa.RecordBatch.from_arrays(
-                    [*[part.column(f.name) for f in kept], pa.array([zlib.crc32(r) for r in raw], pa.int64()),
-                     pa.array([z.compress(r) for r in raw], pa.binary())], [*[f.name for f in kept], "crc", "packed"])
-
-    return docs.mapInArrow(run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kept)
-                           + ", crc long, packed binary")
-
-
-def _unpacked(col: pa.Array) -> list[bytes]:
-    z = zstandard.ZstdDecompressor()
-    return [z.decompress(r) for r in col.to_pylist()]
-
-
-def _by_size(batch: pa.RecordBatch, limit: int = 1 << 18) -> Iterator[pa.RecordBatch]:
-    """Slices of at most ``limit`` compressed bytes (or one row)."""
-    ends = np.cumsum([len(r) for r in batch.column("packed").to_pylist()])
-    at = 0
-    while at < batch.num_rows:
-        end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + limit, side="right")))
-        yield batch.slice(at, end - at)
-        at = end
-
-
 def _runs(docs: DataFrame, least: int) -> DataFrame:
     """(rank, id, place, bytes) of every run of windows whose rank is among the row's shared
     ranks. place: checksum of the text (high half) and first byte of the run."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in _by_size(batch):
-                raw = _unpacked(part.column("packed"))
+            for part, raw in unpacked_slices(batch):
                 data = np.frombuffer(b"".join(raw), np.uint8)
                 offsets = np.r_[0, np.cumsum([len(r) for r in raw])]
                 row, start, windows, rank = window_ranks(data, offsets, least)
@@ -236,7 +200,7 @@ def repeated_ranges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     prepared(docs.sparkSession)
     shared = materialize(_shared(_first_ranks(src, least)), "shared-ranks")
     ranks = shared.groupBy("id").agg(F.collect_list("rank").alias("ranks"))
-    found = materialize(_found(_runs(_packed(src).join(ranks, "id"), least), least, kept_strings), "repeats")
+    found = materialize(_found(_runs(packed_texts(src).join(ranks, "id"), least), least, kept_strings), "repeats")
     left = found.where("window IS NOT NULL")
     first = left.groupBy("window").agg(F.min("id").alias("first"))
     late = left.where("place >= 0").join(first, "window").where("id > first").select("id", "place", "size")
@@ -261,13 +225,13 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     nothing; an empty table gives no rows."""
     carried = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(columns)]
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), *carried)
-    joined = _packed(src).join(repeated_ranges(docs, id_col, text_col, least), ["id", "crc"], "left")
+    joined = packed_texts(src).join(repeated_ranges(docs, id_col, text_col, least), ["id", "crc"], "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in _by_size(batch):
+            for part, texts in unpacked_slices(batch):
                 out = []
-                for raw, spans in zip(_unpacked(part.column("packed")), part.column("spans")):
+                for raw, spans in zip(texts, part.column("spans")):
                     keep, n_spans = raw, 0
                     if spans.is_valid:
                         a, size = (x.to_numpy() for x in spans.values.flatten())
