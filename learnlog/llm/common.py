@@ -16,8 +16,9 @@ from pyspark.sql import functions as F
 
 from learnlog.session import checkpoint_dir, ship_package
 
-#: Bytes of text that one numpy pass handles; a longer single text is a slice of its own.
-SLICE_BYTES = 1 << 20
+#: Bytes of text that one numpy pass handles (its arrays then fit a core's cache); a longer single
+#: text is a slice of its own.
+SLICE_BYTES = 1 << 18
 
 _MULT = 0x9E3779B97F4A7C15
 _BYTE_CODES = np.random.default_rng(20240501).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) \
@@ -171,7 +172,7 @@ def packed_texts(docs: DataFrame) -> DataFrame:
                            + ", crc long, packed binary")
 
 
-def unpacked_slices(batch: pa.RecordBatch, limit: int = 1 << 18) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+def unpacked_slices(batch: pa.RecordBatch, limit: int = 1 << 16) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Slices of at most ``limit`` compressed bytes (or one row), each with its texts' bytes."""
     z = zstandard.ZstdDecompressor()
     packed = batch.column("packed").to_pylist()

@@ -18,7 +18,7 @@ from learnlog.sources.tables import read_table
 DIMS = 8192
 UNKNOWN = "und"
 #: Rows whose dense count vectors are held at once.
-ROWS = 256
+ROWS = 64
 _LETTER = regex.compile(r"\p{L}")
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -112,7 +112,7 @@ def document_frequencies(docs: DataFrame, text_col: str = "text") -> tuple[np.nd
 
 
 def train(learn: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
-          clusters: int = 4, max_sample: int = 2000, slack: float = 0.5) -> LanguageModel | None:
+          clusters: int = 4, max_sample: int = 2000, slack: float = 0.25) -> LanguageModel | None:
     """Fit centroids on ``learn`` (null languages are left out); None if nothing is labelled.
 
     Document frequencies come from all rows of ``learn``. The centroids are fitted on a sample of
