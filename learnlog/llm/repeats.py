@@ -151,7 +151,7 @@ class RankGroup:
 
 def _found(runs: DataFrame, least: int, keep: int) -> DataFrame:
     """(id, place, size, window): byte ranges to remove; or, where a rank had more strings than
-    a task keeps, its windows (place -1: one that the task knew already), left to be ranked as a whole."""
+    a task keeps, its windows (size 0: one that the task knew already), left to be ranked as a whole."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rank, group = None, None
         for batch in batches:
@@ -166,7 +166,7 @@ def _found(runs: DataFrame, least: int, keep: int) -> DataFrame:
                 else:
                     out.extend((doc, place + a, b - a, None) for a, b in spans)
                     if group.full and not was_full:
-                        out.extend((d, -1, least, w) for w, d in group.windows.items())
+                        out.extend((d, 0, 0, w) for w, d in group.windows.items())
             cols = list(zip(*out)) if out else [(), (), (), ()]
             yield pa.RecordBatch.from_arrays(
                 [*[pa.array(c, pa.int64()) for c in cols[:3]], pa.array(cols[3], pa.binary())],
@@ -203,7 +203,7 @@ def repeated_ranges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     found = materialize(_found(_runs(packed_texts(src).join(ranks, "id"), least), least, kept_strings), "repeats")
     left = found.where("window IS NOT NULL")
     first = left.groupBy("window").agg(F.min("id").alias("first"))
-    late = left.where("place >= 0").join(first, "window").where("id > first").select("id", "place", "size")
+    late = left.where("size > 0").join(first, "window").where("id > first").select("id", "place", "size")
     spans = found.where("window IS NULL").select("id", "place", "size").unionByName(late)
     return spans.groupBy("id", F.shiftright("place", 32).bitwiseAND(_LOW).alias("crc")).agg(
         F.collect_list(F.struct(F.col("place").bitwiseAND(_LOW).alias("start"), "size")).alias("spans"))
