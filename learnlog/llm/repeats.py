@@ -202,7 +202,7 @@ def repeated_ranges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ranks = shared.groupBy("id").agg(F.collect_list("rank").alias("ranks"))
     found = materialize(_found(_runs(packed_texts(src).join(ranks, "id"), least), least, kept_strings), "repeats")
     left = found.where("window IS NOT NULL")
-    first = left.groupBy("window").agg(F.min("id").alias("first"))
+    first = materialize(left.groupBy("window").agg(F.min("id").alias("first")), "first-windows")
     late = left.where("size > 0").join(first, "window").where("id > first").select("id", "place", "size")
     spans = found.where("window IS NULL").select("id", "place", "size").unionByName(late)
     return spans.groupBy("id", F.shiftright("place", 32).bitwiseAND(_LOW).alias("crc")).agg(
