@@ -4,6 +4,7 @@ sorted, doubled to longer strings and sorted again, until unique or as long as t
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -186,11 +187,31 @@ def merged(starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return a[head], b[np.r_[head[1:] - 1, len(a) - 1]]
 
 
+def _whole_copies(docs: DataFrame, least: int) -> DataFrame:
+    """(id, crc, size, copy) per row: whether a row with a smaller id has the same text, of ``least``
+    bytes or more. Such a text goes as a whole."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                data, offsets = text_bytes(part.column("text"))
+                raw = [data[a:b].tobytes() for a, b in zip(offsets, offsets[1:])]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("id"), pa.array([zlib.crc32(r) for r in raw], pa.int64()), pa.array(np.diff(offsets)),
+                     pa.array([hashlib.blake2b(r, digest_size=16).digest() for r in raw], pa.binary())],
+                    ["id", "crc", "size", "digest"])
+
+    texts = materialize(docs.mapInArrow(run, "id long, crc long, size long, digest binary"), "digests")
+    first = materialize(texts.groupBy("digest").agg(F.min("id").alias("first")), "first-texts")
+    return materialize(texts.join(first, "digest").select(
+        "id", "crc", "size", ((F.col("id") > F.col("first")) & (F.col("size") >= least)).alias("copy")), "copies")
+
+
 def repeated_ranges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST,
                     kept_strings: int = KEPT_STRINGS) -> DataFrame:
     """(id, crc, spans): for every row with something to remove, its ranges (place, size), not merged yet.
 
-    Round 1 ranks every ``least``-byte window by the smallest hash of its 16-byte strings (about one
+    A text that a row with a smaller id has too is settled as a whole: it need not take part, since
+    whatever it holds is in that row. Round 1 ranks every ``least``-byte window by the smallest hash of its 16-byte strings (about one
     rank per 17 windows) and sorts (rank, id): ranks that one id holds are dropped. Round 2
     sorts what is left by (rank, id) with the bytes of its windows: runs of windows equal as
     a whole are settled at once, others window by window. Round 3 is for ranks with more
@@ -199,12 +220,15 @@ def repeated_ranges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     prepared(docs.sparkSession)
     shared = materialize(_shared(_first_ranks(src, least)), "shared-ranks")
-    ranks = shared.groupBy("id").agg(F.collect_list("rank").alias("ranks"))
+    texts = _whole_copies(src, least)
+    settled = texts.groupBy("id").agg(F.bool_and("copy").alias("settled")).where("settled").select("id")
+    ranks = shared.groupBy("id").agg(F.collect_list("rank").alias("ranks")).join(settled, "id", "left_anti")
     found = materialize(_found(_runs(packed_texts(src).join(ranks, "id"), least), least, kept_strings), "repeats")
     left = found.where("window IS NOT NULL")
     first = materialize(left.groupBy("window").agg(F.min("id").alias("first")), "first-windows")
     late = left.where("size > 0").join(first, "window").where("id > first").select("id", "place", "size")
-    spans = found.where("window IS NULL").select("id", "place", "size").unionByName(late)
+    whole = texts.where("copy").select("id", F.shiftleft("crc", 32).alias("place"), "size")
+    spans = found.where("window IS NULL").select("id", "place", "size").unionByName(late).unionByName(whole)
     return spans.groupBy("id", F.shiftright("place", 32).bitwiseAND(_LOW).alias("crc")).agg(
         F.collect_list(F.struct(F.col("place").bitwiseAND(_LOW).alias("start"), "size")).alias("spans"))
 

@@ -175,7 +175,10 @@ def test_repeats_beyond_a_tasks_memory(spark):
 
 
 def test_repeats_edges(spark):
-    rows = [*ROWS, (20, "short"), (21, "q" * 49), (22, "q" * 49), (23, "q" * 50), (24, "q" * 51), (None, "q" * 60)]
+    copied = "a text of more than fifty bytes that is there three times over"
+    rows = [*ROWS, (20, "short"), (21, "q" * 49), (22, "q" * 49), (23, "q" * 50), (24, "q" * 51), (None, "q" * 60),
+            (30, copied), (31, copied), (32, copied), (32, "another text under the same id, also of over fifty bytes"),
+            (33, "another text under the same id, also of over fifty bytes")]
     got = {}
     for r in repeats.remove_repeats(edge_docs(spark, rows), columns=("key", "spans"), kept_col="text").collect():
         got.setdefault(r["doc_id"], []).append((r["n_bytes"], r["n_removed"], r["n_spans"]))
@@ -184,6 +187,9 @@ def test_repeats_edges(spark):
     assert got[22] == [(49, 0, 0)] and got[23] == [(50, 0, 0)] and got[24] == [(51, 51, 1)]
     assert sorted(got[None]) == [(len(ROWS[0][1]), 0, 0), (60, 0, 0)]
     assert got[1] == got[2] == [(0, 0, 0)] and len(got[8]) == 2
+    n, m = len(copied), len(rows[-1][1])
+    assert got[30] == [(n, 0, 0)] and got[31] == [(n, n, 1)] and got[33] == [(m, m, 1)]
+    assert sorted(got[32]) == sorted([(n, n, 1), (m, 0, 0)])
     assert repeats.remove_repeats(edge_docs(spark, [])).count() == 0
 
 
