@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -19,6 +20,9 @@ DIMS = 8192
 UNKNOWN = "und"
 #: Rows whose dense count vectors are held at once.
 ROWS = 64
+#: Length classes (log2 of a text's n-grams), steps that cosines are counted in, and the fewest
+#: rows that give a class of a language its own bound.
+CLASSES, STEPS, LEAST_ROWS = 32, 1000, 20
 _LETTER = regex.compile(r"\p{L}")
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -42,6 +46,11 @@ def ngram_counts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out.reshape(n, DIMS)
 
 
+def length_class(counts: np.ndarray) -> np.ndarray:
+    """Whole part of log2 of the number of n-grams per row."""
+    return np.minimum(np.log2(np.maximum(counts.sum(axis=1), 1)).astype(np.int64), CLASSES - 1)
+
+
 def weighted(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
     """TF-IDF rows of length 1 (a row without n-grams stays 0)."""
     x = np.log1p(counts.astype(np.float32)) * idf
@@ -54,14 +63,18 @@ class LanguageModel:
     idf: np.ndarray          # DIMS
     centroids: np.ndarray    # k x DIMS, length 1
     names: list[str]         # language per centroid
-    floor: float             # least cosine with a centroid that counts as a language
+    floor: np.ndarray        # least cosine that counts, per centroid (its language's) and length class
 
-    def predict(self, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(nearest centroid, its cosine, whether it is too far) per row."""
+    def nearest(self, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(nearest centroid, its cosine) per row."""
         cos = np.clip(weighted(counts, self.idf) @ self.centroids.T, 0, 1)
         best = cos.argmax(axis=1)
-        top = cos[np.arange(len(cos)), best].astype(np.float64)
-        return best, top, top < self.floor
+        return best, cos[np.arange(len(cos)), best].astype(np.float64)
+
+    def predict(self, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(nearest centroid, its cosine, whether it is too far) per row."""
+        best, top = self.nearest(counts)
+        return best, top, top < self.floor[best, length_class(counts)]
 
 
 def spherical_kmeans(x: np.ndarray, k: int, rounds: int = 15) -> np.ndarray:
@@ -111,15 +124,65 @@ def document_frequencies(docs: DataFrame, text_col: str = "text") -> tuple[np.nd
     return out[:DIMS], int(out[DIMS])
 
 
+def rejection_bounds(learn: DataFrame, model: LanguageModel, share: float, slack: float) -> np.ndarray:
+    """Per language of ``model.names`` and length class: ``slack`` times the cosine that a
+    ``share`` of the rows of ``learn`` (id, text, lang) stays below, over all rows whose nearest
+    centroid is of their own language. With few rows the quantile is hardly below their mean, so
+    the factor falls to 1/2 as ``share`` of them falls from one row to none.
+
+    A class of fewer than LEAST_ROWS rows takes the bound of the next shorter one that has
+    them, if none is shorter the next longer one's, times the square root of the ratio of lengths (the
+    cosine of a few n-grams with a centroid grows so). A language without such a class takes the
+    least bound of the others, without any all texts pass."""
+    langs = sorted(set(model.names))
+    code = {lang: i for i, lang in enumerate(langs)}
+    of = np.array([code[lang] for lang in model.names])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: Counter = Counter()
+        for batch in batches:
+            for part in slices(batch, "text", rows=ROWS):
+                counts = ngram_counts(*text_bytes(part.column("text")))
+                best, top = model.nearest(counts)
+                label = np.array([code.get(lang, -1) for lang in part.column("lang").to_pylist()])
+                own = (of[best] == label) & counts.any(axis=1)
+                key = (label * CLASSES + length_class(counts)) * (STEPS + 1) + (top * STEPS).astype(np.int64)
+                seen.update(key[own].tolist())
+        key = np.array(sorted(seen), np.int64)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(key // (STEPS + 1)), pa.array(key % (STEPS + 1)), pa.array([seen[k] for k in key.tolist()], pa.int64())],
+            ["cell", "step", "n"])
+
+    prepared(learn.sparkSession)
+    got = (learn.mapInArrow(run, "cell long, step long, n long").groupBy("cell", "step").agg(F.sum("n").alias("n"))
+           .groupBy("cell").agg(F.percentile("step", share, F.col("n")).alias("low"), F.sum("n").alias("n"))
+           .where(F.col("n") >= LEAST_ROWS).collect())  # one row per language and length class
+    known = {divmod(r["cell"], CLASSES): (0.5 + (slack - 0.5) * min(1.0, share * r["n"])) * float(r["low"]) / STEPS
+             for r in got}
+    out = np.zeros((len(langs), CLASSES))
+    lost = []
+    for i in range(len(langs)):
+        have = [c for c in range(CLASSES) if (i, c) in known]
+        if not have:
+            lost.append(i)
+            continue
+        for c in range(CLASSES):
+            at = max((x for x in have if x <= c), default=have[0])
+            out[i, c] = known[i, at] * min(1.0, 2.0 ** ((c - at) / 2))
+    told = np.setdiff1d(np.arange(len(langs)), lost)
+    out[lost] = out[told].min(axis=0) if len(told) else 0.0
+    return out[of]
+
+
 def train(learn: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
-          clusters: int = 4, max_sample: int = 2000, slack: float = 0.25) -> LanguageModel | None:
+          clusters: int = 4, max_sample: int = 2000, share: float = 0.005, slack: float = 0.9) -> LanguageModel | None:
     """Fit centroids on ``learn`` (null languages are left out); None if nothing is labelled.
 
     Document frequencies come from all rows of ``learn``. The centroids are fitted on a sample of
     at most about ``max_sample`` rows in all, spread evenly over the languages and chosen by a
     hash of the id. A language's rows are clustered into ``clusters`` centroids; a text is
-    rejected if its cosine with the nearest centroid is below ``slack`` times the lowest that a
-    row of the sample reaches (texts of a few words, mostly)."""
+    rejected if its cosine with the nearest centroid is below the bound of that centroid's language
+    for texts of its length, which ``rejection_bounds`` takes from all rows of ``learn``."""
     learn = learn.where(F.col(lang_col).isNotNull()).select(
         F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     sizes = {r["lang"]: r["n"] for r in learn.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
@@ -127,9 +190,9 @@ def train(learn: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
     if not sizes:
         return None
     each = max(1, max_sample // len(sizes))
-    share = F.lit(0.0)
+    part_of = F.lit(0.0)
     for lang, n in sizes.items():
-        share = F.when(F.col("lang") == lang, F.lit(min(1.0, each / n))).otherwise(share)
+        part_of = F.when(F.col("lang") == lang, F.lit(min(1.0, each / n))).otherwise(part_of)
     chance = F.pmod(F.xxhash64(F.lit("sample"), "id"), F.lit(1_000_003)) / 1_000_003.0
 
     def make(part: pa.RecordBatch, counts: np.ndarray) -> pa.RecordBatch:
@@ -141,10 +204,10 @@ def train(learn: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
                                           ["lang", "id", "counts"])
 
     kind = learn.schema["id"].dataType.simpleString()
-    rows = _counted(learn.where(chance < share), f"lang string, id {kind}, counts binary", make).collect()
+    rows = _counted(learn.where(chance < part_of), f"lang string, id {kind}, counts binary", make).collect()
     df, n = document_frequencies(learn)
     idf = (np.log((1 + n) / (1 + df)) + 0.1).astype(np.float32)
-    centroids, names, floor = [], [], 1.0
+    centroids, names = [], []
     for lang in sorted({r["lang"] for r in rows}):
         own = sorted((r["id"] is None, r["id"], bytes(r["counts"])) for r in rows if r["lang"] == lang)
         counts = np.zeros((len(own), DIMS), np.int64)
@@ -155,12 +218,13 @@ def train(learn: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
         if not len(x):
             continue
         c = spherical_kmeans(x, clusters)
-        floor = min(floor, float((x @ c.T).max(axis=1).min()))
         centroids.extend(c)
         names.extend([lang] * len(c))
     if not names:
         return None
-    return LanguageModel(idf, np.stack(centroids).astype(np.float32), names, slack * floor)
+    model = LanguageModel(idf, np.stack(centroids).astype(np.float32), names, np.zeros((len(names), CLASSES)))
+    model.floor = rejection_bounds(learn, model, share, slack)
+    return model
 
 
 _OUT = "lang_pred string, score double, rejected boolean"

@@ -234,6 +234,17 @@ def test_language_edges(spark):
     assert L.identify(docs.limit(0), model).count() == 0
 
 
+def test_long_texts_in_unlearned_languages_are_rejected(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    junk = spark.createDataFrame([(10 ** 6 + i, t, "en") for i, t in enumerate(("zq", "0x7 kv", "##q"))], docs.schema)
+    for out in ("es", "fr"):
+        model = L.train(docs.where(f"lang != '{out}'").unionByName(junk))
+        rows = L.identify(docs.where("length(text) >= 300"), model, columns=["lang"]).collect()
+        new = [r["rejected"] for r in rows if r["lang"] == out]
+        known = [r["rejected"] for r in rows if r["lang"] != out]
+        assert len(new) > 90 and sum(new) / len(new) >= 0.85 and sum(known) / len(known) <= 0.01
+
+
 # ---- licences
 
 def test_licences(spark):
