@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -19,6 +20,8 @@ _SEPARATOR = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _PROFILE = 1 << 14
+#: Steps of one logit that calibration counts in, and the largest logit told apart.
+STEPS, MOST = 50, 100
 
 
 def words_of(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
@@ -44,6 +47,7 @@ class ConvNet:
     out_bias: float = 0.0
     profile: np.ndarray = None         # languages x _PROFILE
     threshold: np.ndarray = None       # per language
+    names: list[str] = field(default_factory=list)           # languages
 
     def rows(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         m = np.uint64(self.buckets - 1)
@@ -110,24 +114,59 @@ class ConvNet:
                 np.subtract.at(self.tables[1], b[at].ravel(), rate * dx)
 
 
+def held_out(n: int) -> np.ndarray:
+    """Which of n texts calibrate instead of being learned from."""
+    return np.arange(n) % 5 == 4
+
+
+def widest_cut(z: np.ndarray, y: np.ndarray, weight: np.ndarray, least: float, slip: float) -> float | None:
+    """Of the thresholds for z that come within 3 % of the positive weight, or ``slip``, of the
+    best weighted accuracy, the one in the widest gap; None where either label has fewer than
+    ``least`` of the weight."""
+    if (weight * y).sum() < least or (weight * (1 - y)).sum() < least:
+        return None
+    order = np.argsort(-z, kind="stable")
+    gain = np.cumsum(weight[order] * (2 * y[order] - 1))
+    near = np.flatnonzero(gain >= gain.max() - max(slip, 0.03 * (weight * y).sum()))
+    near = near[near + 1 < len(order)]
+    if not len(near):
+        return None
+    k = int(near[(z[order[near]] - z[order[near + 1]]).argmax()])
+    return float((z[order[k]] + z[order[k + 1]]) / 2)
+
+
+def binned_cut(z: np.ndarray, pos: np.ndarray, neg: np.ndarray) -> float:
+    """The same over counts of either label per ascending value of z (two values at least)."""
+    gain = np.cumsum((pos - neg)[::-1])[:-1]   # cut below the i-th highest value
+    near = np.flatnonzero(gain >= max(gain.max(), 0) - max(1, 0.03 * pos.sum()))
+    if not len(near):
+        near = np.array([gain.argmax()])
+    down = z[::-1]
+    k = int(near[(down[near] - down[near + 1]).argmax()])
+    return float((down[k] + down[k + 1]) / 2)
+
+
 def fit(texts: list[np.ndarray], y: np.ndarray, weight: np.ndarray, lang: list[str], epochs: int = 12,
-        rate: float = 1.0, seed: int = 7) -> ConvNet:
-    """Train on word hashes per text; one text in five calibrates the thresholds.
+        rate: float = 1.0, seed: int = 7, cut: np.ndarray | None = None) -> ConvNet:
+    """Train on word hashes per text; one text in five (``held_out``) calibrates the thresholds.
+    Texts marked in ``cut`` only tell the words of their language.
 
     The first coordinate of a table row starts at the shrunken log-odds of the label among texts
     with a word of that row, the others at small random values. ``weight``: how many rows of
     the whole a text stands for. Of the thresholds that come within 3 % of the
     positive weight of the best weighted accuracy, the one in the widest gap is taken, for a
-    language over its calibration texts, or over all where it has few of either label."""
+    language over its calibration texts, or over all where it has few of either label
+    (``train`` replaces these by thresholds over all labelled documents)."""
     rng = np.random.default_rng(seed)
     net = ConvNet()
     n = len(texts)
     row = np.repeat(np.arange(n), [len(t) for t in texts])
     h = np.concatenate(texts) if n else np.zeros(0, np.uint64)
-    held = np.arange(n) % 5 == 4
+    held = held_out(n)
+    whole = np.ones(n, bool) if cut is None else ~cut
     net.tables = rng.normal(0, 0.1, (2, net.buckets, net.dim)).astype(np.float32)
     prior = min(max(float((weight * y).sum() / max(weight.sum(), 1e-9)), 0.01), 0.99)
-    learn = ~held[row]
+    learn = (whole & ~held)[row]
     for t, slot in enumerate(net.rows(h)):
         seen = np.unique(np.stack([slot[learn], row[learn]]), axis=1)
         of = np.bincount(seen[0], weights=weight[seen[1]] * y[seen[1]], minlength=net.buckets)
@@ -143,7 +182,7 @@ def fit(texts: list[np.ndarray], y: np.ndarray, weight: np.ndarray, lang: list[s
     net.out = np.full(len(net.widths) * net.filters, 0.2, np.float32)
     net.out_bias = -2.0
     ends = np.r_[0, np.cumsum([len(t) for t in texts])].astype(np.int64)
-    ids = np.flatnonzero(~held)
+    ids = np.flatnonzero(whole & ~held)
     for epoch in range(epochs if len(ids) else 0):
         for batch in np.array_split(rng.permutation(ids), -(-len(ids) // 64)):
             take = np.concatenate([np.arange(ends[i], ends[i + 1]) for i in batch])
@@ -161,68 +200,123 @@ def fit(texts: list[np.ndarray], y: np.ndarray, weight: np.ndarray, lang: list[s
     def best_cut(of: np.ndarray) -> float | None:
         if y[of].sum() < 10 or (1 - y[of]).sum() < 10:
             return None
-        order = of[np.argsort(-z[of], kind="stable")]
-        gain = np.cumsum(weight[order] * (2 * y[order] - 1))
-        near = np.flatnonzero(gain >= gain.max() - max(weight.max(), 0.03 * (weight * y)[of].sum()))
-        near = near[near + 1 < len(order)]
-        width = z[order[near]] - z[order[near + 1]]
-        k = int(near[width.argmax()])
-        return float((z[order[k]] + z[order[k + 1]]) / 2)
-
-    calibrate = np.flatnonzero(held)
+        return widest_cut(z[of], y[of], weight[of], 0, weight.max())
+
+    calibrate = np.flatnonzero(held & whole)
     overall = best_cut(calibrate)
-    overall = overall if overall is not None else best_cut(np.arange(n))
+    overall = overall if overall is not None else best_cut(np.flatnonzero(whole))
     overall = overall if overall is not None else 0.0
     cuts = [best_cut(calibrate[code[calibrate] == c]) for c in range(len(names))]
     net.threshold = np.array([overall if c is None else c for c in cuts])
+    net.names = names
     return net
 
 
+def calibrated(docs: DataFrame, known: DataFrame, trained: list, net: ConvNet) -> np.ndarray:
+    """The threshold of each of ``net.names`` from the logits of all documents (id, text, lang) in
+    ``known`` (id, y, whatever their length), counted by language, step of the logit and label.
+
+    Documents whose id is in ``trained`` count only where the others of a language have fewer
+    than ten of either label; a language that has too few even so gets the threshold of all."""
+    spark = docs.sparkSession
+    shared = spark.sparkContext.broadcast(net)  # a size fixed by ConvNet
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                z = shared.value.logits(*words_of(part), part.num_rows)
+                step = np.floor(np.clip(z, -MOST, MOST) * STEPS).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("lang"), pa.array(step)],
+                                                 ["id", "lang", "step"])
+
+    kind = docs.schema["id"].dataType.simpleString()
+    # texts are scored where they are read: only ids, languages and steps meet the labels
+    logits = docs.select("id", "text", "lang").mapInArrow(run, f"id {kind}, lang string, step long")
+    seen = spark.createDataFrame([(i,) for i in sorted(set(trained))], f"id {kind}").withColumn("used", F.lit(1))
+    got = (logits.join(known, "id").join(F.broadcast(seen), "id", "left")
+           .groupBy(F.coalesce("lang", F.lit("")).alias("lang"), F.col("used").isNotNull().alias("used"), "step",
+                    F.col("y").cast("int").alias("y")).agg(F.count(F.lit(1)).alias("n")).collect())
+    lang = np.array([r["lang"] for r in got], object)
+    used = np.array([r["used"] for r in got], bool)
+    z = (np.array([r["step"] for r in got], np.float64) + 0.5) / STEPS
+    y = np.array([r["y"] for r in got], np.float64)
+    n = np.array([r["n"] for r in got], np.float64)
+
+    def cut(of: np.ndarray) -> float | None:
+        for rows in (of & ~used, of):
+            steps, at = np.unique(z[rows], return_inverse=True)
+            pos = np.bincount(at, weights=n[rows] * y[rows], minlength=len(steps))
+            neg = np.bincount(at, weights=n[rows] * (1 - y[rows]), minlength=len(steps))
+            if pos.sum() >= 10 and neg.sum() >= 10 and len(steps) > 1:
+                return binned_cut(steps, pos, neg)
+        return None
+
+    overall = cut(np.ones(len(got), bool))
+    own = [cut(lang == name) for name in net.names]
+    return np.array([c if c is not None else overall if overall is not None else t
+                     for c, t in zip(own, net.threshold)])
+
+
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = 4000, max_words: int = 5_000,
           id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
           label_col: str = "toxic") -> ConvNet | None:
-    """Fit on a bounded sample of labelled documents; None without labels of both kinds.
-
-    At most ``max_rows`` labelled ids, half of either label where there are as many, chosen by
-    the smallest hash of the id; of those the documents of at most ``max_words`` words. Labels
-    given twice count as the larger; null labels and ids are left out. ``lang_col`` is read here
-    only, to learn which words tell the languages apart."""
+    """Fit on a bounded sample of labelled documents; None without labels of both kinds. The
+    thresholds come from all labelled documents (``calibrated``).
+
+    About ``max_rows`` labelled ids, half of either label where there are as many, chosen by
+    a hash of the id; half of them in proportion to the languages and half evenly over them. Of
+    documents over ``max_words`` words the beginning only tells the words of their language.
+    Labels given twice count as the larger; null labels and ids are left out. ``lang_col`` is read
+    here only, to learn which words tell the languages apart and for the thresholds; an id with several
+    languages counts with the first."""
     spark = docs.sparkSession
     known = (labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
              .groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).alias("y")))
-    total = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if not total.get(0) or not total.get(1):
+    docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
+    cells = known.join(docs.groupBy("id").agg(F.coalesce(F.min("lang"), F.lit("")).alias("lang")), "id")
+    sizes = {(r["y"], r["lang"]): r["n"]
+             for r in cells.groupBy("y", "lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row per language and label
+    total = {v: sum(n for (w, _), n in sizes.items() if w == v) for v in (0, 1)}
+    if not total[0] or not total[1]:
         return None
     each = {v: min(total[v], max(max_rows // 2, max_rows - total[1 - v])) for v in (0, 1)}
-    picked = [r for v in (0, 1) for r in known.where(F.col("y") == v)
-              .orderBy(F.xxhash64(F.lit("sample"), "id"), "id").limit(each[v]).collect()]
+    kinds = {v: sum(w == v for w, _ in sizes) for v in (0, 1)}
+    share = [(v, lang, 1.0 if each[v] == total[v] else (each[v] / total[v] + each[v] / kinds[v] / n) / 2)
+             for (v, lang), n in sizes.items() if v in (0, 1)]
+    shares = spark.createDataFrame(share, f"y {known.schema['y'].dataType.simpleString()}, lang string, share double")
+    chance = F.pmod(F.xxhash64(F.lit("sample"), "id"), F.lit(1_000_003)) / 1_000_003.0
+    picked = (cells.join(F.broadcast(shares), ["y", "lang"]).where(chance < F.col("share"))
+              .select("id", "y", "lang").collect())
     kind = known.schema["id"].dataType.simpleString()
-    ids = spark.createDataFrame(picked, f"id {kind}, y {known.schema['y'].dataType.simpleString()}")
+    ids = spark.createDataFrame(picked, f"id {kind}, y {known.schema['y'].dataType.simpleString()}, lang string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
                 h, row = words_of(part)
                 cuts = np.searchsorted(row, np.arange(part.num_rows + 1))
-                keep = np.flatnonzero(np.diff(cuts) <= max_words)
-                raw = [h[cuts[i]:cuts[i + 1]].tobytes() for i in keep]
-                part = part.take(pa.array(keep))
+                raw = [h[a:min(b, a + max_words)].tobytes() for a, b in zip(cuts, cuts[1:])]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("id"), part.column("lang"), part.column("y"), pa.array(raw, pa.binary())],
-                    ["id", "lang", "y", "words"])
+                    [part.column("id"), part.column("lang"), part.column("y"), pa.array(raw, pa.binary()),
+                     pa.array(np.diff(cuts) > max_words)], ["id", "lang", "y", "words", "cut"])
 
     prepared(spark)
-    # at most max_rows ids: bounded by the parameter
-    rows = (docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-            .join(F.broadcast(ids), "id").select("id", "text", "lang", F.col("y").cast("int").alias("y"))
-            .mapInArrow(run, f"id {kind}, lang string, y int, words binary").collect())
+    # about max_rows ids: bounded by the parameter
+    rows = (docs.select("id", "text").join(F.broadcast(ids), "id")
+            .select("id", "text", "lang", F.col("y").cast("int").alias("y"))
+            .mapInArrow(run, f"id {kind}, lang string, y int, words binary, cut boolean").collect())
     rows = sorted(rows, key=lambda r: (r["id"], bytes(r["words"])))
     y = np.array([r["y"] for r in rows], np.float64)
-    if not (y == 0).any() or not (y == 1).any():
+    cut = np.array([r["cut"] for r in rows], bool)
+    if not (y[~cut] == 0).any() or not (y[~cut] == 1).any():
         return None
-    weight = np.where(y == 1, total[1] / (y == 1).sum(), total[0] / (y == 0).sum())
-    return fit([np.frombuffer(r["words"], np.uint64) for r in rows], y, weight / weight.mean(),
-               [r["lang"] or "" for r in rows])
+    there = Counter((r["y"], r["lang"]) for r in rows)
+    weight = np.array([sizes[r["y"], r["lang"]] / there[r["y"], r["lang"]] for r in rows])
+    net = fit([np.frombuffer(r["words"], np.uint64) for r in rows], y, weight / weight.mean(),
+              [r["lang"] for r in rows], cut=cut)
+    learned = np.flatnonzero(~held_out(len(rows)) & ~cut)
+    net.threshold = calibrated(docs, known, [rows[i]["id"] for i in learned], net)
+    return net
 
 
 def score(docs: DataFrame, net: ConvNet | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -139,6 +139,32 @@ def test_toxicity_edges(spark):
     assert T.score(edge_docs(spark, []), net).count() == 0
 
 
+def test_rare_language_gets_a_threshold_of_its_own(spark):
+    rng = random.Random(4)
+    rows, labels = [], []
+
+    def add(lang, n, bad, length):
+        for i in range(n):
+            toxic = int(i % 2)
+            words = [f"{lang}{rng.randrange(300)}" for _ in range(length)]
+            if toxic:
+                words[rng.randrange(length)] = bad
+            labels.append((len(rows), toxic))
+            rows.append((len(rows), " ".join(words), lang))
+
+    add("common", 6000, "slur", 30)
+    add("rare", 60, "slur", 30)       # 1 % of the rows
+    add("long", 60, "slur", 5500)     # every text over max_words
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    net = T.train(docs, spark.createDataFrame(labels, "doc_id long, toxic int"), max_rows=400)
+    at = dict(zip(("common", "long", "rare"), net.threshold))
+    assert len(net.threshold) == 3 and len(set(at.values())) == 3
+    got = {r["doc_id"]: r["predicted"] for r in T.score(docs, net).collect()}
+    for lang, least in (("common", 0.95), ("rare", 0.9), ("long", 0.9)):
+        own = [got[i] == y for (i, y), r in zip(labels, rows) if r[2] == lang]
+        assert sum(own) / len(own) >= least, (lang, sum(own) / len(own), at)
+
+
 def test_convolution_sees_word_order():
     rng = np.random.default_rng(2)
     vocab = rng.integers(1, 1 << 63, 400, dtype=np.uint64)
