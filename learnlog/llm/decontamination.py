@@ -10,14 +10,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from learnlog.llm.common import gram_hashes, group_starts, mix, prepared, slices
+from learnlog.llm.common import gram_hashes, mix, prepared, slices
 from learnlog.sources.tables import read_table
 
-#: Characters per gram, per segment of a benchmark text, and edits allowed per character.
+#: Characters per gram, per segment of a benchmark text, from one segment to the next, and edits
+#: allowed per character.
 Q = 8
 SEGMENT = 64
+STRIDE = 6
 ERROR = 0.1
-#: Shorter benchmark texts are too common to tell a leak.
+#: Shorter benchmark texts are searched for exactly, between word boundaries.
 LEAST_CHARS = 24
 #: Characters of benchmark text that one pass over the documents searches for.
 BLOCK_CHARS = 1_000_000
@@ -36,71 +38,141 @@ def _codes(text: str) -> np.ndarray:
 
 @dataclass
 class SegmentIndex:
-    """Segments of a block of benchmark texts and where their q-grams stand."""
+    """Segments of a block of benchmark texts and where the texts' q-grams stand."""
 
     item: list            # item id per segment
     chars: np.ndarray     # segments x SEGMENT, padded with 0
     length: np.ndarray
     budget: np.ndarray    # edits allowed per segment
+    first: np.ndarray     # per text: its first segment,
+    size: np.ndarray      # its characters,
+    span: np.ndarray      # places of a segment's q-grams,
+    width: np.ndarray     # edits allowed per segment + 1,
     need: np.ndarray      # shared q-grams that the lemma asks for
     gram: np.ndarray      # sorted gram hashes ...
-    seg: np.ndarray       # ... the segment and the place in it
+    text: np.ndarray      # ... the text and the place in it
     at: np.ndarray
     present: np.ndarray   # bitmap over the first bits of a gram hash
+    exact: dict           # characters of a short text -> (sorted hashes, segments)
 
     @classmethod
-    def build(cls, items: list[tuple], segment: int, q: int, error: float) -> SegmentIndex:
-        ids, parts = [], []
+    def build(cls, items: list[tuple], segment: int, q: int, error: float, least: int = LEAST_CHARS) -> SegmentIndex:
+        ids, parts, texts, first, short = [], [], [], [], {}
         for item, text in items:
             c = _codes(text)
-            step = segment // 2
-            starts = sorted({*range(0, max(1, len(c) - segment + 1), step), max(0, len(c) - segment)})
+            if len(c) < least:
+                h = _gram_hashes(c, len(c))[0]
+                short.setdefault(len(c), []).append((h, len(parts)))
+                starts = [0]
+            else:
+                first.append(len(parts))
+                texts.append(c)
+                starts = sorted({*range(0, max(1, len(c) - segment + 1), STRIDE), max(0, len(c) - segment)})
             for s in starts:
                 ids.append(item)
                 parts.append(c[s:s + segment])
         length = np.array([len(p) for p in parts], np.int64)
         # an edit destroys q grams at most, so length + 1 - q (k + 1) are left with k edits
-        budget = np.minimum((length * error).astype(np.int64), (length - q) // q)
+        budget = np.where(length < least, 0, np.minimum((length * error).astype(np.int64), (length - q) // q))
         chars = np.zeros((len(parts), segment), np.uint32)
-        grams, segs, ats = [], [], []
         for i, p in enumerate(parts):
             chars[i, :len(p)] = p
-            g = mix(gram_hashes(p.astype(np.uint64) + np.uint64(1), q))
-            grams.append(g)
-            segs.append(np.full(len(g), i, np.int64))
-            ats.append(np.arange(len(g), dtype=np.int64))
-        gram, seg, at = (np.concatenate(x) for x in (grams, segs, ats))
-        order = np.lexsort((at, seg, gram))
+        first = np.array(first, np.int64)
+        grams = [_gram_hashes(c, q) for c in texts]
+        gram = np.concatenate([*grams, np.zeros(0, np.uint64)])
+        text = np.repeat(np.arange(len(texts), dtype=np.int32), [len(g) for g in grams])
+        at = np.concatenate([*[np.arange(len(g), dtype=np.int32) for g in grams], np.zeros(0, np.int32)])
+        order = np.lexsort((at, text, gram))
         present = np.zeros(1 << _FILTER_BITS, bool)
         present[gram >> np.uint64(64 - _FILTER_BITS)] = True
-        return cls(ids, chars, length, budget, length + 1 - q * (budget + 1), gram[order], seg[order],
-                   at[order], present)
+        exact = {n: tuple(np.array(x) for x in zip(*sorted(rows))) for n, rows in short.items()}
+        return cls(ids, chars, length, budget, first, np.array([len(c) for c in texts], np.int64),
+                   length[first] - q + 1, budget[first] + 1, length[first] + 1 - q * (budget[first] + 1),
+                   gram[order], text[order], at[order], present, exact)
 
 
-def _hits(index: SegmentIndex, text: np.ndarray, q: int) -> tuple[np.ndarray, np.ndarray]:
-    """(segment, diagonal) of every q-gram that the text shares with a segment."""
-    g = mix(gram_hashes(text.astype(np.uint64) + np.uint64(1), q))
-    pos = np.flatnonzero(index.present[g >> np.uint64(64 - _FILTER_BITS)])
-    lo = np.searchsorted(index.gram, g[pos], side="left")
-    n = np.searchsorted(index.gram, g[pos], side="right") - lo
-    pos, lo, n = pos[n > 0], lo[n > 0], n[n > 0]
-    which = np.repeat(lo - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
-    return index.seg[which], np.repeat(pos, n) - index.at[which]
+def _gram_hashes(codes: np.ndarray, q: int) -> np.ndarray:
+    return mix(gram_hashes(codes.astype(np.uint64) + np.uint64(1), q))
 
 
-def _bands(index: SegmentIndex, seg: np.ndarray, diagonal: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _found(known: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place in g, place in the sorted ``known``) of every equal pair."""
+    lo = np.searchsorted(known, g, side="left")
+    n = np.searchsorted(known, g, side="right") - lo
+    pos = np.flatnonzero(n)
+    lo, n = lo[pos], n[pos]
+    return np.repeat(pos, n), np.repeat(lo - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
+
+
+def _bands(index: SegmentIndex, joined: np.ndarray, q: int) -> tuple[np.ndarray, np.ndarray]:
     """(segment, first diagonal) of the bands of 2k + 2 diagonals, one beginning every k + 1,
     that share as many q-grams with the segment as the lemma asks for. Any alignment with k
-    edits drifts over k + 1 diagonals at most, and so lies wholly in one of them."""
-    width = index.budget[seg] + 1
-    b = diagonal // width
-    seg, b = np.r_[seg, seg], np.r_[b, b - 1]
-    order = np.lexsort((b, seg))
-    seg, b = seg[order], b[order]
-    start = group_starts(seg, b)
-    count = np.diff(np.r_[start, len(seg)])
-    keep = start[count >= index.need[seg[start]]] if len(start) else start
-    return seg[keep], b[keep] * (index.budget[seg[keep]] + 1)
+    edits drifts over k + 1 diagonals at most, and so lies wholly in one of them.
+
+    q-grams stand once per benchmark text. Sorted by (text, band, place), ``need`` of them in a row
+    that lie within the places of one segment make all segments around them candidates; those
+    segments are a range that only moves up along a band, so each is given out once."""
+    none = np.zeros(0, np.int64)
+    if not len(index.gram):
+        return none, none
+    g = _gram_hashes(joined, q)
+    likely = np.flatnonzero(index.present[g >> np.uint64(64 - _FILTER_BITS)])
+    pos, which = _found(index.gram, g[likely])
+    if not len(pos):
+        return none, none
+    text, at = index.text[which].astype(np.int64), index.at[which].astype(np.int64)
+    most = int(index.size.max()) + 1
+    bands = len(joined) + 2 * most + 4
+    b = (likely[pos] - at) // index.width[text] + most + 2
+    key = np.sort(np.concatenate([((text * bands + b) * most) + at, ((text * bands + b - 1) * most) + at]))
+    del pos, which, text, at, b
+    group, at = key // most, key % most
+    text = group // bands
+    i = np.arange(len(key))
+    j = i + index.need[text] - 1
+    i, j = i[j < len(key)], j[j < len(key)]
+    ok = (group[j] == group[i]) & (at[j] - at[i] < index.span[text[i]])
+    i, j = i[ok], j[ok]
+    if not len(i):
+        return none, none
+    text, group, a, z = text[i], group[i], at[i], at[j]
+    last = np.maximum(index.size[text] - (index.span[text] + q - 1), 0)  # start of the last segment
+    lo = np.maximum(-(-(z - index.span[text] + 1) // STRIDE), 0)
+    hi = np.minimum(a, last) // STRIDE
+    same = np.r_[False, group[1:] == group[:-1]]
+    lo = np.maximum(lo, np.where(same, np.r_[0, hi[:-1]] + 1, 0))
+    n = np.maximum(hi - lo + 1, 0)
+    k = np.repeat(np.arange(len(n)), n)
+    number = np.repeat(lo - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
+    # the last segment, where it stands off the grid
+    end = np.flatnonzero((last % STRIDE > 0) & (z - index.span[text] < last) & (last <= a))
+    end = end[np.unique(group[end], return_index=True)[1]]
+    start = np.r_[number * STRIDE, last[end]]
+    k, number = np.r_[k, end], np.r_[number, last[end] // STRIDE + 1]
+    band = group[k] % bands - most - 2
+    return index.first[text[k]] + number, band * index.width[text[k]] + start
+
+
+def _words(codes: np.ndarray) -> np.ndarray:
+    """Which characters are letters or digits."""
+    kinds, of = np.unique(codes, return_inverse=True)
+    return np.array([c < _GAP and chr(c).isalnum() for c in kinds.tolist()], bool)[of]
+
+
+def _exact(index: SegmentIndex, joined: np.ndarray) -> list[tuple[int, int]]:
+    """(segment, first character) of every place of a short text that no letter or digit continues."""
+    if not index.exact or not len(joined):
+        return []
+    word = np.r_[False, _words(joined), False]
+    inner = word[1:] & word[:-1]  # whether a word goes on over the place before character i
+    out = []
+    for n, (known, segment) in index.exact.items():
+        free = np.flatnonzero(~inner[:max(0, len(joined) - n + 1)] & ~inner[n:][:max(0, len(joined) - n + 1)])
+        pos, which = _found(known, _gram_hashes(joined, n)[free])
+        for p, s in zip(free[pos].tolist(), segment[which].tolist()):
+            if (joined[p:p + n] == index.chars[s, :n]).all():
+                out.append((s, p))
+    return out
 
 
 def banded_distance(pattern: np.ndarray, length: np.ndarray, text: np.ndarray, first: np.ndarray,
@@ -132,14 +204,15 @@ def banded_distance(pattern: np.ndarray, length: np.ndarray, text: np.ndarray, f
 def search(index: SegmentIndex, texts: list[str], q: int = Q) -> list[tuple[int, int, int, int, int]]:
     """(text, segment, edits, start, end) of every verified region; positions are in the
     normalised text, start up to the edit budget."""
-    if not len(index.gram):
-        return []
     codes = [_codes(t) for t in texts]
     gap = np.full(SEGMENT + q, _GAP, np.uint32)
     joined = np.concatenate([x for c in codes for x in (c, gap)]) if codes else gap[:0]
     begin = np.cumsum([0, *[len(c) + len(gap) for c in codes]])
-    seg, first = _bands(index, *_hits(index, joined, q))
+    seg, first = _bands(index, joined, q)
     out = []
+    for s, p in _exact(index, joined):
+        t = int(np.searchsorted(begin, p, side="right")) - 1
+        out.append((t, s, 0, p - int(begin[t]), p + int(index.length[s]) - int(begin[t])))
     for k in np.unique(index.budget[seg]):
         own = np.flatnonzero(index.budget[seg] == k)
         for part in np.array_split(own, -(-len(own) // 4096)):
@@ -153,14 +226,14 @@ def search(index: SegmentIndex, texts: list[str], q: int = Q) -> list[tuple[int,
     return out
 
 
-def blocks(benchmark: DataFrame, id_col: str, text_col: str, limit: int, least: int) -> Iterator[list[tuple]]:
+def blocks(benchmark: DataFrame, id_col: str, text_col: str, limit: int) -> Iterator[list[tuple]]:
     """The benchmark's texts, streamed and gathered into lists of at most ``limit`` characters
     (or one text); equal texts are searched for once per item id."""
     out, size = [], 0
     rows = benchmark.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).where("t IS NOT NULL")
     for r in rows.distinct().orderBy("i", "t").toLocalIterator():
         text = normalized(r["t"])
-        if len(text) < least:
+        if not text:
             continue
         if out and size + len(text) > limit:
             yield out
@@ -194,20 +267,23 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
           block_chars: int = BLOCK_CHARS) -> DataFrame:
     """Passages of benchmark texts inside documents: one row per (document id, item id).
 
-    Benchmark texts are cut into segments of 64 characters that overlap by half (a shorter text
+    Benchmark texts are cut into segments of 64 characters, one beginning every 6 (a shorter text
     is one segment). A segment with at most floor(0.1 length) edits in a document's normalised
     text is found for certain: such a region shares length + 1 - q (k + 1) q-grams or more in one
-    band of diagonals. Columns: id, item_id, n_segments (different segments found), edits
+    band of diagonals. So is every excerpt of 64 characters or more with up to 3 edits, as a
+    segment begins within 3 characters of it, and of 69 or more with up to 6. A text
+    under 24 characters is found where it stands exactly, not continued by a letter or
+    digit. Columns: id, item_id, n_segments (different segments found), edits
     (fewest of a region), start and stop (characters of the normalised text from the first to the
     last region).
-    Documents without a leak give no row. Null texts hold nothing, benchmark texts under 24
-    characters and null ones are not searched for, documents with the same id are reported as
+    Documents without a leak give no row. Null texts hold nothing, null and empty
+    benchmark texts are not searched for, documents with the same id are reported as
     one, item ids are whole numbers, empty tables give no rows. The benchmark is searched in
     blocks of bounded size, each one pass over the documents."""
     prepared(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     items = benchmark.select(F.col(item_col).cast("long").alias("i"), F.col(item_text).alias("t"))
-    found = [_find(rows, b, error) for b in blocks(items, "i", "t", block_chars, LEAST_CHARS)]
+    found = [_find(rows, b, error) for b in blocks(items, "i", "t", block_chars)]
     if not found:
         kind = rows.schema["id"].dataType.simpleString()
         found = [docs.sparkSession.createDataFrame([], f"id {kind}, item_id long, segment long, edits long, "
@@ -230,7 +306,7 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     out = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(cols)])
     text = f"c{cols.index(text_col)}"
     items = benchmark.select(F.col(item_col).cast("long").alias("i"), F.col(item_text).alias("t"))
-    for block in blocks(items, "i", "t", block_chars, LEAST_CHARS):
+    for block in blocks(items, "i", "t", block_chars):
         index = docs.sparkSession.sparkContext.broadcast(SegmentIndex.build(block, SEGMENT, Q, error))
 
         def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:

@@ -87,6 +87,22 @@ def test_segments_within_budget_are_always_found():
         assert infix_distance(seg, texts[t]) <= e <= index.budget[s]
 
 
+def test_excerpts_at_every_offset_and_short_items():
+    rng = random.Random(12)
+    noise = lambda n: " ".join(f"n{rng.randrange(10 ** 6)}" for _ in range(n))
+    long = D.normalized(" ".join(f"tok{rng.randrange(3000)}" for _ in range(40)))
+    items = [(1, long), (2, "paris"), (3, "x = 7?"), (4, "漢字"), (5, long[:70])]
+    index = D.SegmentIndex.build(items, D.SEGMENT, D.Q, D.ERROR)
+    for size, most in ((64, 3), (70, 6), (82, 6)):
+        for edits in (0, most):
+            texts = [noise(9) + "#" + _edited(long[o:o + size], edits, rng) + "#" + noise(9)
+                     for o in range(len(long) - size + 1)]
+            assert {t for t, s, *_ in D.search(index, texts) if index.item[s] == 1} == set(range(len(texts)))
+    texts = ["paris", "is it paris?", "comparison", "parish", "so x = 7? no", "max = 7?", "漢字", "漢字仮", "", noise(30)]
+    got = {(t, index.item[s], texts[t][a:z]) for t, s, _, a, z in D.search(index, texts)}
+    assert got == {(0, 2, "paris"), (1, 2, "paris"), (4, 3, "x = 7?"), (6, 4, "漢字")}
+
+
 def test_leaks_and_edges(spark):
     passage = "A passage of the benchmark that is long enough to be told from chance, with some words more."
     bench = spark.createDataFrame([(1, passage), (1, passage), (2, None), (3, ""), (4, "short"), (5, "y" * 3000)],
