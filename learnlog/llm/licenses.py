@@ -16,7 +16,15 @@ SHINGLE, WINDOW, BANDS = 3, 3, 4
 LEAST, SLACK = 0.8, 2
 _SPLIT = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
-# Notice texts as their publishers word them.
+_GNU = ("This {} is free software{} you can redistribute it and/or modify it under the terms of the {} as published "
+        "by the Free Software Foundation{} either version {} of the License, or (at your option) any later version.")
+_GPL, _LGPL, _AGPL = ("GNU General Public License", "GNU Lesser General Public License",
+                      "GNU Affero General Public License")
+_CC = (("BY", "Attribution"), ("BY-SA", "Attribution-ShareAlike"), ("BY-NC", "Attribution-NonCommercial"),
+       ("BY-ND", "Attribution-NoDerivatives"), ("BY-NC-SA", "Attribution-NonCommercial-ShareAlike"),
+       ("BY-NC-ND", "Attribution-NonCommercial-NoDerivatives"))
+
+# Short mentions of a licence, then notices, titles and tags as their publishers word them.
 NOTICES = (
     ("MIT", "Released under the MIT License."),
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software "
@@ -38,6 +46,35 @@ NOTICES = (
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("CC-BY-ND-4.0", "Licensed under CC BY-ND 4.0."),
     ("all-rights-reserved", "All rights reserved."),
+    ("MIT", "Licensed under the MIT License."),
+    ("Apache-2.0", "Apache License Version 2.0, January 2004"),
+    ("MPL-2.0", "Mozilla Public License Version 2.0"),
+    ("GPL-2.0", _GNU.format("program", ";", _GPL, ";", "2")),
+    ("GPL-2.0", "under the terms of the GNU General Public License version 2 as published by the Free Software "
+                "Foundation."),
+    ("GPL-3.0", _GNU.format("program", ":", _GPL, ",", "3")),
+    ("LGPL-2.1", _GNU.format("library", ";", _LGPL, ";", "2.1")),
+    ("LGPL-3.0", _GNU.format("library", ":", _LGPL, ",", "3")),
+    ("AGPL-3.0", _GNU.format("program", ":", _AGPL, ",", "3")),
+    ("GPL-2.0", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991"),
+    ("GPL-3.0", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("LGPL-2.1", "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999"),
+    ("LGPL-3.0", "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("AGPL-3.0", "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007"),
+    ("CC0-1.0", "To the extent possible under law, the person who associated CC0 with this work has waived all "
+                "copyright and related or neighboring rights to this work."),
+    ("CC0-1.0", "CC0 1.0 Universal"),
+    ("CC0-1.0", "creativecommons.org/publicdomain/zero/1.0"),
+    *((f"CC-{short}-4.0", text) for short, name in _CC for text in (
+        f"licensed under a Creative Commons {name} 4.0 International License.",
+        f"Creative Commons {name} 4.0 International Public License",
+        f"creativecommons.org/licenses/{short.lower()}/4.0")),
+    *((name, f"Licensed under CC {short} 4.0.") for name, short in (
+        ("CC-BY-NC-SA-4.0", "BY-NC-SA"), ("CC-BY-NC-ND-4.0", "BY-NC-ND"))),
+    *((name, f"SPDX-License-Identifier: {name}") for name in (
+        "MIT", "MIT-0", "Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "AGPL-3.0", "MPL-2.0", "ISC",
+        "Unlicense", "CC0-1.0", *(f"CC-{short}-4.0" for short, _ in _CC))),
+    *(("BSD", f"SPDX-License-Identifier: BSD-{n}-Clause") for n in (2, 3)),
 )
 
 

@@ -304,3 +304,61 @@ def test_licences(spark):
     with pytest.raises(ValueError):
         S.scan(edge_docs(spark), notices=(("a", "two words"),))
     assert CONTROL  # its control strings hold no notice
+
+
+#: Copied from the publishers' texts, with the line breaks and comment signs they come with.
+PUBLISHED = (
+    ("GPL-3.0", """    This program is free software: you can redistribute it and/or modify
+    it under the terms of the GNU General Public License as published by
+    the Free Software Foundation, either version 3 of the License, or
+    (at your option) any later version.
+
+    This program is distributed in the hope that it will be useful,"""),
+    ("GPL-2.0", """ * This program is free software; you can redistribute it and/or
+ * modify it under the terms of the GNU General Public License
+ * as published by the Free Software Foundation; either version 2
+ * of the License, or (at your option) any later version."""),
+    ("GPL-2.0", """# it under the terms of the GNU General Public License version 2 as
+# published by the Free Software Foundation."""),
+    ("LGPL-2.1", """ * This library is free software; you can redistribute it and/or
+ * modify it under the terms of the GNU Lesser General Public
+ * License as published by the Free Software Foundation; either
+ * version 2.1 of the License, or (at your option) any later version."""),
+    ("LGPL-3.0", """This library is free software: you can redistribute it and/or modify it under the terms of the
+GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version."""),
+    ("AGPL-3.0", """    This program is free software: you can redistribute it and/or modify
+    it under the terms of the GNU Affero General Public License as published
+    by the Free Software Foundation, either version 3 of the License, or
+    (at your option) any later version."""),
+    ("GPL-2.0", "                    GNU GENERAL PUBLIC LICENSE\n                       Version 2, June 1991"),
+    ("GPL-3.0", "                    GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007"),
+    ("LGPL-2.1", "                  GNU LESSER GENERAL PUBLIC LICENSE\n                       Version 2.1, February 1999"),
+    ("LGPL-3.0", "                   GNU LESSER GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007"),
+    ("AGPL-3.0", "                    GNU AFFERO GENERAL PUBLIC LICENSE\n                       Version 3, 19 November 2007"),
+    ("Apache-2.0", "                                 Apache License\n                           Version 2.0, January 2004"),
+    ("MPL-2.0", "Mozilla Public License Version 2.0\n=================================="),
+    ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
+    ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
+    ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
+    ("CC-BY-ND-4.0", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License."),
+    ("CC-BY-NC-SA-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 "
+                        "International License."),
+    ("CC-BY-NC-ND-4.0", "This work is licensed under CC BY-NC-ND 4.0. To view a copy of this license, visit "
+                        "https://creativecommons.org/licenses/by-nc-nd/4.0/"),
+    ("CC-BY-4.0", 'the terms and conditions of this Creative Commons Attribution 4.0 International Public License '
+                  '("Public License").'),
+    ("CC0-1.0", "To the extent possible under law, the person who associated CC0 with\nthis work has waived all "
+                "copyright and related or neighboring\nrights to this work."),
+    ("MIT", "// SPDX-License-Identifier: MIT"), ("MIT-0", "// SPDX-License-Identifier: MIT-0"),
+    ("GPL-2.0", "/* SPDX-License-Identifier: GPL-2.0-only */"), ("GPL-3.0", "# SPDX-License-Identifier: GPL-3.0-or-later"),
+    ("LGPL-2.1", "# SPDX-License-Identifier: LGPL-2.1-or-later"), ("BSD", "# SPDX-License-Identifier: BSD-3-Clause"),
+    ("Apache-2.0", "# SPDX-License-Identifier: Apache-2.0"), ("CC-BY-SA-4.0", "SPDX-License-Identifier: CC-BY-SA-4.0"),
+)
+
+
+def test_publishers_own_notices_are_found(spark):
+    docs = spark.createDataFrame([(i, f"Some words before.\n{t}\nand more after it.") for i, (_, t) in enumerate(PUBLISHED)],
+                                 "doc_id long, text string")
+    got = {(r["doc_id"], r["license"]) for r in S.scan(docs).collect()}
+    assert got == {(i, name) for i, (name, _) in enumerate(PUBLISHED)}
