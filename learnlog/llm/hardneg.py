@@ -38,8 +38,8 @@ def _vectors(col: pa.Array) -> dict[int, tuple[np.ndarray, np.ndarray]]:
 
 
 def _scores(anchors: dict, rows: dict, n_anchors: int, n_rows: int) -> np.ndarray:
-    """Exact inner products; components that one of two vectors does not have count as zero. The
-    result holds int64, or Python integers where these could overflow."""
+    """Exact inner products, at most 64 bits; components that one of two vectors does not have count
+    as zero. The result holds int64, or Python integers where sums or multiples could overflow."""
     most = 1.0
     for n, (_, a) in anchors.items():
         for m, (_, r) in rows.items():
@@ -55,7 +55,7 @@ def _scores(anchors: dict, rows: dict, n_anchors: int, n_rows: int) -> np.ndarra
             else:
                 s = (a[:, :d] @ r[:, :d].T).astype(np.int64)
             out[i[:, None], j] = s
-    return out
+    return np.clip(out, -_MOST, _MOST) if out.dtype == object else out
 
 
 def _best(scores: np.ndarray, wanted: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -77,10 +77,6 @@ def _best(scores: np.ndarray, wanted: np.ndarray, k: int) -> tuple[np.ndarray, n
     return i[rank < k], j[rank < k]
 
 
-def _clipped(values: np.ndarray) -> np.ndarray:
-    return values if values.dtype != object else np.array([max(-_MOST, min(_MOST, v)) for v in values], np.int64)
-
-
 def _met(rows: DataFrame, anchors: DataFrame, blocks: int, pick) -> DataFrame:
     """(anchor, score, id) of the pairs that ``pick`` keeps of every block of rows and every anchor.
 
@@ -119,7 +115,7 @@ def _met(rows: DataFrame, anchors: DataFrame, blocks: int, pick) -> DataFrame:
                     i, j = pick(scores, some.column("label").to_numpy()[:, None] == own[1],
                                 ids[:, None] == own[0], some.column("windows"))
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(ids[i]), pa.array(_clipped(scores[i, j])), pa.array(own[0][j])],
+                        [pa.array(ids[i]), pa.array(scores[i, j].astype(np.int64)), pa.array(own[0][j])],
                         ["anchor", "score", "id"])
 
     return (both.repartition(blocks, "block").sortWithinPartitions("block", "side", "id")
@@ -179,9 +175,9 @@ def hard_negatives(vectors: DataFrame, is_anchor: Column, id_col: str = "vec_id"
 
     Rows with a null id, label or vector, or a null or non-finite component take no part. Components that
     one of two vectors does not have count as zero. Rows that repeat an id count once, those that differ
-    as the smallest (label, vector) among them. Scores beyond 64 bits are cut off there in the output,
-    not in the choice inside a block. Other columns are ignored whatever their names; an empty table, anchors without positives
-    and positives without negatives give no rows."""
+    as the smallest (label, vector) among them. Scores beyond 64 bits count as the largest or smallest
+    number of 64 bits. Vectors of any length are used whole. Other columns are ignored whatever their
+    names; an empty table, anchors without positives and positives without negatives give no rows."""
     if not 0 <= low <= high <= 100:
         raise ValueError("windows open when their positive is streamed: 0 <= low <= high <= 100")
     spark = vectors.sparkSession
