@@ -8,7 +8,7 @@ ever gathers all rows of a language.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from learnlog import constants as K
@@ -170,23 +170,35 @@ def summary_text(history: DataFrame) -> DataFrame:
 
     The counts (one row per language), the words and the errors (20 and 5 rows per language at
     most, because the top-N runs first) are put into one table and aggregated once."""
-    m = F.col("mode")
-    none, z = F.lit(None), F.lit(0)
     line = "struct<rn:int,line:string>"
-    counts = (_sized(history).where(m.isin("translation", "correction", "analysis")).groupBy("language").agg(
-        F.count_if(m == "translation").alias("translations"), F.count_if(m == "correction").alias("corrections"),
-        F.count_if(m == "analysis").alias("analyses"), F.sum("n_vocabulary").cast("bigint").alias("n"))
-        .withColumns({"word": none.cast(line), "error": none.cast(line)}))
-    words = vocabulary_top(history).select("language", F.struct("rn", F.concat(
-        F.lit("- "), F.coalesce("word", F.lit("")), F.lit(" ("), F.coalesce("translation", F.lit("")),
-        F.lit(") - "), F.coalesce("part_of_speech", F.lit("")), F.lit(K.SUMMARY_LEVEL),
-        F.coalesce("difficulty", F.lit(""))).alias("line")).alias("word"))
+    counts = summary_counts(history).withColumns({k: F.lit(None).cast(line) for k in ("word", "error")})
+    words = vocabulary_top(history).select("language", F.struct("rn", word_line().alias("line")).alias("word"))
     errors = recent_errors(history).select(
         "language", F.struct("rn", F.concat(F.lit("- "), "snippet").alias("line")).alias("error"))
-    facts = counts.unionByName(words, allowMissingColumns=True).unionByName(errors, allowMissingColumns=True)
+    return summary_document(counts.unionByName(words, allowMissingColumns=True)
+                            .unionByName(errors, allowMissingColumns=True))
+
+
+def summary_counts(history: DataFrame) -> DataFrame:
+    """Per language: translations, corrections, analyses, and n, the vocabulary items of the latter."""
+    m = F.col("mode")
+    return (_sized(history).where(m.isin("translation", "correction", "analysis")).groupBy("language").agg(
+        F.count_if(m == "translation").alias("translations"), F.count_if(m == "correction").alias("corrections"),
+        F.count_if(m == "analysis").alias("analyses"), F.sum("n_vocabulary").cast("bigint").alias("n")))
+
+
+def word_line() -> Column:
+    """A vocabulary item as a line of the summary."""
+    return F.concat(F.lit("- "), F.coalesce("word", F.lit("")), F.lit(" ("), F.coalesce("translation", F.lit("")),
+                    F.lit(") - "), F.coalesce("part_of_speech", F.lit("")), F.lit(K.SUMMARY_LEVEL),
+                    F.coalesce("difficulty", F.lit("")))
+
+
+def summary_document(facts: DataFrame) -> DataFrame:
+    """(language, summary) of rows that hold a language's totals, or a ``word`` or ``error`` (rn, line)."""
     totals = ["translations", "corrections", "analyses", "n"]
     j = facts.groupBy("language").agg(
-        *[F.coalesce(F.sum(c), z).cast("string").alias(c) for c in totals],
+        *[F.coalesce(F.sum(c), F.lit(0)).cast("string").alias(c) for c in totals],
         F.array_sort(F.collect_list("word")).alias("words"), F.array_sort(F.collect_list("error")).alias("errors"))
     joined = lambda c: F.array_join(F.transform(c, lambda x: x["line"]), "\n")
     summary = F.concat(

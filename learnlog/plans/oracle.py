@@ -711,7 +711,31 @@ def _():
 
 @q("clear_items")
 def _():
-    return H + "SELECT 'before' AS state, count(*) AS n FROM h"
+    return H + "SELECT 'before' AS state, count(*) AS n FROM h UNION ALL SELECT 'after', 0"
+
+
+EDITED = f"""WITH e AS (
+  SELECT event_id, ts, CAST(user_id AS VARCHAR) AS language,
+    coalesce({case_map('event_type', Q.EVENT_MODE)}, 'learning_tips') AS mode FROM events),
+newer AS (
+  SELECT CAST(event_id - event_id % 20 AS VARCHAR) AS id, ts, mode, language FROM e WHERE event_id % 10 = 9
+  QUALIFY row_number() OVER (PARTITION BY event_id - event_id % 20 ORDER BY ts DESC, language DESC, mode DESC) = 1),
+edited AS (
+  SELECT * FROM (SELECT CAST(event_id AS VARCHAR) AS id, ts, mode, language FROM e
+                 WHERE event_id % 10 < 9 AND CAST(event_id AS VARCHAR) NOT IN (SELECT id FROM newer)
+                 UNION ALL SELECT * FROM newer)
+  WHERE id NOT IN (SELECT CAST(doc_id AS VARCHAR) FROM labels WHERE toxic = 1 AND doc_id IS NOT NULL))
+"""
+
+
+@q("edited_items")
+def _():
+    return EDITED + "SELECT id, ts, mode, language FROM edited"
+
+
+@q("stream_edited_counts")
+def _():
+    return EDITED + "SELECT language, mode, count(*) AS n FROM edited GROUP BY language, mode"
 
 
 # --- 8. freshness and streams -----------------------------------------------------------------
@@ -739,6 +763,20 @@ def _():
   count(*) FILTER (WHERE as_of > expires_at) AS expired FROM fresh"""
 
 
+@q("cache_reads")
+def _():
+    ttl = case_map('event_type', {k: K.TTL_BY_KIND[v] for k, v in Q.EVENT_TTL_KIND.items()})
+    return f"""WITH w AS (
+  SELECT user_id, ts, event_id, {ttl} AS ttl FROM events WHERE event_type <> 'view'
+  QUALIFY row_number() OVER (PARTITION BY user_id, ts ORDER BY event_id DESC) = 1)
+SELECT r.event_id, r.user_id, r.ts, w.event_id AS written_id, w.ts AS written_at,
+  CASE WHEN w.event_id IS NULL THEN 'miss'
+    WHEN r.ts > w.ts + to_seconds(CAST(CASE WHEN w.ttl IS NULL OR w.ttl = 0 THEN {K.DEFAULT_TTL_SECONDS} ELSE w.ttl END AS BIGINT))
+    THEN 'expired' ELSE 'hit' END AS state
+FROM (SELECT * FROM events WHERE event_type = 'view') r
+ASOF LEFT JOIN w ON r.user_id = w.user_id AND r.ts >= w.ts"""
+
+
 @q("stream_language_counts")
 def _():
     return H + "SELECT language, mode, count(*) AS n FROM h GROUP BY language, mode"

@@ -21,6 +21,8 @@ from learnlog.operators import analysis as A
 from learnlog.operators import chat as C
 from learnlog.operators import history as H
 from learnlog.operators import model as M
+from learnlog.operators.asof import asof_join
+from learnlog.operators.maintained import MaintainedSummary
 from learnlog.operators import vector as V
 from learnlog.session import checkpoint_dir
 from learnlog.sources import store as S
@@ -44,6 +46,12 @@ EVENT_EXERCISE_TYPE = {
     "click": "grammar",
     "purchase": "translation",
 }
+EVENT_MODE = {
+    "view": "translation",
+    "click": "correction",
+    "purchase": "analysis",
+    "signup": "exercise",
+}
 UPLOAD_LIMIT_MB = 0.002
 VECTOR_QUERY_ID = 0
 VECTOR_K = 10
@@ -457,9 +465,9 @@ def q_label_lookup(spark, sf):
 
 
 def tutor_summaries(spark, sf):
-    """Per-language summaries of the current history, derived once and stored beside it."""
+    """Per-language summaries of the current history, maintained beside it."""
     _h(spark, sf)
-    return S.derived_table(spark, S.history_store(spark, sf), "summary", A.summary_text)
+    return MaintainedSummary(S.history_store(spark, sf)).documents()
 
 
 def _questions_with_summary(spark, sf):
@@ -706,12 +714,59 @@ def q_stamp_records(spark, sf):
                  F.count_if(F.abs(F.timestamp_diff("MINUTE", "ts", now)) <= 60).alias("recent"))
 
 
+def _scratch(spark, name: str) -> str:
+    return f"{checkpoint_dir(spark)}/learnlog-streams/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def _event_records(spark, sf):
+    """Events as history records, their kind by their type."""
+    ev = read_table(spark, sf, "events")
+    return ev.select("event_id", F.col("event_id").cast("string").alias("id"), "ts",
+                     _case(F.col("event_type"), EVENT_MODE, F.lit("learning_tips")).alias("mode"),
+                     F.col("user_id").cast("string").alias("language"))
+
+
 @query("clear_items")
 def q_clear_items(spark, sf):
-    """Records before and after everything is removed."""
-    h = _h(spark, sf).select("id")
-    return h.select(F.lit("before").alias("state")).unionByName(
-        H.clear_all(h).select(F.lit("after").alias("state"))).groupBy("state").agg(F.count(F.lit(1)).alias("n"))
+    """Stored records before and after everything is removed."""
+    store = S.HistoryStore(spark, _scratch(spark, "clear"))
+    store.append(_h(spark, sf).select("id", "ts", "mode", "language"))
+    before = store.read()
+    store.clear_all()
+    counted = lambda df, state: df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(state).alias("state"), "n")
+    return counted(before, "before").unionByName(counted(store.read(), "after"))
+
+
+def edited_events(spark, sf, between=lambda store: None):
+    """A store of events after two appends, an upsert that lets every tenth replace an earlier one (and
+    maybe change its kind), and a delete of the ids that label toxic documents. ``between`` is
+    called after each step."""
+    rows = _event_records(spark, sf)
+    store = S.HistoryStore(spark, _scratch(spark, "edits"))
+    store.create_if_missing()
+    for part in (rows.where("event_id % 10 < 5"), rows.where("event_id % 10 BETWEEN 5 AND 8")):
+        store.append(part)
+        between(store)
+    store.upsert(rows.where("event_id % 10 = 9").withColumn("id", F.expr("CAST(event_id - event_id % 20 AS STRING)")))
+    between(store)
+    store.delete(read_table(spark, sf, "labels").where("toxic = 1").select(F.col("doc_id").cast("string").alias("id")))
+    between(store)
+    return store
+
+
+@query("edited_items")
+def q_edited_items(spark, sf):
+    """What the store holds after the edits."""
+    return edited_events(spark, sf).read().select("id", "ts", "mode", "language")
+
+
+@query("stream_edited_counts")
+def q_stream_edited_counts(spark, sf):
+    """The running counts after the edits, each of which a trigger has seen as changes."""
+    from learnlog.streaming.counts import current_counts, run_language_counts
+    base = _scratch(spark, "edited-counts")
+    store = edited_events(spark, sf, lambda s: run_language_counts(s, f"{base}/out", f"{base}/checkpoint"))
+    return current_counts(store, f"{base}/out")
 
 
 # --- 8. freshness and streams -----------------------------------------------------------------
@@ -742,8 +797,19 @@ def q_freshness_stats(spark, sf):
                  F.count_if(expired).alias("expired"))
 
 
-def _scratch(spark, name: str) -> str:
-    return f"{checkpoint_dir(spark)}/learnlog-streams/{name}-{uuid.uuid4().hex[:12]}"
+@query("cache_reads")
+def q_cache_reads(spark, sf):
+    """Views as reads of a user's cached value, all other events as writes of it: whether the newest
+    earlier write was still alive (hit), had expired or was never made (miss)."""
+    ev = read_table(spark, sf, "events").select("event_id", "user_id", "ts", "event_type")
+    ttl_map = F.create_map(*[F.lit(x) for kv in EVENT_TTL_KIND.items() for x in (kv[0], K.TTL_BY_KIND[kv[1]])])
+    writes = ev.where("event_type <> 'view'").withColumn("ttl", F.element_at(ttl_map, F.col("event_type")))
+    reads = ev.where("event_type = 'view'").select("event_id", "user_id", "ts")
+    found = asof_join(reads, writes, "user_id", "ts", "event_id", bucket_seconds=6 * 3600)
+    m = F.col("matched")
+    return found.select(
+        "event_id", "user_id", "ts", m["event_id"].alias("written_id"), m["ts"].alias("written_at"),
+        F.when(m.isNull(), "miss").when(TM.is_expired(m["ts"], m["ttl"], F.col("ts")), "expired").otherwise("hit").alias("state"))
 
 
 @query("stream_language_counts")

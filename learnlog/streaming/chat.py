@@ -1,25 +1,78 @@
-"""Chat-session snapshots as a stream over message files.
-
-A trigger takes the conversations that got messages, reads all their messages and computes their
-snapshots as the batch form does (``operators.chat.snapshots``). So turns may start at any
-number, have gaps, arrive late or out of order, and no state is kept per conversation beyond the
-message files themselves: what a conversation needs is read when it grows, and an abandoned one
-costs nothing. Each trigger writes the snapshots of its conversations to a folder of its own;
-``current_snapshots`` takes each conversation from the newest one.
+"""Chat-session snapshots as a stateful stream over message files.
+
+Every conversation has its messages in the state store, by turn. A trigger reads the new messages
+only, adds them to their conversations' state, and gives out the snapshots from the first new turn on: a turn that comes
+late makes those of later turns anew, a turn that is delivered again changes nothing, and gaps in the numbering stay gaps. So
+the newest row per (conversation, turn) equals the batch form (``operators.chat.snapshots``).
+
+A conversation that has been quiet for ``idle_seconds`` gives its state up. What comes for it afterwards
+cannot be put into context from the state; it is given out as ``late``, and ``current_snapshots``
+computes such conversations from the messages themselves, if it is handed them.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from learnlog.operators import chat as C
-from learnlog.sources.store import list_dirs
+from learnlog.session import ship_package
+from learnlog.streaming.results import complete_results, start, with_state_store, write_result
+
+SNAPSHOTS_DDL = "conv_id long, turn long, language string, message_count long, chat_text string, late boolean"
+_COLUMNS = ["conv_id", "turn", "language", "message_count", "chat_text", "late"]
+
+
+class Conversation(StatefulProcessor):
+    """State per conversation: its messages by turn, and whether they have been given up."""
+
+    def __init__(self, idle_seconds: float | None):
+        self.idle_ms = None if idle_seconds is None else int(idle_seconds * 1000)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.messages = handle.getMapState("messages", "turn long", "role string, text string")
+        self.given_up = handle.getValueState("given_up", "yes boolean")
 
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        new = sorted((int(t), role, text, language) for part in rows for t, role, text, language in
+                     zip(part["turn"], *(part[c].where(part[c].notna(), None) for c in ("role", "text", "language"))))
+        language = new[0][3]
+        if self.given_up.exists():
+            yield pd.DataFrame([(key[0], t, language, None, None, True) for t, _, _, _ in new], columns=_COLUMNS)
+            return
+        first = None
+        for turn, role, text, _ in new:
+            if not self.messages.containsKey((turn,)):
+                self.messages.updateValue((turn,), (role, text))
+                first = turn if first is None else first
+        if self.idle_ms is not None:
+            for at in list(self.handle.listTimers()):
+                self.handle.deleteTimer(at)
+            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.idle_ms)
+        if first is None:
+            return
+        lines, out = [], []
+        for count, ((turn,), (role, text)) in enumerate(sorted(self.messages.iterator(), key=lambda kv: kv[0][0]), 1):
+            if role is not None and text is not None:
+                lines.append(f"{role}: {text}")
+            if turn >= first and role == "assistant" and count >= 2:
+                out.append((key[0], turn, language, count, "\n".join(lines), False))
+        if out:
+            yield pd.DataFrame(out, columns=_COLUMNS)
 
-def newest_result(spark: SparkSession, out_path: str) -> DataFrame:
-    """The newest complete result folder."""
-    return spark.read.parquet(f"{out_path}/{[d for d in list_dirs(spark, out_path) if d.startswith('batch=')][-1]}")
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.messages.clear()
+        self.given_up.update((True,))
+        return iter(())
+
+    def close(self) -> None:
+        pass
 
 
 def _folder(path: str) -> tuple[str, str]:
@@ -29,27 +82,55 @@ def _folder(path: str) -> tuple[str, str]:
     return path, "*"
 
 
-def run_chat_snapshots(spark: SparkSession, conversations_path: str, schema, language: Column, out_path: str,
-                       checkpoint: str, available_now: bool = True, interval_seconds: int = 30) -> DataFrame | object:
-    """With ``available_now`` the snapshots after what is there now; else the running query."""
+def start_chat_snapshots(spark: SparkSession, conversations_path: str, schema, language: Column, out_path: str,
+                         checkpoint: str, available_now: bool = True, interval_seconds: int = 30,
+                         idle_seconds: float | None = None, max_files: int | None = None) -> StreamingQuery:
+    """The running query. Messages without a conversation or a turn number have no place and are left
+    out; a turn that comes twice in one trigger counts once, the smaller (role, text) of the two.
+    ``max_files`` bounds the files of one trigger. ``idle_seconds`` needs a query that keeps running: with
+    timers there is no last trigger, so what is there now would never be done."""
+    if available_now and idle_seconds is not None:
+        raise ValueError("idle_seconds needs available_now=False")
+    with_state_store(spark)
+    ship_package(spark)
     folder, pattern = _folder(conversations_path)
+    files = spark.readStream.schema(schema).option("pathGlobFilter", pattern)
+    if max_files:
+        files = files.option("maxFilesPerTrigger", max_files)
+    messages = (C.messages(files.parquet(folder), language).where("conv_id IS NOT NULL AND turn IS NOT NULL")
+                .select(*[F.col(c).cast(t) for c, t in (("conv_id", "long"), ("turn", "long"), ("role", "string"),
+                                                        ("text", "string"), ("language", "string"))]))
+    snaps = messages.groupBy("conv_id").transformWithStateInPandas(
+        Conversation(idle_seconds), SNAPSHOTS_DDL, "Update", "None" if idle_seconds is None else "ProcessingTime")
 
     def publish(batch: DataFrame, batch_id: int) -> None:
-        grown = batch.select("conv_id").distinct()
-        rows = spark.read.schema(schema).option("pathGlobFilter", pattern).parquet(folder)
-        snaps = C.snapshots(C.messages(rows.join(grown, "conv_id", "left_semi"), language))
-        snaps.write.mode("overwrite").parquet(f"{out_path}/batch={batch_id:09d}")
-
-    writer = (spark.readStream.schema(schema).option("pathGlobFilter", pattern).parquet(folder).select("conv_id")
-              .writeStream.option("checkpointLocation", checkpoint).foreachBatch(publish))
-    if not available_now:
-        return writer.trigger(processingTime=f"{interval_seconds} seconds").start()
-    writer.trigger(availableNow=True).start().awaitTermination()
-    return current_snapshots(spark, out_path)
+        write_result(batch, out_path, batch_id)
+
+    return start(snaps.writeStream.outputMode("update").option("checkpointLocation", checkpoint)
+                 .foreachBatch(publish), available_now, interval_seconds)
 
 
-def current_snapshots(spark: SparkSession, out_path: str) -> DataFrame:
-    """The snapshots of every conversation as its last trigger left them."""
-    rows = spark.read.parquet(out_path)
-    last = F.max("batch").over(Window.partitionBy("conv_id"))
-    return rows.withColumn("_last", last).where("batch = _last").drop("batch", "_last")
+def current_snapshots(spark: SparkSession, out_path: str, messages: DataFrame | None = None) -> DataFrame:
+    """The newest snapshot per (conversation, turn) of the finished triggers: conv_id, turn, language,
+    message_count, chat_text. With ``messages`` (as ``operators.chat.messages`` gives them), conversations
+    that got messages after their state was given up are computed from all of theirs."""
+    done = complete_results(spark, out_path)
+    cols = ["conv_id", "turn", "language", "message_count", "chat_text"]
+    if not done:
+        return spark.createDataFrame([], SNAPSHOTS_DDL).select(*cols)
+    rows = (spark.read.schema(f"{SNAPSHOTS_DDL}, batch long").option("basePath", out_path)
+            .parquet(*[f"{out_path}/{d}" for d in done]))
+    last = F.max("batch").over(Window.partitionBy("conv_id", "turn"))
+    newest = rows.where("NOT late").withColumn("_last", last).where("batch = _last").select(*cols)
+    if messages is None:
+        return newest
+    reopened = rows.where("late").select("conv_id").distinct()
+    again = C.snapshots(messages.join(reopened, "conv_id", "left_semi")).select(*cols)
+    return newest.join(reopened, "conv_id", "left_anti").unionByName(again)
+
+
+def run_chat_snapshots(spark: SparkSession, conversations_path: str, schema, language: Column, out_path: str,
+                       checkpoint: str, **options) -> DataFrame:
+    """The snapshots after all messages that are there now."""
+    start_chat_snapshots(spark, conversations_path, schema, language, out_path, checkpoint, **options).awaitTermination()
+    return current_snapshots(spark, out_path)
