@@ -186,42 +186,47 @@ def unpacked_slices(batch: pa.RecordBatch, limit: int = 1 << 16) -> Iterator[tup
 
 # ------------------------------------------------------------------ intermediate tables
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, tidy: bool = True) -> DataFrame:
     """Write ``df`` below the shared checkpoint folder and read it back: the lineage ends
     there, and a lost executor costs only the reading of a file again. The shuffle files of
-    finished steps are no longer referenced afterwards; a collection lets Spark's cleaner
-    remove them."""
+    finished steps are no longer referenced afterwards; with ``tidy`` a collection lets Spark's cleaner
+    remove them (not worth its time after a small step)."""
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/learnlog-llm/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     del df
     out = spark.read.parquet(path)
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    if tidy:
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
     return out
 
 
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether no u has two v and no v is a u: one aggregate per node."""
+    ends = edges.select(F.explode(F.array(F.struct(F.col("u").alias("x"), F.lit(1).alias("n"), F.lit(0).alias("low")),
+                                          F.struct(F.col("v").alias("x"), F.lit(0).alias("n"), F.lit(1).alias("low")))).alias("e"))
+    return ends.select("e.*").groupBy("x").agg(F.sum("n").alias("n"), F.max("low").alias("low")).where("n + low > 1").isEmpty()
+
+
 def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """``(id, comp)`` for every id of ``edges`` (long columns a, b): comp is the smallest id
-    reachable. Alternates the large-star and small-star steps (each a min per node plus a
-    rewrite of its edges, nothing larger than the edge list) until the edges are stars."""
+    reachable. Edges (u, v) lead to smaller ids. A round moves each edge's lower end to that end's own
+    smallest neighbour, then all lower ends of a node to the smallest of them (large and small star),
+    until the edges are stars. Nothing larger than the edge list is moved; a node with very many
+    neighbours is one key of joins whose other side has a row per key, which AQE splits."""
     e = materialize(edges.where("a != b").select(F.greatest("a", "b").alias("u"),
-                                                 F.least("a", "b").alias("v")).distinct(), "edges")
+                                                 F.least("a", "b").alias("v")).distinct(), "edges", tidy=False)
     for _ in range(rounds):
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = (both.where("v > u").join(low, "u").where("v != m")
-                 .select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
-        low2 = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = (large.join(low2, "u")
-                 .select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"),
-                         F.col("m").alias("v")).where("u != v").distinct())
-        new = materialize(small, "edges")
-        done = not new.select(F.col("v").alias("u")).join(new, "u", "left_semi").take(1) and \
-            not new.groupBy("u").count().where("count > 1").take(1)
-        e = new
-        if done:
+        if _are_stars(e):
             break
+        low = e.groupBy("u").agg(F.min("v").alias("m"))
+        large = e.join(low.select(F.col("u").alias("v"), "m").hint("merge"), "v", "left").select(
+            "u", F.coalesce("m", "v").alias("v"))
+        low2 = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(low2.hint("merge"), "u").select(
+            F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
+        e = materialize(small.where("u != v").distinct(), "edges", tidy=False)
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
     roots = e.select(F.col("v").alias("id"), F.col("v").alias("comp")).distinct()

@@ -3,7 +3,7 @@ estimate over all registers refines them, the full shingle sets confirm the link
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -174,29 +174,60 @@ def true_pairs(size: np.ndarray, data: list[bytes], own: int) -> tuple[np.ndarra
     return i[keep], j[keep]
 
 
-def _in_tasks(rows: DataFrame, pairs: Callable) -> DataFrame:
-    """Spanning links (a, b) per (cluster, left_block, right_block): side 0 rows are compared with
-    each other and with side 1 rows (with these only where the blocks differ and side 2 marks them)."""
+def linked_pairs(size: np.ndarray, registers_: list[bytes], data: list[bytes], own: int) -> tuple[np.ndarray, np.ndarray]:
+    """The linked pairs (one of the first ``own`` rows, any row): the registers say which rows may be
+    near each other, the full sets of each such group decide."""
+    root = _spanning(len(size), *likely_pairs(size, registers_, own))
+    order = np.argsort(root, kind="stable")
+    bound = [*group_starts(root[order]).tolist(), len(order)]
+    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for lo, hi in zip(bound, bound[1:]):
+        rows = order[lo:hi]  # ascending, so the own rows come first
+        if hi - lo > 1:
+            a, b = true_pairs(size[rows], [data[r] for r in rows], int(np.count_nonzero(rows < own)))
+            left.append(rows[a])
+            right.append(rows[b])
+    return np.concatenate(left), np.concatenate(right)
+
+
+def _compared(t: pa.Table, key: tuple) -> list[tuple]:
+    """(a, b) of links that connect what is linked in one task, and (id, null) of loose rows."""
+    side, ids = t.column("side").to_numpy(), t.column("id").to_numpy()
+    own, n = int(np.count_nonzero(side == 0)), len(ids)
+    if not own or n < 2:
+        return []
+    # where a cluster has more blocks, a block's rows are held against the main component of block 0
+    marks = key[2] == 0 and key[1] > 0 and t.column("blocks")[0].as_py() > 2
+    a, b = linked_pairs(t.column("size").to_numpy(), t.column("registers").to_pylist(),
+                        t.column("data").to_pylist(), n if marks else own)
+    root = _spanning(n, a, b)
+    out = [(int(x), int(y)) for x, y in zip(ids, ids[root]) if x != y]
+    if marks:
+        first = (a >= own) & (b >= own)
+        inside = _spanning(n, a[first], b[first])[own:]
+        main = inside[0] if not len(inside) else np.bincount(inside).argmax()
+        out += [(int(x), None) for x in ids[:own][root[:own] != root[main]]]
+    return out
+
+
+def _in_tasks(rows: DataFrame) -> DataFrame:
+    """``_compared`` of each (cluster, left_block, right_block): side 0 rows are compared with each other
+    and with side 1 rows. Repeated rows of a set count once."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def links(group: list[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray]:
-            t = pa.Table.from_batches(group)
-            own = int(np.count_nonzero(t.column("side").to_numpy() == 0))
-            ids = t.column("id").to_numpy()
-            if not own or len(ids) < 2:
-                return ids[:0], ids[:0]
-            a, b = pairs(t.column("size").to_numpy(), t.column("data").to_pylist(), own)
-            root = _spanning(len(ids), a, b)
-            k = np.flatnonzero(root != np.arange(len(ids)))
-            return ids[k], ids[root[k]]
-
-        waiting, key, out = [], None, []
+        waiting, key, last, out = [], None, None, []
         for batch in batches:
             keys = [batch.column(c).to_numpy() for c in ("cluster", "left_block", "right_block")]
+            mine = [*keys, *[batch.column(c).to_numpy() for c in ("side", "id", "k1", "k2")]]
+            starts = group_starts(*mine)
+            if len(starts) and last is not None and all(int(c[0]) == x for c, x in zip(mine, last)):
+                starts = starts[1:]
+            last = tuple(int(c[-1]) for c in mine) if batch.num_rows else last
+            batch, keys = batch.take(pa.array(starts)), [k[starts] for k in keys]
             bounds = [*group_starts(*keys).tolist(), batch.num_rows]
             for lo, hi in zip(bounds, bounds[1:]):
                 this = tuple(int(k[lo]) for k in keys)
                 if waiting and this != key:
-                    out.append(links(waiting))
+                    out += _compared(pa.Table.from_batches(waiting), key)
                     waiting = []
                 key = this
                 waiting.append(batch.slice(lo, hi - lo))
@@ -204,62 +235,64 @@ def _in_tasks(rows: DataFrame, pairs: Callable) -> DataFrame:
                 yield _links_batch(out)
                 out = []
         if waiting:
-            yield _links_batch([links(waiting)])
+            yield _links_batch(_compared(pa.Table.from_batches(waiting), key))
 
     # a number of its own: few bytes can be much work, and must not be put into fewer tasks
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return (rows.repartition(parts, "cluster", "left_block", "right_block")
-            .sortWithinPartitions("cluster", "left_block", "right_block", "side", "id")
-            .mapInArrow(run, "a long, b long"))
+    cols = ["cluster", "left_block", "right_block", "side", "id", "k1", "k2", "blocks", "size", "registers", "data"]
+    return (rows.select(*cols).repartition(parts, "cluster", "left_block", "right_block")
+            .sortWithinPartitions(*cols[:7]).mapInArrow(run, "a long, b long"))
 
 
-def _links_batch(found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-    a, b = (np.concatenate([f[i] for f in found]).astype(np.int64) for i in (0, 1))
-    return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+def _links_batch(found: list[tuple]) -> pa.RecordBatch:
+    a, b = zip(*found) if found else ((), ())
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
 
-def cluster_links(rows: DataFrame, pairs: Callable, name: str) -> DataFrame:
-    """Links (a, b) that connect whatever ``pairs`` connects inside each cluster of ``rows``
-    (cluster, id, size, data).
+def in_blocks(rows: DataFrame, block_rows: int, block_bytes: int) -> DataFrame:
+    """``rows`` (cluster, id, size, k1, ...) with their ``block`` in the cluster and its number of ``blocks``.
 
-    A cluster is cut into blocks of bounded rows and bytes by a hash of the id. First every
-    block is compared within itself and with block 0: in a group of copies that joins nearly
-    all of them. Then only rows outside their cluster's largest component are compared with the
-    remaining blocks. So no two rows of different components stay uncompared, and no task holds
-    more than two blocks."""
+    Only clusters of more than one block are joined to, by a salted key: the rows of a large cluster don't meet."""
+    salts = 64
     size = rows.groupBy("cluster").agg(F.greatest(
-        F.ceil(F.count(F.lit(1)) / BLOCK_ROWS), F.ceil(F.sum(F.length("data")) / BLOCK_BYTES)).cast("int").alias("blocks"))
-    # written first, here and below: joined straight from its aggregate, a key's rows would have to
-    # meet in one task, while a join of two plain sides is split where a key is hot
-    size = materialize(size, f"{name}-sizes")
-    placed = rows.join(size.hint("merge"), "cluster").withColumn(
-        "block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    cols = ["cluster", "left_block", "right_block", "side", "id", "size", "data"]
+        F.ceil(F.count(F.lit(1)) / block_rows), F.ceil(F.sum(8 * F.col("size")) / block_bytes)).cast("int").alias("blocks"))
+    large = materialize(size.where("blocks > 1"), "large-clusters", tidy=False)
+    large = large.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    spread = F.xxhash64("id", "k1")
+    return (rows.withColumn("salt", F.pmod(spread, F.lit(salts)).cast("int")).join(large, ["cluster", "salt"], "left")
+            .drop("salt").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+            .withColumn("block", F.pmod(F.shiftright(spread, 8), F.col("blocks")).cast("int")))
+
+
+def cluster_links(sets: DataFrame) -> DataFrame:
+    """Links (a, b) that connect whatever is linked inside each cluster of ``sets`` (cluster, blocks,
+    block, id, k1, k2, size, registers, data).
+
+    First every block is compared within itself and with block 0. Where a cluster has more blocks,
+    this also tells which rows are connected to the largest component inside block 0: in a group of
+    copies nearly all. Any two of these are connected. The others, the loose rows, are compared with
+    the remaining blocks. So no linked pair stays both uncompared and unconnected, and no task holds
+    more than two blocks."""
     here = F.array(F.struct(F.col("block").alias("left_block"), F.lit(0).alias("right_block"), F.lit(0).alias("side")))
     other = F.when((F.col("block") == 0) & (F.col("blocks") > 1), F.transform(
         F.sequence(F.lit(1), F.greatest(F.col("blocks") - 1, F.lit(1))),
         lambda j: F.struct(j.alias("left_block"), F.lit(0).alias("right_block"), F.lit(1).alias("side"))))
-    first = placed.select("*", F.explode(F.concat(here, F.coalesce(other, F.slice(here, 1, 0)))).alias("t"))
-    links = materialize(_in_tasks(first.select("cluster", "t.*", "id", "size", "data").select(*cols), pairs), name)
-    if not size.where("blocks > 2").take(1):
+    first = sets.select("*", F.explode(F.concat(here, F.coalesce(other, F.slice(here, 1, 0)))).alias("t"))
+    found = materialize(_in_tasks(first.select("*", "t.*")), "links")
+    loose = found.where("b IS NULL").select(F.col("a").alias("id")).distinct()
+    links = found.where("b IS NOT NULL")
+    if loose.isEmpty():
         return links
-    comps = connected_components(links)
-    big = placed.where("blocks > 2")
-    labelled = big.join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-    counts = labelled.groupBy("cluster", "comp").agg(F.count(F.lit(1)).alias("n"))
-    main = materialize(counts.groupBy("cluster").agg(F.max(F.struct("n", "comp")).alias("m")).select(
-        "cluster", F.col("m.comp").alias("main")), f"{name}-main")
-    loose = labelled.join(main, "cluster").withColumn("loose", F.col("comp") != F.col("main")).drop("comp", "main")
     # a loose row of block i meets block j in the task (i, j): it as side 0, all of block j as side 1
-    loose = loose.where("block > 0")
+    rest = sets.where("blocks > 2 AND block > 0")
+    left = rest.join(loose.hint("merge"), "id", "left_semi").withColumn("left_block", F.col("block"))
+    wanted = materialize(left.select("cluster", "left_block").distinct(), "loose-blocks", tidy=False)
     others = F.filter(F.sequence(F.lit(1), F.col("blocks") - 1), lambda j: j != F.col("block"))
-    left = loose.where("loose").select("*", F.explode(others).alias("right_block")).select(
-        "cluster", F.col("block").alias("left_block"), "right_block", F.lit(0).alias("side"), "id", "size", "data")
-    wanted = loose.where("loose").select("cluster", F.col("block").alias("left_block")).distinct()
-    right = loose.join(wanted, "cluster").where("block <> left_block").select(
-        "cluster", "left_block", F.col("block").alias("right_block"), F.lit(1).alias("side"), "id", "size", "data")
-    more = _in_tasks(left.unionByName(right).select(*cols), pairs)
-    return materialize(links.unionByName(more), name)
+    left = left.withColumn("right_block", F.explode(others)).withColumn("side", F.lit(0))
+    right = (rest.join(wanted.hint("merge"), "cluster").where("block <> left_block")
+             .withColumn("right_block", F.col("block")).withColumn("side", F.lit(1)))
+    more = _in_tasks(left.unionByName(right.select(*left.columns)))
+    return links.unionByName(materialize(more, "more-links").where("b IS NOT NULL"))
 
 
 # ---------------------------------------------------------------------- the operator
@@ -270,11 +303,10 @@ def _sketches(docs: DataFrame) -> DataFrame:
         for batch in batches:
             for part in slices(batch, "text"):
                 value, bound = shingle_sets(*text_bytes(part.column("text")))
-                total = [np.r_[np.uint64(0), np.cumsum(mix(value ^ np.uint64(s)))] for s in (0x5A5A, 0xC3C3C3)]
                 regs = [registers(value[lo:hi]).tobytes() if hi - lo > 2 else b"" for lo, hi in zip(bound, bound[1:])]
                 yield pa.RecordBatch.from_arrays(
                     [part.column("id"), pa.array(np.diff(bound)),
-                     *[pa.array((t[bound[1:]] - t[bound[:-1]]).view(np.int64)) for t in total],
+                     *[pa.array(k) for k in _key_sums(value, bound)],
                      pa.array(regs, pa.binary())], ["id", "size", "k1", "k2", "registers"])
 
     return docs.mapInArrow(run, "id long, size long, k1 long, k2 long, registers binary")
@@ -292,18 +324,31 @@ def _bands(reps: DataFrame) -> DataFrame:
     return reps.select("id", "registers").mapInArrow(run, "key long, id long")
 
 
-def _sets(docs: DataFrame) -> DataFrame:
+def _key_sums(value: np.ndarray, bound: np.ndarray) -> list[np.ndarray]:
+    """Two 64-bit sums per set, which identify it."""
+    total = [np.r_[np.uint64(0), np.cumsum(mix(value ^ np.uint64(s)))] for s in (0x5A5A, 0xC3C3C3)]
+    return [(t[bound[1:]] - t[bound[:-1]]).view(np.int64) for t in total]
+
+
+def _sets(texts: DataFrame) -> DataFrame:
+    """The full sets of the packed texts whose key is the wanted one (an id may have other texts too)."""
+    kept = ["cluster", "blocks", "block", "id", "k1", "k2", "size", "registers"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, raw in unpacked_slices(batch):
                 value, bound = shingle_sets(np.frombuffer(b"".join(raw), np.uint8),
                                             np.r_[0, np.cumsum([len(r) for r in raw])])
+                k1, k2 = _key_sums(value, bound)
+                same = np.flatnonzero((k1 == part.column("k1").to_numpy()) & (k2 == part.column("k2").to_numpy())
+                                      & (np.diff(bound) == part.column("size").to_numpy()))
+                part = part.take(pa.array(same))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("cluster"), part.column("id"), pa.array(np.diff(bound)),
-                     pa.array([value[lo:hi].tobytes() for lo, hi in zip(bound, bound[1:])], pa.binary())],
-                    ["cluster", "id", "size", "data"])
+                    [*[part.column(c) for c in kept],
+                     pa.array([value[bound[i]:bound[i + 1]].tobytes() for i in same], pa.binary())], [*kept, "data"])
 
-    return docs.mapInArrow(run, "cluster long, id long, size long, data binary")
+    return texts.select(*kept, "packed").mapInArrow(
+        run, "cluster long, blocks int, block int, id long, k1 long, k2 long, size long, registers binary, data binary")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -311,35 +356,41 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Two documents are linked if their sets of five-word shingles have 100 |A n B| >= 75 |A u B|;
     component_id is the smallest id reachable over links, kept whether it is the row's own.
-    Equal sets are grouped first and one document stands for them. Of these, documents that
-    share a band of registers with a common leader form a candidate cluster; the likelihood over all
-    registers splits clusters, and the full sets decide. Sets of one or two shingles can only be
-    linked when equal. Null or empty texts (and texts without words) have no shingles and are linked with nothing;
-    a row with null id too, its component_id is null and it is kept; rows with equal ids are
-    one node; other columns are ignored; an empty table gives no rows."""
+    Equal sets are grouped first and the smallest id stands for them. Of these, documents that
+    share a band of registers with a common leader form a candidate cluster, which is compared in blocks: the likelihood
+    over all registers says which rows may be near, their full sets decide. Components are found once more,
+    over the confirmed links. Sets of one or two shingles can only be linked when equal. Null or empty texts (and
+    texts without words) have no shingles and are linked with nothing; a row with null id too, its
+    component_id is null and it is kept. Rows with equal ids are one node: whatever one of their texts is
+    linked with, all of them that have words are. Ids are whole numbers (others become null). Very long texts are read whole; a set is one value. Other columns
+    are ignored whatever their names; an empty table gives no rows."""
     spark = docs.sparkSession
     prepared(spark)
-    src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    src = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
+    key = ["size", "k1", "k2"]
     sketch = materialize(_sketches(src), "sketches")
-    same = materialize(sketch.where("size > 0 AND id IS NOT NULL").groupBy("size", "k1", "k2")
-                       .agg(F.min("id").alias("rep")), "equal-sets")
-    reps = materialize(sketch.where("size > 2 AND id IS NOT NULL").join(same, ["size", "k1", "k2"])
-                       .where("id = rep").select("id", "size", "registers").dropDuplicates(["id"]), "representatives")
+    named = sketch.where("size > 0 AND id IS NOT NULL")
+    same = materialize(named.groupBy(*key).agg(F.min("id").alias("rep")), "equal-sets", tidy=False)
+    members = materialize(sketch.select("id", *key).join(same.hint("merge"), key, "left").select("id", *key, "rep"), "members")
+    reps = materialize(named.where("size > 2").join(same.withColumnRenamed("rep", "id").hint("merge"), [*key, "id"])
+                       .dropDuplicates(["id", *key]).select("id", *key, "registers"), "representatives")
     bands = _bands(reps)
-    leaders = materialize(bands.groupBy("key").agg(F.min("id").alias("leader"), F.count(F.lit(1)).alias("n"))
-                          .where("n > 1").drop("n"), "leaders")
-    stars = bands.join(leaders, "key").where("id <> leader").select(
-        F.col("id").alias("a"), F.col("leader").alias("b")).distinct()
-    candidates = connected_components(stars)
+    leaders = materialize(bands.groupBy("key").agg(F.min("id").alias("leader"), F.max("id").alias("last"))
+                          .where("leader < last").drop("last"), "leaders")
     # "merge": the same plan at every size, never a broadcast of what grows with the documents
-    likely = cluster_links(candidates.hint("merge").join(reps, "id").select(
-        F.col("comp").alias("cluster"), "id", "size", F.col("registers").alias("data")), likely_pairs, "likely")
-    refined = connected_components(likely)
-    texts = packed_texts(src).join(refined.withColumnRenamed("comp", "cluster").hint("merge"), "id")
-    sets = materialize(_sets(texts.select("cluster", "id", "packed")), "sets")
-    links = connected_components(cluster_links(sets, true_pairs, "links"))
-    rows = sketch.select("id", "size", "k1", "k2").join(same, ["size", "k1", "k2"], "left")
-    return (rows.join(links.select(F.col("id").alias("rep"), "comp"), "rep", "left")
+    stars = bands.join(leaders.hint("merge"), "key").where("id <> leader").select(
+        F.col("id").alias("a"), F.col("leader").alias("b")).distinct()
+    clusters = connected_components(stars)
+    rows = materialize(in_blocks(clusters.withColumnRenamed("comp", "cluster").hint("merge").join(reps, "id"),
+                                 BLOCK_ROWS, BLOCK_BYTES), "clusters")
+    sets = materialize(_sets(packed_texts(src).join(rows.hint("merge"), "id")), "sets")
+    # an id with texts of different sets stands for all of these
+    joined = members.where("rep IS NOT NULL").groupBy("id").agg(
+        F.min("rep").alias("b"), F.max("rep").alias("a")).where("a <> b")
+    shared = members.where("rep IS NOT NULL").join(joined.select("id", "b").hint("merge"), "id").select(
+        F.col("rep").alias("a"), "b").distinct()
+    links = connected_components(cluster_links(sets).unionByName(shared))
+    return (members.join(links.select(F.col("id").alias("rep"), "comp").hint("merge"), "rep", "left")
             .select(F.col("id").alias(id_col), F.col("size").alias("n_shingles"),
                     F.when(F.col("id").isNotNull(), F.coalesce("comp", "rep", "id")).alias("component_id"))
             .withColumn("kept", F.col(id_col).eqNullSafe(F.col("component_id"))))

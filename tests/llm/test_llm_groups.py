@@ -88,6 +88,25 @@ def test_large_group_of_near_copies(spark, monkeypatch, block_rows):
     _check_components(spark, texts)
 
 
+def test_two_texts_under_one_id(spark):
+    """Rows with equal ids are one node, whatever their texts, and whichever of them a third one is near."""
+    a, b, c = ([f"{x}{i}" for i in range(40)] for x in "abc")
+    rows = [(5, a), (5, b), (6, [*a, "x"]), (7, [*b, "y"]), (7, [*b, "y"]), (9, b), (9, c), (10, [*c, "z"]), (3, ["alone"] * 9)]
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")
+    got = neardup.near_duplicates(df).collect()
+    assert len(got) == len(rows)
+    assert {(r["doc_id"], r["component_id"]) for r in got} == {(5, 5), (6, 5), (7, 5), (9, 5), (10, 5), (3, 3)}
+
+
+def test_many_blocks_of_texts_that_are_not_linked(spark, monkeypatch):
+    """One candidate cluster of different families: hardly anything hangs together with block 0."""
+    monkeypatch.setattr(neardup, "BLOCK_ROWS", 8)
+    texts = {}
+    for f in range(8):
+        texts |= {100 * f + i: t for i, t in enumerate(near_copies(12, words=60, seed=f % 2, most_edits=16 + f))}
+    _check_components(spark, texts)
+
+
 def test_links_across_blocks_are_found():
     """cluster_links connects what the pair function connects, however the blocks fall."""
     sets = [np.unique(np.random.default_rng(i // 3).integers(0, 1 << 62, 40, dtype=np.uint64)) for i in range(12)]
