@@ -60,6 +60,22 @@ def with_json(df: DataFrame, src: str, ddl: str, out: str) -> DataFrame:
     return d.withColumn(out, _whole_or_null(F.col(raw), _object_text(src))).drop(raw)
 
 
+def with_body(df: DataFrame, src: str, out: str) -> DataFrame:
+    """Add ``out`` = the whole body as VARIANT: keys that no schema lists are kept, nested values
+    too. Text that is not one JSON object, or gives a key twice, is null."""
+    return df.withColumn(out, F.when(_object_text(src), F.try_parse_json(_c(src))))
+
+
+def body_field(body, path: str, kind: str) -> Column:
+    """A field of a VARIANT body by path; null where it is missing or of another type."""
+    return F.try_variant_get(_c(body), path, kind)
+
+
+def body_text(body) -> Column:
+    """The whole body as JSON text, keys in alphabetical order."""
+    return F.to_json(_c(body))
+
+
 def _analysis_defaults(p: Column) -> Column:
     empty = F.array()
     return F.when(p.isNull(), F.lit(None)).otherwise(F.struct(

@@ -173,8 +173,37 @@ def bullet_tips(x) -> Column:
 
 def contains_any(x, keywords: list[str]) -> Column:
     """Lower-cased text contains any keyword (substring, not word, semantics)."""
-    lowered = F.lower(_c(x))
-    return F.exists(F.array(*[F.lit(k) for k in keywords]), lambda k: F.contains(lowered, k))
+    return contains_any_lowered(F.lower(_c(x)), keywords)
+
+
+def contains_any_lowered(lowered: Column, keywords: list[str]) -> Column:
+    """The same of a text that is lower-cased already: one pass of one compiled pattern."""
+    return lowered.rlike(any_of(keywords)) if keywords else F.when(lowered.isNotNull(), F.lit(False))
+
+
+def any_of(keywords: list[str]) -> str:
+    """A pattern that finds any of the keywords: their common beginnings are tried once, and a keyword
+    that contains another is not needed."""
+    tree: dict = {}
+    for k in sorted(set(keywords), key=len):
+        node = tree
+        for c in k:
+            if None in node:
+                break  # a shorter keyword ends here
+            node = node.setdefault(c, {})
+        node[None] = {}
+
+    def pattern(node: dict) -> str:
+        if None in node:
+            return ""
+        parts = [_literal(c) + pattern(node[c]) for c in sorted(node)]
+        return parts[0] if len(parts) == 1 else "(?:" + "|".join(parts) + ")"
+
+    return pattern(tree)
+
+
+def _literal(c: str) -> str:
+    return c if c.isalnum() else f"\\x{{{ord(c):x}}}"
 
 
 def is_language_question(x) -> Column:
@@ -186,10 +215,10 @@ def is_conversation_request(x) -> Column:
 
 
 def route_question(x) -> Column:
-    """refuse (off-topic) / conversation / explain."""
-    return (F.when(~is_language_question(x), F.lit("refuse"))
-            .when(is_conversation_request(x), F.lit("conversation"))
-            .otherwise(F.lit("explain")))
+    """refuse (off-topic) / conversation / explain. Each pattern runs over a text at most once."""
+    return (F.when(is_language_question(x), F.when(is_conversation_request(x), F.lit("conversation"))
+                   .otherwise(F.lit("explain")))
+            .otherwise(F.lit("refuse")))
 
 
 def refusal_text(language) -> Column:

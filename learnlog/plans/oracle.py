@@ -11,6 +11,7 @@ from learnlog import constants as K
 from learnlog import prompts as P
 from learnlog.functions.text import DANGEROUS_CHARS, WS_CLASS_RE2
 from learnlog.plans import queries as Q
+from learnlog.sources import files as FS
 from learnlog.sources.fixtures import DIFFICULTIES, HISTORY_CTE, LANG_CODE_TO_NAME, PARTS_OF_SPEECH
 
 ORACLE: dict[str, str] = {}
@@ -698,10 +699,23 @@ def _():
 
 @q("decode_txt")
 def _():
-    text = "CASE WHEN doc_id % 2 = 0 THEN text ELSE 'ć' || regexp_replace(text, '[^\\x00-\\x7F]', '', 'g') END"
-    return f"""SELECT doc_id || '.txt' AS path, CASE WHEN doc_id % 2 = 0 THEN octet_length(encode(x)) ELSE length(x) END AS length,
-  x AS text, CASE WHEN doc_id % 2 = 0 THEN 'utf-8' ELSE 'cp1250' END AS encoding, CAST(NULL AS VARCHAR) AS error
-FROM (SELECT doc_id, {text} AS x FROM documents)"""
+    page = lambda e: "[" + ", ".join(str(ord(bytes([b]).decode(e, "replace"))) for b in range(256)) + "]"
+    read = lambda e: f"'ć' || array_to_string(list_transform(b, lambda x: chr(({page(e)})[x + 1])), '')"
+    return f"""WITH d AS (SELECT doc_id, text, hex(encode(text)) AS h, octet_length(encode(text)) AS n FROM documents),
+b AS (SELECT doc_id, text, n, CASE WHEN doc_id % 2 <> 0 THEN
+        list_transform(range(n), lambda i: CAST('0x' || substr(h, 2 * i + 1, 2) AS INTEGER)) END AS b FROM d),
+e AS (SELECT *, CASE WHEN text IS NULL THEN NULL WHEN doc_id % 2 = 0 THEN 'utf-8'
+        WHEN len(list_intersect(b, [129, 131, 136, 144, 152])) = 0 THEN 'cp1250' ELSE 'iso-8859-2' END AS encoding FROM b)
+SELECT doc_id || '.txt' AS path, CAST(n + doc_id % 2 AS BIGINT) AS length,
+  CASE encoding WHEN 'utf-8' THEN text WHEN 'cp1250' THEN {read('cp1250')} WHEN 'iso-8859-2' THEN {read('iso-8859-2')} END AS text,
+  encoding, CASE WHEN text IS NULL THEN {lit(FS.READ_ERROR_PREFIX + FS.NO_CONTENT)} END AS error FROM e"""
+
+
+@q("lossless_bodies")
+def _():
+    good = lambda x: f"CASE WHEN doc_id % 3 <> 2 THEN {x} END"
+    return f"""SELECT doc_id, doc_id % 3 <> 2 AS valid, {good('text')} AS question, {good('lang')} AS source_lang,
+  CAST({good('length(text)')} AS BIGINT) AS size, {good('true')} AS checked, CAST({good('4')} AS BIGINT) AS n_keys FROM documents"""
 
 
 @q("stamp_records")

@@ -354,6 +354,22 @@ def q_exercise_roundtrip(spark, sf):
                     ex.difficulty.alias("difficulty"), ex.hint.alias("hint"))
 
 
+@query("lossless_bodies")
+def q_lossless_bodies(spark, sf):
+    """Documents as exercise bodies with keys that no schema lists, every third cut short: parsed
+    whole or not at all, the unlisted keys read back from the stored value."""
+    body = F.to_json(F.struct(F.lit("grammar").alias("type"), F.col("text").alias("question"),
+                              F.struct(F.col("lang").alias("from"), F.array(F.col("doc_id"), F.length("text")).alias("sizes")).alias("x-source"),
+                              F.lit(True).alias("x-checked")), {"ignoreNullFields": "false"})
+    body = F.when(F.col("doc_id") % 3 == 2, F.substring(body, F.lit(1), F.length(body) - 1)).otherwise(body)
+    d = J.with_body(_docs(spark, sf).withColumn("body", body), "body", "v")
+    field = lambda path, kind: J.body_field("v", path, kind)
+    return d.select(
+        "doc_id", F.col("v").isNotNull().alias("valid"), field("$.question", "string").alias("question"),
+        field("$['x-source'].from", "string").alias("source_lang"), field("$['x-source'].sizes[1]", "bigint").alias("size"),
+        field("$['x-checked']", "boolean").alias("checked"), F.size(F.json_object_keys(J.body_text("v"))).cast("bigint").alias("n_keys"))
+
+
 @query("exercise_options")
 def q_exercise_options(spark, sf):
     return A.exercise_options(_h(spark, sf))
@@ -694,14 +710,13 @@ def q_file_gate(spark, sf):
 
 @query("decode_txt")
 def q_decode_txt(spark, sf):
-    """Documents as uploaded bytes: UTF-8, or (odd ids) their ASCII after a byte that only the
-    second encoding of the list can read."""
-    ascii_ = F.regexp_replace("text", "[^\\x00-\\x7F]", "")
-    content = F.when(F.col("doc_id") % 2 == 0, F.encode("text", "UTF-8")).otherwise(
-        F.concat(F.unhex(F.lit("E6")), F.encode(ascii_, "UTF-8")))
+    """Documents as uploaded bytes: UTF-8 as it is, or (odd ids) after a byte that makes it invalid, so
+    that a single-byte encoding must read all of it."""
+    utf8 = F.encode("text", "UTF-8")
+    content = F.when(F.col("doc_id") % 2 == 0, utf8).otherwise(F.concat(F.unhex(F.lit("E6")), utf8))
     up = _docs(spark, sf).select(F.concat(F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"),
                                  F.octet_length(content).cast("bigint").alias("length"), content.alias("content"))
-    return FS.extract_text(up).select("path", "length", "text", "encoding", "error")
+    return FS.extract_txt(up)
 
 
 @query("stamp_records")

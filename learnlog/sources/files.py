@@ -1,22 +1,21 @@
 """Uploaded-file source: ``binaryFile`` scan, size / extension gate, text extraction.
 
 The gate is native Spark (``length`` is pushed into the file listing, so files over the
-limit are never read). Decoding is per file and needs Python codecs / ``zipfile``, so it
-runs as one Arrow ``mapInPandas`` over ``(path, content)``; Spark spreads the files over
-tasks. PDF text extraction needs a PDF library, which this build does not have: PDF files
+limit are never read). Text files are decoded by column functions: a validity test for UTF-8, and
+translations of single-byte code pages. Only docx files pass through Python (``mapInPandas`` with
+``zipfile``). PDF text extraction needs a PDF library, which this build does not have: PDF files
 pass the gate and come back with an error value.
 """
 
 from __future__ import annotations
 
 import io
-import posixpath
 import zipfile
 from typing import Iterator
 from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from learnlog import constants as K
@@ -29,6 +28,7 @@ FORMAT_DESCRIPTIONS = {
     "pdf": "Dokumenty PDF (.pdf)",
 }
 READ_ERROR_PREFIX = "Błąd podczas odczytywania pliku: "
+NO_CONTENT = "no content"
 PDF_UNAVAILABLE = "PDF text extraction is not available in this build"
 
 
@@ -65,17 +65,7 @@ def gate(files: DataFrame, max_mb: float = K.MAX_FILE_SIZE_MB, keep: list[str] =
     return files.select(*keep, "path", "name", "ext", "length", (reason == "").alias("ok"), reason.alias("reason"))
 
 
-# --- per-file decoders (run inside tasks) ----------------------------------------------------
-
-def decode_txt(data: bytes) -> tuple[str | None, str | None, str | None]:
-    """First encoding of the ordered list that decodes the whole file."""
-    for enc in K.TXT_ENCODINGS:
-        try:
-            return data.decode(enc), enc, None
-        except UnicodeDecodeError:
-            continue
-    return None, None, K.MSG_TXT_DECODE_FAILED
-
+# --- contents --------------------------------------------------------------------------------
 
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 
@@ -102,35 +92,76 @@ def docx_text(data: bytes) -> str:
     return "\n".join(t for t in paras if t.strip())
 
 
-def _extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _single_byte(latin: Column, encoding: str) -> Column:
+    """Text read as ISO-8859-1 (every byte a character) in a single-byte code page instead."""
+    pairs = [(chr(b), bytes([b]).decode(encoding)) for b in range(256) if b not in _undefined(encoding)]
+    pairs = [(a, c) for a, c in pairs if a != c]
+    return F.translate(latin, "".join(a for a, _ in pairs), "".join(c for _, c in pairs))
+
+
+def _undefined(encoding: str) -> list[int]:
+    """The bytes that a code page doesn't define."""
+    out = []
+    for b in range(256):
+        try:
+            bytes([b]).decode(encoding)
+        except UnicodeDecodeError:
+            out.append(b)
+    return out
+
+
+def with_decoded(files: DataFrame, content: str = "content") -> DataFrame:
+    """``files`` with ``text`` and ``encoding``: the first encoding of the ordered list that decodes the
+    whole content, all in the JVM. Both are null where the content is, or where none does."""
+    raw = F.col(content)
+    latin = F.decode(raw, "ISO-8859-1")
+    d = files.withColumn("_utf8", F.is_valid_utf8(raw.cast("string")))
+    encoding, text = F.lit(None).cast("string"), F.lit(None).cast("string")
+    for name in reversed(K.TXT_ENCODINGS):
+        if name == "utf-8":
+            ok, value = F.col("_utf8"), raw.cast("string")
+        else:
+            bad = _undefined(name)
+            ok = ~latin.rlike("[" + "".join(f"\\x{b:02x}" for b in bad) + "]") if bad else raw.isNotNull()
+            value = _single_byte(latin, name)
+        encoding, text = F.when(ok, F.lit(name)).otherwise(encoding), F.when(ok, value).otherwise(text)
+    return d.withColumn("text", text).withColumn("encoding", encoding).drop("_utf8")
+
+
+def _extract_docx(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        texts, encs, errs = [], [], []
-        for path, content in zip(pdf["path"], pdf["content"]):
-            ext = posixpath.basename(path).lower().split(".")[-1]
-            text = enc = err = None
+        texts, errs = [], []
+        for content in pdf["content"]:
             try:
-                if ext == "txt":
-                    text, enc, err = decode_txt(bytes(content))
-                elif ext == "docx":
-                    text = docx_text(bytes(content))
-                elif ext == "pdf":
-                    err = READ_ERROR_PREFIX + PDF_UNAVAILABLE
-                else:
-                    err = f"{K.MSG_UNSUPPORTED_FORMAT}: {ext}"
+                texts.append(docx_text(bytes(content)))
+                errs.append(None)
             except Exception as e:  # noqa: BLE001 - a bad file is a value, not a failed task
-                text, enc, err = None, None, READ_ERROR_PREFIX + str(e)
-            texts.append(text)
-            encs.append(enc)
-            errs.append(err)
-        yield pd.DataFrame({"path": pdf["path"], "length": pdf["length"], "text": texts,
-                            "encoding": encs, "error": errs})
+                texts.append(None)
+                errs.append(READ_ERROR_PREFIX + str(e))
+        yield pd.DataFrame({"path": pdf["path"], "length": pdf["length"], "text": texts, "encoding": None, "error": errs})
+
+
+def extract_txt(files: DataFrame) -> DataFrame:
+    """``(path, length, content)`` of text files -> ``path, length, text, encoding, error``."""
+    d = with_decoded(files.select("path", "length", "content"))
+    error = (F.when(F.col("content").isNull(), F.lit(READ_ERROR_PREFIX + NO_CONTENT))
+             .when(F.col("encoding").isNull(), F.lit(K.MSG_TXT_DECODE_FAILED)))
+    return d.select("path", "length", "text", "encoding", error.alias("error"))
 
 
 def extract_text(files: DataFrame) -> DataFrame:
-    """``(path, length, content)`` -> ``path, length, text, encoding, error``."""
+    """``(path, length, content)`` -> ``path, length, text, encoding, error``. Only docx files pass
+    through Python."""
     ship_package(files.sparkSession)
-    return files.select("path", "length", "content").mapInPandas(
-        _extract, "path string, length long, text string, encoding string, error string")
+    rows = files.select("path", "length", "content", T.file_extension(F.substring_index("path", "/", -1)).alias("ext"))
+    none = F.lit(None).cast("string")
+    other = rows.where(~F.col("ext").isin("txt", "docx")).select(
+        "path", "length", none.alias("text"), none.alias("encoding"),
+        F.when(F.col("ext") == "pdf", F.lit(READ_ERROR_PREFIX + PDF_UNAVAILABLE))
+        .otherwise(F.concat(F.lit(K.MSG_UNSUPPORTED_FORMAT + ": "), F.col("ext"))).alias("error"))
+    docx = rows.where("ext = 'docx'").select("path", "length", "content").mapInPandas(
+        _extract_docx, "path string, length long, text string, encoding string, error string")
+    return extract_txt(rows.where("ext = 'txt'")).unionByName(docx).unionByName(other)
 
 
 def read_texts(spark: SparkSession, path: str, **kw) -> DataFrame:

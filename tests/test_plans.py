@@ -6,7 +6,7 @@ from conftest import SF_SMALL
 
 PYTHON_NODES = ("MapInPandas", "PythonMapInArrow", "ArrowEvalPython", "BatchEvalPython",
                 "FlatMapGroupsInPandas", "FlatMapGroupsInPandasWithState")
-PYTHON_OK = {"decode_txt"}
+PYTHON_OK = set()
 
 
 def _plan(df):
