@@ -179,21 +179,21 @@ def train(learn: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
     """Fit centroids on ``learn`` (null languages are left out); None if nothing is labelled.
 
     Document frequencies come from all rows of ``learn``. The centroids are fitted on a sample of
-    at most about ``max_sample`` rows in all, spread evenly over the languages and chosen by a
-    hash of the id. A language's rows are clustered into ``clusters`` centroids; a text is
+    about ``max_sample`` rows in all, spread evenly over the languages and chosen by a hash of the id; the row
+    of the smallest hash of every language is in it, so none is left out. The model has up to
+    ``clusters`` centroids per language. A language's rows are clustered into ``clusters`` centroids; a text is
     rejected if its cosine with the nearest centroid is below the bound of that centroid's language
     for texts of its length, which ``rejection_bounds`` takes from all rows of ``learn``."""
     learn = learn.where(F.col(lang_col).isNotNull()).select(
         F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    sizes = {r["lang"]: r["n"] for r in learn.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
-             .orderBy(F.desc("n"), "lang").limit(max_sample).collect()}
+    chance = F.pmod(F.xxhash64(F.lit("sample"), "id"), F.lit(1_000_003)) / 1_000_003.0
+    sizes = learn.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.min(chance).alias("least")).collect()
     if not sizes:
         return None
     each = max(1, max_sample // len(sizes))
-    part_of = F.lit(0.0)
-    for lang, n in sizes.items():
-        part_of = F.when(F.col("lang") == lang, F.lit(min(1.0, each / n))).otherwise(part_of)
-    chance = F.pmod(F.xxhash64(F.lit("sample"), "id"), F.lit(1_000_003)) / 1_000_003.0
+    # the row of the smallest hash is always in
+    shares = learn.sparkSession.createDataFrame(
+        [(r["lang"], min(1.0, max(each / r["n"], r["least"] + 1e-7))) for r in sizes], "lang string, share double")
 
     def make(part: pa.RecordBatch, counts: np.ndarray) -> pa.RecordBatch:
         packed = []
@@ -204,7 +204,9 @@ def train(learn: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
                                           ["lang", "id", "counts"])
 
     kind = learn.schema["id"].dataType.simpleString()
-    rows = _counted(learn.where(chance < part_of), f"lang string, id {kind}, counts binary", make).collect()
+    # a row per language, as the model has: broadcast like it
+    sample = learn.join(F.broadcast(shares), "lang").where(chance < F.col("share")).drop("share")
+    rows = _counted(sample, f"lang string, id {kind}, counts binary", make).collect()
     df, n = document_frequencies(learn)
     idf = (np.log((1 + n) / (1 + df)) + 0.1).astype(np.float32)
     centroids, names = [], []

@@ -362,3 +362,19 @@ def test_publishers_own_notices_are_found(spark):
                                  "doc_id long, text string")
     got = {(r["doc_id"], r["license"]) for r in S.scan(docs).collect()}
     assert got == {(i, name) for i, (name, _) in enumerate(PUBLISHED)}
+
+
+def test_no_language_is_left_out_of_a_small_sample(spark):
+    """More languages than the sample has rows: each has centroids, and its texts find them."""
+    rng = random.Random(6)
+    rows = []
+    for k in range(14):
+        letters = [chr(0x0430 + 2 * k + j) for j in range(2)] + [chr(0x05D0 + k), chr(0x0561 + k)]
+        for i in range(7):
+            words = ["".join(rng.choice(letters) for _ in range(5)) for _ in range(40)]
+            rows.append((100 * k + i, " ".join(words), f"l{k}"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = L.train(docs, max_sample=5)
+    assert set(model.names) == {f"l{k}" for k in range(14)}
+    got = L.identify(docs, model).where("lang_pred = lang").count()
+    assert got >= 0.95 * len(rows)
