@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from learnlog.llm.common import gram_hashes, mix, prepared, slices
+from learnlog.llm.common import gram_hashes, group_starts, mix, prepared, slices
 from learnlog.sources.tables import read_table
 
 #: Characters per gram, per segment of a benchmark text, from one segment to the next, and edits
@@ -23,6 +23,8 @@ ERROR = 0.1
 LEAST_CHARS = 24
 #: Characters of benchmark text that one pass over the documents searches for.
 BLOCK_CHARS = 1_000_000
+#: Pairs of equal q-grams (one in a document, one in the benchmark) that are looked at together.
+MOST_PAIRS = 2_000_000
 _FILTER_BITS = 22
 _GAP = np.uint32(0x110000)  # no character has this code
 
@@ -104,7 +106,33 @@ def _found(known: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.repeat(pos, n), np.repeat(lo - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
 
 
-def _bands(index: SegmentIndex, joined: np.ndarray, q: int) -> tuple[np.ndarray, np.ndarray]:
+def _windows(index: SegmentIndex, joined: np.ndarray, q: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(places in the text, places in the index) of equal q-grams, in windows of the text with about
+    MOST_PAIRS pairs. Grams that a text and the benchmark repeat thousands of times give the product of
+    both; a window holds part of it only. Neighbouring windows share the characters that one
+    region can span, so every region lies wholly in a window."""
+    if not len(index.gram):
+        return
+    g = _gram_hashes(joined, q)
+    likely = np.flatnonzero(index.present[g >> np.uint64(64 - _FILTER_BITS)])
+    lo = np.searchsorted(index.gram, g[likely], side="left")
+    n = np.searchsorted(index.gram, g[likely], side="right") - lo
+    likely, lo, n = likely[n > 0], lo[n > 0], n[n > 0]
+    overlap = int((index.span + 2 * index.width).max()) + 2
+    ends, at = np.cumsum(n), 0
+    while at < len(likely):
+        stop = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + MOST_PAIRS, side="right"))
+        # at least two overlaps wide, so that a window always gets ahead
+        stop = max(stop, int(np.searchsorted(likely, likely[at] + 2 * overlap)))
+        m, first = n[at:stop], lo[at:stop]
+        yield (np.repeat(likely[at:stop], m),
+               np.repeat(first - np.r_[0, np.cumsum(m)[:-1]], m) + np.arange(m.sum()))
+        if stop >= len(likely):
+            return
+        at = max(at + 1, int(np.searchsorted(likely, likely[stop] - overlap)))
+
+
+def _bands(index: SegmentIndex, joined: np.ndarray, pos: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(segment, first diagonal) of the bands of 2k + 2 diagonals, one beginning every k + 1,
     that share as many q-grams with the segment as the lemma asks for. Any alignment with k
     edits drifts over k + 1 diagonals at most, and so lies wholly in one of them.
@@ -112,18 +140,13 @@ def _bands(index: SegmentIndex, joined: np.ndarray, q: int) -> tuple[np.ndarray,
     q-grams stand once per benchmark text. Sorted by (text, band, place), ``need`` of them in a row
     that lie within the places of one segment make all segments around them candidates; those
     segments are a range that only moves up along a band, so each is given out once."""
-    none = np.zeros(0, np.int64)
-    if not len(index.gram):
-        return none, none
-    g = _gram_hashes(joined, q)
-    likely = np.flatnonzero(index.present[g >> np.uint64(64 - _FILTER_BITS)])
-    pos, which = _found(index.gram, g[likely])
+    none, q = np.zeros(0, np.int64), Q
     if not len(pos):
         return none, none
     text, at = index.text[which].astype(np.int64), index.at[which].astype(np.int64)
     most = int(index.size.max()) + 1
     bands = len(joined) + 2 * most + 4
-    b = (likely[pos] - at) // index.width[text] + most + 2
+    b = (pos - at) // index.width[text] + most + 2
     key = np.sort(np.concatenate([((text * bands + b) * most) + at, ((text * bands + b - 1) * most) + at]))
     del pos, which, text, at, b
     group, at = key // most, key % most
@@ -202,28 +225,59 @@ def banded_distance(pattern: np.ndarray, length: np.ndarray, text: np.ndarray, f
 
 
 def search(index: SegmentIndex, texts: list[str], q: int = Q) -> list[tuple[int, int, int, int, int]]:
-    """(text, segment, edits, start, end) of every verified region; positions are in the
-    normalised text, start up to the edit budget."""
+    """(text, segment, edits, start, end) of every text and segment with a verified region: the fewest
+    edits, and from the first to the last region; positions are in the normalised text, start up to
+    the edit budget."""
     codes = [_codes(t) for t in texts]
     gap = np.full(SEGMENT + q, _GAP, np.uint32)
     joined = np.concatenate([x for c in codes for x in (c, gap)]) if codes else gap[:0]
     begin = np.cumsum([0, *[len(c) + len(gap) for c in codes]])
-    seg, first = _bands(index, joined, q)
-    out = []
-    for s, p in _exact(index, joined):
-        t = int(np.searchsorted(begin, p, side="right")) - 1
-        out.append((t, s, 0, p - int(begin[t]), p + int(index.length[s]) - int(begin[t])))
-    for k in np.unique(index.budget[seg]):
-        own = np.flatnonzero(index.budget[seg] == k)
-        for part in np.array_split(own, -(-len(own) // 4096)):
-            s = seg[part]
-            edits, end = banded_distance(index.chars[s], index.length[s], joined, first[part], int(k))
-            for j in np.flatnonzero(edits <= k):
-                stop = int(end[j])
-                t = int(np.searchsorted(begin, stop - 1, side="right")) - 1
-                out.append((t, int(s[j]), int(edits[j]), max(0, stop - int(index.length[s[j]]) - int(begin[t])),
-                            stop - int(begin[t])))
-    return out
+    found = [np.zeros((0, 5), np.int64)]
+    exact = _exact(index, joined)
+    if exact:
+        s, p = np.array(exact, np.int64).T
+        t = np.searchsorted(begin, p, side="right") - 1
+        found.append(np.stack([t, s, np.zeros(len(s), np.int64), p - begin[t], p + index.length[s] - begin[t]], axis=1))
+    def align(seg: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """Edits of each candidate; the verified ones become rows of ``found``."""
+        out = np.zeros(len(seg), np.int64)
+        for k in np.unique(index.budget[seg]):
+            own = np.flatnonzero(index.budget[seg] == k)
+            for part in np.array_split(own, -(-len(own) // 4096)):
+                edits, end = banded_distance(index.chars[seg[part]], index.length[seg[part]], joined, first[part], int(k))
+                out[part] = edits
+                s, end, edits = seg[part][edits <= k], end[edits <= k], edits[edits <= k]
+                t = np.searchsorted(begin, end - 1, side="right") - 1
+                found.append(np.stack([t, s, edits, np.maximum(0, end - index.length[s] - begin[t]), end - begin[t]], axis=1))
+        return out
+
+    for pos, which in _windows(index, joined, q):
+        seg, first = _bands(index, joined, pos, which)
+        # the candidates of a segment in a text (a region begins within 3 k + 1 of its band's first diagonal, texts are
+        # farther apart): where the outermost two match without an edit, those between them add nothing
+        text = np.searchsorted(begin, first + 3 * index.budget[seg] + 1, side="right") - 1
+        order = np.lexsort((first, seg, text))
+        seg, first = seg[order], first[order]
+        start = group_starts(text[order], seg)
+        size = np.diff(np.r_[start, len(seg)])
+        outer = np.zeros(len(seg), bool)
+        outer[start] = outer[start + size - 1] = True
+        edits = np.zeros(len(seg), np.int64)
+        edits[outer] = align(seg[outer], first[outer])
+        settled = np.repeat((edits[start] == 0) & (edits[start + size - 1] == 0), size)
+        align(seg[~outer & ~settled], first[~outer & ~settled])
+        found = [_reduced(np.concatenate(found))]  # a row per text and segment, however many windows
+    return [tuple(r) for r in _reduced(np.concatenate(found)).tolist()]
+
+
+def _reduced(rows: np.ndarray) -> np.ndarray:
+    """Rows (text, segment, edits, start, end) merged by text and segment."""
+    rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
+    start = group_starts(rows[:, 0], rows[:, 1])
+    if not len(start):
+        return rows
+    return np.stack([rows[start, 0], rows[start, 1], np.minimum.reduceat(rows[:, 2], start),
+                     np.minimum.reduceat(rows[:, 3], start), np.maximum.reduceat(rows[:, 4], start)], axis=1)
 
 
 def blocks(benchmark: DataFrame, id_col: str, text_col: str, limit: int) -> Iterator[list[tuple]]:

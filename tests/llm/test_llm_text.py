@@ -378,3 +378,43 @@ def test_no_language_is_left_out_of_a_small_sample(spark):
     assert set(model.names) == {f"l{k}" for k in range(14)}
     got = L.identify(docs, model).where("lang_pred = lang").count()
     assert got >= 0.95 * len(rows)
+
+
+def test_all_findings_equal_plain_dynamic_programming():
+    """A segment is found in a text exactly if some part of the text is within its edits, with the fewest."""
+    rng = random.Random(12)
+    items = [(i, "".join(rng.choice("abcde ") for _ in range(n)).strip() or "x" * n) for i, n in enumerate((64, 90, 110, 40))]
+    items = [(i, D.normalized(t)) for i, t in items] + [(9, "ab" * 45)]
+    index = D.SegmentIndex.build(items, D.SEGMENT, D.Q, D.ERROR)
+    texts = ["ab" * 60, "", "-" * 100]
+    for _ in range(12):
+        t = list(rng.choice(items)[1])
+        for _ in range(rng.randrange(9)):
+            t[rng.randrange(len(t))] = rng.choice("abcxyz")
+        texts.append(D.normalized("qq " * rng.randrange(9) + "".join(t) + " ww" * rng.randrange(9)))
+    got = {(t, s): e for t, s, e, _, _ in D.search(index, texts)}
+    want = {}
+    for t, text in enumerate(texts):
+        for s, (chars, n, k) in enumerate(zip(index.chars, index.length, index.budget)):
+            d = infix_distance("".join(map(chr, chars[:n])), text)
+            if d <= k:
+                want[t, s] = d
+    assert got == want and len({s for _, s in got}) > 20
+
+
+def test_repeats_on_both_sides_take_bounded_memory(monkeypatch):
+    """Windows of any size find the same; a long run of one character against another is cut into them."""
+    items = [(0, "-" * 300), (1, "ab" * 120), (2, D.normalized("one two three four five six seven eight nine ten eleven twelve"))]
+    index = D.SegmentIndex.build(items, D.SEGMENT, D.Q, D.ERROR)
+    texts = ["-" * 3000, "xx " + "ab" * 700, "say one two three four five six seven eight nine ten eleven twelve yes"]
+    want = D.search(index, texts)
+    assert {index.item[s] for t, s, *_ in want if t == 0} == {0} and {t for t, s, *_ in want if index.item[s] == 2} == {2}
+    pairs = []
+    for most in (1, 100, 20_000):
+        monkeypatch.setattr(D, "MOST_PAIRS", most)
+        plain = D._bands
+        monkeypatch.setattr(D, "_bands", lambda i, j, p, w: pairs.append(len(p)) or plain(i, j, p, w))
+        assert D.search(index, texts) == want
+        monkeypatch.setattr(D, "_bands", plain)
+    # one window is about as large as asked for, or two regions' span times the repeats of a gram
+    assert max(pairs) <= 20_000 + 2 * 90 * 300
