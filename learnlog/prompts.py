@@ -1,8 +1,8 @@
 """FIXED VALUES: prompt texts per model task, and each task's reply budget / temperature.
 
 Placeholders ``{language}``, ``{text}``, ``{original}``, ``{corrected}``, ``{word}``,
-``{summary}``, ``{context}`` are filled column-wise with ``replace`` (see
-``learnlog.operators.model.fill``), language first and free text last.
+``{summary}``, ``{context}`` are filled column-wise; a template is split
+once, so braces in a value stay text (see ``learnlog.operators.model.fill``).
 """
 
 # task -> (max_tokens, temperature)

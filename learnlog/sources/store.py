@@ -110,13 +110,15 @@ class HistoryStore:
         """Hold the table's lock. A writer waits up to ``lock_seconds`` for another to finish; a
         lock left by a writer that died is removed with ``unlock``."""
         fs, p = _fs(self.spark, f"{self.root}/lock")
-        until = time.monotonic() + self.lock_seconds
+        until, absent = time.monotonic() + self.lock_seconds, 0
         while True:
             try:
                 fs.create(p, False).close()  # fails if the file exists
                 break
             except Exception as e:
-                if not fs.exists(p) or time.monotonic() > until:
+                # it may have been released meanwhile; where it can't be made, it is absent every time
+                absent = 0 if fs.exists(p) else absent + 1
+                if absent > 5 or time.monotonic() > until:
                     raise RuntimeError(f"the history table {self.root} is locked, or cannot be") from e
                 time.sleep(0.2)
         try:
