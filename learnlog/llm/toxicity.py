@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from learnlog.llm.common import prepared, slices, text_bytes, word_hashes
+from learnlog.llm.common import materialize, prepared, slices, text_bytes, word_hashes
 from learnlog.llm.language import id_fold
 from learnlog.sources.tables import read_table
 
@@ -22,6 +22,10 @@ _LOWER[65:91] += 32
 _PROFILE = 1 << 14
 #: Steps of one logit that calibration counts in, and the largest logit told apart.
 STEPS, MOST = 50, 100
+#: Words that one pass of the filters handles: a text of any length takes bounded memory.
+WORDS = 1 << 16
+#: Bits of the filter by which documents without a label are passed over before they are scored.
+FILTER_BITS = 1 << 24
 
 
 def words_of(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
@@ -55,25 +59,29 @@ class ConvNet:
 
     def pooled(self, h: np.ndarray, row: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
         """Largest response (n x all filters; 0 where no filter fires) and the first word of
-        the run that gave it (-1: none)."""
-        a, b = self.rows(h)
-        x = self.tables[0][a] + self.tables[1][b]
+        the run that gave it (-1: none). ``WORDS`` runs at a time, the largest so far is kept."""
         best = np.zeros((n, len(self.widths) * self.filters), np.float32)
         where = np.full(best.shape, -1, np.int64)
-        for i, k in enumerate(self.widths):
-            m = len(h) - k + 1
-            if m <= 0:
-                continue
-            z = np.concatenate([x[j:m + j] for j in range(k)], axis=1) @ self.weight[i] + self.bias[i]
-            z[row[:m] != row[k - 1:]] = 0
-            start = np.flatnonzero(np.r_[True, row[1:m] != row[:m - 1]])
-            top = np.maximum.reduceat(z, start, axis=0)
-            cols = slice(i * self.filters, (i + 1) * self.filters)
-            best[row[start], cols] = np.maximum(top, 0)
-            for f in range(self.filters):
-                hit = np.flatnonzero(z[:, f] >= np.repeat(top[:, f], np.diff(np.r_[start, m])))
-                where[row[hit[::-1]], i * self.filters + f] = hit[::-1]
-        where[best <= 0] = -1
+        wide = max(self.widths)
+        for at in range(0, len(h), WORDS):
+            a, b = self.rows(h[at:at + WORDS + wide - 1])
+            x = self.tables[0][a] + self.tables[1][b]
+            for i, k in enumerate(self.widths):
+                m = min(len(x) - k + 1, WORDS)
+                if m <= 0:
+                    continue
+                z = np.concatenate([x[j:m + j] for j in range(k)], axis=1) @ self.weight[i] + self.bias[i]
+                own = row[at:at + m]
+                z[own != row[at + k - 1:at + k - 1 + m]] = 0
+                start = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+                top = np.maximum.reduceat(z, start, axis=0)
+                size = np.diff(np.r_[start, m])
+                for f in range(self.filters):
+                    c = i * self.filters + f
+                    more = top[:, f] > best[own[start], c]
+                    hit = np.flatnonzero((z[:, f] >= np.repeat(top[:, f], size)) & np.repeat(more, size))
+                    where[own[hit[::-1]], c] = hit[::-1] + at
+                    best[own[start[more]], c] = top[more, f]
         return best, where
 
     def logits(self, h: np.ndarray, row: np.ndarray, n: int) -> np.ndarray:
@@ -147,9 +155,8 @@ def binned_cut(z: np.ndarray, pos: np.ndarray, neg: np.ndarray) -> float:
 
 
 def fit(texts: list[np.ndarray], y: np.ndarray, weight: np.ndarray, lang: list[str], epochs: int = 12,
-        rate: float = 1.0, seed: int = 7, cut: np.ndarray | None = None) -> ConvNet:
+        rate: float = 1.0, seed: int = 7) -> ConvNet:
     """Train on word hashes per text; one text in five (``held_out``) calibrates the thresholds.
-    Texts marked in ``cut`` only tell the words of their language.
 
     The first coordinate of a table row starts at the shrunken log-odds of the label among texts
     with a word of that row, the others at small random values. ``weight``: how many rows of
@@ -163,14 +170,13 @@ def fit(texts: list[np.ndarray], y: np.ndarray, weight: np.ndarray, lang: list[s
     row = np.repeat(np.arange(n), [len(t) for t in texts])
     h = np.concatenate(texts) if n else np.zeros(0, np.uint64)
     held = held_out(n)
-    whole = np.ones(n, bool) if cut is None else ~cut
     net.tables = rng.normal(0, 0.1, (2, net.buckets, net.dim)).astype(np.float32)
     prior = min(max(float((weight * y).sum() / max(weight.sum(), 1e-9)), 0.01), 0.99)
-    learn = (whole & ~held)[row]
+    learn = ~held[row]
     for t, slot in enumerate(net.rows(h)):
-        seen = np.unique(np.stack([slot[learn], row[learn]]), axis=1)
-        of = np.bincount(seen[0], weights=weight[seen[1]] * y[seen[1]], minlength=net.buckets)
-        al = np.bincount(seen[0], weights=weight[seen[1]], minlength=net.buckets)
+        word, text = np.divmod(np.unique(slot[learn] * n + row[learn]), max(n, 1))
+        of = np.bincount(word, weights=weight[text] * y[text], minlength=net.buckets)
+        al = np.bincount(word, weights=weight[text], minlength=net.buckets)
         m = 20 * weight.mean() if n else 1.0
         odds = np.log((of + m * prior) / (al - of + m * (1 - prior))) - np.log(prior / (1 - prior))
         net.tables[t, :, 0] += odds / 2
@@ -182,7 +188,7 @@ def fit(texts: list[np.ndarray], y: np.ndarray, weight: np.ndarray, lang: list[s
     net.out = np.full(len(net.widths) * net.filters, 0.2, np.float32)
     net.out_bias = -2.0
     ends = np.r_[0, np.cumsum([len(t) for t in texts])].astype(np.int64)
-    ids = np.flatnonzero(whole & ~held)
+    ids = np.flatnonzero(~held)
     for epoch in range(epochs if len(ids) else 0):
         for batch in np.array_split(rng.permutation(ids), -(-len(ids) // 64)):
             take = np.concatenate([np.arange(ends[i], ends[i + 1]) for i in batch])
@@ -202,9 +208,9 @@ def fit(texts: list[np.ndarray], y: np.ndarray, weight: np.ndarray, lang: list[s
             return None
         return widest_cut(z[of], y[of], weight[of], 0, weight.max())
 
-    calibrate = np.flatnonzero(held & whole)
+    calibrate = np.flatnonzero(held)
     overall = best_cut(calibrate)
-    overall = overall if overall is not None else best_cut(np.flatnonzero(whole))
+    overall = overall if overall is not None else best_cut(np.arange(n))
     overall = overall if overall is not None else 0.0
     cuts = [best_cut(calibrate[code[calibrate] == c]) for c in range(len(names))]
     net.threshold = np.array([overall if c is None else c for c in cuts])
@@ -212,6 +218,17 @@ def fit(texts: list[np.ndarray], y: np.ndarray, weight: np.ndarray, lang: list[s
     return net
 
 
+def labelled(docs: DataFrame, known: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
+    """The rows of ``docs`` that may have an id in ``known``, and surely all that have one: the ids set one of ``bits``
+    bits each, a table of ``bits`` / 64 words at most, which is broadcast whatever the tables' sizes."""
+    slot = F.pmod(F.xxhash64("id"), F.lit(bits))
+    words = known.select(slot.alias("s")).groupBy(F.shiftright("s", 6).alias("word")).agg(
+        F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("s").bitwiseAND(63).cast("int"))).alias("set"))
+    at = F.call_function("getbit", F.col("set"), slot.bitwiseAND(63).cast("int"))
+    return (docs.withColumn("word", F.shiftright(slot, 6)).join(F.broadcast(words), "word")
+            .where(at == 1).select(*docs.columns))
+
+
 def calibrated(docs: DataFrame, known: DataFrame, trained: list, net: ConvNet) -> np.ndarray:
     """The threshold of each of ``net.names`` from the logits of all documents (id, text, lang) in
     ``known`` (id, y, whatever their length), counted by language, step of the logit and label.
@@ -231,7 +248,7 @@ def calibrated(docs: DataFrame, known: DataFrame, trained: list, net: ConvNet) -
 
     kind = docs.schema["id"].dataType.simpleString()
     # texts are scored where they are read: only ids, languages and steps meet the labels
-    logits = docs.select("id", "text", "lang").mapInArrow(run, f"id {kind}, lang string, step long")
+    logits = labelled(docs.select("id", "text", "lang"), known).mapInArrow(run, f"id {kind}, lang string, step long")
     seen = spark.createDataFrame([(i,) for i in sorted(set(trained))], f"id {kind}").withColumn("used", F.lit(1))
     got = (logits.join(known, "id").join(F.broadcast(seen), "id", "left")
            .groupBy(F.coalesce("lang", F.lit("")).alias("lang"), F.col("used").isNotNull().alias("used"), "step",
@@ -257,15 +274,25 @@ def calibrated(docs: DataFrame, known: DataFrame, trained: list, net: ConvNet) -
                      for c, t in zip(own, net.threshold)])
 
 
-def train(docs: DataFrame, labels: DataFrame, max_rows: int = 4000, max_words: int = 5_000,
+def within(picked: list, max_bytes: int) -> list:
+    """Of ``picked`` (id, y, lang, size, u) by rising u, which does not depend on the size: rows up to the one with
+    which the texts come to ``max_bytes``, and the first of either label."""
+    picked = sorted(picked, key=lambda r: (r["u"], r["id"]))
+    before = np.cumsum([0, *[r["size"] for r in picked]])[:-1]
+    first = {v: next((i for i, r in enumerate(picked) if r["y"] == v), -1) for v in (0, 1)}
+    return [r for i, r in enumerate(picked) if before[i] < max_bytes or i in first.values()]
+
+
+def train(docs: DataFrame, labels: DataFrame, max_rows: int = 4000, max_bytes: int = 32 << 20,
           id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
           label_col: str = "toxic") -> ConvNet | None:
     """Fit on a bounded sample of labelled documents; None without labels of both kinds. The
     thresholds come from all labelled documents (``calibrated``).
 
     About ``max_rows`` labelled ids, half of either label where there are as many, chosen by
-    a hash of the id; half of them in proportion to the languages and half evenly over them. Of
-    documents over ``max_words`` words the beginning only tells the words of their language.
+    a hash of the id; half of them in proportion to the languages and half evenly over them. Texts are
+    learned from whole; where they come to more than ``max_bytes`` together, fewer ids are taken, by the
+    same hash whatever their length (the last may pass the bound, so memory is that and one text).
     Labels given twice count as the larger; null labels and ids are left out. ``lang_col`` is read
     here only, to learn which words tell the languages apart and for the thresholds; an id with several
     languages counts with the first."""
@@ -273,7 +300,10 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 4000, max_words: i
     known = (labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
              .groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).alias("y")))
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    cells = known.join(docs.groupBy("id").agg(F.coalesce(F.min("lang"), F.lit("")).alias("lang")), "id")
+    sized = docs.select("id", "lang", F.octet_length("text").cast("long").alias("size"))
+    cells = materialize(sized.join(known, "id").groupBy("id", "y").agg(
+        F.coalesce(F.min("lang"), F.lit("")).alias("lang"), F.coalesce(F.sum("size"), F.lit(0)).alias("size")),
+        "labelled", tidy=False)
     sizes = {(r["y"], r["lang"]): r["n"]
              for r in cells.groupBy("y", "lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row per language and label
     total = {v: sum(n for (w, _), n in sizes.items() if w == v) for v in (0, 1)}
@@ -285,36 +315,34 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 4000, max_words: i
              for (v, lang), n in sizes.items() if v in (0, 1)]
     shares = spark.createDataFrame(share, f"y {known.schema['y'].dataType.simpleString()}, lang string, share double")
     chance = F.pmod(F.xxhash64(F.lit("sample"), "id"), F.lit(1_000_003)) / 1_000_003.0
-    picked = (cells.join(F.broadcast(shares), ["y", "lang"]).where(chance < F.col("share"))
-              .select("id", "y", "lang").collect())
+    picked = within(cells.join(F.broadcast(shares), ["y", "lang"]).where(chance < F.col("share"))
+                    .select("id", "y", "lang", "size", (chance / F.col("share")).alias("u")).collect(), max_bytes)
     kind = known.schema["id"].dataType.simpleString()
-    ids = spark.createDataFrame(picked, f"id {kind}, y {known.schema['y'].dataType.simpleString()}, lang string")
+    ids = spark.createDataFrame([(r["id"], r["y"], r["lang"]) for r in picked],
+                                f"id {kind}, y {known.schema['y'].dataType.simpleString()}, lang string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
                 h, row = words_of(part)
                 cuts = np.searchsorted(row, np.arange(part.num_rows + 1))
-                raw = [h[a:min(b, a + max_words)].tobytes() for a, b in zip(cuts, cuts[1:])]
+                raw = [h[a:b].tobytes() for a, b in zip(cuts, cuts[1:])]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("id"), part.column("lang"), part.column("y"), pa.array(raw, pa.binary()),
-                     pa.array(np.diff(cuts) > max_words)], ["id", "lang", "y", "words", "cut"])
+                    [part.column("id"), part.column("lang"), part.column("y"), pa.array(raw, pa.binary())],
+                    ["id", "lang", "y", "words"])
 
     prepared(spark)
-    # about max_rows ids: bounded by the parameter
+    # about max_rows ids and max_bytes of text: bounded by the parameters
     rows = (docs.select("id", "text").join(F.broadcast(ids), "id")
             .select("id", "text", "lang", F.col("y").cast("int").alias("y"))
-            .mapInArrow(run, f"id {kind}, lang string, y int, words binary, cut boolean").collect())
+            .mapInArrow(run, f"id {kind}, lang string, y int, words binary").collect())
     rows = sorted(rows, key=lambda r: (r["id"], bytes(r["words"])))
     y = np.array([r["y"] for r in rows], np.float64)
-    cut = np.array([r["cut"] for r in rows], bool)
-    if not (y[~cut] == 0).any() or not (y[~cut] == 1).any():
-        return None
     there = Counter((r["y"], r["lang"]) for r in rows)
     weight = np.array([sizes[r["y"], r["lang"]] / there[r["y"], r["lang"]] for r in rows])
     net = fit([np.frombuffer(r["words"], np.uint64) for r in rows], y, weight / weight.mean(),
-              [r["lang"] for r in rows], cut=cut)
-    learned = np.flatnonzero(~held_out(len(rows)) & ~cut)
+              [r["lang"] for r in rows])
+    learned = np.flatnonzero(~held_out(len(rows)))
     net.threshold = calibrated(docs, known, [rows[i]["id"] for i in learned], net)
     return net
 

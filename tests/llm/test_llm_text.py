@@ -6,6 +6,7 @@ import sys
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 sys.path.insert(0, os.path.dirname(__file__))
 
@@ -170,7 +171,7 @@ def test_rare_language_gets_a_threshold_of_its_own(spark):
 
     add("common", 6000, "slur", 30)
     add("rare", 60, "slur", 30)       # 1 % of the rows
-    add("long", 60, "slur", 5500)     # every text over max_words
+    add("long", 60, "slur", 5500)
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
     net = T.train(docs, spark.createDataFrame(labels, "doc_id long, toxic int"), max_rows=400)
     at = dict(zip(("common", "long", "rare"), net.threshold))
@@ -181,6 +182,65 @@ def test_rare_language_gets_a_threshold_of_its_own(spark):
         assert sum(own) / len(own) >= least, (lang, sum(own) / len(own), at)
 
 
+def test_toxic_words_of_long_texts_are_learned(spark):
+    """All toxic texts have over 6,000 words and say the word once near the end; so have half of the clean ones."""
+    rng = random.Random(8)
+    rows = [(i, " ".join([f"w{rng.randrange(500)}" for _ in range(6500 if i % 4 in (1, 3) else 40)]
+                         + ["slur"] * (i % 4 == 1) + ["fine"]), "en") for i in range(240)]
+    rows += [(300 + i, " ".join([f"w{rng.randrange(500)}" for _ in range(T.WORDS + 100)] + ["slur"] * i), "en")
+             for i in range(2)]  # behind the first pass of the filters
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    labels = spark.createDataFrame([(i, int(i % 4 == 1)) for i in range(240)], "doc_id long, toxic int")
+    got = {r["doc_id"]: r["predicted"] for r in T.score(docs, T.train(docs, labels)).collect()}
+    assert sum(got[i] == (i % 4 == 1) for i in range(240)) >= 230
+    assert (got[300], got[301]) == (0, 1)
+
+
+def test_toxicity_equals_a_naive_forward_pass(monkeypatch):
+    rng = np.random.default_rng(5)
+    vocab = rng.integers(1, 1 << 63, 60, dtype=np.uint64)
+    texts = [rng.choice(vocab, n) for n in (0, 1, 2, 3, 7, 40, 0, 25)]
+    y = np.array([0, 1, 0, 1, 0, 1, 0, 1], float)
+    net = T.fit(texts, y, np.ones(8), ["a", "b"] * 4, epochs=3)
+    h, row = np.concatenate(texts), np.repeat(np.arange(8), [len(t) for t in texts])
+
+    def naive(text):
+        a, b = net.rows(text)
+        x = [net.tables[0][i] + net.tables[1][j] for i, j in zip(a, b)]
+        best = []
+        for i, k in enumerate(net.widths):
+            for f in range(net.filters):
+                z = [float(np.concatenate(x[s:s + k]) @ net.weight[i][:, f] + net.bias[i][f])
+                     for s in range(len(x) - k + 1)]
+                best.append(max([0.0, *z]))
+        return float(np.dot(best, net.out)) + net.out_bias
+
+    want = [naive(t) for t in texts]
+    for words in (1 << 16, 5, 1):  # any number of words a pass
+        monkeypatch.setattr(T, "WORDS", words)
+        assert np.allclose(net.logits(h, row, 8), want, atol=1e-4)
+        best, where = net.pooled(h, row, 8)
+        assert (row[where[where >= 0]] == np.nonzero(where >= 0)[0]).all() and ((where >= 0) == (best > 0)).all()
+
+
+def test_sample_is_bounded_by_bytes_whatever_the_length():
+    picked = [{"id": i, "y": int(i == 99), "lang": "a", "size": 10 if i % 2 else 1000, "u": (i * 37 % 100) / 100}
+              for i in range(100)]
+    got = T.within(picked, 10_000)
+    assert sum(r["size"] for r in got if r["y"] == 0) <= 11_000 and {r["y"] for r in got} == {0, 1}
+    assert 0.3 <= sum(r["size"] == 1000 for r in got) / len(got) <= 0.7
+    assert len(T.within(picked, 1 << 30)) == 100
+
+
+def test_filter_of_labelled_ids_loses_none(spark):
+    docs = spark.range(2000).select("id", F.lit("t").alias("text"))
+    known = spark.range(0, 2000, 40).select("id")
+    for bits in (64, 1 << 10, 1 << 24):
+        got = {r["id"] for r in T.labelled(docs, known, bits).collect()}
+        assert got >= set(range(0, 2000, 40))
+    assert len(got) < 60
+
+
 def test_convolution_sees_word_order():
     rng = np.random.default_rng(2)
     vocab = rng.integers(1, 1 << 63, 400, dtype=np.uint64)
