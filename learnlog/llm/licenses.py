@@ -141,7 +141,8 @@ def scan(docs: DataFrame, notices: tuple[tuple[str, str], ...] = NOTICES, id_col
     overlapping notices the fuller (then the longer, then the first listed) counts. Columns: id,
     license, containment (best), first_word (place of the first such). Documents without a notice
     give no row; null and empty texts hold none; rows with equal ids count as one document;
-    other columns are ignored. ``notices`` is a constant list, of three words or more each."""
+    other columns are ignored. The work is in proportion to the hits of a text, however often a notice
+    stands in it. ``notices`` is a constant list, of three words or more each."""
     spark = docs.sparkSession
     known = spark.createDataFrame([(i, name, text) for i, (name, text) in enumerate(notices)],
                                   "t int, license string, text string")
@@ -164,19 +165,39 @@ def scan(docs: DataFrame, notices: tuple[tuple[str, str], ...] = NOTICES, id_col
     hits = (_kinds(found, ["id"]).join(F.broadcast(table), ["kind", "value"])
             .groupBy("id", "t", "n").agg(
                 F.max((F.col("kind") >= 0) | F.col("short")).alias("candidate"),
-                F.collect_list(F.when(F.col("kind") < 0, F.struct("at", "o"))).alias("hits"))
-            .where("candidate").withColumn("starts", F.array_distinct(F.transform("hits", lambda x: x["at"] - x["o"]))))
-    share = F.transform("starts", lambda s: F.struct(
-        s.alias("start"), (F.size(F.array_distinct(F.transform(F.filter(
-            "hits", lambda x: x["at"].between(s - SLACK, s + F.col("n") - 1 + SLACK)), lambda x: x["o"])))
-            / F.col("n")).alias("c")))
+                F.array_sort(F.collect_set(F.when(F.col("kind") < 0, F.struct("at", "o")))).alias("hits"))
+            .where("candidate"))
+    # A place holds one shingle, or as many as rows have the id (``same``): the hits around a start are at most that
+    # many a place before and after the hit that gave it, and only these are looked at.
+    run = F.struct(F.lit(-1).alias("at"), F.lit(0).alias("n"), F.lit(1).alias("most"))
+    count = lambda acc, x: F.when(acc["at"] == x["at"], acc["n"] + 1).otherwise(F.lit(1))
+    same = F.aggregate("hits", run, lambda acc, x: F.struct(
+        x["at"].alias("at"), count(acc, x).alias("n"), F.greatest(acc["most"], count(acc, x)).alias("most")))
+    starts = F.array_sort(F.transform("hits", lambda x, i: F.struct(
+        (x["at"] - x["o"]).alias("s"), (i + 1).alias("i"), x["o"].alias("o"))))
+    hits = (hits.withColumn("same", same["most"]).withColumn("all", starts)
+            .withColumn("starts", F.filter("all", lambda x, i: (i == 0) | (F.get("all", i - 1)["s"] < x["s"]))))
+
+    def near(x: Column) -> Column:
+        low = F.greatest(x["i"] - F.col("same") * (x["o"] + SLACK + 1), F.lit(1))
+        high = x["i"] + F.col("same") * (F.greatest(F.col("n") + SLACK - x["o"], F.lit(0)) + 1)
+        return F.filter(F.slice("hits", low, high - low + 1), lambda y: y["at"].between(
+            x["s"] - SLACK, x["s"] + F.col("n") - 1 + SLACK))
+
+    share = F.transform("starts", lambda x: F.struct(
+        x["s"].alias("start"), (F.size(F.array_distinct(F.transform(near(x), lambda y: y["o"]))) / F.col("n")).alias("c")))
     regions = (hits.select("id", "t", "n", F.explode(share).alias("r")).where(F.col("r.c") >= least)
                .select("id", F.struct(F.col("r.c").alias("c"), F.col("n"), (-F.col("t")).alias("u"),
                                       F.col("r.start").alias("a"), (F.col("r.start") + F.col("n")).alias("z")).alias("r")))
-    per = regions.groupBy("id").agg(F.collect_list("r").alias("rs"))
+    # a region meets others in its own stretch of the text and the two beside it: a group is bounded by the notices
+    longest = max(r["n"] for r in rows)
+    stretch = F.floor(F.col("r.a") / F.lit(longest))
+    per = (regions.select("id", "r", stretch.alias("own"), F.explode(F.array(stretch - 1, stretch, stretch + 1)).alias("in"))
+           .groupBy("id", "in").agg(F.collect_list("r").alias("ys"),
+                                    F.collect_list(F.when(F.col("own") == F.col("in"), F.col("r"))).alias("rs")))
     better = lambda y, x: F.struct(y["c"], y["n"], y["u"]) > F.struct(x["c"], x["n"], x["u"])
     kept = F.filter("rs", lambda x: ~F.exists(
-        "rs", lambda y: (y["u"] != x["u"]) & (y["a"] < x["z"]) & (x["a"] < y["z"]) & better(y, x)))
+        "ys", lambda y: (y["u"] != x["u"]) & (y["a"] < x["z"]) & (x["a"] < y["z"]) & better(y, x)))
     names = F.element_at(F.array(*[F.lit(name) for name, _ in notices]), 1 - F.col("r.u"))
     best = F.max(F.struct(F.col("r.c").alias("c"), (-F.col("r.a")).alias("a")))
     return (per.select("id", F.explode(kept).alias("r")).groupBy("id", names.alias("license"))

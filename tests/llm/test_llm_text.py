@@ -3,8 +3,11 @@ import hashlib
 import os
 import random
 import sys
+import time
 
+import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -424,6 +427,35 @@ def test_publishers_own_notices_are_found(spark):
     assert got == {(i, name) for i, (name, _) in enumerate(PUBLISHED)}
 
 
+def test_repeated_and_overlapping_notices_equal_the_definition(spark):
+    """Notices in a row, cut and mixed, also in several texts under one id: the rows of the SQL without MinHash."""
+    rng = random.Random(21)
+    rows = []
+    for i in range(40):
+        parts = []
+        for _ in range(rng.randrange(1, 12)):
+            words = rng.choice(S.NOTICES[:36])[1].split()
+            cut = rng.randrange(3) == 0
+            parts += words[rng.randrange(2) * cut:len(words) - rng.randrange(2) * cut] * rng.randrange(1, 4)
+            parts += ["and"] * rng.randrange(3)
+        rows.append((i - i % 2 if i > 30 else i, " ".join(parts)))
+    rows.append((99, "All rights reserved. Released under the MIT License. " * 60))
+    con = duckdb.connect()
+    con.register("documents", pd.DataFrame(rows, columns=["doc_id", "text"]))
+    want = {(i, name, round(c, 9), at) for i, name, c, at in con.execute(S._ORACLE).fetchall()}
+    got = S.scan(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert {(r["doc_id"], r["license"], round(r["containment"], 9), r["first_word"]) for r in got} == want
+    assert len(want) > 80
+
+
+def test_a_notice_thousands_of_times_takes_time_in_proportion(spark):
+    """A quadratic scan looks at 10^9 pairs of hits here."""
+    begin = time.monotonic()
+    df = spark.createDataFrame([(1, "All rights reserved. " * 30_000)], "doc_id long, text string")
+    assert [tuple(r) for r in S.scan(df).collect()] == [(1, "all-rights-reserved", 1.0, 0)]
+    assert time.monotonic() - begin < 60
+
+
 def test_no_language_is_left_out_of_a_small_sample(spark):
     """More languages than the sample has rows: each has centroids, and its texts find them."""
     rng = random.Random(6)
