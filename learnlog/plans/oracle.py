@@ -812,3 +812,14 @@ def _():
   FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings)
   WHERE list_dot_product(e, e) > 0 AND list_dot_product({qv}, {qv}) > 0
   ORDER BY score DESC, vec_id LIMIT {Q.VECTOR_K})"""
+
+
+@q("vector_neighbours")
+def _():
+    return f"""WITH v AS (SELECT vec_id, e, sqrt(list_dot_product(e, e)) AS n
+  FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE embedding IS NOT NULL)
+  WHERE list_dot_product(e, e) > 0),
+s AS (SELECT q.vec_id AS query_id, r.vec_id AS neighbour_id, round(list_dot_product(q.e, r.e) / (q.n * r.n), 6) AS score
+  FROM v q JOIN v r ON q.vec_id <> r.vec_id WHERE q.vec_id % {Q.VECTOR_QUERY_STEP} = 0)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, neighbour_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, neighbour_id) AS rank FROM s) WHERE rank <= {Q.VECTOR_K}"""

@@ -21,6 +21,7 @@ from learnlog.operators import analysis as A
 from learnlog.operators import chat as C
 from learnlog.operators import history as H
 from learnlog.operators import model as M
+from learnlog.operators import neighbours as N
 from learnlog.operators.asof import asof_join
 from learnlog.operators.maintained import MaintainedSummary
 from learnlog.operators import vector as V
@@ -55,6 +56,7 @@ EVENT_MODE = {
 UPLOAD_LIMIT_MB = 0.002
 VECTOR_QUERY_ID = 0
 VECTOR_K = 10
+VECTOR_QUERY_STEP = 50
 
 
 def query(name: str):
@@ -853,3 +855,10 @@ def q_vector_topk(spark, sf):
     e = read_table(spark, sf, "embeddings").select("vec_id", "embedding")
     return V.topk(e, VECTOR_QUERY_ID, VECTOR_K)
 
+
+
+@query("vector_neighbours")
+def q_vector_neighbours(spark, sf):
+    """Every row whose id is divisible by 50 against all rows, through the inverted file."""
+    e = read_table(spark, sf, "embeddings").select("vec_id", "embedding")
+    return N.search(N.build(e, k=VECTOR_K), e.where(F.col("vec_id") % VECTOR_QUERY_STEP == 0), VECTOR_K, exact=True)
