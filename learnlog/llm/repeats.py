@@ -1,5 +1,6 @@
-"""Removal of byte strings that repeat across documents: ranks of synchronised positions are
-sorted, doubled to longer strings and sorted again, until unique or as long as the threshold."""
+"""Removal of byte strings that repeat across documents: every window gets the smallest hash of its
+16-byte strings as rank, ranks are sorted and those of one document drop out, windows of the others are compared
+byte by byte. This is not prefix doubling: no pair of ranks at an offset is formed (see README)."""
 
 from __future__ import annotations
 
