@@ -28,7 +28,8 @@ def start_language_counts(store: HistoryStore, out_path: str, checkpoint: str, a
               .groupBy("language", "mode").agg(F.sum("sign").alias("n")))
 
     def publish(batch: DataFrame, batch_id: int) -> None:
-        write_result(batch.where("n > 0").coalesce(1), out_path, batch_id)
+        # one task per state partition: fewer would hold the aggregation of several at once
+        write_result(batch.where("n > 0"), out_path, batch_id)
         drop_results(spark, out_path)
 
     return start(counts.writeStream.outputMode("complete").option("checkpointLocation", checkpoint)
