@@ -8,6 +8,8 @@ ever gathers all rows of a language.
 
 from __future__ import annotations
 
+from typing import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -16,6 +18,10 @@ from learnlog.functions import json as J
 from learnlog.functions import text as T
 from learnlog.operators.joins import join_lookup, lookup_table
 
+#: Puts their bodies to a bounded number of records (``store.history_bodies``).
+Bodies = Callable[[DataFrame], DataFrame]
+
+
 def newest_first():
     return [F.col("ts").desc(), F.col("id").asc()]
 
@@ -62,15 +68,19 @@ def vocabulary_counts(history: DataFrame) -> DataFrame:
             .agg(F.coalesce(F.sum("n_vocabulary"), F.lit(0)).cast("bigint").alias("n")))
 
 
-def vocabulary_top(history: DataFrame, n: int = K.SUMMARY_VOCABULARY_ITEMS) -> DataFrame:
+def vocabulary_top(history: DataFrame, n: int = K.SUMMARY_VOCABULARY_ITEMS, bodies: Bodies | None = None) -> DataFrame:
     """First ``n`` vocabulary items per language: newest analysis first, then list order.
 
     The ``n`` newest analyses that have an item hold at least ``n`` items, so only their bodies
-    are parsed (a WindowGroupLimit on each task before the shuffle)."""
+    are parsed (a WindowGroupLimit on each task before the shuffle). ``bodies`` fetches these for
+    records that refer to their texts."""
     w = Window.partitionBy("language").orderBy(*newest_first())
-    newest = (_sized(history).where((F.col("mode") == "analysis") & (F.col("n_vocabulary") > 0))
-              .select("id", "ts", "language", "analysis_data")
-              .withColumn("_nth", F.row_number().over(w)).where(F.col("_nth") <= n).drop("_nth"))
+    newest = _sized(history).where((F.col("mode") == "analysis") & (F.col("n_vocabulary") > 0))
+    if bodies is None:
+        newest = newest.select("id", "ts", "language", "analysis_data")
+    newest = newest.withColumn("_nth", F.row_number().over(w)).where(F.col("_nth") <= n).drop("_nth")
+    if bodies is not None:
+        newest = bodies(newest).select("id", "ts", "language", "analysis_data")
     v = _vocabulary_of(J.with_analysis(newest, "analysis_data", "analysis"))
     w = Window.partitionBy("language").orderBy(F.col("ts").desc(), F.col("id").asc(), F.col("pos").asc())
     return v.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= n)
@@ -164,7 +174,7 @@ def recent_errors(history: DataFrame, n: int = K.SUMMARY_ERRORS) -> DataFrame:
             .select("language", "rn", T.error_snippet("explanation").alias("snippet")))
 
 
-def summary_text(history: DataFrame) -> DataFrame:
+def summary_text(history: DataFrame, bodies: Bodies | None = None) -> DataFrame:
     """Learning-history summary document per language: counts, vocabulary count, the first
     20 words, the newest 5 errors (white space between the parts is normalised).
 
@@ -172,7 +182,7 @@ def summary_text(history: DataFrame) -> DataFrame:
     most, because the top-N runs first) are put into one table and aggregated once."""
     line = "struct<rn:int,line:string>"
     counts = summary_counts(history).withColumns({k: F.lit(None).cast(line) for k in ("word", "error")})
-    words = vocabulary_top(history).select("language", F.struct("rn", word_line().alias("line")).alias("word"))
+    words = vocabulary_top(history, bodies=bodies).select("language", F.struct("rn", word_line().alias("line")).alias("word"))
     errors = recent_errors(history).select(
         "language", F.struct("rn", F.concat(F.lit("- "), "snippet").alias("line")).alias("error"))
     return summary_document(counts.unionByName(words, allowMissingColumns=True)

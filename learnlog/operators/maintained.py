@@ -21,10 +21,10 @@ _ORDER = {"word": (["ts DESC", "id", "pos"], K.SUMMARY_VOCABULARY_ITEMS), "error
 _TOTALS = ["translations", "corrections", "analyses", "n"]
 
 
-def facts(history: DataFrame) -> DataFrame:
+def facts(history: DataFrame, bodies: A.Bodies | None = None) -> DataFrame:
     """The state of a set of records: kind (count, word, error), language, the totals; ts, id, pos, line."""
     counts = A.summary_counts(history).withColumn("kind", F.lit("count"))
-    words = A.vocabulary_top(history).select(
+    words = A.vocabulary_top(history, bodies=bodies).select(
         F.lit("word").alias("kind"), "language", "ts", "id", "pos", A.word_line().alias("line"))
     newest = Window.partitionBy("language").orderBy(*A.newest_first())
     errors = (history.where((F.col("mode") == "correction") & (F.length("explanation") > 0))
@@ -62,10 +62,11 @@ def summaries(state: DataFrame) -> DataFrame:
 
 
 class MaintainedSummary:
-    """The state of a store's history as of one of its commits, below ``<root>/derived``."""
+    """The state of a store's history as of one of its commits, below ``<root>/derived``. ``bodies``: for a
+    store whose records refer to their texts."""
 
-    def __init__(self, store: HistoryStore):
-        self.store, self.spark = store, store.spark
+    def __init__(self, store: HistoryStore, bodies: A.Bodies | None = None):
+        self.store, self.spark, self.bodies = store, store.spark, bodies
         self.path = f"{store.root}/derived/summary-state-{STATE_VERSION}"
 
     def _newest(self) -> int:
@@ -90,24 +91,24 @@ class MaintainedSummary:
         now, have = self.store.version(), self._newest()
         target = f"{self.path}/{now:012d}"
         if have < now or not now:
-            self._updated(have, now).coalesce(1).write.mode("overwrite").parquet(target)
+            self._updated(have, now).write.mode("overwrite").parquet(target)
         return self.spark.read.parquet(target)
 
     def _updated(self, have: int, now: int) -> DataFrame:
         rows = self.store.read(now)
         if not have:
-            return facts(rows)
+            return facts(rows, self.bodies)
         added, edits = self.changed_since(have, now)
         if not all(path_exists(self.spark, f"{self.store.path}/{f}") for f in added):
-            return facts(rows)  # an append's folders were replaced and have been removed since
+            return facts(rows, self.bodies)  # an append's folders were replaced and have been removed since
         old = self.spark.read.parquet(f"{self.path}/{have:012d}")
-        new = facts(self.store.rows_of(added))
+        new = facts(self.store.rows_of(added), self.bodies)
         if not edits:
             return merged(old.unionByName(new))
         dirty = (self.store.changes().where(F.col("version").isin(edits)).select(F.col("language").alias("_dirty")).distinct())
         clean = lambda df: df.join(dirty, F.col("language").eqNullSafe(F.col("_dirty")), "left_anti")
         again = rows.join(dirty, F.col("language").eqNullSafe(F.col("_dirty")), "left_semi")
-        return merged(clean(old).unionByName(clean(new))).unionByName(facts(again))
+        return merged(clean(old).unionByName(clean(new))).unionByName(facts(again, self.bodies))
 
     def documents(self) -> DataFrame:
         return summaries(self.state())

@@ -70,6 +70,11 @@ def _h(spark, sf):
     return S.history_table(spark, sf)
 
 
+def _rows(spark, sf):
+    """The history with its texts by reference."""
+    return S.history_rows(spark, sf)
+
+
 def _docs(spark, sf):
     return read_table(spark, sf, "documents").select("doc_id", "text", "lang")
 
@@ -448,7 +453,7 @@ def q_vocabulary_counts(spark, sf):
 
 @query("vocabulary_top20")
 def q_vocabulary_top20(spark, sf):
-    return A.vocabulary_top(_h(spark, sf)).select("language", "rn", "word")
+    return A.vocabulary_top(_rows(spark, sf), bodies=S.history_bodies(spark, sf)).select("language", "rn", "word")
 
 
 @query("language_summary")
@@ -468,7 +473,7 @@ def q_recent_errors(spark, sf):
 
 @query("summary_text")
 def q_summary_text(spark, sf):
-    return A.summary_text(_h(spark, sf))
+    return A.summary_text(_rows(spark, sf), S.history_bodies(spark, sf))
 
 
 @query("voice_lookup")
@@ -484,8 +489,8 @@ def q_label_lookup(spark, sf):
 
 def tutor_summaries(spark, sf):
     """Per-language summaries of the current history, maintained beside it."""
-    _h(spark, sf)
-    return MaintainedSummary(S.history_store(spark, sf)).documents()
+    _rows(spark, sf)
+    return MaintainedSummary(S.history_store(spark, sf), S.history_bodies(spark, sf)).documents()
 
 
 def _questions_with_summary(spark, sf):
@@ -832,7 +837,7 @@ def q_cache_reads(spark, sf):
 @query("stream_language_counts")
 def q_stream_language_counts(spark, sf):
     from learnlog.streaming.counts import run_language_counts
-    _h(spark, sf)
+    _rows(spark, sf)
     base = _scratch(spark, "language-counts")
     return run_language_counts(S.history_store(spark, sf), f"{base}/out", f"{base}/checkpoint")
 

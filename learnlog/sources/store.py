@@ -320,9 +320,9 @@ _LOGGED = ("id", "ts", "mode", "language")
 #: The folder of records without a kind.
 NO_KIND = "__HIVE_DEFAULT_PARTITION__"
 
-# Bump when the derivation in ``fixtures.history_records`` changes, so a table written by an
+# Bump when the derivation in ``fixtures.stored_records`` changes, so a table written by an
 # older derivation is never reused.
-FIXTURE_VERSION = "6"
+FIXTURE_VERSION = "7"
 # Bump when the logic behind a derived table (e.g. ``analysis.summary_text``) changes.
 DERIVED_VERSION = "3"
 
@@ -352,9 +352,9 @@ def history_store(spark: SparkSession, sf_dir: str) -> HistoryStore:
 
 def build_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ingest job: derive every history record from the driver tables (the append path
-    of all kinds, JSON bodies serialised once) and write the table partitioned by ``mode``."""
+    of all kinds) and write the table partitioned by ``mode``, source texts by reference."""
     store = history_store(spark, sf_dir)
-    records = FX.history_records(spark, sf_dir)
+    records = FX.stored_records(spark, sf_dir)
     store.create_if_missing(records)
     store.clear_all()
     store.append(records)
@@ -362,11 +362,23 @@ def build_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.read()
 
 
-def history_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stored history for ``sf_dir``, built on first use (once per process even when
-    queries are started from several threads)."""
+def history_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored records for ``sf_dir``, texts by reference; the table is built on first use (once
+    per process even when queries are started from several threads)."""
     store = history_store(spark, sf_dir)
     with _BUILD_LOCK:
         if not path_exists(spark, f"{store.root}/built"):
             return build_history(spark, sf_dir)
     return store.read()
+
+
+def history_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored history for ``sf_dir`` with texts and JSON bodies."""
+    return FX.with_texts(history_rows(spark, sf_dir), spark, sf_dir)
+
+
+def history_bodies(spark: SparkSession, sf_dir: str):
+    """Puts texts and bodies to a bounded number of ``history_rows`` (``bodies`` of ``analysis.vocabulary_top``).
+    What the rows are is found first, and the few whole records are written, so that a later step
+    may take them in one task."""
+    return lambda rows: written(FX.with_texts(written(rows, "newest-rows"), spark, sf_dir, few=True), "newest-records")
