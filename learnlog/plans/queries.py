@@ -25,7 +25,7 @@ from learnlog.operators import neighbours as N
 from learnlog.operators.asof import asof_join
 from learnlog.operators.maintained import MaintainedSummary
 from learnlog.operators import vector as V
-from learnlog.session import checkpoint_dir
+from learnlog.session import checkpoint_dir, written
 from learnlog.sources import store as S
 from learnlog.sources import files as FS
 from learnlog.sources.fixtures import LANG_CODE_TO_NAME, analysis_struct, conversation_language, voice_for
@@ -666,7 +666,7 @@ def q_model_exercise(spark, sf):
     req = A.parsed_exercises(_h(spark, sf)).select(
         "id", "language", F.col("exercise.type").alias("exercise_type"))
     req = A.attach_summary(req, tutor_summaries(spark, sf))
-    kinds = req.select("language", "exercise_type", "summary").distinct()
+    kinds = written(req.select("language", "exercise_type", "summary").distinct(), "exercise-kinds")  # as in model_word
     body = F.to_json(F.struct(F.col("exercise_type").alias("type"), F.col("language").alias("title"),
                               F.col("summary").alias("question"), F.split("summary", "\n").alias("options")))
     call = _recorded("exercise", kinds, M.exercise_prompt(F.col("language"), F.col("summary"), F.col("exercise_type")),
@@ -679,8 +679,12 @@ def q_model_exercise(spark, sf):
 
 @query("model_word")
 def q_model_word(spark, sf):
-    """Explain every distinct word of every document; words of a length divisible by 3 got no JSON."""
-    w = _docs_lang(spark, sf).select("language", F.explode(F.split("text", " ")).alias("word")).distinct()
+    """Explain every distinct word of every document; words of a length divisible by 3 got no JSON.
+
+    The distinct words are written once: both sides of the join need them, and the optimizer drops a
+    ``distinct`` below the maximum per prompt, which then hashes a prompt for every word that occurs."""
+    w = written(_docs_lang(spark, sf).select("language", F.explode(F.split("text", " ")).alias("word")).distinct(),
+                "words")
     word = F.col("word")
     body = F.to_json(F.struct(word.alias("word"), F.concat(F.lit("pl:"), word).alias("translation"),
                               F.array(word, F.reverse(word)).alias("examples")))

@@ -71,3 +71,19 @@ def test_every_state_partition_writes_its_counts(spark, scratch):
     assert run_language_counts(store, f"{scratch}/o", f"{scratch}/c").count() == 200
     fs, p = _fs(spark, f"{scratch}/o/batch=000000000")
     assert len([s for s in fs.listStatus(p) if s.getPath().getName().startswith("part-")]) > 1
+
+
+def test_a_prompt_is_made_once_per_distinct_word(spark, tables):
+    from learnlog.plans.queries import QUERIES
+    df = QUERIES["model_word"](spark, tables)
+    assert "Generate" not in _plan(df)
+    got = sorted((r.language or "", r.word) for r in df.collect())
+    assert got == sorted({("angielski", w) for w in LONG.split(" ")} | {("niemiecki", w) for w in ("a", "b\nc", "d", "e")}
+                         | {("", w) for w in (LONG + "\n" + LONG).split(" ")})
+
+
+def test_exercise_prompts_are_made_once_per_kind(spark, tables):
+    from learnlog.plans.queries import QUERIES
+    df = QUERIES["model_exercise"](spark, tables)
+    assert _plan(df).count("from_json(") == 2      # a stored exercise and its reply, not the kinds once more
+    assert {r.error for r in df.collect()} == {None}
