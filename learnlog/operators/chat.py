@@ -54,20 +54,33 @@ def snapshots(msgs: DataFrame, last_only: bool = False) -> DataFrame:
     return s.select("conv_id", "turn", "language", "message_count", "chat_text")
 
 
+def snapshot_points(msgs: DataFrame) -> DataFrame:
+    """The snapshots without their texts: ``chat_chars`` is how much of the conversation's ``transcript`` is
+    the text of a snapshot. Messages of one turn stand in the transcript's order."""
+    line = line_of("role", "text")
+    run = Window.partitionBy("conv_id").orderBy("turn", line).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    s = msgs.select(
+        "conv_id", "turn", "role", "language",
+        F.count(F.lit(1)).over(run).alias("message_count"),
+        F.greatest(F.coalesce(F.sum(F.length(line)).over(run), F.lit(0)) + F.count(line).over(run) - 1, F.lit(0))
+        .cast("int").alias("chat_chars"))
+    return s.where((F.col("role") == "assistant") & (F.col("message_count") >= 2)).drop("role")
+
+
 # FIXED VALUE (test data): conversations carry no time, so a session is saved this long after
 # the turns began, plus a second per turn
 SESSION_EPOCH = "2024-01-01 00:00:00"
 
 
-def session_records(snaps: DataFrame) -> DataFrame:
+def session_records(snaps: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """Snapshots as chat-session history records, ready to be stored; the time is derived from
-    the turn unless the snapshots carry a ``ts``."""
+    the turn unless the snapshots carry a ``ts``. ``keep``: columns to take instead of the text."""
     saved = (F.col("ts") if "ts" in snaps.columns else
              F.expr(f"timestamp_ntz'{SESSION_EPOCH}' + make_dt_interval(0, 0, 0, turn)"))
     return snaps.select(
         F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("id"),
         saved.cast("timestamp_ntz").alias("ts"), F.lit("chat_session").alias("mode"), "language",
-        F.lit(None).cast("string").alias("context"), "chat_text",
+        F.lit(None).cast("string").alias("context"), *(["chat_text"] if keep is None else keep),
         F.col("message_count").cast("int").alias("message_count"))
 
 

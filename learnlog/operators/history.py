@@ -142,13 +142,15 @@ def history_stats(history: DataFrame) -> DataFrame:
 
 def history_union(history: DataFrame) -> DataFrame:
     """The kinds as tables of their own fields in one table (missing fields null), counted per kind."""
-    fields = {"chat_session": "chat_text", "learning_tips": "tips_text"}
+    # the length of a session's text, stored with the record or else of its text
+    history = history if "chat_chars" in history.columns else history.withColumn("chat_chars", F.length("chat_text"))
+    fields = {"chat_session": "chat_chars", "learning_tips": "tips_text"}
     parts = [history.where(F.col("mode") == kind).select("id", "mode", fields.get(kind, "input_text"))
              for kind in K.MODES]
     u = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
     return u.groupBy("mode").agg(
         F.count(F.lit(1)).alias("n"),
-        F.count_if(F.length(F.coalesce("input_text", "chat_text", "tips_text")) > 0).alias("n_with_text"))
+        F.count_if(F.coalesce(F.length("input_text"), "chat_chars", F.length("tips_text")) > 0).alias("n_with_text"))
 
 
 # --- record builders (the append path) -------------------------------------------------------

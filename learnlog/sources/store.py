@@ -19,6 +19,7 @@ import threading
 import time
 import uuid
 from contextlib import contextmanager
+from typing import Callable
 from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -189,12 +190,13 @@ class HistoryStore:
             else:
                 fs.delete(p, True)
 
-    def _write(self, df: DataFrame) -> list[str]:
+    def _write(self, df: DataFrame, finish: Callable[[DataFrame], DataFrame] = lambda dealt: dealt) -> list[str]:
         """Write ``df`` as the next generation; its folders. Rows are dealt by (kind, bucket), large
-        groups split from their measured size, so that a bucket gets few files."""
+        groups split from their measured size, so that a bucket gets few files; ``finish`` puts to
+        the dealt rows what need not be shuffled."""
         name = f"g={self.version() + 1}-{uuid.uuid4().hex[:8]}"
-        (df.withColumn("bucket", self._bucket("id")).hint("rebalance", "mode", "bucket")
-         .sortWithinPartitions("mode", "bucket", "ts").write.partitionBy("mode", "bucket").parquet(f"{self.path}/{name}"))
+        dealt = finish(df.withColumn("bucket", self._bucket("id")).hint("rebalance", "mode", "bucket"))
+        dealt.sortWithinPartitions("mode", "bucket", "ts").write.partitionBy("mode", "bucket").parquet(f"{self.path}/{name}")
         return [f"{name}/{m}/{b}" for m in list_dirs(self.spark, f"{self.path}/{name}")
                 for b in list_dirs(self.spark, f"{self.path}/{name}/{m}")]
 
@@ -240,11 +242,15 @@ class HistoryStore:
             (F.col(f.name) if f.name in records.columns else F.lit(None)).cast(f.dataType).alias(f.name)
             for f in self.schema().fields])
 
-    def append(self, records: DataFrame) -> None:
-        """Add records (no existing file is rewritten)."""
+    def append(self, records: DataFrame, finish: Callable[[DataFrame], DataFrame] | None = None) -> None:
+        """Add records (no existing file is rewritten). ``finish``, a step per row, completes records that
+        are still short, after they have been shuffled."""
         self.create_if_missing()
         with self.locked():
-            made = self._write(self._conform(records))
+            if finish is None:
+                made = self._write(self._conform(records))
+            else:
+                made = self._write(records, lambda dealt: self._conform(finish(dealt)).withColumn("bucket", self._bucket("id")))
             self._commit([*self.folders(), *made], self._read(made).withColumn("sign", F.lit(1)))
 
     def _replace(self, keys: DataFrame, key: str, incoming: DataFrame | None) -> None:
@@ -322,7 +328,7 @@ NO_KIND = "__HIVE_DEFAULT_PARTITION__"
 
 # Bump when the derivation in ``fixtures.stored_records`` changes, so a table written by an
 # older derivation is never reused.
-FIXTURE_VERSION = "7"
+FIXTURE_VERSION = "8"
 # Bump when the logic behind a derived table (e.g. ``analysis.summary_text``) changes.
 DERIVED_VERSION = "3"
 
@@ -354,10 +360,11 @@ def build_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ingest job: derive every history record from the driver tables (the append path
     of all kinds) and write the table partitioned by ``mode``, source texts by reference."""
     store = history_store(spark, sf_dir)
-    records = FX.stored_records(spark, sf_dir)
-    store.create_if_missing(records)
+    complete = lambda rows: FX.with_passages(rows, spark, sf_dir)
+    records = FX.referring_records(spark, sf_dir)
+    store.create_if_missing(complete(records))
     store.clear_all()
-    store.append(records)
+    store.append(records, complete)
     _write_text(spark, f"{store.root}/built", "")
     return store.read()
 
@@ -380,5 +387,6 @@ def history_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 def history_bodies(spark: SparkSession, sf_dir: str):
     """Puts texts and bodies to a bounded number of ``history_rows`` (``bodies`` of ``analysis.vocabulary_top``).
     What the rows are is found first, and the few whole records are written, so that a later step
-    may take them in one task."""
-    return lambda rows: written(FX.with_texts(written(rows, "newest-rows"), spark, sf_dir, few=True), "newest-records")
+    may take them in one task. They are analyses, which have no ``chat_text``."""
+    return lambda rows: written(
+        FX.with_texts(written(rows, "newest-rows"), spark, sf_dir, few=True).drop("chat_text"), "newest-records")
